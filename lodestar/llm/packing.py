@@ -16,6 +16,7 @@ table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +29,8 @@ from .common import materialize, read, slices
 
 #: Production parameters: tokens in a sequence, the id that ends a document.
 SEQUENCE, END = 4096, 1
-#: Words that a worker remembers the ids of.
-REMEMBER = 600_000
+#: Parts of texts that a worker remembers the ids of.
+REMEMBER = 1_000_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -38,55 +39,72 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: How the tokenizer cuts lower-case Latin-1 text: contractions, letters, single digits, other signs.
+_LETTER, _NUMBER, _BLANK = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes, word by word.
+    """Ids of whole texts as little-endian bytes, part by part.
 
-    The tokenizer splits at white space and drops it, so a text's ids are those of its words in
-    turn; each word is encoded once and remembered. Plain words of Latin letters, with or without
-    a comma or full stop, go by their lower-case letters: those are encoded many at a time, and
-    cut where a token ends a word. A text with a special token's string or with a character that
-    Python, but not the tokenizer, takes for white space is encoded whole.
+    The tokenizer lower-cases, cuts a text into parts and drops white space; a text's ids are
+    those of its parts in turn. Each part is encoded once and remembered; new parts are encoded
+    many at a time and cut where a token ends a part. Text beyond Latin-1 goes word by word (at
+    white space); one with a special token's string or with a character that Python, but not the
+    tokenizer, takes for white space is encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.stems = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self._whole(m) for m in ",."}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        plain, other = {}, []
-        for w in words:
-            stem = w[:-1] if w[-1] in ",." else w
-            if stem.isalpha() and max(stem) < "\u0100":
-                plain[w] = stem.lower()
-            else:
-                other.append(w)
-        new = list(set(plain.values()).difference(self.stems))
-        groups = [new[i : i + 500] for i in range(0, len(new), 500)]
+    def _learn(self, parts: list[str]) -> None:
+        groups = [parts[i : i + 500] for i in range(0, len(parts), 500)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             raw, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            self.stems.update(zip(group, (raw[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
-        for w, stem in plain.items():
-            self.words[w] = self.stems[stem] + self.marks[w[-1]] if w[-1] in self.marks else self.stems[stem]
-        self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True))
+            self.known.update(zip(group, (raw[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [[] if not t else None if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        all_ = {w for words in split if words for w in words}
-        if len(self.words) + len(all_) > REMEMBER:
-            self.words, self.stems = {}, {}
-        self._learn(all_.difference(self.words))
-        ids = self.words.__getitem__
-        return [self._whole(t) if words is None else b"".join(map(ids, words)) for t, words in zip(texts, split, strict=True)]
+        cut: list[list[str] | None] = []
+        words: set[str] = set()
+        for t in texts:
+            if not t:
+                cut.append([])
+            elif "<|" in t:
+                cut.append(None)
+            elif _latin(t):
+                cut.append(_PARTS.findall(t.lower()))
+            elif any(c in t for c in "\x1c\x1d\x1e\x1f"):
+                cut.append(None)
+            else:
+                cut.append([f" {w}" for w in t.split()])  # the space tells words from parts
+                words.update(cut[-1])
+        all_ = set().union(*filter(None, cut))
+        if len(self.known) + len(all_) > REMEMBER:
+            self.known = {}
+        new = all_.difference(self.known)
+        self._learn(list(new.difference(words)))
+        own = list(new.intersection(words))
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True))
+        ids = self.known.__getitem__
+        return [self._whole(t) if parts is None else b"".join(map(ids, parts)) for t, parts in zip(texts, cut, strict=True)]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
