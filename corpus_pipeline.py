@@ -1,4 +1,60 @@
-STAGES = []
+"""Corpus pipeline: quality, near duplicates, personal data, mix, packing.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes each result
+to the shared folder and reads it back as the documents of the next stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import mixing, ngram_join, packing, pii, quality
+from lodestar.llm.common import materialize, read, small
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return quality.filter_good(docs, read(spark, sf_dir, "labels"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.keep_one(docs)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked; ``n_chars`` follows the text."""
+    masked = pii.redact(docs)
+    return masked.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    copies = materialize(mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies").distinct(), "copies")
+    taken = docs.join(small(copies, 1_000_000), F.col("doc_id").eqNullSafe(F.col("_id"))).where("rlike(text, '[^\\\\x20\\\\x09-\\\\x0D]')")
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", good_documents),
+    ("ngram_jaccard_join", distinct_documents),
+    ("pii", without_personal_data),
+    ("mixing", mixed_documents),
+    ("best_fit_packing", packed_sequences),
+]
+
+#: A trained classifier and tokenizer can't be written in SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, read, small
 
 #: The threshold; vectors in a cap; chance to miss a pair at the threshold; vectors compared in one task at most.
-COSINE, TARGET, MISS, LARGEST = 0.93, 64, 0.001, 4096
+COSINE, TARGET, MISS, LARGEST = 0.93, 64, 1e-4, 4096
 #: Words of a block's code at most; seed of rotation and code.
 ALPHABET, SEED = 128, 7
 

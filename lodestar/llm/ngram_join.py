@@ -272,4 +272,4 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(read(spark, sf_dir, "documents"))
 
 
-OP8_SQL = None
+

@@ -1,11 +1,21 @@
 """Queries of the training-data operators and the SQL that gives the same rows."""
 
+from .embeddings import op2_embedding_near_dedup
 from .fingerprint import op7_document_fingerprints
 from .html import op1_html_extraction
+from .language import op4_language_id
 from .mixing import OP5_SQL, op5_mix_sources
+from .ngram_join import op8_ngram_join
 from .packing import op6_best_fit_packing
 from .pii import op3_pii
+from .quality import op10_quality
 from .urls import op9_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_pii, op5_mix_sources, op6_best_fit_packing, op7_document_fingerprints, op9_url_filter)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction, op2_embedding_near_dedup, op3_pii, op4_language_id, op5_mix_sources, op6_best_fit_packing,
+        op7_document_fingerprints, op8_ngram_join, op9_url_filter, op10_quality,
+    )
+}
 ORACLE_SQL = {"op5_mix_sources": OP5_SQL}
