@@ -1,12 +1,14 @@
 """Quality classifier: co-training of a text view and a metadata view.
 
 A document is bad if it is labelled of low quality or toxic. The text view is a logistic
-regression over words and word beginnings; which ones is decided by chi-square over the labelled
-sample, counted in Spark. The metadata view is a logistic regression over what is known without
+regression over words and word beginnings that are typical of bad documents (chi-square and odds
+over the labelled sample, counted in Spark); words typical of good ones are left out, as a long
+text has many of them whatever else it says. The metadata view is a logistic regression over what is known without
 reading words: source, language, length, layout and shares of kinds of characters. Over some
 rounds each view labels the unlabelled documents it is sure about (and the other doesn't deny)
 for the other one to learn from. Each view is then calibrated on labelled documents that were held back, a logistic
-regression over both calibrated views combines them, and all documents are scored.
+regression over both calibrated views and the worse of them combines them, and all documents are
+scored.
 
 Only fitting uses a sample, bounded by parameters: the labelled documents (by the hash of their
 id) of each class and unlabelled ones. Scoring is one pass over all whole texts; the model is a
@@ -32,9 +34,11 @@ from pyspark.sql import functions as F
 from .common import materialize, read, slices
 
 #: The bounded sample: labelled documents of each class, unlabelled ones, code points of a document at most.
-PER_CLASS, UNLABELLED, LEARN_CHARS = 2500, 2500, 100_000
-#: Words and beginnings kept, least chi-square and documents of one; letters of a beginning; rounds; how sure a pseudo-label must be.
-FEATURES, LEAST_CHI2, LEAST_DOCS, BEGINNINGS, ROUNDS, SURE = 4000, 20.0, 4, (4, 5), 3, 0.97
+PER_CLASS, UNLABELLED, LEARN_CHARS = 6000, 4000, 100_000
+#: Words and beginnings kept; least chi-square, documents and odds against the other class of one; letters of a beginning.
+FEATURES, LEAST_CHI2, LEAST_DOCS, LEAST_ODDS, BEGINNINGS = 5000, 11.0, 4, 3.0, (4, 5, 7)
+#: Rounds of co-training; how sure a pseudo-label must be.
+ROUNDS, SURE = 3, 0.97
 #: Documents with at least this probability of being good are kept.
 KEEP = 0.5
 #: Buckets for sources and languages.
@@ -91,7 +95,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def vocabulary(told: DataFrame) -> list[str]:
-    """The words and beginnings that tell the classes of the labelled sample apart best."""
+    """The words and beginnings that are most typical of bad documents in the labelled sample."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -106,12 +110,33 @@ def vocabulary(told: DataFrame) -> list[str]:
     g, b = F.lit(n.get(0, 0.0)), F.lit(n.get(1, 0.0))
     seen, all_ = F.col("good") + F.col("bad"), g + b
     chi2 = all_ * F.pow(F.col("bad") * (g - F.col("good")) - F.col("good") * (b - F.col("bad")), 2) / (seen * (all_ - seen + 0.5) * g * b)
-    top = by.where(seen >= LEAST_DOCS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "f").limit(FEATURES)
+    odds = (F.col("bad") + 0.5) * g / ((F.col("good") + 0.5) * b)
+    top = by.where((seen >= LEAST_DOCS) & (odds >= LEAST_ODDS)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "f").limit(FEATURES)
     return sorted(r[0] for r in top.select("f").collect())
 
 
+class Flags:
+    """A matrix of zeros and ones, as the places of the ones in each row."""
+
+    __array_ufunc__ = None  # numpy leaves ``vector @ flags`` to us
+
+    def __init__(self, rows: list[list[int]], columns: int):
+        self.rows, self.shape = rows, (len(rows), columns)
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.column = np.array([c for r in rows for c in r], np.int64)
+
+    def __getitem__(self, at: np.ndarray) -> Flags:
+        return Flags([self.rows[i] for i in (np.flatnonzero(at) if at.dtype == bool else at).tolist()], self.shape[1])
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], self.shape[0])
+
+    def __rmatmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, v[self.row], self.shape[1])
+
+
 class Logistic:
-    """Logistic regression with weights for rows and an L2 penalty, by Newton steps on few columns or gradient ascent on many."""
+    """Logistic regression with weights for rows and an L2 penalty, by scaled gradient ascent."""
 
     def __init__(self, columns: int, penalty: float):
         self.w, self.b, self.penalty = np.zeros(columns), 0.0, penalty
@@ -132,11 +157,16 @@ class Logistic:
         return self
 
 
+def _joined(odds: np.ndarray) -> np.ndarray:
+    odds = np.clip(odds, -8, 8)
+    return np.concatenate([odds, odds.max(1, keepdims=True)], 1)
+
+
 def _sure(odds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def co_train(views: list[np.ndarray], bad: np.ndarray, weight: np.ndarray, held: np.ndarray) -> dict:
+def co_train(views: list[Flags | np.ndarray], bad: np.ndarray, weight: np.ndarray, held: np.ndarray) -> dict:
     """Both views, their calibration and their combination. ``bad``: 1, 0, or -1 (unlabelled); ``held``: held back to calibrate on."""
     known, free = (bad >= 0) & ~held, bad < 0
     back = (bad >= 0) & held
@@ -160,9 +190,8 @@ def co_train(views: list[np.ndarray], bad: np.ndarray, weight: np.ndarray, held:
                 pick = np.flatnonzero(free & (here >= SURE) & (there >= 0.2))
                 pick = pick[np.argsort(-here[pick], kind="stable")][: 200 * (round_ + 1)]
                 given[other].update(dict.fromkeys(pick.tolist(), label))
-    odds = np.stack([s.odds(m.odds(x)[:, None]) for s, m, x in zip(scales, models, views, strict=True)], 1)
-    both = np.clip(odds, -8, 8)
-    joint = Logistic(2, 1e-4).fit(both[back], bad[back].astype(float), weight[back])
+    both = _joined(np.stack([s.odds(m.odds(x)[:, None]) for s, m, x in zip(scales, models, views, strict=True)], 1))
+    joint = Logistic(3, 1e-4).fit(both[back], bad[back].astype(float), weight[back])
     return {"text": models[0], "meta": models[1], "scales": scales, "joint": joint, "told": [len(g) for g in given]}
 
 
@@ -185,9 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bad"), batch.column("share"), pa.array(found, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.float64()))], ["doc_id", "bad", "share", "found", "meta"])
 
     got = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(views, "doc_id string, bad int, share double, found array<int>, meta array<double>").orderBy("doc_id").collect()
-    x = np.zeros((len(got), len(names)), np.float32)
-    for i, r in enumerate(got):
-        x[i, r["found"]] = 1
+    x = Flags([r["found"] for r in got], len(names))
     bad = np.array([-1 if r["bad"] is None else r["bad"] for r in got])
     weight = np.array([1 / (r["share"] or 1.0) for r in got])
     held = np.array([zlib.crc32(r["doc_id"].encode()) % 10 < 3 for r in got])
@@ -200,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return model | {"weights": weights}
 
 
-def _small(x: np.ndarray, meta: np.ndarray, bad: np.ndarray, weight: np.ndarray) -> dict:
+def _small(x: Flags, meta: np.ndarray, bad: np.ndarray, weight: np.ndarray) -> dict:
     twice = np.concatenate([np.arange(len(bad)), np.flatnonzero(bad >= 0)])
     held = np.arange(len(twice)) >= len(bad)
     return co_train([x[twice], meta[twice]], bad[twice], weight[twice], held)
@@ -231,7 +258,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFra
                 meta[i] = metadata(t, s, g, _different(own, n))
             odds[:, 1] = m["meta"].odds(meta)
             odds = np.stack([a.odds(odds[:, :1]), b.odds(odds[:, 1:])], 1)
-            out = 1 - _sure(np.concatenate([odds, m["joint"].odds(np.clip(odds, -8, 8))[:, None]], 1))
+            out = 1 - _sure(np.concatenate([odds, m["joint"].odds(_joined(odds))[:, None]], 1))
         return pd.DataFrame(out, columns=["p_text", "p_meta", "score"])
 
     rows = docs.drop("p_text", "p_meta", "score", "kept", "_p").withColumn("_p", probabilities(*(F.coalesce(F.col(c), F.lit("")) for c in ("text", "source", "lang"))))
