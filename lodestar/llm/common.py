@@ -40,6 +40,24 @@ def small(table: DataFrame, limit: int = 100_000) -> DataFrame:
     return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
 
 
+def most_frequent(counts: DataFrame, by: str, key: str, limit: int) -> DataFrame:
+    """The rows of written ``counts`` with the largest ``by``, about ``limit`` of them at most.
+
+    A histogram over sixteenths of powers of two (a few hundred rows) gives the threshold, so no
+    task sorts and none sends its own top list to the driver. Of the boundary level a hashed share
+    is taken.
+    """
+    level = F.floor(F.log2(F.greatest(F.col(by), F.lit(1)).cast("double")) * 16)
+    left, at, share = limit, -1, 0.0
+    for r in sorted(counts.groupBy(level.alias("l")).count().collect(), reverse=True):
+        if r[1] > left:
+            at, share = r[0], left / r[1]
+            break
+        left -= r[1]
+    hashed = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))
+    return counts.where((level > at) | ((level == at) & hashed))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds about ``chars`` bytes of text (one row at least)."""
     for batch in batches:

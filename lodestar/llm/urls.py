@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import materialize, most_frequent, read
 
 #: Production parameters: rules as (verdict, host, path prefix).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -103,7 +103,7 @@ def word_counts(pages: DataFrame) -> dict[str, int]:
     """The most frequent words of all titles (``WORDS`` of them), and the seeds."""
     title = F.regexp_extract("html", r"(?is)<title[^>]*>([^<]*)", 1)
     words = pages.select(F.explode(F.split(F.lower(title), r"[^\p{L}]+")).alias("w")).where("w <> '' and char_length(w) <= 24")
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS).collect()
+    top = most_frequent(materialize(words.groupBy("w").count(), "words"), "count", "w", WORDS).collect()
     counts = {r[0]: r[1] for r in top}
     return counts | {w: counts.get(w, 0) + PSEUDO for w in SEEDS}
 
@@ -124,8 +124,9 @@ def fit(urls: DataFrame, counts: dict[str, int]) -> tuple[dict[str, float], floa
             yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), *(pa.array([n[k] for n in tally.values()], pa.int64()) for k in (0, 1))], ["token", "allow", "block"])
 
     by = urls.mapInArrow(weigh, "token string, allow long, block long").groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    rows = {r[0]: (r[1], r[2]) for r in by.orderBy(F.expr("token <> ''"), F.desc(F.expr("allow + block")), "token").limit(TOKENS).collect()}
-    pages = rows.pop("", (0, 0))
+    by = materialize(by.withColumn("seen", F.col("allow") + F.col("block")), "tokens")
+    rows = {r["token"]: (r["allow"], r["block"]) for r in most_frequent(by.where("token <> ''"), "seen", "token", TOKENS).collect()}
+    pages = by.where("token = ''").select("allow", "block").first() or (0, 0)
     all_, vocabulary = [sum(n[k] for n in rows.values()) for k in (0, 1)], len(rows) or 1
     odds = {t: math.log((b + 1) / (all_[1] + vocabulary)) - math.log((a + 1) / (all_[0] + vocabulary)) for t, (a, b) in rows.items()}
     return odds, math.log(pages[1] + 1) - math.log(pages[0] + 1)
