@@ -75,7 +75,7 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
     trees: list[tuple[int, int, int, bool]] = []
     if not html:
         return blocks, trees
-    stack: list[tuple[str, int, bool]] = []  # tag, start, whether it opens what is dropped
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, start, whether it opens what is dropped, whether it opens an article
     parts: list[str] = []
     dropped = article = seen = 0
     at = began = 0
@@ -92,12 +92,11 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
         """Close the open elements from the k-th on."""
         nonlocal dropped, article
         while len(stack) > k:
-            tag, start, drops = stack.pop()
+            tag, start, drops, opens = stack.pop()
             if tag in _CONTAINER:
                 trees.append((start, end, xxhash.xxh64_intdigest(" ".join(html[start:end].split()).encode("utf-8", "replace")), article > 0))
             dropped -= drops
-            article -= tag in ("article", "main") and not dropped
-            article = max(article, 0)
+            article -= opens
 
     while True:
         m = _TOKEN.search(html, at)
@@ -134,8 +133,7 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
         if tag in _BLOCK:
             flush(m.start())
             if tag in ("article", "main") and dropped and not seen:  # the article can't be inside what is dropped: an end tag is missing
-                if k := next((i for i, x in enumerate(stack) if x[2]), None):
-                    close(k, m.start())
+                close(next(i for i, x in enumerate(stack) if x[2]), m.start())
             if tag in ("li", "dt", "dd", "tr", "td", "th", "p") or _HEADING.match(tag):
                 kin = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
                 for k in range(len(stack) - 1, -1, -1):
@@ -149,10 +147,11 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
         drops = not dropped and _boilerplate(tag, m[3], article > 0)
         if drops:
             flush(m.start())
-        if tag in ("article", "main") and not dropped and not drops:
+        opens = tag in ("article", "main") and not dropped and not drops
+        if opens:
             article, seen = article + 1, 1
         if tag in _BLOCK or drops:
-            stack.append((tag, m.start(), drops))
+            stack.append((tag, m.start(), drops, opens))
             dropped += drops
     flush(len(html))
     close(0, len(html))
