@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,23 +76,30 @@ def densify(points: Column, spacing: float) -> Column:
 
 
 def clip_ring(points: Column, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
-    """A closed ring cut to a box (edge by edge); empty where nothing is left."""
-    out = points
-    for axis, bound, sign in (("x", xmin, 1), ("x", xmax, -1), ("y", ymin, 1), ("y", ymax, -1)):
-        other = "y" if axis == "x" else "x"
-        inside = lambda v, b=bound, s=sign: (v - b) * s >= 0
-
-        def cut(s: Column, axis=axis, other=other, bound=bound, inside=inside) -> Column:
-            a1, a2, o1, o2 = s[f"{axis}1"], s[f"{axis}2"], s[f"{other}1"], s[f"{other}2"]
-            point = lambda a, o: F.struct(*[(a if n == axis else o).cast("double").alias(n) for n in ("x", "y")])
-            meet = point(F.lit(float(bound)), o1 + (o2 - o1) * (bound - a1) / F.nullif(a2 - a1, F.lit(0.0)))
-            end = point(a2, o2)
-            none = F.slice(F.array(end), 1, 0)
-            return F.when(inside(a1) & inside(a2), F.array(end)).when(inside(a1), F.array(meet)).when(inside(a2), F.array(meet, end)).otherwise(none)
-
-        legs = F.flatten(F.transform(segments(out), cut))
-        out = F.when(F.size(legs) > 0, F.concat(legs, F.slice(legs, 1, 1))).otherwise(legs)
-    return out
+    """A closed ring cut to a box, edge by edge; empty where nothing is left. Arrow batches: as a column expression it would double with every edge."""
+    sides = ((0, xmin, 1), (0, xmax, -1), (1, ymin, 1), (1, ymax, -1))
+
+    def cut(ring) -> list[dict]:
+        out = [(p["x"], p["y"]) for p in ring]
+        for axis, bound, sign in sides:
+            legs, out = list(zip(out, out[1:])), []
+            for a, b in legs:
+                ins = [(p[axis] - bound) * sign >= 0 for p in (a, b)]
+                if ins[0] != ins[1]:
+                    t = (bound - a[axis]) / (b[axis] - a[axis])
+                    meet = [a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])]
+                    meet[axis] = bound
+                    out.append(tuple(meet))
+                if ins[1]:
+                    out.append(b)
+            out = out + out[:1]
+        return [{"x": float(x), "y": float(y)} for x, y in out]
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def clipped(rings: pd.Series) -> pd.Series:
+        return rings.map(lambda r: None if r is None else cut(r))
+
+    return clipped(points)
 
 
 def mercator(lon: Column, lat: Column) -> Column:

@@ -7,11 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-RING = T.ArrayType(POINT)
-
 
 @dataclass(frozen=True)
 class Area:
@@ -71,22 +66,18 @@ class Region:
     pathfinders: tuple[str, ...] = ()
 
 
-def _schema(**columns: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in columns.items()))
-
-
 _RING = "array<struct<x:double,y:double>>"
-#: Canonical tables; further columns are allowed.
+#: Canonical tables as column types; further columns are allowed.
 SCHEMAS = {
-    "occurrences": _schema(x="double", y="double", commodity="string", deposit_codes="array<string>", source="string", raw_record_id="string", year="int"),
-    "geochem": _schema(x="double", y="double", sample_id="string", source="string", sample_type="string", sample_date="timestamp"),
-    "geology_poly": _schema(poly_id="bigint", ring=_RING, lith_class="bigint", lith_group="string", source="string", age_ma="double"),
-    "fault_line": _schema(line_id="bigint", pts=_RING, source="string", fault_type="string"),
-    "drillhole": _schema(
+    "occurrences": dict(x="double", y="double", commodity="string", deposit_codes="array<string>", source="string", raw_record_id="string", year="int"),
+    "geochem": dict(x="double", y="double", sample_id="string", source="string", sample_type="string", sample_date="timestamp"),
+    "geology_poly": dict(poly_id="bigint", ring=_RING, lith_class="bigint", lith_group="string", source="string", age_ma="double"),
+    "fault_line": dict(line_id="bigint", pts=_RING, source="string", fault_type="string"),
+    "drillhole": dict(
         x="double", y="double", hole_id="string", source="string", drill_date="timestamp", total_depth_m="double", intersected="boolean",
         max_cu_pct="double", max_mo_pct="double", max_au_gpt="double", max_ag_gpt="double",
     ),
-    "hydrology_net": _schema(comid="bigint", pts=_RING, arbolate_sum="double", stream_order="int", hydroseq="bigint", slope="double", fcode="int", source="string"),
+    "hydrology_net": dict(comid="bigint", pts=_RING, arbolate_sum="double", stream_order="int", hydroseq="bigint", slope="double", fcode="int", source="string"),
 }
 
 
@@ -95,9 +86,9 @@ def validate(df: DataFrame, kind: str, types: bool = True) -> DataFrame:
     if kind not in SCHEMAS:
         raise KeyError(f"unknown table {kind!r}; known: {', '.join(sorted(SCHEMAS))}")
     have = dict(df.dtypes)
-    wrong = [f"{f.name} is missing" for f in SCHEMAS[kind] if f.name not in have]
+    wrong = [f"{name} is missing" for name in SCHEMAS[kind] if name not in have]
     if types:
-        wrong += [f"{f.name} is {have[f.name]}, not {f.dataType.simpleString()}" for f in SCHEMAS[kind] if f.name in have and have[f.name] != f.dataType.simpleString()]
+        wrong += [f"{name} is {have[name]}, not {kind_}" for name, kind_ in SCHEMAS[kind].items() if name in have and have[name] != kind_]
     if wrong:
         raise ValueError(f"{kind}: {'; '.join(wrong)}")
     return df

@@ -42,7 +42,7 @@ def drill_star(collars: DataFrame, samples: DataFrame, results: DataFrame, eleme
 
 def period_overlay(rows: DataFrame, keys: list[str], when: Column, periods: list[str], value: str, least: float) -> DataFrame:
     """Per key and period: count, count of large values and largest value, as columns; absent periods count 0."""
-    wide = rows.withColumn("_p", when).groupBy(*keys).pivot("_p", periods).agg(F.count("*").alias("n"), F.count_if(F.col(value) >= least).alias("n_hit"), F.max(value).alias("max"))
+    wide = rows.withColumn("_p", when).groupBy(*keys).pivot("_p", periods).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value) >= least).alias("n_hit"), F.max(value).alias("max"))
     return wide.select(*keys, *[x for p in periods for x in (F.coalesce(f"{p}_n", F.lit(0)).alias(f"{p}_n"), F.coalesce(f"{p}_n_hit", F.lit(0)).alias(f"{p}_n_hit"), F.col(f"{p}_max").alias(f"{p}_max"))])
 
 
