@@ -39,8 +39,8 @@ def confusion(df: DataFrame, predicted, label: str) -> DataFrame:
     c = df.agg(*[F.count_if(a & b).alias(n) for n, a, b in (("tp", predicted, y), ("fp", predicted, ~y), ("fn", ~predicted, y), ("tn", ~predicted, ~y))])
     tp, fp, fn, tn = (F.col(n).cast("double") for n in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
-    chance = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)
-    seen = (tp + tn) / n
+    chance = F.try_divide((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn), n * n)
+    seen = F.try_divide(tp + tn, n)
     return c.select(
         "tp", "fp", "fn", "tn", F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0).alias("f1"),
         F.when(chance < 1, (seen - chance) / (1 - chance)).otherwise(0.0).alias("kappa"), F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0).alias("recall"),

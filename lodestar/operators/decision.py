@@ -106,13 +106,13 @@ def capture_first(steps: DataFrame, n: int, total: Column) -> DataFrame:
 
 def effective_sample_size(particles: DataFrame) -> DataFrame:
     """``ess`` = 1 / sum of squared normalised weights (``w``)."""
-    return particles.agg((F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w"))).alias("ess"))
+    return particles.agg(F.try_divide(F.sum("w") * F.sum("w"), F.sum(F.col("w") * F.col("w"))).alias("ess"))
 
 
 def reweigh(particles: DataFrame, likelihood: Column) -> DataFrame:
     """Multiply weights by a likelihood and normalise (weights only pass through one-row aggregates)."""
     rows = particles.withColumn("w", F.col("w") * likelihood)
-    return rows.join(F.broadcast(rows.agg(F.sum("w").alias("_z"))), how="cross").withColumn("w", F.col("w") / F.col("_z")).drop("_z")
+    return rows.join(F.broadcast(rows.agg(F.sum("w").alias("_z"))), how="cross").withColumn("w", F.try_divide("w", "_z")).drop("_z")
 
 
 def resample(particles: DataFrame, key: str, u: float) -> DataFrame:

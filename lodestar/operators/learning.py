@@ -26,7 +26,7 @@ def feature_columns(df: DataFrame, exclude: tuple[str, ...] = NOT_FEATURES, pref
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """Append ``weight``: classes weigh the same in total."""
     n = df.groupBy(label).count()
-    total, classes = df.count(), n.count()
+    total, classes = df.count(), max(n.count(), 1)
     return df.join(F.broadcast(n.select(label, (F.lit(float(total)) / (classes * F.col("count"))).alias("weight"))), label)
 
 
@@ -70,6 +70,8 @@ def out_of_fold(df: DataFrame, pipelines: dict[str, Pipeline], folds: int, keep:
         for name, pipe in pipelines.items():
             scored = probability(pipe.fit(train), scored, name)
         parts.append(scored.select(*keep, "fold", *pipelines))
+    if not parts:
+        raise ValueError("no fold leaves both classes to train on")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -82,7 +82,7 @@ def capture_at(df: DataFrame, score: str, positive: str, by: list[str], percents
     top = {"ceil": F.ceil(size), "ceil1": F.greatest(F.lit(1), F.ceil(size)), "round1": F.greatest(F.lit(1), F.bround(size))}[rule].cast("long")
     out = rows.withColumn("top_n", top).groupBy("k_pct", "n", "pos_total", "top_n").agg(F.sum(F.when(F.col("rank") <= F.col("top_n"), F.col("p")).otherwise(0)).alias("hits"))
     capture = F.when(F.col("pos_total") > 0, F.col("hits") / F.col("pos_total")).otherwise(0.0)
-    return out.select("k_pct", "top_n", "hits", capture.alias("capture"), (capture * F.col("n") / F.col("top_n")).alias("lift"))
+    return out.select("k_pct", "top_n", "hits", capture.alias("capture"), F.coalesce(F.try_divide(capture * F.col("n"), F.col("top_n")), F.lit(0.0)).alias("lift"))
 
 
 def area_curve(df: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
@@ -95,7 +95,7 @@ def area_under_curve(df: DataFrame, score: str, positive: str, by: list[str]) ->
     """``auc_pa``: trapezoid from (0, 0). The step up to a row is its own label, so no lag is needed."""
     rows = ordered(df, score, by, sums={"pos": F.col(positive).cast("long")})
     strip = (2 * F.col("pos_upto") - F.col(positive).cast("long")) / 2.0
-    return rows.agg((F.sum(strip) / F.max("pos_total") / F.max("n")).alias("auc_pa")).select(F.coalesce("auc_pa", F.lit(0.0)).alias("auc_pa"))
+    return rows.agg(F.try_divide(F.try_divide(F.sum(strip), F.max("pos_total")), F.max("n")).alias("auc_pa")).select(F.coalesce("auc_pa", F.lit(0.0)).alias("auc_pa"))
 
 
 def _by_score(df: DataFrame, score: str, positive: str) -> DataFrame:
@@ -107,19 +107,19 @@ def roc_auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """``roc_auc`` and Mann-Whitney ``u`` from counts by score (ties count half)."""
     rows = ordered(_by_score(df, score, positive), "s", [], descending=False, sums={"q": F.col("q")})
     u = F.sum(F.col("p") * (F.col("q_upto") - F.col("q") / 2.0))
-    return rows.agg(u.alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq")).select((F.col("u") / (F.col("np") * F.col("nq"))).alias("roc_auc"), "u")
+    return rows.agg(u.alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq")).select(F.try_divide(F.col("u"), F.col("np") * F.col("nq")).alias("roc_auc"), "u")
 
 
 def average_precision(df: DataFrame, score: str, positive: str) -> DataFrame:
     """``avg_precision``: precision at each score, weighed by the recall it adds."""
     rows = ordered(_by_score(df, score, positive), "s", [], sums={"p": F.col("p"), "q": F.col("q")})
-    return rows.agg((F.sum(F.col("p") * F.col("p_upto") / (F.col("p_upto") + F.col("q_upto"))) / F.sum("p")).alias("avg_precision"))
+    return rows.agg(F.try_divide(F.sum(F.col("p") * F.col("p_upto") / (F.col("p_upto") + F.col("q_upto"))), F.sum("p").cast("double")).alias("avg_precision"))
 
 
 def ks_distance(df: DataFrame, score: str, positive: str) -> DataFrame:
     """``ks``: the widest gap between the two classes' distribution functions."""
     rows = ordered(_by_score(df, score, positive), "s", [], descending=False, sums={"p": F.col("p"), "q": F.col("q")})
-    return rows.agg(F.max(F.abs(F.col("p_upto") / F.col("p_total") - F.col("q_upto") / F.col("q_total"))).alias("ks"))
+    return rows.agg(F.max(F.abs(F.try_divide("p_upto", "p_total") - F.try_divide("q_upto", "q_total"))).alias("ks"))
 
 
 def decile(df: DataFrame, score: str, by: list[str], q: int = 10) -> DataFrame:

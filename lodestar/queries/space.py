@@ -111,20 +111,20 @@ def polygon_weights(spark: SparkSession, d: str) -> DataFrame:
     return spatial.polygon_weights(polygons(spark, d), grid(spark, d))
 
 
-@query(f"""WITH {CELLS_SQL}, {POLYGONS_SQL} SELECT cell_id, round(least(coalesce(min(sqrt(pow(greatest(x0 - c.x, c.x - x1, 0), 2) + pow(greatest(y0 - c.y, c.y - y1, 0), 2))), 2000), 2000), 6) AS d
+@query(f"""WITH {CELLS_SQL}, {POLYGONS_SQL} SELECT cell_id, round(least(coalesce(min(CASE WHEN poly_id IS NOT NULL THEN sqrt(pow(greatest(x0 - c.x, c.x - x1, 0), 2) + pow(greatest(y0 - c.y, c.y - y1, 0), 2)) END), 2000), 2000), 6) AS d
 FROM cells c LEFT JOIN boxes b ON c.x BETWEEN x0 - 2000 AND x1 + 2000 AND c.y BETWEEN y0 - 2000 AND y1 + 2000 GROUP BY cell_id""")
 def polygon_distance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spatial.polygon_distance(cells(spark, d).select("cell_id", "row", "col"), polygons(spark, d), grid(spark, d), 2000.0).select("cell_id", "d"))
 
 
-@query(f"""WITH {CELLS_SQL}, {POLYGONS_SQL}, d AS (SELECT cell_id, round(least(coalesce(min(sqrt(pow(greatest(x0 - c.x, c.x - x1, 0), 2) + pow(greatest(y0 - c.y, c.y - y1, 0), 2))), 2000), 2000), 6) AS d
+@query(f"""WITH {CELLS_SQL}, {POLYGONS_SQL}, d AS (SELECT cell_id, round(least(coalesce(min(CASE WHEN poly_id IS NOT NULL THEN sqrt(pow(greatest(x0 - c.x, c.x - x1, 0), 2) + pow(greatest(y0 - c.y, c.y - y1, 0), 2)) END), 2000), 2000), 6) AS d
 FROM cells c LEFT JOIN boxes b ON c.x BETWEEN x0 - 2000 AND x1 + 2000 AND c.y BETWEEN y0 - 2000 AND y1 + 2000 GROUP BY cell_id) SELECT cell_id, CASE WHEN d >= 1000 THEN d END AS d FROM d""")
 def polygon_distance_buffered(spark: SparkSession, d: str) -> DataFrame:
     """Distances that would leak a label are null."""
     return rounded(spatial.polygon_distance(cells(spark, d).select("cell_id", "row", "col"), polygons(spark, d), grid(spark, d), 2000.0, buffer=1000.0).select("cell_id", "d"))
 
 
-@query(f"""WITH {CELLS_SQL}, {POLYGONS_SQL} SELECT cell_id, round(least(coalesce(min(CASE WHEN c.x BETWEEN x0 AND x1 AND c.y BETWEEN y0 AND y1 THEN least(c.x - x0, x1 - c.x, c.y - y0, y1 - c.y)
+@query(f"""WITH {CELLS_SQL}, {POLYGONS_SQL} SELECT cell_id, round(least(coalesce(min(CASE WHEN poly_id IS NULL THEN NULL WHEN c.x BETWEEN x0 AND x1 AND c.y BETWEEN y0 AND y1 THEN least(c.x - x0, x1 - c.x, c.y - y0, y1 - c.y)
   ELSE sqrt(pow(greatest(x0 - c.x, c.x - x1, 0), 2) + pow(greatest(y0 - c.y, c.y - y1, 0), 2)) END), 2000), 2000), 6) AS d
 FROM cells c LEFT JOIN boxes b ON c.x BETWEEN x0 - 2000 AND x1 + 2000 AND c.y BETWEEN y0 - 2000 AND y1 + 2000 GROUP BY cell_id""")
 def contact_distance(spark: SparkSession, d: str) -> DataFrame:

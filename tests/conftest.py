@@ -22,16 +22,20 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def duck():
+    return duck_at(SF)
+
+
+def duck_at(sf_dir):
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
     for t in TABLES:
-        p = f"{SF}/{t}.parquet"
+        p = f"{sf_dir}/{t}.parquet"
         con.execute(f"create view {t} as select * from '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     return con
 
 
 def norm(value):
-    if value is None or value != value or str(value) in ("NaT", "<NA>"):
+    if value is None or str(value) in ("NaT", "<NA>", "nan"):
         return "null"
     return f"{value:.9g}" if isinstance(value, float) else str(value)
 
