@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,12 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Rows of an Arrow batch: texts are long, so few are enough.
+BATCH = 2000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,7 +43,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def small(table: DataFrame, limit: int = 100_000) -> DataFrame:
     """Hint a broadcast only where ``table`` (already written) has at most ``limit`` rows; beyond that it joins by shuffle."""
-    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+    return F.broadcast(table) if table.count() <= limit else table
 
 
 def most_frequent(counts: DataFrame, by: str, key: str, limit: int) -> DataFrame:
@@ -65,6 +71,27 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 22) -
         step = max(1, batch.num_rows * chars // max(size, 1))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, as Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_MEMORY: dict[str, dict] = {}
+
+
+def memory(name: str) -> dict:
+    """A dictionary that a Python worker keeps between tasks of one operator; that of the operator before it is dropped."""
+    if name not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[name] = {}
+    return _MEMORY[name]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

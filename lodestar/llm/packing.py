@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, slices
+from .common import materialize, memory, read, slices
 
 #: Production parameters: tokens in a sequence, the id that ends a document.
 SEQUENCE, END = 4096, 1
 #: Parts of texts that a worker remembers the ids of.
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -107,13 +107,11 @@ def _latin(text: str) -> bool:
     return True
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    kept = memory("packing")
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, sequence: int = SEQUENCE) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, slices
+from .common import materialize, read, release, slices
 
 #: The bounded sample: labelled documents of each class, unlabelled ones, code points of a document at most.
 PER_CLASS, UNLABELLED, LEARN_CHARS = 6000, 4000, 100_000
@@ -136,10 +136,10 @@ class Flags:
 
 
 class Logistic:
-    """Logistic regression with weights for rows and an L2 penalty, by scaled gradient ascent."""
+    """Logistic regression with weights for rows and an L2 penalty, by scaled gradient ascent; ``least``: bound of the coefficients."""
 
-    def __init__(self, columns: int, penalty: float):
-        self.w, self.b, self.penalty = np.zeros(columns), 0.0, penalty
+    def __init__(self, columns: int, penalty: float, least: float = -np.inf):
+        self.w, self.b, self.penalty, self.least = np.zeros(columns), 0.0, penalty, least
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         return x @ self.w + self.b
@@ -152,7 +152,7 @@ class Logistic:
             dw, db = error @ x - self.penalty * self.w, error.sum()
             gw, gb = 0.95 * gw + 0.05 * dw**2, 0.95 * gb + 0.05 * db**2
             rate = 0.2 / (1 + i / 30)
-            self.w = self.w + rate * dw / np.sqrt(gw)
+            self.w = np.maximum(self.w + rate * dw / np.sqrt(gw), self.least)
             self.b += rate * db / gb**0.5
         return self
 
@@ -170,7 +170,7 @@ def co_train(views: list[Flags | np.ndarray], bad: np.ndarray, weight: np.ndarra
     """Both views, their calibration and their combination. ``bad``: 1, 0, or -1 (unlabelled); ``held``: held back to calibrate on."""
     known, free = (bad >= 0) & ~held, bad < 0
     back = (bad >= 0) & held
-    models = [Logistic(x.shape[1], 1e-4) for x in views]
+    models = [Logistic(x.shape[1], 1e-4, 0.0 if isinstance(x, Flags) else -np.inf) for x in views]  # signs of bad text don't argue for good
     scales: list[Logistic] = []
     given = [{}, {}]  # what each view has been told: row -> label
     for round_ in range(ROUNDS + 1):
@@ -209,21 +209,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
             found, meta = [], []
             for t, s, g in zip(*(batch.column(c).to_pylist() for c in ("text", "source", "lang")), strict=True):
                 own, n = text_features(t)
-                found.append([place[f] for f in place.keys() & own])
-                meta.append(metadata(t, s, g, _different(own, n)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bad"), batch.column("share"), pa.array(found, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.float64()))], ["doc_id", "bad", "share", "found", "meta"])
+                found.append(np.array(sorted(place[f] for f in place.keys() & own), np.int32).tobytes())
+                meta.append(np.array(metadata(t, s, g, _different(own, n)), np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bad"), batch.column("share"), pa.array(found, pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "bad", "share", "found", "meta"])
 
-    got = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(views, "doc_id string, bad int, share double, found array<int>, meta array<double>").orderBy("doc_id").collect()
-    x = Flags([r["found"] for r in got], len(names))
+    got = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(views, "doc_id string, bad int, share double, found binary, meta binary").orderBy("doc_id").collect()
+    x = Flags([np.frombuffer(r["found"], np.int32).tolist() for r in got], len(names))
     bad = np.array([-1 if r["bad"] is None else r["bad"] for r in got])
     weight = np.array([1 / (r["share"] or 1.0) for r in got])
     held = np.array([zlib.crc32(r["doc_id"].encode()) % 10 < 3 for r in got])
     for part in (held, ~held):  # too few labels to hold some back: calibrate on what was learned from
         if set(bad[part & (bad >= 0)].tolist()) != {0, 1}:
             held = np.zeros(len(got), bool)
-    meta = np.array([r["meta"] for r in got])
+    meta = np.array([np.frombuffer(r["meta"], np.float32) for r in got])
+    del got
     model = co_train([x, meta], bad, weight, held) if held.any() else _small(x, meta, bad, weight)
     weights = {f: float(w) for f, w in zip(names, model["text"].w, strict=True) if w}
+    release()
     return model | {"weights": weights}
 
 
