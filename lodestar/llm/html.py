@@ -208,7 +208,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """Append ``text`` to ``pages`` (``url``, ``html``)."""
     rows = pages.drop("text", "_host", "_templates").withColumn("_host", host(F.col("url")))
     table = templates(pages)
-    if table.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+    if table.count() <= MAX_BROADCAST:
         sent = pages.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in table.collect()], np.int64)))
         known = None
     else:  # as many templates as fit no task: each page brings its own
