@@ -7,7 +7,8 @@ counts. Only entries that can reach the threshold are computed:
 1. columns are ordered from rare to frequent; of each row only the first ``n - ceil(3n/4) + 1``
    columns are dealt out, as two linked rows must meet there (prefix bound);
 2. rows that meet are candidates if their sizes allow it (size bound) and if enough columns are
-   left behind the meeting point (position bound);
+   left behind the meeting point (position bound), and, where components differ after the first
+   round, if they meet in enough columns (overlap bound of the dealt columns);
 3. for the candidates, partial overlap counts of column blocks are summed, and pairs below the
    size-derived bound are discarded.
 
@@ -31,6 +32,7 @@ shingles are 64-bit hashes (the chance that any two of N sets collide is N^2 / 2
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +40,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, read, slices, small
+from .common import connected_components, materialize, memory, most_frequent, read, slices, small
 
 #: Words in a shingle; the threshold as a fraction.
 WORDS, NUM, DEN = 5, 75, 100
 #: Frequent shingles sent to all tasks (8 bytes each); shingles a task counts at a time; tasks a
-#: frequent column is spread over; column blocks of a row in the product.
-FREQUENT, COUNTED, SALTS, BLOCKS = 1 << 18, 1 << 22, 16, 4
-#: Row keys that are broadcast to fetch candidates' texts; beyond it the texts are shuffled.
+#: frequent column is spread over; entries from which on a row is cut into column blocks, and blocks.
+FREQUENT, COUNTED, SALTS, LONG, BLOCKS = 1 << 17, 1 << 21, 16, 8192, 16
+#: Rows of keys or pairs that are broadcast (8 to 20 bytes each); beyond it the other side is shuffled too.
 FETCH = 1_000_000
 
 _U = np.uint64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], _U)
-_WORDS: dict[bytes, bytes] = {}
+#: Words that a worker remembers the hashes of.
+REMEMBER = 250_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -61,11 +64,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def shingles(texts: list[bytes | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text (UTF-8)."""
     words = [(t or b"").lower().split() for t in texts]  # of bytes: ASCII letters and white space only
-    if len(_WORDS) > 500_000:
-        _WORDS.clear()
-    for w in {w for x in words for w in x}.difference(_WORDS):
-        _WORDS[w] = xxhash.xxh64_digest(w)
-    h = np.frombuffer(b"".join(map(_WORDS.__getitem__, (w for x in words for w in x))), ">u8").astype(_U)
+    known = memory("shingles")
+    if len(known) > REMEMBER:
+        known.clear()
+    known.update((w, xxhash.xxh64_digest(w)) for w in set().union(*words).difference(known))
+    h = np.frombuffer(b"".join(map(known.__getitem__, chain.from_iterable(words))), "<u8")
     n = len(h) - WORDS + 1
     rolled = np.zeros(max(n, 0), _U)
     if n > 0:
@@ -131,6 +134,9 @@ def prefixes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     """``token``, ``k``, ``n``, ``pos``, ``cold``, ``hot`` for the prefix of each row; ``frequent``: frequent shingles, the rarest first."""
     by = np.argsort(frequent)
     known = frequent[by]
+    low = _U((1 << 21) - 1)
+    maybe = np.zeros(1 << 21, bool)  # by the last bits: spares most shingles the search
+    maybe[known & low] = True
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -142,10 +148,11 @@ def prefixes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                     continue
                 seen.add(k)
                 order, hot = s >> _U(1), np.zeros(n, bool)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    hot = known[at] == s
-                    order = np.where(hot, _U(1 << 63) + by[at].astype(_U), order)
+                if len(near := np.flatnonzero(maybe[s & low])):
+                    at = np.minimum(np.searchsorted(known, s[near]), len(known) - 1)
+                    same = known[at] == s[near]
+                    hot[near[same]] = True
+                    order[near[same]] = _U(1 << 63) + by[at[same]].astype(_U)
                 size = n - -(-NUM * n // DEN) + 1
                 first = np.argpartition(order, size - 1)[:size] if size < n else np.arange(n)
                 first = first[np.argsort(order[first])]
@@ -182,37 +189,63 @@ def possible(a: Column, b: Column) -> Column:
     return (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (left * (NUM + DEN) >= (na + nb) * NUM)
 
 
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _pair(a: Column, b: Column, meta_a: Column, meta_b: Column) -> list[Column]:
+    """The keys in order, and whether the rows are so long that they meet block by block."""
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (F.greatest(_n(meta_a), _n(meta_b)) > LONG).alias("wide")]
+
+
+def promising(pairs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose overlap of dealt columns leaves the threshold within reach.
+
+    All columns up to the end of the shorter prefix were dealt out by both rows, so beyond the
+    overlap there only what a row has behind its prefix can be shared. ``dealt`` (``token``, ``k``,
+    ``meta``) needs the columns that two rows or more have. A row's dealt columns are at most a
+    quarter of it.
+    """
+    n = _n(F.max("meta"))
+    rest = F.floor((n * NUM + DEN - 1) / DEN) - 1  # entries behind the prefix
+    own = materialize(dealt.groupBy("k").agg(F.collect_list("token").alias("t"), n.alias("n"), rest.alias("rest")), "dealt")
+    left, right = ([F.col(c).alias(f"{c}{s}") for c in ("t", "n", "rest")] for s in "ab")
+    met = own.select(F.col("k").alias("a"), *left).join(small(pairs, FETCH), "a").join(own.select(F.col("k").alias("b"), *right), "b")
+    most = F.size(F.array_intersect("ta", "tb")) + F.greatest("resta", "restb")
+    return met.where(most * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b", "wide")
 
 
 def linked(pairs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Those of the different ``pairs`` (``a``, ``b``: set keys) that reach the threshold: overlap counts by column block, summed."""
+    """Those of the different ``pairs`` (``a``, ``b``: set keys, ``wide``) that reach the threshold: overlap counts by column block, summed.
+
+    A row of at most ``LONG`` entries is one block. Longer ones are cut into ``BLOCKS`` by the hash
+    of the column; rows near that length are there in both forms, as the longer of a pair decides.
+    """
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            key, block, size, held = [], [], [], []
+            key, wide, block, size, held = [], [], [], [], []
             for k, s in zip(batch.column("k").to_pylist(), shingles(batch.column("text").to_pylist()), strict=True):
                 if set_key(s) != k:
                     continue
-                for i in range(BLOCKS):
+                parts = [(False, 0, s)] if len(s) <= LONG else []
+                if len(s) * DEN >= LONG * NUM:
+                    parts += [(True, i, s[s % _U(BLOCKS) == i]) for i in range(BLOCKS)]
+                for w, i, part in parts:
                     key.append(k)
+                    wide.append(w)
                     block.append(i)
                     size.append(len(s))
-                    held.append(s[s % _U(BLOCKS) == i].view(np.int64))
+                    held.append(part.view(np.int64))
             ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
             values = pa.array(np.concatenate(held)) if held else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([_long(key), pa.array(block, pa.int32()), _long(size), pa.ListArray.from_arrays(pa.array(ends), values)], ["k", "block", "n", "columns"])
+            yield pa.RecordBatch.from_arrays([_long(key), pa.array(wide, pa.bool_()), pa.array(block, pa.int32()), _long(size), pa.ListArray.from_arrays(pa.array(ends), values)], ["k", "wide", "block", "n", "columns"])
 
     nodes = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    own = members.groupBy("k").agg(F.min("rid").alias("rid")).join(nodes, "k", "left_semi")
-    own = materialize(own, "rows")
+    own = materialize(members.groupBy("k").agg(F.min("rid").alias("rid")).join(nodes, "k", "left_semi"), "rows")
     texts = rows.select("rid", "text").join(small(own, FETCH), "rid")
-    matrix = texts.select("k", "text").mapInArrow(incidence, "k long, block int, n long, columns array<long>").dropDuplicates(["k", "block"])
-    matrix = materialize(matrix, "incidence")
-    left = matrix.select(F.col("k").alias("a"), "block", F.col("n").alias("na"), F.col("columns").alias("ca"))
-    right = matrix.select(F.col("k").alias("b"), "block", F.col("n").alias("nb"), F.col("columns").alias("cb"))
-    met = pairs.join(left, "a").join(right, ["b", "block"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ca", "cb")).cast("long").alias("o"))
+    matrix = materialize(texts.select("k", "text").mapInArrow(incidence, "k long, wide boolean, block int, n long, columns array<long>"), "incidence")
+    if not matrix.groupBy("k", "wide", "block").count().where("count > 1").isEmpty():  # several rows with one id
+        matrix = matrix.dropDuplicates(["k", "wide", "block"])
+    left = matrix.select(F.col("k").alias("a"), "wide", "block", F.col("n").alias("na"), F.col("columns").alias("ca"))
+    right = matrix.select(F.col("k").alias("b"), "wide", "block", F.col("n").alias("nb"), F.col("columns").alias("cb"))
+    met = left.join(small(pairs, FETCH), ["a", "wide"]).join(right, ["b", "wide", "block"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ca", "cb")).cast("long").alias("o"))
     sums = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("o").alias("o"))
     return sums.where(F.col("o") * DEN >= (F.col("na") + F.col("nb") - F.col("o")) * NUM).select("a", "b")
 
@@ -222,8 +255,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = _rows(docs, doc_id, text)
     first = materialize(survey(rows), "survey")
     members = first.where("k is not null").select("doc_id", "rid", "n", "k")
-    top = first.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(FREQUENT)
-    frequent = np.array([r[0] for r in top.select("token").collect()][::-1], np.int64).view(_U)
+    counts = materialize(first.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")), "frequent")
+    top = most_frequent(counts, "df", "token", FREQUENT).toArrow()
+    token, df = (top.column(c).to_numpy() for c in ("token", "df"))
+    frequent = token[np.lexsort((token, df))].view(_U)
 
     alike = Window.partitionBy("token", "salt")
     meta = F.col("meta")
@@ -234,22 +269,23 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     shared = materialize(shared.select("token", "salt", "k", "meta", "lead"), "columns")
 
     # first every row and its leader, and the leaders of a salted column and their leader
-    stars = shared.where("k <> lead.k").where(possible(meta, F.col("lead.meta"))).select(*_pair(F.col("k"), F.col("lead.k")))
+    stars = shared.where("k <> lead.k").where(possible(meta, F.col("lead.meta"))).select(*_pair(F.col("k"), F.col("lead.k"), meta, F.col("lead.meta")))
     heads = shared.where("k = lead.k").where(meta.bitwiseAND(F.lit(1)) == 1).select("token", "lead")
     tops = heads.groupBy("token").agg(F.min("lead").alias("top"))
-    heads = heads.join(tops, "token").where("lead.k <> top.k").where(possible(F.col("lead.meta"), F.col("top.meta"))).select(*_pair(F.col("lead.k"), F.col("top.k")))
+    heads = heads.join(tops, "token").where("lead.k <> top.k").where(possible(F.col("lead.meta"), F.col("top.meta"))).select(*_pair(F.col("lead.k"), F.col("top.k"), F.col("lead.meta"), F.col("top.meta")))
     pairs = materialize(stars.unionAll(heads).distinct(), "pairs")
     links = materialize(linked(pairs, rows, members), "links")
 
     # then rows that meet while their components differ
-    parts = connected_components(links).withColumnRenamed("node", "k")
-    apart = shared.select("token", "k", "meta").join(parts, "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-    mixed = apart.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    apart = materialize(apart.join(mixed, "token", "left_semi").distinct(), "apart")
+    parts = materialize(connected_components(links).withColumnRenamed("node", "k"), "parts")
+    apart = shared.select("token", "k", "meta").join(small(parts, FETCH), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+    mixed = materialize(apart.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token"), "mixed")
+    apart = materialize(apart.join(small(mixed, 4 * FETCH), "token", "left_semi"), "apart")
     other = apart.select("token", F.col("k").alias("k2"), F.col("meta").alias("meta2"), F.col("c").alias("c2"))
     more = apart.join(other, (apart.token == other.token) & (F.col("c") < F.col("c2")) & possible(F.col("meta"), F.col("meta2")))
-    more = more.select(*_pair(F.col("k"), F.col("k2"))).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.unionAll(materialize(linked(materialize(more, "pairs"), rows, members), "links"))
+    more = more.select(*_pair(F.col("k"), F.col("k2"), F.col("meta"), F.col("meta2"))).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = materialize(promising(materialize(more, "pairs"), apart), "pairs")
+    links = links.unionAll(materialize(linked(more, rows, members), "links"))
 
     parts = connected_components(links).withColumnRenamed("node", "k")
     placed = members.join(parts, "k", "left").withColumn("c", F.coalesce("component", "k"))
