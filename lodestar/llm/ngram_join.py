@@ -32,7 +32,6 @@ shingles are 64-bit hashes (the chance that any two of N sets collide is N^2 / 2
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, memory, most_frequent, read, slices, small
+from .common import connected_components, materialize, most_frequent, read, slices, small
 
 #: Words in a shingle; the threshold as a fraction.
 WORDS, NUM, DEN = 5, 75, 100
@@ -52,8 +51,10 @@ FETCH = 1_000_000
 
 _U = np.uint64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], _U)
-#: Words that a worker remembers the hashes of.
-REMEMBER = 250_000
+#: Bytes of a word that are hashed side by side with other words'.
+LETTERS = 48
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -61,14 +62,33 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
+def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, one after the other, and how many each text has.
+
+    The bytes of all texts are hashed together, one numpy step per place in a word, over the words
+    that are as long; the few longer than ``LETTERS`` one by one.
+    """
+    raw = b"\n" + b"\n".join(t or b"" for t in texts).lower() + b"\n"  # of bytes: ASCII letters only
+    a = np.frombuffer(raw, np.uint8)
+    blank = _BLANK[a]
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    sizes = np.flatnonzero(~blank[:-1] & blank[1:]) + 1 - starts
+    by = np.argsort(-sizes, kind="stable")
+    first, size, h = starts[by], sizes[by], np.zeros(len(by), _U)
+    more = len(size) - np.searchsorted(size[::-1], np.arange(LETTERS), side="right")  # words with more letters than each number
+    for j, n in enumerate(more.tolist()):
+        h[:n] = h[:n] * _MIX[0] + a[first[:n] + j]
+    for i in range(int((size > LETTERS).sum())):
+        h[i] = xxhash.xxh64_intdigest(raw[first[i] : first[i] + size[i]])
+    out = np.empty_like(h)
+    out[by] = _mix(h + size.astype(_U) * _MIX[1])
+    ends = np.cumsum([1, *(len(t or b"") + 1 for t in texts)])
+    return out, np.diff(np.searchsorted(starts, ends))
+
+
 def shingles(texts: list[bytes | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text (UTF-8)."""
-    words = [(t or b"").lower().split() for t in texts]  # of bytes: ASCII letters and white space only
-    known = memory("shingles")
-    if len(known) > REMEMBER:
-        known.clear()
-    known.update((w, xxhash.xxh64_digest(w)) for w in set().union(*words).difference(known))
-    h = np.frombuffer(b"".join(map(known.__getitem__, chain.from_iterable(words))), "<u8")
+    h, counts = _words(texts)
     n = len(h) - WORDS + 1
     rolled = np.zeros(max(n, 0), _U)
     if n > 0:
@@ -76,12 +96,13 @@ def shingles(texts: list[bytes | None]) -> list[np.ndarray]:
             rolled += h[i : i + n] * _MIX[i]
         rolled = _mix(rolled)
     out, at = [], 0
-    for x in words:
-        if len(x) >= WORDS:
-            out.append(np.unique(rolled[at : at + len(x) - WORDS + 1]))
+    for x in counts.tolist():
+        if x >= WORDS:
+            s = np.sort(rolled[at : at + x - WORDS + 1])
+            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         else:
-            out.append(_mix((h[at : at + len(x)] * _MIX[: len(x)]).sum(keepdims=True, dtype=_U) + _U(len(x))) if x else np.zeros(0, _U))
-        at += len(x)
+            out.append(_mix((h[at : at + x] * _MIX[:x]).sum(keepdims=True, dtype=_U) + _U(x)) if x else np.zeros(0, _U))
+        at += x
     return out
 
 
