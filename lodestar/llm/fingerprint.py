@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import materialize, read, small
 
 
 def canonical(text: Column) -> Column:
@@ -34,10 +34,11 @@ def digest(canon: Column) -> Column:
 def resolve_buckets(docs: DataFrame, canon: str, key: str) -> DataFrame | None:
     """Byte comparison inside equal buckets: a row per (digest, canonical text) of the digests that hold different texts.
 
-    Only digests with two rows or more send their texts, and copies are combined before the
-    shuffle. Returns None where every bucket holds one text, as it practically always does.
+    Only digests with two rows or more send their texts. Those digests are broadcast where they
+    are few (a checked number), so that copies are combined in each task before the shuffle, however
+    many there are. Returns None where every bucket holds one text, as it practically always does.
     """
-    repeated = docs.groupBy(key).count().where("count > 1").select(key)
+    repeated = small(materialize(docs.groupBy(key).count().where("count > 1").select(key), "repeated"), 1_000_000)
     apart = docs.join(repeated, key, "left_semi").groupBy(key).agg(F.min(canon).alias("lo"), F.max(canon).alias("hi")).where("lo <> hi")
     if apart.isEmpty():
         return None
