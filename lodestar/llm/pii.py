@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import read, slices
 
 KINDS = ("email", "ip", "card", "phone", "iban")
+#: So many of them, the first, are base kinds.
+BASE = 4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,6 +36,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _DIGIT = re.compile(r"[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
+_WORD = re.compile(r"[^\W_]+")
 
 #: Length of an IBAN by country.
 IBAN_LENGTH = {
@@ -43,7 +46,8 @@ IBAN_LENGTH = {
     "SM": 27, "TR": 26,
 }
 
-#: Score of a confirmed span, and words within ``NEAR`` code points before it that move the score by ``STEP``.
+#: Score of a confirmed span, and words within ``NEAR`` code points before it that move the score by ``STEP``:
+#: those of ``CONTEXT`` also as part of a word (*Kreditkarte*), those of ``AGAINST`` only as a whole one (not *border*).
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
 NEAR, STEP = 40, 0.2
 CONTEXT = {
@@ -104,7 +108,14 @@ def scan(text: str | None) -> list[tuple[int, int, int, float]]:
     out = []
     for start, kind, end in found:
         near, name = text[max(0, start - NEAR) : start].lower(), KINDS[kind]
-        score = SCORE[name] + STEP * any(w in near for w in CONTEXT[name]) - STEP * any(w in near for w in AGAINST[name])
+        against = any(w in near for w in AGAINST[name])
+        if against:
+            # a word that the window cuts is read whole
+            first = max(0, start - NEAR)
+            while first and first > start - 2 * NEAR and text[first - 1].isalnum():
+                first -= 1
+            against = not set(AGAINST[name]).isdisjoint(_WORD.findall(text[first:start].lower()))
+        score = SCORE[name] + STEP * any(w in near for w in CONTEXT[name]) - STEP * against
         out.append((start, kind, end, round(min(score, 1.0), 3)))
     return out
 
@@ -123,14 +134,14 @@ def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """Replace every span that scores ``least`` or more by ``<KIND>``; overlapping spans by the first one's mark. Other texts stay as they are."""
+    """Replace every span of a base kind, whatever its score, and those of added kinds that score ``least`` or more by ``<KIND>``; overlapping spans by the first one's mark. Other texts stay as they are."""
 
     def masked(t):
         if t is None:
             return None
         parts, done = [], 0
         for start, kind, end, score in scan(t):
-            if score >= least:
+            if kind < BASE or score >= least:
                 if start >= done:
                     parts += [t[done:start], f"<{KINDS[kind].upper()}>"]
                 done = max(done, end)

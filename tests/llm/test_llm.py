@@ -204,6 +204,18 @@ def test_redact(spark):
     assert out == {0: None, 1: "", 2: "write to <EMAIL> now", 3: "clean text 12"}
 
 
+def test_words_against_do_not_keep_base_spans(spark):
+    texts = ["at the border office: +49 30 1234567", "in order to reach us dial +1 555 123 4567", "after conversion 10.0.0.1", "press release 10.0.0.1", "order serial isbn 4539 1488 0343 6467", "example a@b.co"]
+    out = {r.doc_id: r.text for r in pii.redact(docs(spark, texts)).collect()}
+    assert list(map(out.get, range(6))) == ["at the border office: <PHONE>", "in order to reach us dial <PHONE>", "after conversion <IP>", "press release <IP>", "order serial isbn <CARD>", "example <EMAIL>"]
+
+
+def test_words_against_are_whole_words():
+    score = lambda t: pii.scan(t)[0][3]
+    assert score("at the border office: +49 30 1234567") == score("dial +49 30 1234567") == score("b" + "order" + " " * 36 + "+49 30 1234567") == 0.6
+    assert score("order: +49 30 1234567") == score("release 10.0.0.1") == 0.4 and score("after conversion 10.0.0.1") == 0.6
+
+
 def test_pii_query(spark):
     for r in QUERIES["op3_pii"](spark, SF).join(read(spark, SF, "documents").select("doc_id", "text"), "doc_id").collect():
         spans = brute_spans(r.text)
