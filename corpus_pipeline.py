@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import mixing, ngram_join, packing, pii, quality
-from lodestar.llm.common import materialize, read, small
+from lodestar.llm.common import materialize, read
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    copies = materialize(mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies").distinct(), "copies")
-    taken = docs.join(small(copies, 1_000_000), F.col("doc_id").eqNullSafe(F.col("_id"))).where("rlike(text, '[^\\\\x20\\\\x09-\\\\x0D]')")
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    return mixing.repeat(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

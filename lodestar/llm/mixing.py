@@ -100,19 +100,31 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "whole", F.when(F.col("need") > 0, full).otherwise(F.col("base")).alias("cut"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target``, ``taken``, ``copies`` for each row of ``docs``.
+def goals_of(docs: DataFrame, doc_id: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """``sizes`` (a row per row of ``docs``) and the goals, a row per source.
 
-    The goals have a row per source; they are broadcast where their number is small (checked),
-    else joined by a shuffle.
+    The goals are broadcast where their number is small (checked), else joined by a shuffle.
     """
     sizes = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), mix_key(F.col(doc_id)).alias("key")), "mix-sizes")
-    goals = small(thresholds(sizes, targets(sizes)).withColumnRenamed("source", "s"))
+    return sizes, small(thresholds(sizes, targets(sizes)).withColumnRenamed("source", "s"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``doc_id``, ``size``, ``source_size``, ``target``, ``taken``, ``copies`` for each row of ``docs``."""
+    sizes, goals = goals_of(docs, doc_id, text, source)
     rows = sizes.join(goals, F.col("s").eqNullSafe(F.col("source")))
     copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("key") < F.col("cut")).cast("long")).otherwise(F.lit(0).cast("long"))
     return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
+def repeat(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Every row of ``docs`` as often as ``mix`` takes it. Each row meets the goals of its own source, so ids may be null or repeated."""
+    goals = goals_of(docs, doc_id, text, source)[1].select(F.col("s").alias("_s"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
+    rows = docs.where(F.col(text).rlike(f"[^{SPACE}]")).join(goals, F.col("_s").eqNullSafe(F.col(source)))
+    copies = F.col("_whole") + (mix_key(F.col(doc_id)) < F.col("_cut")).cast("long")
+    return rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at 3 : 1 : 2, 150 % of all words, two passes at most."""
     return mix(read(spark, sf_dir, "documents")).drop("copies")

@@ -24,9 +24,11 @@ of columns alone; any order gives the same links.
 
 Defined cases: a null, empty or blank text has size 0 and is linked with nothing; a text of one
 to four words is one shingle; repeated rows and equal texts are linked; rows that share a
-``doc_id`` are one document; a null ``doc_id`` takes part and never becomes a ``component_id``
-unless all ids of its component are null; an empty table gives an empty result. Set keys and
-shingles are 64-bit hashes (the chance that any two of N sets collide is N^2 / 2^65).
+``doc_id`` but are no near copies are different documents; a null ``doc_id`` takes part and never
+becomes a ``component_id`` unless all ids of its component are null; an empty table gives an empty
+result. ``keep_one`` tells rows apart by id, text and source; rows that agree in all three are
+one, blank ones too. Set keys, row keys and shingles are 64-bit hashes (the chance that any two of
+N sets collide is N^2 / 2^65).
 """
 
 from __future__ import annotations
@@ -115,20 +117,26 @@ def _long(values) -> pa.Array:
     return pa.array(np.asarray(values, np.int64))
 
 
+def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Column:
+    """One 64-bit number for the id, text and source (if there is one) of a row; nulls differ from all values."""
+    own = [F.col(c) for c in (doc_id, text, source) if c in docs.columns]
+    return F.xxhash64(*own, *(c.isNull() for c in own))
+
+
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id``, ``rid`` (the id, or a hash of the text where that is null), ``text`` as bytes."""
+    """``doc_id``, ``rid`` (the id, or a hash of the text where that is null), ``row``, ``text`` as bytes."""
     id_ = F.col(doc_id).cast("long")
-    return docs.select(id_.alias("doc_id"), F.coalesce(id_, F.xxhash64(text)).alias("rid"), F.col(text).cast("binary").alias("text"))
+    return docs.select(id_.alias("doc_id"), F.coalesce(id_, F.xxhash64(text)).alias("rid"), row_key(docs, doc_id, text).alias("row"), F.col(text).cast("binary").alias("text"))
 
 
 def survey(rows: DataFrame) -> DataFrame:
-    """One row per document (``doc_id``, ``rid``, ``n``, ``k``), and rows ``token``, ``df`` of shingles that a task met in several sets."""
+    """One row per document (``doc_id``, ``rid``, ``row``, ``n``, ``k``), and rows ``token``, ``df`` of shingles that a task met in several sets."""
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         token, df = np.unique(np.concatenate(sets), return_counts=True)
         token, df = token[df > 1], df[df > 1]
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), _long(df)], ["doc_id", "rid", "n", "k", "token", "df"])
+        return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(token.view(np.int64)), _long(df)], ["doc_id", "rid", "row", "n", "k", "token", "df"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -136,7 +144,7 @@ def survey(rows: DataFrame) -> DataFrame:
             sets = shingles(batch.column("text").to_pylist())
             keys = [set_key(s) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), _long([len(s) for s in sets]), _long(keys), none, none], ["doc_id", "rid", "n", "k", "token", "df"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "rid", "row")), _long([len(s) for s in sets]), _long(keys), none, none], ["doc_id", "rid", "row", "n", "k", "token", "df"])
             for k, s in zip(keys, sets, strict=True):
                 if k not in seen and len(s):
                     seen.add(k)
@@ -148,7 +156,7 @@ def survey(rows: DataFrame) -> DataFrame:
         if held:
             yield counted(held)
 
-    return rows.mapInArrow(look, "doc_id long, rid long, n long, k long, token long, df long")
+    return rows.mapInArrow(look, "doc_id long, rid long, row long, n long, k long, token long, df long")
 
 
 def prefixes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -271,11 +279,11 @@ def linked(pairs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
     return sums.where(F.col("o") * DEN >= (F.col("na") + F.col("nb") - F.col("o")) * NUM).select("a", "b")
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` for each row of ``docs``."""
+def placed_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id``, ``row`` (``row_key``), ``n`` and ``c`` (the component, where ``n`` is above 0) for each row of ``docs``."""
     rows = _rows(docs, doc_id, text)
     first = materialize(survey(rows), "survey")
-    members = first.where("k is not null").select("doc_id", "rid", "n", "k")
+    members = first.where("k is not null").select("doc_id", "rid", "row", "n", "k")
     counts = materialize(first.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")), "frequent")
     top = most_frequent(counts, "df", "token", FREQUENT).toArrow()
     token, df = (top.column(c).to_numpy() for c in ("token", "df"))
@@ -310,18 +318,28 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     parts = connected_components(links).withColumnRenamed("node", "k")
     placed = members.join(parts, "k", "left").withColumn("c", F.coalesce("component", "k"))
-    placed = materialize(placed.select("doc_id", "n", "c"), "members")
+    return materialize(placed.select("doc_id", "row", "n", "c"), "members")
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` for each row of ``docs``."""
+    placed = placed_rows(docs, doc_id, text)
     lowest = placed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("low"))
     whole = placed.join(lowest, "c", "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id."""
-    kept = materialize(components(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")), "kept")
-    out = docs.join(small(kept.distinct(), FETCH), F.col(doc_id).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = kept.groupBy("_kept").count().where("count > 1 and _kept is not null").limit(1).count()
-    return out.dropDuplicates([doc_id]) if repeated else out
+    """``docs`` with one row of each component: the one with the smallest id (null is largest). Rows without shingles are linked with nothing."""
+    placed = placed_rows(docs, doc_id, text).groupBy("c", "n", "doc_id", "row").agg(F.count("*").alias("copies"))
+    first = placed.where("n > 0").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "copies")).alias("x"))
+    kept = materialize(first.select("x.row", "x.copies").unionAll(placed.where("n = 0").select("row", "copies")), "kept")
+    rows = docs.withColumn("_row", row_key(docs, doc_id, text))
+    take = lambda which: rows.join(small(kept.where(which).select(F.col("row").alias("_row")), FETCH), "_row", "left_semi").select("_row", *docs.columns)
+    out = take("copies = 1")
+    if not kept.where("copies > 1").isEmpty():  # only these have rows to drop
+        out = out.unionAll(take("copies > 1").dropDuplicates(["_row"]))
+    return out.drop("_row")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -481,6 +481,33 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in ngram_join.keep_one(df).collect()) == [0, 2, 3, 4]
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    far = [" ".join(f"{w}{i}" for i in range(12)) for w in "abcdef"]
+    near = [f"{t} more" for t in far]
+    rows = [(None, far[0], "s0"), (None, far[1], "s0"), (None, near[1], "s1"), (None, "", "s0"), (1, far[2], "s0"), (1, far[2], "s0"), (2, far[3], "s0"), (2, far[4], "s1"), (3, near[2], "s0"), (1, near[4], "s0"), (None, far[5], "s0"), (7, near[5], "s0")]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], DOCS)
+    got = collections.Counter((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect())
+    one = [k for k in got if k in ((None, far[1]), (None, near[1]))]
+    assert len(one) == 1
+    assert got == collections.Counter([(None, far[0]), *one, (None, ""), (1, far[2]), (2, far[3]), (1, near[4]), (7, near[5])])
+
+
+def test_mixed_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    words = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(None if i % 4 == 0 else i % 50, words(3 + i % 7, f"t{i}x"), "en", f"s{i % 4}" if i % 9 else None, 1) for i in range(240)] + [(None, " ", "en", "s1", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    size = lambda t: len(t.split())
+    taken, given = collections.Counter(), collections.Counter()
+    seen = collections.Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.mixed_documents(spark, df, SF).collect())
+    for r in rows:
+        given[r[3]] += size(r[1])
+        taken[r[3]] += size(r[1]) * seen[r[0], r[1], r[3]]
+    assert max(seen.values()) <= mixing.PASSES and sum(seen.values()) == sum(r.copies for r in mixing.mix(df).collect())
+    assert all(taken[s] <= 2 * given[s] for s in given)
+
+
 def test_no_documents(spark):
     assert ngram_join.components(spark.createDataFrame([], DOCS)).count() == 0
 
