@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import ordered
@@ -49,25 +51,161 @@ def guard_lode(seeds: DataFrame) -> None:
         raise ValueError("placer seeds would leak labels")
 
 
-def dual_decay(cells: DataFrame, samples: DataFrame, near: float = 5.0, far: float = 25.0, alpha: float = 0.3, sign: int = 1) -> DataFrame:
+#: Rows of a range of ``dual_decay``, and ranges at most (the table of ranges and bins has four times their square in rows).
+RANGE_ROWS, RANGES = 20_000, 256
+#: Up to so many pairs of reach and sample are simply joined.
+PAIRS = 4_000_000
+
+
+def dual_decay(cells: DataFrame, samples: DataFrame, near: float = 5.0, far: float = 25.0, alpha: float = 0.3, sign: int = 1, ranges: int | None = None) -> DataFrame:
     """``comid``, ``n_samples``, ``catchment``: the mean of the samples at or above each reach, weighed by a near and a far decay of running length.
 
-    Both sides are first reduced to reaches (samples with one reach and value count together), so
-    the inequality join is of reaches, not of cells and samples. ``sign``: 1 if the running length
-    shrinks downstream, -1 if it grows. Distances below 0 count as 0.
+    Both sides are first reduced to reaches (samples with one reach and value count together) and
+    dealt to ranges of ``hydroseq`` and bins of running length. A table of sums for each range and
+    bin, decayed to the bin's edge, tells what other bins of ranges above give; what the own range
+    and the own bin give is summed exactly in a task each, by halves in order of ``hydroseq``. Pairs are
+    formed only where ``PAIRS`` bounds them. ``sign``: 1 if the running length shrinks downstream, -1 if it grows.
+    Distances below 0, and those to or from a null running length, count as 0.
     """
-    at = samples.groupBy("hydroseq", "arbolate").agg(F.count("value").alias("n"), F.sum("value").alias("v")).select(F.col("hydroseq").alias("s_seq"), F.col("arbolate").alias("s_len"), "n", "v")
-    reach = cells.select("comid", "hydroseq", "arbolate").distinct()
-    # no sample is above the lowest reach that passes: prune before the join
-    least = reach.agg(F.min("hydroseq").alias("least"))
-    at = at.join(F.broadcast(least), F.col("s_seq") >= F.col("least")).drop("least")
-    pairs = reach.join(at, F.col("s_seq") >= F.col("hydroseq"))
+    keys = ["comid", "p", "len", "m", "n", "v"]
+    at = samples.where("hydroseq is not null").groupBy("hydroseq", "arbolate").agg(F.count("value").cast("double").alias("n"), F.coalesce(F.sum(F.col("value").cast("double")), F.lit(0.0)).alias("v")).withColumn("m", F.lit(1.0))
+    reach = cells.select("comid", "hydroseq", "arbolate").where("hydroseq is not null").distinct()
+    if ranges is None and reach.count() * at.count() <= PAIRS:
+        return _paired(reach, at, near, far, alpha, sign)
+    comid = dict(reach.dtypes)["comid"]
+    both = at.select(F.lit(None).cast(comid).alias("comid"), "hydroseq", "arbolate", "m", "n", "v").unionByName(reach.select("*", *(F.lit(0.0).alias(c) for c in "mnv")))
+    both = both.withColumn("len", sign * F.col("arbolate").cast("double"))
+    rows, lo, hi = both.agg(F.count("*"), F.min("len"), F.max("len")).first()
+    both = both.withColumn("len", F.coalesce("len", F.when(F.col("m") > 0, F.lit(lo or 0.0)).otherwise(F.lit(hi or 0.0))))
+    k = ranges or min(RANGES, rows // RANGE_ROWS + 1)
+
+    def bounds(column: str) -> list:
+        if k < 2 or not rows:
+            return []
+        return sorted(set(both.agg(F.percentile_approx(column, [i / k for i in range(1, k)], 50 * k)).first()[0]))
+
+    def dealt(column: str, edges: list) -> Column:
+        """Even: between two edges; odd: an edge itself, so that no value, however frequent, fills a range that has to be ordered."""
+        if not edges:
+            return F.lit(0)
+        e = F.array(*map(F.lit, edges))
+        return 2 * F.size(F.filter(e, lambda x: x < F.col(column))) + F.array_contains(e, F.col(column)).cast("int")
+
+    edges = bounds("len")
+    placed = both.withColumns({"r": dealt("hydroseq", bounds("hydroseq")), "b": dealt("len", edges)})
+    lows = [0.0, *(x for e in edges for x in (e, e))]  # of bin b; also the upper edge of bin b - 1
+
+    def shrunk(d: Column, tau: float) -> Column:
+        return F.exp(-d / tau) if tau > 0 else F.lit(0.0)
+
+    low = F.element_at(F.array(*map(F.lit, lows)), F.col("b") + 1)
+    flat = (1.0 if near > 0 else 0.0) + (alpha if far > 0 else 0.0)
+    parts = [F.sum("m"), F.sum("n"), *(F.sum(flat * F.col(c)) for c in "nv")] + [F.sum(F.when(F.col("b") > 0, shrunk(F.col("len") - low, tau) * F.col(c)).otherwise(0.0)) for tau in (near, far) for c in "nv"]
+    got = placed.where("m > 0").groupBy("r", "b").agg(*(s.alias(f"s{i}") for i, s in enumerate(parts))).collect()  # (2 * RANGES) ** 2 rows at most
+    table = _above(got, lows, near, far)
+    spark = cells.sparkSession
+    names = ["all_m", "all_n", "flat_n", "flat_v", "near_n", "near_v", "far_n", "far_v"]
+    table = spark.createDataFrame(table, "r int, b int, " + ", ".join(f"{c} double" for c in names))
+    up = F.element_at(F.array(*map(F.lit, [*lows[1:], 0.0])), F.col("b") + 1)
+    gap = F.when(F.col("b") < len(lows) - 1, up - F.col("len")).otherwise(0.0)
+    fn, ff = shrunk(gap, near), alpha * shrunk(gap, far)
+    mass = lambda c: F.col(f"flat_{c}") + fn * F.col(f"near_{c}") + ff * F.col(f"far_{c}")
+    others = placed.where("m = 0").join(F.broadcast(table), ["r", "b"]).select("comid", F.col("all_m").alias("m"), F.col("all_n").alias("n"), mass("n").alias("w"), mass("v").alias("wv"))
+
+    def exact(group: pa.Table) -> pa.Table:
+        return _own(group, near, far, alpha)
+
+    kind = f"comid {comid}, m double, n double, w double, wv double"
+    # within a range by hydroseq; within a bin by the ranges above (of a range that is one value: also that)
+    ahead = F.when(F.col("m") > 0, F.col("r")).otherwise(F.col("r") + 1 - F.col("r") % 2)
+    own_range = placed.where("r % 2 = 0").withColumn("p", F.col("hydroseq")).select("r", *keys).groupBy("r").applyInArrow(exact, kind)
+    own_bin = placed.where("b % 2 = 0").withColumn("p", ahead).select("b", *keys).groupBy("b").applyInArrow(exact, kind)
+    sums = others.unionByName(own_range).unionByName(own_bin).groupBy("comid").agg(*(F.sum(c).alias(c) for c in ("m", "n", "w", "wv"))).where("m > 0")
+    return sums.select("comid", F.col("n").cast("long").alias("n_samples"), F.when(F.col("w") > 0, F.col("wv") / F.col("w")).alias("catchment"))
+
+
+def _paired(reach: DataFrame, at: DataFrame, near: float, far: float, alpha: float, sign: int) -> DataFrame:
+    pairs = reach.join(at.select(F.col("hydroseq").alias("s_seq"), F.col("arbolate").alias("s_len"), "n", "v"), F.col("s_seq") >= F.col("hydroseq"))
     d = F.greatest(sign * (F.col("s_len") - F.col("arbolate")), F.lit(0.0))
     w = (F.exp(-d / near) if near > 0 else F.lit(0.0)) + (alpha * F.exp(-d / far) if far > 0 else F.lit(0.0))
-    sums = pairs.groupBy("comid").agg(F.sum("n").alias("n_samples"), F.sum(w * F.col("v")).alias("wv"), F.sum(w * F.col("n")).alias("w"))
+    sums = pairs.groupBy("comid").agg(F.sum("n").cast("long").alias("n_samples"), F.sum(w * F.col("v")).alias("wv"), F.sum(w * F.col("n")).alias("w"))
     return sums.select("comid", "n_samples", F.when(F.col("w") > 0, F.col("wv") / F.col("w")).alias("catchment"))
 
 
+def _above(got: list, lows: list[float], near: float, far: float) -> list[tuple]:
+    """For each range and bin, what samples of the ranges above give: sums of lower bins and, decayed to the bin's upper edge, of higher ones. The own bin counts where it is one value, the own range likewise."""
+    if not got:
+        return []
+    bins, last = len(lows), max(x["r"] for x in got) + 1  # ranges above the last sample get nothing
+    s = np.zeros((last + 1, bins, 8))
+    for x in got:
+        s[x["r"], x["b"]] = x[2:]
+    s = s[::-1].cumsum(0)[::-1]  # at or above each range
+    out = []
+    for r in range(last):
+        t = s[r if r % 2 else r + 1]
+        run = t[:, :4].cumsum(0)
+        total = run[-1]
+        high = np.zeros((bins, 4))
+        for b in range(bins - 2, -1, -1):
+            step = lows[b + 2] - lows[b + 1] if b + 2 < bins else np.inf
+            keep = np.repeat([np.exp(-step / x) if x > 0 else 0.0 for x in (near, far)], 2)
+            high[b] = t[b + 1, 4:] + keep * high[b + 1]
+        for b in range(bins):
+            below = run[b] if b % 2 else run[b - 1] if b else np.zeros(4)
+            own = np.zeros(4) if b % 2 else t[b, :4]
+            if total[0] > own[0]:
+                out.append((r, b, *map(float, (total[0] - own[0], total[1] - own[1], below[2], below[3], *high[b]))))
+    return out
+
+
+def _own(group: pa.Table, near: float, far: float, alpha: float) -> pa.Table:
+    """Sums over the samples of a group whose ``p`` is at or above each reach's, in about n log(n)**2 steps.
+
+    In order of ``p``, every sample above a reach is in the left half of just one block of 2, 4, 8,
+    ... rows that has the reach in its right half; each such block is ordered by length.
+    """
+    p, length, m, n, v = (group.column(c).to_numpy(zero_copy_only=False) for c in ("p", "len", "m", "n", "v"))
+    given = m > 0
+    order = np.lexsort((~given, -p))  # of equal p the samples come first
+    flat = (near > 0) + alpha * (far > 0)
+    given, length, x = given[order], length[order], np.stack([m, n, flat * n, flat * v, n, v], 1)[order]
+    place = np.arange(len(order))
+    got = np.zeros((len(order), 4))
+    size = 1
+    while size < len(order):
+        right = (place // size) % 2 == 1
+        at = np.flatnonzero(given ^ right)  # samples of left halves, reaches of right ones
+        block = place[at] // (2 * size)
+        by = np.lexsort((~given[at], length[at], block))  # of equal lengths the samples come first
+        at, block = at[by], block[by]
+        values, here = np.where(given[at, None], x[at], 0.0), length[at]
+        start = np.searchsorted(block, block)
+        low = values[:, :4].cumsum(0)
+        low -= np.concatenate([np.zeros((1, 4)), low])[start]
+        total = low[np.searchsorted(block, block, "right") - 1]
+        w = low[:, 2:]
+        for share, tau in ((1.0, near), (alpha, far)):
+            if tau > 0:
+                w = w + share * _decayed(values[:, 4:], here, block, tau, 2 * size)
+        reach = ~given[at]
+        got[at[reach]] += np.concatenate([total[reach, :2], w[reach]], 1)
+        size *= 2
+    rows = np.flatnonzero(~given & (got[:, 0] > 0))
+    comid = group.column("comid").take(pa.array(order[rows]))
+    return pa.table({"comid": comid, **{c: got[rows, i] for i, c in enumerate(("m", "n", "w", "wv"))}})
+
+
+def _decayed(x: np.ndarray, at: np.ndarray, block: np.ndarray, tau: float, most: int) -> np.ndarray:
+    """For each row of ``x``, the sum of it and the later ones of its block (of ``most`` rows at most), decayed by how far ahead they are. All factors are at most 1."""
+    y, step = x.copy(), 1
+    while step < min(most, len(x)):
+        f = np.where(block[step:] == block[:-step], np.exp(-np.maximum(at[step:] - at[:-step], 0) / tau), 0.0)
+        y[:-step] += f[:, None] * y[step:]
+        step *= 2
+    return y
+
+
 def clean_attributes(vaa: DataFrame) -> DataFrame:
     """Sentinels of a network attribute table: slope at or below -9000 is null, missing order keys are 0."""
     return vaa.withColumns({"slope": F.when(F.col("slope") > -9000, F.col("slope")), "hydroseq": F.coalesce("hydroseq", F.lit(0)), "stream_order": F.coalesce("stream_order", F.lit(0))})

@@ -93,6 +93,31 @@ def test_dual_decay_signs(spark):
     assert network.dual_decay(cells, samples, sign=-1).first().catchment == pytest.approx(3.0)
 
 
+def test_dual_decay_without_pairs(spark):
+    """Against brute force, with ties, nulls, a frequent length and a frequent place, for one range and many; and no join by inequality."""
+    import random
+
+    draw = random.Random(5)
+    length = lambda: draw.choice([None, 7.0, 7.0, round(draw.uniform(0, 400), 1), draw.uniform(0, 20)])
+    cells = [(i, draw.choice([50, draw.randrange(100)]), length()) for i in range(150)] + [(900, None, 1.0)]
+    samples = [(draw.choice([50, None, draw.randrange(95)]), length(), draw.choice([None, draw.uniform(0, 9)])) for _ in range(200)]
+    c, s = spark.createDataFrame(cells, "comid long, hydroseq long, arbolate double"), spark.createDataFrame(samples, "hydroseq long, arbolate double, value double")
+    for sign, near, far, ranges in ((1, 5.0, 0.0, 1), (1, 0.0, 25.0, 3), (-1, 5.0, 25.0, 7), (1, 5.0, 25.0, 7)):
+        want = {}
+        for i, h, x in cells:
+            above = [(y, v) for q, y, v in samples if h is not None and q is not None and q >= h]
+            w = [((math.exp(-d / near) if near else 0) + (0.3 * math.exp(-d / far) if far else 0), v) for y, v in above if v is not None for d in [0 if x is None or y is None else max(sign * (y - x), 0)]]
+            if above:
+                want[i] = (len(w), sum(a * v for a, v in w) / sum(a for a, _ in w) if sum(a for a, _ in w) > 0 else None)
+        out = network.dual_decay(c, s, near=near, far=far, sign=sign, ranges=ranges)
+        got = {r.comid: (r.n_samples, r.catchment) for r in out.collect()}
+        assert got.keys() == want.keys() and len(want) > 100
+        for i, (n, v) in want.items():
+            assert got[i][0] == n and (v is None) == (got[i][1] is None) and got[i][1] == (v if v is None else pytest.approx(v, rel=1e-9))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_geometry(spark):
     df = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0), (0.0, 0.0)],)], "r array<struct<x:double,y:double>>")
     c = df.select(geometry.centroid(F.col("r")).alias("c"), geometry.contains(F.col("r"), F.lit(1.0), F.lit(1.0)).alias("a"), geometry.contains(F.col("r"), F.lit(5.0), F.lit(1.0)).alias("b"), geometry.line_distance(F.lit(1.0), F.lit(3.0), F.col("r")).alias("d")).first()
