@@ -5,13 +5,13 @@ regression over words and word beginnings that are typical of bad documents (chi
 over the labelled sample, counted in Spark); words typical of good ones are left out, as a long
 text has many of them whatever else it says. The metadata view is a logistic regression over what is known without
 reading words: source, language, length, layout and shares of kinds of characters. Over some
-rounds each view labels the unlabelled documents it is sure about (and the other doesn't deny)
-for the other one to learn from. Each view is then calibrated on labelled documents that were held back, a logistic
+rounds each view scores all unlabelled documents and labels those it is sure about (and the other
+doesn't deny) for the other one to learn from. Each view is then calibrated on labelled documents that were held back, a logistic
 regression over both calibrated views and the worse of them combines them, and all documents are
 scored.
 
-Only fitting uses a sample, bounded by parameters: the labelled documents (by the hash of their
-id) of each class and unlabelled ones. Scoring is one pass over all whole texts; the model is a
+Only fitting uses a sample, bounded by parameters: labelled documents of each class and
+pseudo-labelled ones of each view and label, by hash; each weighs as many as it stands for. Scoring is one pass over all whole texts; the model is a
 few thousand weights.
 
 Defined cases: a null text counts as empty, a null source or language as a value of its own;
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read, release, slices
 
-#: The bounded sample: labelled documents of each class, unlabelled ones, code points of a document at most.
+#: The bounded sample: labelled documents of each class, pseudo-labelled ones of each view and label (about), code points of a labelled document at most.
 PER_CLASS, UNLABELLED, LEARN_CHARS = 6000, 4000, 100_000
 #: Words and beginnings kept; least chi-square, documents and odds against the other class of one; letters of a beginning.
 FEATURES, LEAST_CHI2, LEAST_DOCS, LEAST_ODDS, BEGINNINGS = 5000, 11.0, 4, 3.0, (4, 5, 7)
-#: Rounds of co-training; how sure a pseudo-label must be.
-ROUNDS, SURE = 3, 0.97
+#: Rounds of co-training; how sure a pseudo-label must be, and what it weighs against a label.
+ROUNDS, SURE, TRUST = 3, 0.97, 0.5
 #: Documents with at least this probability of being good are kept.
 KEEP = 0.5
 #: Buckets for sources and languages.
@@ -80,16 +80,19 @@ def metadata(text: str | None, source: str | None, lang: str | None, different:
     return [*out, *hot.tolist()]
 
 
+def _told(labels: DataFrame) -> DataFrame:
+    return labels.where("quality is not null or toxic is not null")
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id``, ``text``, ``source``, ``lang``, ``bad`` (null: unlabelled), ``share`` (the part of its class that is in the sample)."""
-    told = labels.where("quality is not null or toxic is not null").groupBy("doc_id").agg(F.max(F.expr("cast(coalesce(quality, 1) = 0 or coalesce(toxic, 0) = 1 as int)")).alias("bad"))
+    """``doc_id``, ``text``, ``source``, ``lang``, ``bad``, ``share`` (the part of its class that is in the sample)."""
+    told = _told(labels).groupBy("doc_id").agg(F.max(F.expr("cast(coalesce(quality, 1) = 0 or coalesce(toxic, 0) = 1 as int)")).alias("bad"))
     fit_ = docs.where(F.char_length(F.coalesce("text", F.lit(""))) <= LEARN_CHARS).select("doc_id")
     known = materialize(fit_.join(told, "doc_id").distinct(), "labelled")
     counts = {r[0]: r[1] for r in known.groupBy("bad").count().collect()}
     hashed = F.xxhash64("doc_id")
     chosen = [known.where(F.col("bad") == b).orderBy(hashed, "doc_id").limit(PER_CLASS) for b in (0, 1)]
-    free = fit_.join(told, "doc_id", "left_anti").distinct().orderBy(hashed, "doc_id").limit(UNLABELLED).withColumn("bad", F.lit(None).cast("int"))
-    ids = materialize(chosen[0].unionAll(chosen[1]).unionAll(free), "chosen")  # at most 2 * PER_CLASS + UNLABELLED rows
+    ids = materialize(chosen[0].unionAll(chosen[1]), "chosen")  # at most 2 * PER_CLASS rows
     share = F.when(F.col("bad") == 1, min(1.0, PER_CLASS / max(counts.get(1, 0), 1))).when(F.col("bad") == 0, min(1.0, PER_CLASS / max(counts.get(0, 0), 1)))
     return materialize(docs.select("doc_id", "text", "source", "lang").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("share", share), "sample")
 
@@ -128,6 +131,9 @@ class Flags:
     def __getitem__(self, at: np.ndarray) -> Flags:
         return Flags([self.rows[i] for i in (np.flatnonzero(at) if at.dtype == bool else at).tolist()], self.shape[1])
 
+    def __add__(self, other: Flags) -> Flags:
+        return Flags(self.rows + other.rows, self.shape[1])
+
     def __matmul__(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.column], self.shape[0])
 
@@ -166,42 +172,70 @@ def _sure(odds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def co_train(views: list[Flags | np.ndarray], bad: np.ndarray, weight: np.ndarray, held: np.ndarray) -> dict:
-    """Both views, their calibration and their combination. ``bad``: 1, 0, or -1 (unlabelled); ``held``: held back to calibrate on."""
-    known, free = (bad >= 0) & ~held, bad < 0
-    back = (bad >= 0) & held
+def co_train(views: list[Flags | np.ndarray], bad: np.ndarray, weight: np.ndarray, held: np.ndarray, exchange: Callable) -> dict:
+    """Both views, their calibration and their combination. ``held``: held back to calibrate on. ``exchange(models, scales)``: for each view, what the other one tells it: rows of the view, labels, weights."""
+    known, back = ~held, held
     models = [Logistic(x.shape[1], 1e-4, 0.0 if isinstance(x, Flags) else -np.inf) for x in views]  # signs of bad text don't argue for good
     scales: list[Logistic] = []
-    given = [{}, {}]  # what each view has been told: row -> label
+    given: list[tuple] = [(), ()]
     for round_ in range(ROUNDS + 1):
         scales = []
         for v, x in enumerate(views):
-            rows = np.concatenate([np.flatnonzero(known), np.array(list(given[v]), int)])
-            y = np.concatenate([bad[known], np.array(list(given[v].values()), float)])
-            w = np.concatenate([weight[known], np.full(len(given[v]), 0.5)])
-            models[v].fit(x[rows], y, w)
+            rows, y, w = x[np.flatnonzero(known)], bad[known].astype(float), weight[known]
+            if given[v]:
+                more, labels, weights = given[v]
+                rows = rows + more if isinstance(rows, Flags) else np.concatenate([rows, more])
+                y, w = np.concatenate([y, labels]), np.concatenate([w, weights])
+            models[v].fit(rows, y, w)
             scales.append(Logistic(1, 1e-4).fit(models[v].odds(x[back])[:, None], bad[back].astype(float), weight[back]))
-        if round_ == ROUNDS:
-            break
-        p = [_sure(s.odds(m.odds(x)[:, None])) for s, m, x in zip(scales, models, views, strict=True)]
-        for v in (0, 1):
-            other = 1 - v
-            for label, here, there in ((1.0, p[v], p[other]), (0.0, 1 - p[v], 1 - p[other])):
-                pick = np.flatnonzero(free & (here >= SURE) & (there >= 0.2))
-                pick = pick[np.argsort(-here[pick], kind="stable")][: 200 * (round_ + 1)]
-                given[other].update(dict.fromkeys(pick.tolist(), label))
+        if round_ < ROUNDS:
+            given = exchange(models, scales)
     both = _joined(np.stack([s.odds(m.odds(x)[:, None]) for s, m, x in zip(scales, models, views, strict=True)], 1))
     joint = Logistic(3, 1e-4).fit(both[back], bad[back].astype(float), weight[back])
-    return {"text": models[0], "meta": models[1], "scales": scales, "joint": joint, "told": [len(g) for g in given]}
+    return {"text": models[0], "meta": models[1], "scales": scales, "joint": joint, "told": [float(g[2].sum()) if g else 0.0 for g in given]}
+
+
+def _exchange(pool: DataFrame, names: int, models: list[Logistic], scales: list[Logistic]) -> list[tuple]:
+    """Score all documents of ``pool`` by both views; of those that a view is sure about, a hashed sample for the other one, weighed by the inverse of its share."""
+    shared = pool.sparkSession.sparkContext.broadcast([(m.w, m.b, s.w, s.b) for m, s in zip(models, scales, strict=True)])
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, meta = _views(batch.column("found").to_pylist(), batch.column("meta").to_pylist(), names)
+            p = [_sure((x @ w + b) * s[0] + c) for x, (w, b, s, c) in zip((found, meta), shared.value, strict=True)]
+            for v in (0, 1):
+                for label, here, there in ((1.0, p[v], p[1 - v]), (0.0, 1 - p[v], 1 - p[1 - v])):
+                    pick = pa.array(np.flatnonzero((here >= SURE) & (there >= 0.2)))
+                    n = len(pick)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 1 - v, np.int32)), pa.array(np.full(n, label)), *(batch.column(c).take(pick) for c in ("h", "found", "meta"))], ["to", "label", "h", "found", "meta"])
+
+    told = pool.mapInArrow(sure, "to int, label double, h long, found binary, meta binary")
+    share = {(r[0], r[1]): max(1, min(1 << 30, (UNLABELLED << 30) // r[2])) for r in told.groupBy("to", "label").count().collect()}
+    if not share:
+        return [(), ()]
+    at = F.lit(0)
+    for (to, label), most in share.items():
+        at = F.when((F.col("to") == to) & (F.col("label") == label), most).otherwise(at)
+    got = sorted(told.where(F.pmod("h", F.lit(1 << 30)) < at).collect())  # about 4 * UNLABELLED rows
+    out = []
+    for v in (0, 1):
+        mine = [r for r in got if r["to"] == v]
+        x = _views([r["found"] for r in mine], [r["meta"] for r in mine], names)[v] if mine else None
+        out.append((x, np.array([r["label"] for r in mine]), np.array([TRUST * (1 << 30) / share[v, r["label"]] for r in mine])) if mine else ())
+    return out
+
+
+def _views(found: list[bytes], meta: list[bytes], names: int) -> tuple[Flags, np.ndarray]:
+    columns = len(metadata("", "", "", 0.0))
+    return Flags([np.frombuffer(x, np.int32).tolist() for x in found], names), np.array([np.frombuffer(x, np.float32) for x in meta]).reshape(-1, columns)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The model; empty where the labels don't hold both classes."""
     rows = sample(docs, labels)
-    told = rows.where("bad is not null")
-    if {r[0] for r in told.select("bad").distinct().collect()} != {0, 1}:
+    if {r[0] for r in rows.select("bad").distinct().collect()} != {0, 1}:
         return {}
-    names = vocabulary(told)
+    names = vocabulary(rows)
     place = {f: i for i, f in enumerate(names)}
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,26 +247,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
                 meta.append(np.array(metadata(t, s, g, _different(own, n)), np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bad"), batch.column("share"), pa.array(found, pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "bad", "share", "found", "meta"])
 
-    got = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(views, "doc_id string, bad int, share double, found binary, meta binary").orderBy("doc_id").collect()
-    x = Flags([np.frombuffer(r["found"], np.int32).tolist() for r in got], len(names))
-    bad = np.array([-1 if r["bad"] is None else r["bad"] for r in got])
+    kind = "doc_id string, bad int, share double, found binary, meta binary"
+    got = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(views, kind).orderBy("doc_id").collect()
+    free = docs.join(_told(labels).select("doc_id").distinct(), "doc_id", "left_anti").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("int").alias("bad"), F.lit(None).cast("double").alias("share"), "text", "source", "lang")
+    pool = materialize(free.mapInArrow(views, kind).select(F.xxhash64("doc_id", "found", "meta").alias("h"), "found", "meta"), "pool")
+    x, meta = _views([r["found"] for r in got], [r["meta"] for r in got], len(names))
+    bad = np.array([r["bad"] for r in got])
     weight = np.array([1 / (r["share"] or 1.0) for r in got])
     held = np.array([zlib.crc32(r["doc_id"].encode()) % 10 < 3 for r in got])
     for part in (held, ~held):  # too few labels to hold some back: calibrate on what was learned from
-        if set(bad[part & (bad >= 0)].tolist()) != {0, 1}:
+        if set(bad[part].tolist()) != {0, 1}:
             held = np.zeros(len(got), bool)
-    meta = np.array([np.frombuffer(r["meta"], np.float32) for r in got])
     del got
-    model = co_train([x, meta], bad, weight, held) if held.any() else _small(x, meta, bad, weight)
+    exchange = lambda models, scales: _exchange(pool, len(names), models, scales)
+    model = co_train([x, meta], bad, weight, held, exchange) if held.any() else _small(x, meta, bad, weight, exchange)
     weights = {f: float(w) for f, w in zip(names, model["text"].w, strict=True) if w}
     release()
     return model | {"weights": weights}
 
 
-def _small(x: Flags, meta: np.ndarray, bad: np.ndarray, weight: np.ndarray) -> dict:
-    twice = np.concatenate([np.arange(len(bad)), np.flatnonzero(bad >= 0)])
-    held = np.arange(len(twice)) >= len(bad)
-    return co_train([x[twice], meta[twice]], bad[twice], weight[twice], held)
+def _small(x: Flags, meta: np.ndarray, bad: np.ndarray, weight: np.ndarray, exchange: Callable) -> dict:
+    twice = np.tile(np.arange(len(bad)), 2)
+    return co_train([x[twice], meta[twice]], bad[twice], weight[twice], np.arange(len(twice)) >= len(bad), exchange)
 
 
 def _different(own: set[str], n: int) -> float:

@@ -588,6 +588,17 @@ def test_quality_on_unlabelled_documents(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_pseudo_labels_of_all_unlabelled_documents(spark, monkeypatch):
+    """What the pseudo-labels weigh follows the unlabelled documents, not the bound of the sample."""
+    rows, labels, _ = quality_tables(spark, 1200)
+    labels = labels.where("doc_id < 300")
+    monkeypatch.setattr(quality, "SURE", 0.8)  # of so few labels no view is surer
+    whole = quality.fit(rows, labels)["told"]
+    monkeypatch.setattr(quality, "UNLABELLED", 100)
+    part = quality.fit(rows, labels)["told"]
+    assert max(whole) > 0.5 * 600 and all(0.7 * a < b < 1.4 * a for a, b in zip(whole, part, strict=True) if a > 50)
+
+
 def test_quality_of_odd_documents(spark):
     rows, labels, _ = quality_tables(spark, 120)
     odd = spark.createDataFrame([(1000 + i, t, None, None, None) for i, t in enumerate(ODD)], DOCS)
