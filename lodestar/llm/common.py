@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,25 +26,61 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder does in local mode (one machine); on a cluster that is an error.
+    """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table on the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
+#: Folders of written tables, so that those no longer needed can go.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a table on the shared folder and read it back: lineage is cut and a lost executor costs nothing.
+
+    Where the most ``rows`` it can have are known, it is written in no more files than their bytes
+    and the cores of the cluster ask for.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows * row_bytes(df) >> 24))
     path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[written] = path
+    return written
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more. What a lazy result reads stays."""
+    for table in tables:
+        if path := _WRITTEN.pop(table, None):
+            jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(session.sessionState().newHadoopConf()).delete(at, True)
+
+
+#: Bytes of a table that may be broadcast.
+SMALL = 8 << 20
+
+
+def row_bytes(table: DataFrame) -> int:
+    """About how many bytes a row takes in a broadcast: 16 for itself, 8 a number, 48 a string; other types count 256."""
+    each = {"bigint": 8, "int": 8, "double": 8, "boolean": 8, "date": 8, "string": 48}
+    return 16 + sum(each.get(kind, 256) for _, kind in table.dtypes)
 
 
-def small(table: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Hint a broadcast only where ``table`` (already written) has at most ``limit`` rows; beyond that it joins by shuffle."""
-    return F.broadcast(table) if table.count() <= limit else table
+def small(table: DataFrame, limit: int = SMALL) -> DataFrame:
+    """Hint a broadcast only where ``table`` (already written) takes at most ``limit`` bytes; beyond that it joins by shuffle."""
+    return F.broadcast(table) if table.count() * row_bytes(table) <= limit else table
 
 
 def most_frequent(counts: DataFrame, by: str, key: str, limit: int) -> DataFrame:
@@ -99,8 +136,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has long columns ``a`` and ``b``. Returns ``node``, ``component`` (smallest node
     reachable), one row per node that has an edge to another node. Each round is a join and a
-    partial aggregation, written to the shared folder; nothing is collected but a count and a
-    checksum that tell whether a round changed anything.
+    partial aggregation, written to the shared folder (the round before is deleted then); nothing
+    is collected but a count and a checksum that tell whether a round changed anything.
     """
     current = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
@@ -116,7 +153,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        last, current = current, materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges", before[0])
+        forget(last)
         after = state(current)
         if after == before:
             break

@@ -38,7 +38,7 @@ def resolve_buckets(docs: DataFrame, canon: str, key: str) -> DataFrame | None:
     are few (a checked number), so that copies are combined in each task before the shuffle, however
     many there are. Returns None where every bucket holds one text, as it practically always does.
     """
-    repeated = small(materialize(docs.groupBy(key).count().where("count > 1").select(key), "repeated"), 1_000_000)
+    repeated = small(materialize(docs.groupBy(key).count().where("count > 1").select(key), "repeated"))
     apart = docs.join(repeated, key, "left_semi").groupBy(key).agg(F.min(canon).alias("lo"), F.max(canon).alias("hi")).where("lo <> hi")
     if apart.isEmpty():
         return None

@@ -2,21 +2,25 @@
 
 The incidence matrix has a row per different set of 5-word shingles (documents with equal sets
 are one row) and a column per shingle. Entries of its product with its transpose are overlap
-counts. Only entries that can reach the threshold are computed:
+counts. The product is computed in blocks: consecutive pairs of rows that may link make a row
+block of bounded size, columns are dealt to ``BLOCKS`` column blocks by their hash, and each
+(row block, column block) is one small task that counts, in numpy, what its pairs share. Partial
+counts are summed over the column blocks, and pairs below the bound that follows from the two
+sizes are discarded. Only entries that can reach the threshold are computed:
 
 1. columns are ordered from rare to frequent; of each row only the first ``n - ceil(3n/4) + 1``
    columns are dealt out, as two linked rows must meet there (prefix bound);
 2. rows that meet are candidates if their sizes allow it (size bound) and if enough columns are
-   left behind the meeting point (position bound), and, where components differ after the first
-   round, if they meet in enough columns (overlap bound of the dealt columns);
-3. for the candidates, partial overlap counts of column blocks are summed, and pairs below the
-   size-derived bound are discarded.
+   left behind the meeting point (position bound);
+3. in the second round the product over the dealt columns alone comes first: a pair goes on only
+   if that overlap and what is left behind the prefixes can reach the bound;
+4. the product over all columns decides.
 
 A column that many rows share does not give all pairs of them. First every row meets only its
 column's leader, the row with the fewest rare columns (the original of a group of near copies).
-Then only rows whose components still differ meet. So every link between different sets is
-found or is implied by links that were, which is what components need. Columns known as frequent
-are salted, so their rows are spread over several tasks.
+Then only rows whose components still differ meet, crowded columns in parts. So every link between
+different sets is found or is implied by links that were, which is what components need. Columns
+known as frequent are salted, so their rows are spread over several tasks.
 
 The frequency order comes from all texts: each task counts the shingles it has seen more than
 once, and a bounded number of the most frequent ones is sent to all tasks. It decides the order
@@ -26,9 +30,10 @@ Defined cases: a null, empty or blank text has size 0 and is linked with nothing
 to four words is one shingle; repeated rows and equal texts are linked; rows that share a
 ``doc_id`` but are no near copies are different documents; a null ``doc_id`` takes part and never
 becomes a ``component_id`` unless all ids of its component are null; an empty table gives an empty
-result. ``keep_one`` tells rows apart by id, text and source; rows that agree in all three are
-one, blank ones too. Set keys, row keys and shingles are 64-bit hashes (the chance that any two of
-N sets collide is N^2 / 2^65).
+result; further columns are not read by ``components`` and kept by ``keep_one``, whatever their
+names. ``keep_one`` tells rows apart by id, text and source; rows that agree in all three are one,
+blank ones too. Set keys, row keys and shingles are 64-bit hashes (the chance that any two of N
+sets collide is N^2 / 2^65).
 """
 
 from __future__ import annotations
@@ -38,18 +43,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, most_frequent, read, slices, small
+from .common import connected_components, forget, materialize, most_frequent, read, slices, small
 
 #: Words in a shingle; the threshold as a fraction.
 WORDS, NUM, DEN = 5, 75, 100
-#: Frequent shingles sent to all tasks (8 bytes each); shingles a task counts at a time; tasks a
-#: frequent column is spread over; entries from which on a row is cut into column blocks, and blocks.
-FREQUENT, COUNTED, SALTS, LONG, BLOCKS = 1 << 17, 1 << 21, 16, 8192, 16
-#: Rows of keys or pairs that are broadcast (8 to 20 bytes each); beyond it the other side is shuffled too.
-FETCH = 1_000_000
+#: Frequent shingles sent to all tasks (8 bytes each); shingles a task counts at a time; tasks a frequent column is spread over.
+FREQUENT, COUNTED, SALTS = 1 << 17, 1 << 20, 16
+#: Column blocks of the product; entries of a row block over all its column blocks (a larger row is a block of its own).
+BLOCKS, ENTRIES = 8, 1 << 21
+#: Rows of a column that meet in one task of the second round.
+CROWD = 2000
+#: Bytes of text whose shingles are made at a time.
+TEXT = 1 << 20
+
 
 _U = np.uint64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], _U)
@@ -124,27 +134,27 @@ def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id``, ``rid`` (the id, or a hash of the text where that is null), ``row``, ``text`` as bytes."""
-    id_ = F.col(doc_id).cast("long")
-    return docs.select(id_.alias("doc_id"), F.coalesce(id_, F.xxhash64(text)).alias("rid"), row_key(docs, doc_id, text).alias("row"), F.col(text).cast("binary").alias("text"))
+    """``doc_id``, ``row``, ``text`` as bytes."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(docs, doc_id, text).alias("row"), F.col(text).cast("binary").alias("text"))
 
 
 def survey(rows: DataFrame) -> DataFrame:
-    """One row per document (``doc_id``, ``rid``, ``row``, ``n``, ``k``), and rows ``token``, ``df`` of shingles that a task met in several sets."""
+    """One row per document (``doc_id``, ``row``, ``n``, ``k``), and rows ``token``, ``df`` of shingles that a task met in several sets."""
+    names = ["doc_id", "row", "n", "k", "token", "df"]
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         token, df = np.unique(np.concatenate(sets), return_counts=True)
         token, df = token[df > 1], df[df > 1]
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(token.view(np.int64)), _long(df)], ["doc_id", "rid", "row", "n", "k", "token", "df"])
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), _long(df)], names)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT):
             sets = shingles(batch.column("text").to_pylist())
             keys = [set_key(s) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "rid", "row")), _long([len(s) for s in sets]), _long(keys), none, none], ["doc_id", "rid", "row", "n", "k", "token", "df"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "row")), _long([len(s) for s in sets]), _long(keys), none, none], names)
             for k, s in zip(keys, sets, strict=True):
                 if k not in seen and len(s):
                     seen.add(k)
@@ -156,7 +166,7 @@ def survey(rows: DataFrame) -> DataFrame:
         if held:
             yield counted(held)
 
-    return rows.mapInArrow(look, "doc_id long, rid long, row long, n long, k long, token long, df long")
+    return rows.mapInArrow(look, ", ".join(f"{c} long" for c in names))
 
 
 def prefixes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -169,7 +179,7 @@ def prefixes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT):
             tokens, keys, meta = [], [], []
             for s in shingles(batch.column("text").to_pylist()):
                 n = len(s)
@@ -218,64 +228,120 @@ def possible(a: Column, b: Column) -> Column:
     return (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (left * (NUM + DEN) >= (na + nb) * NUM)
 
 
-def _pair(a: Column, b: Column, meta_a: Column, meta_b: Column) -> list[Column]:
-    """The keys in order, and whether the rows are so long that they meet block by block."""
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (F.greatest(_n(meta_a), _n(meta_b)) > LONG).alias("wide")]
+def _pairs(joined: DataFrame, k: str, meta: str, other: str, other_meta: str) -> DataFrame:
+    """``a``, ``b`` and their sizes; ``b`` is the one with fewer rare columns, so a pair has one form only."""
+    k, meta, other, other_meta = map(F.col, (k, meta, other, other_meta))
+    first, second = F.struct(_cold(meta).alias("cold"), k.alias("k"), _n(meta).alias("n")), F.struct(_cold(other_meta).alias("cold"), other.alias("k"), _n(other_meta).alias("n"))
+    out = joined.select(F.greatest(first, second).alias("x"), F.least(first, second).alias("y"))
+    return out.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+
+
+def row_blocks(pairs: DataFrame, entries: int) -> DataFrame:
+    """``g``, ``k``, ``lead``: the rows of each row block; a row of a pair names the other one as its ``lead``, the other one has a row with none.
+
+    Pairs in the order of ``b`` are cut where their rows have ``entries`` entries. A ``b`` with many
+    pairs is cut too, and is in several row blocks.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, lead = TaskContext.get().partitionId() << 32, 0, None
+        for batch in batches:
+            g, k, to = [], [], []
+            for a, b, na, nb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb")), strict=True):
+                if size and size + na + (b != lead) * nb > entries:
+                    block, size, lead = block + 1, 0, None
+                if b != lead:
+                    g.append(block)
+                    k.append(b)
+                    to.append(None)
+                    lead, size = b, size + nb
+                g.append(block)
+                k.append(a)
+                to.append(b)
+                size += na
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (g, k, to)], ["g", "k", "lead"])
+
+    return pairs.repartitionByRange(parts, "b", "a").sortWithinPartitions("b", "a").mapInArrow(cut, "g long, k long, lead long")
+
+
+def partial_counts(table: pa.Table) -> pa.Table:
+    """One block of the product: how many of its columns the pairs of a row block share."""
+    k, lead = table.column("k").to_numpy(), table.column("lead")
+    heads = lead.is_null().to_numpy()
+    to = lead.fill_null(0).to_numpy()
+    lists = table.column("columns").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    at = lists.offsets.to_numpy().astype(np.int64)
+    columns = np.unique(lists.values.to_numpy(), return_inverse=True)[1]
+    head = {int(k[i]): i for i in np.flatnonzero(heads)}
+    rows = np.flatnonzero(~heads)
+    rows = rows[np.lexsort((k[rows], to[rows]))]
+    if len(rows):  # rows that were read twice count once
+        rows = rows[np.concatenate(([True], (k[rows][1:] != k[rows][:-1]) | (to[rows][1:] != to[rows][:-1])))]
+    there, a, b, o = np.zeros(int(columns.max(initial=0)) + 1, bool), [], [], []
+    size = at[rows + 1] - at[rows]
+    ends = np.cumsum(size)
+    own = columns[np.repeat(at[rows] - ends + size, size) + np.arange(size.sum())]  # the entries of all rows, one after the other
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(to[rows])) + 1) if len(rows) else []:
+        i = head.get(int(to[rows[part[0]]]))
+        if i is None:
+            continue  # it has no entry in this block
+        mark = columns[at[i] : at[i + 1]]
+        there[mark] = True
+        first = ends[part] - size[part]
+        counts = np.add.reduceat(there[own[first[0] : ends[part[-1]]]].astype(np.int64), first - first[0])
+        there[mark] = False
+        some = counts > 0
+        a.append(k[rows[part]][some])
+        b.append(to[rows[part]][some])
+        o.append(counts[some])
+    return pa.table({n: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for n, x in (("a", a), ("b", b), ("o", o))})
+
+
+def product(pairs: DataFrame, incidence: DataFrame, entries: int = ENTRIES) -> DataFrame:
+    """``a``, ``b``, ``na``, ``nb``, ``o`` of those written ``pairs`` that share a column: the product of ``incidence`` (``k``, ``block``, ``columns``) and its transpose, at ``pairs``."""
+    nodes = materialize(row_blocks(pairs, entries), "row-blocks")
+    met = incidence.join(small(nodes), "k").select("g", "block", "k", "lead", "columns")
+    partial = met.groupBy("g", "block").applyInArrow(partial_counts, "a long, b long, o long")
+    return partial.groupBy("a", "b").agg(F.sum("o").alias("o")).join(small(pairs), ["a", "b"])
 
 
 def promising(pairs: DataFrame, dealt: DataFrame) -> DataFrame:
     """Those of ``pairs`` whose overlap of dealt columns leaves the threshold within reach.
 
     All columns up to the end of the shorter prefix were dealt out by both rows, so beyond the
-    overlap there only what a row has behind its prefix can be shared. ``dealt`` (``token``, ``k``,
-    ``meta``) needs the columns that two rows or more have. A row's dealt columns are at most a
-    quarter of it.
+    overlap there only what a row has behind its prefix can be shared. ``dealt`` (``token``, ``k``)
+    needs the columns that two rows or more have. A row's dealt columns are at most a quarter of it.
     """
-    n = _n(F.max("meta"))
-    rest = F.floor((n * NUM + DEN - 1) / DEN) - 1  # entries behind the prefix
-    own = materialize(dealt.groupBy("k").agg(F.collect_list("token").alias("t"), n.alias("n"), rest.alias("rest")), "dealt")
-    left, right = ([F.col(c).alias(f"{c}{s}") for c in ("t", "n", "rest")] for s in "ab")
-    met = own.select(F.col("k").alias("a"), *left).join(small(pairs, FETCH), "a").join(own.select(F.col("k").alias("b"), *right), "b")
-    most = F.size(F.array_intersect("ta", "tb")) + F.greatest("resta", "restb")
-    return met.where(most * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b", "wide")
+    rest = lambda n: F.floor((F.col(n) * NUM + DEN - 1) / DEN) - 1  # noqa: E731  entries behind the prefix
+    block = F.pmod("token", F.lit(BLOCKS)).cast("int").alias("block")
+    own = dealt.groupBy("k", block).agg(F.collect_list("token").alias("columns"))
+    most = F.col("o") + F.greatest(rest("na"), rest("nb"))
+    return product(pairs, own, ENTRIES * DEN // (DEN - NUM)).where(most * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b", "na", "nb")
 
 
 def linked(pairs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Those of the different ``pairs`` (``a``, ``b``: set keys, ``wide``) that reach the threshold: overlap counts by column block, summed.
-
-    A row of at most ``LONG`` entries is one block. Longer ones are cut into ``BLOCKS`` by the hash
-    of the column; rows near that length are there in both forms, as the longer of a pair decides.
-    """
+    """Those of the different ``pairs`` (``a``, ``b``: set keys, and their sizes) that reach the threshold."""
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            key, wide, block, size, held = [], [], [], [], []
+        for batch in slices(batches, "text", TEXT):
+            key, block, held = [], [], []
             for k, s in zip(batch.column("k").to_pylist(), shingles(batch.column("text").to_pylist()), strict=True):
-                if set_key(s) != k:
-                    continue
-                parts = [(False, 0, s)] if len(s) <= LONG else []
-                if len(s) * DEN >= LONG * NUM:
-                    parts += [(True, i, s[s % _U(BLOCKS) == i]) for i in range(BLOCKS)]
-                for w, i, part in parts:
-                    key.append(k)
-                    wide.append(w)
-                    block.append(i)
-                    size.append(len(s))
-                    held.append(part.view(np.int64))
+                own = s % _U(BLOCKS)
+                for i in range(BLOCKS):
+                    if len(part := s[own == i]):
+                        key.append(k)
+                        block.append(i)
+                        held.append(part.view(np.int64))
             ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
             values = pa.array(np.concatenate(held)) if held else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([_long(key), pa.array(wide, pa.bool_()), pa.array(block, pa.int32()), _long(size), pa.ListArray.from_arrays(pa.array(ends), values)], ["k", "wide", "block", "n", "columns"])
+            yield pa.RecordBatch.from_arrays([_long(key), pa.array(block, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values)], ["k", "block", "columns"])
 
     nodes = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    own = materialize(members.groupBy("k").agg(F.min("rid").alias("rid")).join(nodes, "k", "left_semi"), "rows")
-    texts = rows.select("rid", "text").join(small(own, FETCH), "rid")
-    matrix = materialize(texts.select("k", "text").mapInArrow(incidence, "k long, wide boolean, block int, n long, columns array<long>"), "incidence")
-    if not matrix.groupBy("k", "wide", "block").count().where("count > 1").isEmpty():  # several rows with one id
-        matrix = matrix.dropDuplicates(["k", "wide", "block"])
-    left = matrix.select(F.col("k").alias("a"), "wide", "block", F.col("n").alias("na"), F.col("columns").alias("ca"))
-    right = matrix.select(F.col("k").alias("b"), "wide", "block", F.col("n").alias("nb"), F.col("columns").alias("cb"))
-    met = left.join(small(pairs, FETCH), ["a", "wide"]).join(right, ["b", "wide", "block"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ca", "cb")).cast("long").alias("o"))
-    sums = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("o").alias("o"))
+    own = materialize(members.groupBy("k").agg(F.min("row").alias("row")).join(nodes, "k", "left_semi"), "rows")
+    texts = rows.select("row", "text").join(small(own), "row").select("k", "text")
+    sums = product(pairs, texts.mapInArrow(incidence, "k long, block int, columns array<long>"))
     return sums.where(F.col("o") * DEN >= (F.col("na") + F.col("nb") - F.col("o")) * NUM).select("a", "b")
 
 
@@ -283,49 +349,56 @@ def placed_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id``, ``row`` (``row_key``), ``n`` and ``c`` (the component, where ``n`` is above 0) for each row of ``docs``."""
     rows = _rows(docs, doc_id, text)
     first = materialize(survey(rows), "survey")
-    members = first.where("k is not null").select("doc_id", "rid", "row", "n", "k")
+    members = first.where("k is not null").select("doc_id", "row", "n", "k")
     counts = materialize(first.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")), "frequent")
     top = most_frequent(counts, "df", "token", FREQUENT).toArrow()
     token, df = (top.column(c).to_numpy() for c in ("token", "df"))
     frequent = token[np.lexsort((token, df))].view(_U)
+    forget(counts)
 
     alike = Window.partitionBy("token", "salt")
-    meta = F.col("meta")
+    meta, hot = F.col("meta"), F.col("meta").bitwiseAND(F.lit(1)) == 1
     met = prefixes(rows, frequent).withColumns({
         "lo": F.min("k").over(alike), "hi": F.max("k").over(alike), "lead": F.min(F.struct(_cold(meta).alias("cold"), "k", "meta")).over(alike),
     })
-    shared = met.where((F.col("lo") < F.col("hi")) | (meta.bitwiseAND(F.lit(1)) == 1)).dropDuplicates(["token", "salt", "k"])
-    shared = materialize(shared.select("token", "salt", "k", "meta", "lead"), "columns")
+    shared = met.where((F.col("lo") < F.col("hi")) | hot).dropDuplicates(["token", "salt", "k"])
+    shared = materialize(shared.select("token", "salt", "k", "meta", F.col("lead.k").alias("lead"), F.col("lead.meta").alias("lead_meta")), "columns")
 
     # first every row and its leader, and the leaders of a salted column and their leader
-    stars = shared.where("k <> lead.k").where(possible(meta, F.col("lead.meta"))).select(*_pair(F.col("k"), F.col("lead.k"), meta, F.col("lead.meta")))
-    heads = shared.where("k = lead.k").where(meta.bitwiseAND(F.lit(1)) == 1).select("token", "lead")
-    tops = heads.groupBy("token").agg(F.min("lead").alias("top"))
-    heads = heads.join(tops, "token").where("lead.k <> top.k").where(possible(F.col("lead.meta"), F.col("top.meta"))).select(*_pair(F.col("lead.k"), F.col("top.k"), F.col("lead.meta"), F.col("top.meta")))
+    stars = _pairs(shared.where("k <> lead").where(possible(meta, F.col("lead_meta"))), "k", "meta", "lead", "lead_meta")
+    heads = shared.where("k = lead").where(hot).select("token", "k", "meta")
+    tops = heads.groupBy("token").agg(F.min(F.struct(_cold(meta).alias("cold"), "k", "meta")).alias("top")).select("token", F.col("top.k").alias("top"), F.col("top.meta").alias("top_meta"))
+    heads = _pairs(heads.join(tops, "token").where("k <> top").where(possible(meta, F.col("top_meta"))), "k", "meta", "top", "top_meta")
     pairs = materialize(stars.unionAll(heads).distinct(), "pairs")
     links = materialize(linked(pairs, rows, members), "links")
 
     # then rows that meet while their components differ
     parts = materialize(connected_components(links).withColumnRenamed("node", "k"), "parts")
-    apart = shared.select("token", "k", "meta").join(small(parts, FETCH), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-    mixed = materialize(apart.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token"), "mixed")
-    apart = materialize(apart.join(small(mixed, 4 * FETCH), "token", "left_semi"), "apart")
-    other = apart.select("token", F.col("k").alias("k2"), F.col("meta").alias("meta2"), F.col("c").alias("c2"))
-    more = apart.join(other, (apart.token == other.token) & (F.col("c") < F.col("c2")) & possible(F.col("meta"), F.col("meta2")))
-    more = more.select(*_pair(F.col("k"), F.col("k2"), F.col("meta"), F.col("meta2"))).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialize(promising(materialize(more, "pairs"), apart), "pairs")
-    links = links.unionAll(materialize(linked(more, rows, members), "links"))
+    apart = shared.select("token", "k", "meta").join(small(parts), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+    apart = materialize(apart, "apart")
+    mixed = apart.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / CROWD).cast("int").alias("cuts")).where("lo < hi").select("token", "cuts")
+    apart, whole = materialize(apart.join(small(materialize(mixed, "mixed")), "token"), "apart"), apart
+    forget(shared, whole)
+    # a row of a crowded column is in one part of it and meets every part
+    own = apart.withColumn("part", F.pmod(F.xxhash64("k"), "cuts").cast("int"))
+    other = apart.select("token", F.col("k").alias("k2"), F.col("meta").alias("meta2"), F.col("c").alias("c2"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"))
+    more = own.join(other, (own.token == other.token) & (own.part == other.part) & (F.col("c") < F.col("c2")) & possible(meta, F.col("meta2")))
+    more = materialize(_pairs(more, "k", "meta", "k2", "meta2").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    closer = materialize(promising(more, apart), "pairs")
+    links = links.unionAll(materialize(linked(closer, rows, members), "links"))
 
     parts = connected_components(links).withColumnRenamed("node", "k")
     placed = members.join(parts, "k", "left").withColumn("c", F.coalesce("component", "k"))
-    return materialize(placed.select("doc_id", "row", "n", "c"), "members")
+    placed = materialize(placed.select("doc_id", "row", "n", "c"), "members")
+    forget(first, pairs, apart, more, closer)
+    return placed
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` for each row of ``docs``."""
     placed = placed_rows(docs, doc_id, text)
-    lowest = placed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("low"))
-    whole = placed.join(lowest, "c", "left")
+    lowest = materialize(placed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("low")), "lowest")
+    whole = placed.join(small(lowest), "c", "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -334,17 +407,17 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     placed = placed_rows(docs, doc_id, text).groupBy("c", "n", "doc_id", "row").agg(F.count("*").alias("copies"))
     first = placed.where("n > 0").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "copies")).alias("x"))
     kept = materialize(first.select("x.row", "x.copies").unionAll(placed.where("n = 0").select("row", "copies")), "kept")
-    rows = docs.withColumn("_row", row_key(docs, doc_id, text))
-    take = lambda which: rows.join(small(kept.where(which).select(F.col("row").alias("_row")), FETCH), "_row", "left_semi").select("_row", *docs.columns)
+    own = "_row"
+    while own in docs.columns:
+        own += "_"
+    rows = docs.withColumn(own, row_key(docs, doc_id, text))
+    take = lambda which: rows.join(small(kept.where(which).select(F.col("row").alias(own))), own, "left_semi").select(own, *docs.columns)
     out = take("copies = 1")
     if not kept.where("copies > 1").isEmpty():  # only these have rows to drop
-        out = out.unionAll(take("copies > 1").dropDuplicates(["_row"]))
-    return out.drop("_row")
+        out = out.unionAll(take("copies > 1").dropDuplicates([own]))
+    return out.drop(own)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the shingle set and component of every document."""
     return components(read(spark, sf_dir, "documents"))
-
-
-

@@ -29,8 +29,8 @@ from .common import materialize, memory, read, slices
 
 #: Production parameters: tokens in a sequence, the id that ends a document.
 SEQUENCE, END = 4096, 1
-#: Parts of texts that a worker remembers the ids of.
-REMEMBER = 500_000
+#: Bytes of parts of texts, and of their ids, that a worker remembers (objects included; twice as many at most); parts encoded at a time; bytes of text in a slice.
+REMEMBER, AT_ONCE, TEXT = 32 << 20, 4096, 1 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,56 +48,78 @@ class WordEncoder:
     """Ids of whole texts as little-endian bytes, part by part.
 
     The tokenizer lower-cases, cuts a text into parts and drops white space; a text's ids are
-    those of its parts in turn. Each part is encoded once and remembered; new parts are encoded
-    many at a time and cut where a token ends a part. Text beyond Latin-1 goes word by word (at
-    white space); one with a special token's string or with a character that Python, but not the
-    tokenizer, takes for white space is encoded whole.
+    those of its parts in turn. Parts are encoded many at a time, cut where a token ends a part,
+    and remembered within a bound in bytes: when it is reached, only what is asked for again stays. Text beyond Latin-1
+    goes word by word (at white space); one with a special token's string or with a character that
+    Python, but not the tokenizer, takes for white space is encoded whole. So is every text if the
+    tokenizer doesn't work this way, which a set of probes tells.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.before, self.held = Tokenizer.from_file(path), {}, {}, 0
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.by_parts = True
+        try:
+            self.by_parts = all(self.encode([t])[0] == self._whole(t) for t in PROBES)
+        except (ValueError, KeyError):
+            self.by_parts = False
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _remember(self, parts: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(parts, ids, strict=True))
+        self.held += 250 * len(parts) + sum(map(len, parts)) + sum(map(len, ids))
+
     def _learn(self, parts: list[str]) -> None:
-        groups = [parts[i : i + 500] for i in range(0, len(parts), 500)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            raw, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            self.known.update(zip(group, (raw[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
+        for start in range(0, len(parts), AT_ONCE):
+            groups = [parts[i : i + 256] for i in range(start, min(start + AT_ONCE, len(parts)), 256)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                raw, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                self._remember(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)])
+
+    def _learn_words(self, words: list[str]) -> None:
+        for start in range(0, len(words), AT_ONCE):
+            own = words[start : start + AT_ONCE]
+            self._remember(own, [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        words: set[str] = set()
-        for t in texts:
-            if not t:
-                cut.append([])
-            elif "<|" in t:
-                cut.append(None)
-            elif _latin(t):
-                cut.append(_PARTS.findall(t.lower()))
-            elif any(c in t for c in "\x1c\x1d\x1e\x1f"):
-                cut.append(None)
-            else:
-                cut.append([f" {w}" for w in t.split()])  # the space tells words from parts
-                words.update(cut[-1])
-        all_ = set().union(*filter(None, cut))
-        if len(self.known) + len(all_) > REMEMBER:
-            self.known = {}
-        new = all_.difference(self.known)
+        """``texts``: a slice, as all their new parts are encoded together."""
+        cut: list[list[str] | None] = [self._cut(t) for t in texts]
+        if self.held > REMEMBER:
+            self.known, self.before, self.held = {}, self.known, 0
+        new = set().union(*filter(None, cut)).difference(self.known)
+        if again := new.intersection(self.before):
+            self._remember(list(again), [self.before[p] for p in again])
+            new -= again
+        words = [p for p in new if p[0] == " "]
         self._learn(list(new.difference(words)))
-        own = list(new.intersection(words))
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True))
+        self._learn_words(words)
         ids = self.known.__getitem__
         return [self._whole(t) if parts is None else b"".join(map(ids, parts)) for t, parts in zip(texts, cut, strict=True)]
 
+    def _cut(self, text: str | None) -> list[str] | None:
+        """The parts of a text; None: to be encoded whole."""
+        if not text:
+            return []
+        if not self.by_parts or "<|" in text:
+            return None
+        if _latin(text):
+            return _PARTS.findall(text.lower())
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return None
+        return [f" {w}" for w in text.split()]  # the space tells words from parts
+
+
+#: Texts that show whether a tokenizer cuts as ``_PARTS`` does.
+PROBES = ("", "a", "Don't stop, we'll go-on 12.5 (x2)!", "it's 's ''s rock'n'roll !!'s", "na\xefve \xe9\xe8 \xbd\xb2 \xdfx", "A\tb\r\nc  d\xa0e\x85f", "under_score a_b9 #1 $5.00 50%", "\u041f\u0440\u0438\u0432\u0435\u0442, \u043c\u0438\u0440 9")
+
 
 def _latin(text: str) -> bool:
     try:
@@ -120,7 +142,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END], "<u4").tobytes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT):
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encoder(path).encode(batch.column("text").to_pylist())):
                 ids += end

@@ -441,9 +441,10 @@ def brute_shingles(texts):
     return sets, links
 
 
-@pytest.mark.parametrize("long", [8192, 20])
-def test_shingle_components(spark, monkeypatch, long):
-    monkeypatch.setattr(ngram_join, "LONG", long)
+@pytest.mark.parametrize("entries,crowd", [(1 << 21, 2000), (300, 3)])
+def test_shingle_components(spark, monkeypatch, entries, crowd):
+    monkeypatch.setattr(ngram_join.product, "__defaults__", (entries,))
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
     rng = random.Random(7)
     word = lambda: rng.choice("abcdefghij") + rng.choice("klmnop") + rng.choice("qrstuv")
     passage = " ".join(word() for _ in range(60))
