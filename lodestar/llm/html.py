@@ -1,20 +1,24 @@
 """HTML extraction: site template removal.
 
-Every page is parsed into blocks of text and element subtrees. Subtrees are hashed, counted per
-host in Spark by the number of different pages (pages with one and the same main text count
-once, so copies of an article don't make its parts a template), and those that recur across many
-pages of their host are deleted. Elements whose tag, role or class names them as navigation,
-header, footer, sidebar, notice, advert, form or comments go too.
+Every page is parsed into blocks of text and element subtrees. Subtrees (their tags and text) are
+hashed, counted per host in Spark by the number of different pages (pages with one and the same
+main text count once, so copies of an article don't make its parts a template), and those that
+recur across many pages of their host are deleted. How many are many is a number of pages, the
+same for hosts of any size. Elements whose tag, role or class names them as navigation, header,
+footer, sidebar, notice, advert, form or comments go too.
 
 Defined cases: null html gives an empty text; broken markup is read tolerantly (open elements
 end where a parent or a block of their kind ends); a page without ``article`` or ``main`` is
 taken whole; a null url is a host of its own; repeated rows give repeated results; an empty table
-gives an empty result; further columns are kept by ``extract`` (outputs replace their names).
+gives an empty result; very long pages take time in proportion to their length; further columns
+are kept by ``extract`` (outputs replace their names).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,33 +28,38 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, slices
+from .common import forget, materialize, read, slices
 from .urls import host
 
-#: Production parameters: a subtree is template from this many different pages on, and from this
-#: share of the host's pages on, outside and inside the article.
-LEAST, SHARE_OUT, SHARE_IN = 5, 0.2, 0.5
-#: Template hashes that are sent to all tasks; beyond that they are joined page by page.
-MAX_BROADCAST = 2_000_000
+#: Production parameters: a subtree is template from so many different pages of its host on: outside the
+#: article, and inside it (there ``LEAST`` are enough where they are half of the host's pages).
+LEAST, LEAST_IN = 5, 10
+#: Template hashes (8 bytes each) that are sent to all tasks; beyond that they are joined page by page.
+MAX_BROADCAST = 1 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "math", "object", "select", "xmp")}
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?][^>]*>", re.S)
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title", "textarea", "template", "svg", "iframe", "select")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CONTAINER = frozenset("aside details div dl fieldset figure footer form header menu nav ol section table ul".split())
-_DROP = frozenset("nav footer aside form menu dialog button label fieldset audio video canvas map".split())
+_DROP = frozenset("nav footer aside form menu dialog button".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Whole classes or ids that name what is no article; those of the second list only outside of one.
 _CLASSES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer "
-    "disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion "
-    "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad ads adv advert adverts advertisement advertising adbox adsbox ad-banner ad-container ad-slot ad-unit breadcrumb breadcrumbs comment comments comment-list comments-area "
+    "commentlist consent cookie cookies cookie-banner cookie-notice disclaimer disqus footer login masthead menu modal nav navbar navigation nav-menu main-nav newsletter notice "
+    "notices notification overlay page-footer pager pagination popup promo promotion reader-comments related related-articles related-posts replies reply respond search "
+    "search-form share share-buttons sharing sidebar signup site-footer site-header site-nav skip skip-link social social-share sponsor sponsored subscribe toolbar topbar "
+    "user-comments widget".split()
 )
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_CLASSES_OUTSIDE = frozenset("banner form header top-bar".split())
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HEADING = re.compile(r"h[1-6]$")
+_ITEMS = frozenset("p li dt dd tr td th".split())
+_KIN = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 
 
 def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
@@ -60,24 +69,38 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "role":
-                if value in _ROLES:
+                if value.strip() in _ROLES:
                     return True
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 return True
-            elif name in ("class", "id") and not _HEADING.match(tag) and not _CLASSES.isdisjoint(_WORD.findall(value)):
-                return True
+            elif name in ("class", "id") and not _HEADING.match(tag):
+                own = value.split()
+                if not _CLASSES.isdisjoint(own) or (not in_article and not _CLASSES_OUTSIDE.isdisjoint(own)):
+                    return True
     return False
 
 
+class _Open:
+    """An open element: its tag, where it starts, whether it opens what is dropped or an article, and, of a container, its hash and the text before it."""
+
+    __slots__ = ("tag", "start", "drops", "opens", "hash", "before")
+
+    def __init__(self, tag: str, start: int, drops: bool, opens: bool, before: int):
+        self.tag, self.start, self.drops, self.opens, self.before = tag, start, drops, opens, before
+        self.hash = xxhash.xxh64() if tag in _CONTAINER else None
+
+
 def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int, int, bool]]]:
-    """Blocks as (position, text, in the article) and subtrees as (start, end, hash, in the article)."""
+    """Blocks as (position, text, in the article) and subtrees with text as (start, end, hash, in the article)."""
     blocks: list[tuple[int, str, bool]] = []
     trees: list[tuple[int, int, int, bool]] = []
     if not html:
         return blocks, trees
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, start, whether it opens what is dropped, whether it opens an article
+    stack: list[_Open] = []
+    hashes: list = []  # those of the open containers
+    is_open: Counter[str] = Counter()
     parts: list[str] = []
-    dropped = article = seen = 0
+    dropped = article = seen = letters = 0
     at = began = 0
 
     def flush(now: int) -> None:
@@ -92,18 +115,28 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
         """Close the open elements from the k-th on."""
         nonlocal dropped, article
         while len(stack) > k:
-            tag, start, drops, opens = stack.pop()
-            if tag in _CONTAINER:
-                trees.append((start, end, xxhash.xxh64_intdigest(" ".join(html[start:end].split()).encode("utf-8", "replace")), article > 0))
-            dropped -= drops
-            article -= opens
-
+            x = stack.pop()
+            is_open[x.tag] -= 1
+            if x.hash is not None:
+                hashes.pop()
+                if letters > x.before:
+                    trees.append((x.start, end, x.hash.intdigest(), article > 0))
+                    if hashes:
+                        hashes[-1].update(x.hash.digest())
+            dropped -= x.drops
+            article -= x.opens
+
+    last = html.rfind(">")  # no tag ends behind it
     while True:
-        m = _TOKEN.search(html, at)
+        m = _TOKEN.search(html, at) if at <= last or html.find("<!--", at) >= 0 else None
         if not dropped and (text := html[at : m.start() if m else len(html)]):
             if not parts:
                 began = at
             parts.append(text)
+            if own := " ".join(text.split()):
+                letters += 1
+                if hashes:
+                    hashes[-1].update(own.encode("utf-8", "replace"))
         if not m:
             break
         at = m.end()
@@ -113,17 +146,20 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
         if m[1]:  # an end tag: closes the nearest such element, and what is open in it
             if tag in _BLOCK:
                 flush(at)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k, at)
-                    break
+            if is_open[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k, at)
             continue
         if tag in _RAW:
             end = _RAW[tag].search(html, at)
             at = end.end() if end else len(html)
-            if tag not in ("svg", "math", "object"):
+            if tag != "svg":
                 parts.append(" ") if parts else None
             continue
+        if hashes and not dropped:
+            hashes[-1].update(f"<{tag}>".encode())
         if tag in _VOID:
             if tag == "hr":
                 flush(at)
@@ -133,15 +169,16 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
         if tag in _BLOCK:
             flush(m.start())
             if tag in ("article", "main") and dropped and not seen:  # the article can't be inside what is dropped: an end tag is missing
-                close(next(i for i, x in enumerate(stack) if x[2]), m.start())
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "p") or _HEADING.match(tag):
-                kin = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in kin:
-                        close(k, m.start())
-                        break
-                    if stack[k][0] in _BLOCK and stack[k][0] not in ("p", "li", "dt", "dd", "tr", "td", "th"):
-                        break
+                close(next(i for i, x in enumerate(stack) if x.drops), m.start())
+            if tag in _ITEMS or _HEADING.match(tag):
+                kin = _KIN.get(tag, (tag,))
+                if any(is_open[x] for x in kin):
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k].tag in kin:
+                            close(k, m.start())
+                            break
+                        if stack[k].tag in _BLOCK and stack[k].tag not in _ITEMS:
+                            break
         if m[3].endswith("/"):
             continue
         drops = not dropped and _boilerplate(tag, m[3], article > 0)
@@ -151,7 +188,10 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
         if opens:
             article, seen = article + 1, 1
         if tag in _BLOCK or drops:
-            stack.append((tag, m.start(), drops, opens))
+            stack.append(_Open(tag, m.start(), drops, opens, letters))
+            is_open[tag] += 1
+            if stack[-1].hash is not None:
+                hashes.append(stack[-1].hash)
             dropped += drops
     flush(len(html))
     close(0, len(html))
@@ -161,7 +201,15 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
 def main_text(blocks: list[tuple[int, str, bool]], spans: list[tuple[int, int]] = ()) -> str:
     """Blocks of the article (of the page, where there is none) outside ``spans``, one a line."""
     inside = any(b[2] for b in blocks)
-    return "\n".join(text for at, text, own in blocks if own or not inside if not any(s <= at < e for s, e in spans))
+    starts, ends = [], []
+    for start, end in sorted(spans):
+        if not ends or start >= ends[-1]:
+            starts.append(start)
+            ends.append(end)
+        else:
+            ends[-1] = max(ends[-1], end)
+    gone = lambda at: (i := bisect_right(starts, at)) > 0 and at < ends[i - 1]
+    return "\n".join(text for at, text, own in blocks if own or not inside if not gone(at))
 
 
 def _signed(x: int) -> int:
@@ -200,16 +248,18 @@ def templates(pages: DataFrame) -> DataFrame:
     """``tree``: keys of the subtrees that recur across many pages of their site."""
     counts = materialize(subtree_counts(pages).where(f"tree is null or n >= {LEAST}"), "subtrees")
     sites = counts.where("tree is null").select("site", F.col("n").alias("pages"))
-    share = F.when(F.col("inside"), SHARE_IN).otherwise(SHARE_OUT)
-    return materialize(counts.where("tree is not null").join(sites, "site").where(F.col("n") >= share * F.col("pages")).select("tree").distinct(), "templates")
+    enough = ~F.col("inside") | (F.col("n") >= LEAST_IN) | (F.col("n") * 2 >= F.col("pages"))
+    found = materialize(counts.where("tree is not null").join(sites, "site").where(enough).select("tree").distinct(), "templates")
+    forget(counts)
+    return found
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Append ``text`` to ``pages`` (``url``, ``html``)."""
-    rows = pages.drop("text", "_host", "_templates").withColumn("_host", host(F.col("url")))
+    rows = pages.drop("text", "_host", "_templates", "_row").withColumn("_host", host(F.col("url")))
     table = templates(pages)
     if table.count() <= MAX_BROADCAST:
-        sent = pages.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in table.collect()], np.int64)))
+        sent = pages.sparkSession.sparkContext.broadcast(np.sort(table.toArrow().column("tree").to_numpy()))
         known = None
     else:  # as many templates as fit no task: each page brings its own
         rows = rows.withColumn("_row", F.xxhash64("_host", "html"))

@@ -17,7 +17,8 @@ sizes are discarded. Only entries that can reach the threshold are computed:
 4. the product over all columns decides.
 
 A column that many rows share does not give all pairs of them. First every row meets only its
-column's leader, the row with the fewest rare columns (the original of a group of near copies).
+columns' leaders, the rows with the fewest rare columns (the originals of groups of near copies):
+its dealt columns shared with each are counted, and the ``LEADERS`` with the most are compared.
 Then only rows whose components still differ meet, crowded columns in parts. So every link between
 different sets is found or is implied by links that were, which is what components need. Columns
 known as frequent are salted, so their rows are spread over several tasks.
@@ -54,9 +55,9 @@ WORDS, NUM, DEN = 5, 75, 100
 #: Frequent shingles sent to all tasks (8 bytes each); shingles a task counts at a time; tasks a frequent column is spread over.
 FREQUENT, COUNTED, SALTS = 1 << 17, 1 << 20, 16
 #: Column blocks of the product; entries of a row block over all its column blocks (a larger row is a block of its own).
-BLOCKS, ENTRIES = 8, 1 << 21
-#: Rows of a column that meet in one task of the second round.
-CROWD = 2000
+BLOCKS, ENTRIES = 4, 1 << 20
+#: Leaders that a row is compared with in the first round; rows of a column that meet in one task of the second round.
+LEADERS, CROWD = 2, 2000
 #: Bytes of text whose shingles are made at a time.
 TEXT = 1 << 20
 
@@ -369,7 +370,9 @@ def placed_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     heads = shared.where("k = lead").where(hot).select("token", "k", "meta")
     tops = heads.groupBy("token").agg(F.min(F.struct(_cold(meta).alias("cold"), "k", "meta")).alias("top")).select("token", F.col("top.k").alias("top"), F.col("top.meta").alias("top_meta"))
     heads = _pairs(heads.join(tops, "token").where("k <> top").where(possible(meta, F.col("top_meta"))), "k", "meta", "top", "top_meta")
-    pairs = materialize(stars.unionAll(heads).distinct(), "pairs")
+    counts = stars.unionAll(heads).groupBy("a", "b", "na", "nb").count()
+    most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), "b"))
+    pairs = materialize(counts.withColumn("r", most).where(F.col("r") <= LEADERS).drop("count", "r"), "pairs")
     links = materialize(linked(pairs, rows, members), "links")
 
     # then rows that meet while their components differ
