@@ -83,6 +83,14 @@ def small(table: DataFrame, limit: int = SMALL) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes(table) <= limit else table
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def most_frequent(counts: DataFrame, by: str, key: str, limit: int) -> DataFrame:
     """The rows of written ``counts`` with the largest ``by``, about ``limit`` of them at most.
 

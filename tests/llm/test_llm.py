@@ -275,8 +275,8 @@ def test_recall_by_design(n):
     for own, x in zip(held, (a, b), strict=True):
         for r, c in zip(*code.decode(x), strict=True):
             own[r].add(c)
-    assert sum(bool(x & y) for x, y in zip(*held, strict=True)) / len(a) >= 0.998
-    assert sum(map(len, held[0])) / len(a) < 400
+    assert sum(bool(x & y) for x, y in zip(*held, strict=True)) / len(a) >= 0.99
+    assert sum(map(len, held[0])) / len(a) < 200
 
 
 # ---------------------------------------------------------------- 3 personal data
@@ -506,11 +506,15 @@ def test_packing_of_nothing(spark):
 
 
 def brute_canonical(t):
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", t or "").lower()).strip()
+    nfc = lambda x: unicodedata.normalize("NFC", x)
+    return re.sub(r"\s+", " ", nfc(nfc(t or "").casefold())).strip()
+
+
+FOLDED = ["Straße", "STRASSE", "ΑΣ", "ας", "ασ", "ǅ", "ﬁn", "FIN", "ΐ", "İ"]
 
 
 def test_fingerprints_group_by_canonical_text(spark):
-    texts = [t for t in ODD if t is None or "\x1c" not in t] + ["Word  word\nword word word WORD", "É" * 5]
+    texts = [t for t in ODD if t is None or "\x1c" not in t] + ["Word  word\nword word word WORD", "É" * 5, *FOLDED]
     got = [(r.text, r.fingerprint) for r in fingerprint.fingerprint(docs(spark, texts)).collect()]
     for a, x in got:
         for b, y in got:
@@ -519,27 +523,60 @@ def test_fingerprints_group_by_canonical_text(spark):
 
 def test_buckets_are_compared_by_bytes(spark):
     df = spark.createDataFrame([("k", "a"), ("k", "b"), ("k", "a"), ("m", "c"), ("m", "c")], "key string, canon string")
-    got = sorted(map(tuple, fingerprint.resolve_buckets(df, "canon", "key").collect()))
+    got = sorted((r.key, r.canon, r.ordinal) for r in fingerprint.resolve_buckets(df, "canon", "key").collect())
     assert got == [("k", "a", 1), ("k", "b", 2)]
     assert fingerprint.resolve_buckets(df.where("key = 'm'"), "canon", "key") is None
 
 
+def brute_edited(source):
+    """(id, text, edited text, next text) of (id, text) rows with different ids."""
+    source = sorted((i, t or "") for i, t in source)
+    for k, (i, t) in enumerate(source):
+        n, follow = len(t) // 4, source[(k + 1) % len(source)][1]
+        yield i, t, t[: len(t) - n] + follow[:n], follow
+
+
+def check_edited(rows, source):
+    got = {r.doc_id: r for r in rows}
+    prints = collections.defaultdict(set)
+    for i, t, new, follow in brute_edited(source):
+        r = got[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert r.near_edited == float(brute_canonical(new) == brute_canonical(t)) == float(r.fingerprint == r.edited_fingerprint)
+        assert r.near_next == float(brute_canonical(t) == brute_canonical(follow))
+        prints[brute_canonical(t)].add(r.fingerprint)
+        prints[brute_canonical(new)].add(r.edited_fingerprint)
+    assert all(len(x) == 1 for x in prints.values()) and len(set().union(*prints.values())) == len(prints)
+
+
 def test_edited_texts(spark):
-    source = sorted((r.doc_id, r.text or "") for r in read(spark, SF, "documents").select("doc_id", "text").collect())
-    follow = {i: source[(k + 1) % len(source)][1] for k, (i, _) in enumerate(source)}
-    text = dict(source)
-    for r in QUERIES["op7_document_fingerprints"](spark, SF).collect():
-        t, k = text[r.doc_id], len(text[r.doc_id]) // 4
-        edited = t[: len(t) - k] + follow[r.doc_id][:k]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.near_edited == float(brute_canonical(edited) == brute_canonical(t)) == float(r.fingerprint == r.edited_fingerprint)
-        assert r.near_next == float(brute_canonical(t) == brute_canonical(follow[r.doc_id]))
+    check_edited(QUERIES["op7_document_fingerprints"](spark, SF).collect(), [tuple(r) for r in read(spark, SF, "documents").select("doc_id", "text").collect()])
+
+
+def test_both_columns_are_numbered_by_one_bucket_table(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "DIGITS", 1)
+    rng = random.Random(3)
+    source = [(i, rng.choice(["", "a", "A ", "ab", "abc d", "a b c d", "aaaa", "AAAA bbbb", "b b b b"]) * rng.randrange(1, 3)) for i in range(60)]
+    check_edited(fingerprint.with_edited(spark.createDataFrame(source, "doc_id long, text string")).collect(), source)
 
 
 def test_next_of_one_and_of_none(spark):
-    one = fingerprint.with_next_text(fingerprint.fingerprint(docs(spark, ["abc"]).select("doc_id", "text"))).collect()
+    one = fingerprint.with_next(docs(spark, ["abc"])).collect()
     assert [r.next_text for r in one] == ["abc"]
-    assert fingerprint.fingerprint(docs(spark, [])).count() == 0
+    assert fingerprint.fingerprint(docs(spark, [])).count() == 0 and fingerprint.with_edited(docs(spark, [])).count() == 0
+
+
+def test_fingerprints_keep_columns(spark):
+    df = docs(spark, ["a b", "A  b", None]).selectExpr("*", "1 as _k", "2 as _b", "3 as _h", "4 as canon", "5 as digest", "6 as ordinal", "'x' as fingerprint")
+    got = fingerprint.fingerprint(df).collect()
+    assert len({r.fingerprint for r in got}) == 2 and all((r._k, r.canon, r.digest, r.ordinal) == (1, 4, 5, 6) for r in got)
+    assert all((r._k, r._b, r._h) == (1, 2, 3) for r in fingerprint.with_next(df).collect())
+
+
+def test_repeated_rows_and_null_ids_get_equal_fingerprints(spark):
+    df = spark.createDataFrame([(1, "x y"), (1, "x y"), (None, "X  y"), (2, None), (None, None)], "doc_id long, text string")
+    got = fingerprint.with_edited(df).collect()
+    assert len(got) == 5 and len({r.fingerprint for r in got if r.n_chars}) == 1 and len({r.fingerprint for r in got if not r.n_chars}) == 1
 
 
 # ---------------------------------------------------------------- 8 shingles
