@@ -11,10 +11,11 @@ Words of many documents are scored together: each different word of a slice once
 side by side, one numpy step per position.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0.0, as is every text
-where there is nothing to learn from; words without letters have no features and follow their
-neighbours; ties go to the first language by code point; rows with null languages are predicted
-but not learned from; repeated rows are predicted alike; an empty table gives an empty result;
-further columns are not read.
+where there is nothing to learn from; letters are Unicode's (numbers like one half are none);
+ties go to the first language by code point; rows with null languages are predicted but not
+learned from; rows with a null id count as held out; repeated rows are predicted alike, and one of
+them is learned from; an empty table gives an empty result; further columns are not read by
+``identify`` and kept by ``label_words``.
 """
 
 from __future__ import annotations
@@ -28,19 +29,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import materialize, read, slices, small
 
-#: The bounded sample to learn from: documents of each language, languages, code points of a document at most.
-PER_LANGUAGE, LANGUAGES, LEARN_CHARS = 150, 64, 20_000
+#: The bounded sample to learn from: documents of each language at most, and of all languages together (as many of
+#: each as that gives, one at least: no language is left out); code points of a document at most.
+PER_LANGUAGE, SAMPLE, LEARN_CHARS = 150, 1200, 10_000
 #: Size of the weight table, width in letters that words are cut to pieces of, steps and rate of the ascent, decay.
 TABLE, WIDTH, STEPS, RATE, DECAY = 1 << 18, 32, 15, 0.1, 1e-6
 
+#: Bytes of text that are labelled at a time.
+TEXT = 1 << 22
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def split(text: str | None) -> list[str]:
     """The letters of each word, in lower case; words of over ``WIDTH`` letters in pieces, so that none is cut off."""
     words = _LETTERS.findall((text or "").lower())
+    if text and not text.isascii() and not all(map(str.isalpha, words)):  # numbers that are no digits, like one half
+        words = [x for w in words for x in "".join(c if c.isalpha() else " " for c in w).split()]
     if any(len(w) > WIDTH for w in words):
         words = [w[i : i + WIDTH] for w in words for i in range(0, len(w), WIDTH)]
     return words
@@ -153,9 +160,8 @@ def fit(texts: list[str], labels: list[str]) -> dict:
         emit = _positive(_scores(weights, places))
         p, moves = chains.marginals(emit[laid].astype(np.float64), np.exp(start), np.exp(move))
         expected = np.stack([np.bincount(laid, p[:, j], len(different)) for j in range(k)], 1)
-        g = np.repeat(own - expected, places.shape[1], 0)
-        flat = places.ravel()
-        gw = np.stack([np.bincount(flat, g[:, j], TABLE) for j in range(k)], 1)
+        more, flat = own - expected, places.ravel()
+        gw = np.stack([np.bincount(flat, np.repeat(more[:, j], places.shape[1]), TABLE).astype(np.float32) for j in range(k)], 1)
         gw[0] = 0
         steps = (gw / n_docs - DECAY * weights, (begun - p[: chains.active[0]].sum(0)) / n_docs, (told - moves) / n_docs)
         for x, grad, s in zip((weights, start, move), steps, sums, strict=True):
@@ -173,13 +179,13 @@ def _in_order(number: np.ndarray, words: list[list[str]], chains: Chains) -> np.
     return np.concatenate([parts[i] for i in chains.by])
 
 
-def label(texts: list[str | None], model: dict, weights: np.ndarray) -> tuple[list[str], list[float]]:
-    """Language and score of each text."""
+def label(texts: list[str | None], model: dict, weights: np.ndarray, each: bool = False) -> tuple[list[str], list[float], list[list[tuple]]]:
+    """Language and score of each text; with ``each``, also its words' (word, language, probability)."""
     words = [split(t) for t in texts]
     full = [i for i, w in enumerate(words) if w]
-    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    names, scores, labelled = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
     if not full or not model:
-        return names, scores
+        return names, scores, labelled
     words = [words[i] for i in full]
     number, different = pd.factorize(np.array([x for w in words for x in w], object))
     emit = _positive(_scores(weights, features(np.array(different, str)))).astype(np.float32)
@@ -193,41 +199,77 @@ def label(texts: list[str | None], model: dict, weights: np.ndarray) -> tuple[li
     for rank, i in enumerate(chains.by.tolist()):
         names[full[i]] = model["names"][best[rank]]
         scores[full[i]] = float(min(1.0, share[rank, best[rank]]))
-    return names, scores
+    if each:
+        ends = np.cumsum([len(words[i]) for i in chains.by])
+        for rank, i in enumerate(chains.by.tolist()):
+            own = p[chains.place[ends[rank] - len(words[i]) : ends[rank]]]
+            labelled[full[i]] = [(w, model["names"][j], float(x[j])) for w, j, x in zip(words[i], own.argmax(1).tolist(), own, strict=True)]
+    return names, scores, labelled
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """The documents to learn from (``text``, ``lang``): the first ``PER_LANGUAGE`` of each of the ``LANGUAGES`` most frequent languages by the hash of their id."""
+    """The documents to learn from (``text``, ``lang``): the first ones of each language by the hash of id and text."""
     fit_ = docs.where("lang is not null and not held_out and text is not null").where(F.char_length("text") <= LEARN_CHARS)
-    top = fit_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # the limit is applied in each task before the shuffle
-    chosen = fit_.join(F.broadcast(top), "lang", "left_semi").select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE)
-    return fit_.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("text", "lang")
+    fit_ = fit_.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    keys = fit_.select("lang", "h").distinct()
+    languages = fit_.select("lang").distinct().count()
+    most = max(1, min(PER_LANGUAGE, SAMPLE // max(languages, 1)))
+    order = Window.partitionBy("lang").orderBy("h")  # the limit is applied in each task before the shuffle
+    chosen = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
+    return fit_.join(small(materialize(chosen, "sample")), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang")
+
+
+def learn(rows: DataFrame) -> dict:
+    """The model, from the bounded sample of ``rows`` (``doc_id``, ``text``, ``lang``, ``held_out``)."""
+    told = sorted(sample(rows).collect(), key=lambda r: (r["lang"], r["text"]))
+    return fit([r["text"] for r in told], [r["lang"] for r in told])
+
+
+def _table(model: dict) -> np.ndarray | None:
+    if not model:
+        return None
+    out = np.zeros((TABLE, len(model["names"])), np.float32)
+    out[model["used"]] = model["weights"]
+    return out
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    id_ = F.col(doc_id)
+    return docs.select(id_.alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), (F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4, F.lit(2)) == 2).alias("held_out"))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred``, ``score`` for each row; documents with ``held_out`` are never learned from."""
-    id_ = F.col(doc_id)
-    rows = docs.select(id_.alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4, F.lit(2)) == 2).alias("held_out"))
-    told = sample(rows).limit(PER_LANGUAGE * LANGUAGES * 2).collect()
-    told = sorted(told, key=lambda r: (r["lang"], r["text"]))
-    model = docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in told], [r["lang"] for r in told]))
+    rows = _rows(docs, doc_id, text, lang)
+    model = docs.sparkSession.sparkContext.broadcast(learn(rows))
     tables: list[np.ndarray] = []
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not tables:
-            got = model.value
-            tables.append(np.zeros((TABLE, len(got["names"])), np.float32) if got else None)
-            if got:
-                tables[0][got["used"]] = got["weights"]
-        for batch in slices(batches, "text", 1 << 23):
-            names, scores = label(batch.column("text").to_pylist(), model.value, tables[0])
+            tables.append(_table(model.value))
+        for batch in slices(batches, "text", TEXT):
+            names, scores, _ = label(batch.column("text").to_pylist(), model.value, tables[0])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = dict(rows.dtypes)["doc_id"]
     return rows.select("doc_id", "held_out", "text").mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def label_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` with ``words``: every word (lower case, letters only) of the text with its language and its probability."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(_rows(docs, doc_id, text, lang)))
+    tables: list[np.ndarray] = []
+
+    @F.pandas_udf("array<struct<word:string,lang:string,p:double>>")
+    def words(texts):
+        if not tables:
+            tables.append(_table(model.value))
+        found = label(texts.tolist(), model.value, tables[0], True)[2]
+        return pd.Series([[{"word": w, "lang": g, "p": p} for w, g, p in own] for own in found], index=texts.index)
+
+    return docs.withColumn("words", words(F.coalesce(F.col(text), F.lit(""))))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return identify(read(spark, sf_dir, "documents"))

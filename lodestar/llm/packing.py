@@ -30,7 +30,7 @@ from .common import materialize, memory, read, slices
 #: Production parameters: tokens in a sequence, the id that ends a document.
 SEQUENCE, END = 4096, 1
 #: Bytes of parts of texts, and of their ids, that a worker remembers (objects included; twice as many at most); parts encoded at a time; bytes of text in a slice.
-REMEMBER, AT_ONCE, TEXT = 32 << 20, 4096, 1 << 20
+REMEMBER, AT_ONCE, TEXT = 64 << 20, 4096, 2 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

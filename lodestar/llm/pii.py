@@ -4,10 +4,14 @@ Kinds ``email``, ``ip``, ``card`` (Luhn) and ``phone`` are the base kinds; ``iba
 added by the method. Every whole text is scanned in one pass of Arrow batches; a row never
 leaves its partition, so no key is gathered anywhere.
 
+A span's score is raised by a word of its kind's context nearby, on either side, and lowered by a
+word against it; the nearer of several words counts, and the more the nearer it is. Whole words
+are compared. Base spans stay whatever their score.
+
 Defined cases: a null text counts as empty (no spans); offsets are code points, end exclusive;
 spans of different kinds may overlap and all are kept; repeated rows give repeated results; an
 empty table gives an empty result; further columns are kept by ``pii_spans`` and ``redact``
-(outputs replace columns of the same name).
+(outputs replace columns of the same name); null ids are kept.
 """
 
 from __future__ import annotations
@@ -38,26 +42,31 @@ _DIGIT = re.compile(r"[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\W_]+")
 
-#: Length of an IBAN by country.
+#: Length of an IBAN by country (the public IBAN registry).
 IBAN_LENGTH = {
-    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24,
-    "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20,
-    "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24,
-    "SM": 27, "TR": 26,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 
-#: Score of a confirmed span, and words within ``NEAR`` code points before it that move the score by ``STEP``:
-#: those of ``CONTEXT`` also as part of a word (*Kreditkarte*), those of ``AGAINST`` only as a whole one (not *border*).
+#: Score of a confirmed span; code points on either side that are looked at; what a word right beside the span moves the score by (half of it at the far end).
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
 NEAR, STEP = 40, 0.2
 CONTEXT = {
-    "email": ("mail", "contact", "correo", "courriel"),
-    "ip": ("ip", "address", "server", "host", "adresse", "dirección"),
-    "card": ("card", "visa", "credit", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "tel", "call", "telefon", "téléphone", "teléfono", "mobile"),
-    "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
+    "email": "mail email e mails contact write correo courriel kontakt adresse",
+    "ip": "ip ipv4 address server host adresse dirección addr",
+    "card": "card cards visa mastercard credit debit karte kreditkarte carte tarjeta",
+    "phone": "phone phones tel call dial fax telefon telefonnummer téléphone teléfono mobile handy",
+    "iban": "iban account bank konto kontonummer compte cuenta transfer",
 }
-AGAINST = {"email": ("example",), "ip": ("version", "release"), "card": ("isbn", "serial", "order"), "phone": ("isbn", "serial", "order"), "iban": ("serial",)}
+AGAINST = {"email": "example", "ip": "version release build chapter section", "card": "isbn serial order tracking", "phone": "isbn serial order tracking", "iban": "serial"}
+#: What moves the score by kind: word -> sign.
+_SIGNS = {kind: {w: 1 for w in CONTEXT[kind].split()} | {w: -1 for w in AGAINST[kind].split()} for kind in KINDS}
 
 
 def luhn(digits: str) -> bool:
@@ -83,6 +92,23 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def context(text: str, start: int, end: int, kind: str) -> float:
+    """What the words beside a span move its score by: the nearest word for and the nearest against it."""
+    signs, best = _SIGNS[kind], {1: 0.0, -1: 0.0}
+    first, last = max(0, start - NEAR), min(len(text), end + NEAR)
+    for low, high, side in ((first, start, -1), (end, last, 1)):
+        for m in _WORD.finditer(text[low:high].lower()):
+            sign = signs.get(m[0])
+            if sign is None:
+                continue
+            a, b = low + m.start(), low + m.end()
+            if (side < 0 and a == low and a and text[a - 1].isalnum()) or (side > 0 and b == high and b < len(text) and text[b].isalnum()):
+                continue  # the end of a longer word
+            gap = start - b if side < 0 else a - end
+            best[sign] = max(best[sign], STEP * (1 - gap / (2 * NEAR)))
+    return best[1] - best[-1]
+
+
 def scan(text: str | None) -> list[tuple[int, int, int, float]]:
     """Confirmed spans as (start, index of the kind, end, score), in order."""
     found: list[tuple[int, int, int]] = []
@@ -107,15 +133,7 @@ def scan(text: str | None) -> list[tuple[int, int, int, float]]:
     found.sort()
     out = []
     for start, kind, end in found:
-        near, name = text[max(0, start - NEAR) : start].lower(), KINDS[kind]
-        against = any(w in near for w in AGAINST[name])
-        if against:
-            # a word that the window cuts is read whole
-            first = max(0, start - NEAR)
-            while first and first > start - 2 * NEAR and text[first - 1].isalnum():
-                first -= 1
-            against = not set(AGAINST[name]).isdisjoint(_WORD.findall(text[first:start].lower()))
-        score = SCORE[name] + STEP * any(w in near for w in CONTEXT[name]) - STEP * against
+        score = SCORE[KINDS[kind]] + context(text, start, end, KINDS[kind])
         out.append((start, kind, end, round(min(score, 1.0), 3)))
     return out
 

@@ -323,10 +323,35 @@ def test_words_against_do_not_keep_base_spans(spark):
     assert list(map(out.get, range(6))) == ["at the border office: <PHONE>", "in order to reach us dial <PHONE>", "after conversion <IP>", "press release <IP>", "order serial isbn <CARD>", "example <EMAIL>"]
 
 
-def test_words_against_are_whole_words():
-    score = lambda t: pii.scan(t)[0][3]
-    assert score("at the border office: +49 30 1234567") == score("dial +49 30 1234567") == score("b" + "order" + " " * 36 + "+49 30 1234567") == 0.6
-    assert score("order: +49 30 1234567") == score("release 10.0.0.1") == 0.4 and score("after conversion 10.0.0.1") == 0.6
+def score_of(text, kind=None):
+    return next(x for _, k, _, x in pii.scan(text) if kind is None or pii.KINDS[k] == kind)
+
+
+def test_words_are_compared_whole_and_on_both_sides():
+    phone, ip = "+49 30 1234567", "10.0.0.1"
+    for t in (f"at the border office: {phone}", f"hotel {phone}", f"{phone} hotel", "b" + "order" + " " * 36 + phone, f"{phone}" + " " * 36 + "phone" + "s" * 9):
+        assert score_of(t) == 0.6, t
+    assert score_of(f"ship {ip}") == score_of(f"after conversion {ip}") == 0.6
+    assert 0.75 < score_of(f"{phone} is my phone") < score_of(f"phone {phone}") == score_of(f"{phone} phone") <= 0.8
+    assert 0.4 <= score_of(f"order: {phone}") < 0.41 and score_of(f"version {ip}") < 0.41
+    assert score_of("tel order " + phone) < 0.6 < score_of("order tel " + phone)  # the nearer word counts more
+    assert score_of("mail a@b.co") == 1.0 and score_of("a@b.co") == 0.9 and 0.9 < score_of("4539 1488 0343 6467 is my card") < 1
+
+
+def test_ibans_of_all_countries():
+    for country, size in pii.IBAN_LENGTH.items():
+        body = ("7" * (size - 4))
+        check = next(f"{i:02}" for i in range(2, 99) if pii.mod97(f"{country}{i:02}{body}"))
+        t = f"konto {country}{check}{body}."
+        assert [(s, e) for s, k, e, _ in pii.scan(t) if k == 4] == [(6, 6 + size)], country
+
+
+def test_pii_of_odd_tables(spark):
+    assert pii.redact(docs(spark, [])).count() == 0 and pii.pii_spans(docs(spark, [])).count() == 0
+    df = docs(spark, ["mail a@b.co", "mail a@b.co", None]).unionAll(docs(spark, ["mail a@b.co"])).selectExpr("*", "1 as pii", "2 as kind", "3 as start")
+    got = pii.pii_spans(df).collect()
+    assert sum(len(r.pii) for r in got) == 3 and all((r.kind, r.start) == (2, 3) for r in got)
+    assert sorted(str(r.text) for r in pii.redact(df).collect()) == ["None", *["mail <EMAIL>"] * 3]
 
 
 def test_pii_query(spark):
@@ -360,6 +385,56 @@ def test_languages_of_odd_texts(spark):
     assert got[100].lang_pred == got[101].lang_pred == "und" and got[101].score == 0 and got[102].lang_pred == "en" and got[None].lang_pred == "de"
 
 
+def test_words_of_code_switched_texts(spark):
+    """Texts spliced from held-out documents of two languages: each word is labelled with its own language."""
+    rows = [r for r in read(spark, SF, "documents").where("text is not null and lang is not null").select("doc_id", "text", "lang").collect()]
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and len(language.split(r.text)) >= 40]
+    spliced, want = [], {}
+    for i, (a, b) in enumerate((a, b) for k, a in enumerate(held[:40]) for b in held[k + 1 : k + 4] if a.lang != b.lang):
+        x, y = language.split(a.text)[:15], language.split(b.text)[5:25]
+        spliced.append((10_000_000 + i, " ".join([*x, *y]), None))
+        want[10_000_000 + i] = [*[a.lang] * len(x), *[b.lang] * len(y)]
+    df = spark.createDataFrame([*map(tuple, rows), *spliced], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.words for r in language.label_words(df).where("doc_id >= 10000000").collect()}
+    hits = [w.lang == lang for i, langs in want.items() for w, lang in zip(got[i], langs, strict=True)]
+    assert len(hits) > 500 and sum(hits) / len(hits) > 0.9
+    assert all(0 < w.p <= 1 for ws in got.values() for w in ws)
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 40)
+    names = [f"l{i:02}" for i in range(70)]
+    rows = [(i, f"{names[i % 70] * 2}ka {chr(97 + i % 70 % 26) * 4}{chr(97 + i % 70 // 26) * 3}", names[i % 70]) for i in range(700)]
+    rows += rows[:100]  # repeated rows
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 800 and len({r.lang_pred for r in got}) > 64
+
+
+def test_numbers_are_no_letters():
+    assert language.split("½ ² 12 Ⅷ") == [] and language.split("x² aé½b ßα") == ["x", "aé", "b", "ßα"]
+
+
+def test_fit_predicts_like_a_plain_field():
+    """Scores of label() against a plain forward-backward over the learned weights, word by word."""
+    texts, labels = ["the cat and the dog", "der hund und die katze", "the dog", "die katze"] * 3, ["en", "de", "en", "de"] * 3
+    model = language.fit(texts, labels)
+    table = language._table(model)
+    text = "the hund and katze zzz the"
+    names, scores, each = language.label([text], model, table, True)
+    emit = []
+    for w in language.split(text):
+        score = table[language.features(np.array([w]))[0]].astype(float).sum(0)
+        emit.append(np.exp(np.maximum(score - score.max(), -30)))
+    forward, backward = [model["start"] * emit[0]], [np.ones(2)]
+    for e in emit[1:]:
+        forward.append(forward[-1] @ model["move"] * e)
+    for e in emit[:0:-1]:
+        backward.insert(0, model["move"] @ (e * backward[0]))
+    p = np.array([f * b / (f @ b) for f, b in zip(forward, backward, strict=True)])
+    assert np.allclose([w[2] for w in each[0]], p.max(1), atol=1e-4)
+    assert names[0] == model["names"][p.sum(0).argmax()] and scores[0] == pytest.approx(p.sum(0).max() / len(p), abs=1e-4)
+
+
 def test_nothing_to_learn_from(spark):
     assert [r.lang_pred for r in language.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()] == ["und"]
     assert language.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
