@@ -757,14 +757,14 @@ def test_hosts_paths_rules(spark):
         host, path = (m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m[2]) if m else ("", "")
         rule = brute_rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule and rule[1]), r.url
-        assert r.verdict == (rule[0] if rule else "block" if r.odds > 0 else "allow")
+        assert r.verdict == (rule[0] if rule else "block" if r.odds > np.log(urls.ODDS) else "allow")
 
 
-def test_segmentation_is_the_best_of_all_splits():
+def test_segmentation_is_the_best_of_all_splits(spark):
     import itertools
 
     counts = {"cheap": 30, "pills": 20, "the": 500, "he": 90, "ap": 3, "pill": 12, "s": 5}
-    s = urls.Segmenter(counts)
+    s = urls.Segmenter(counts, sum(counts.values()))
     for name in ("cheappills", "thecheap", "xqz", "thehe", ""):
         cost = lambda ws: sum(s.cost.get(w, s.unknown[len(w)]) for w in ws)
         splits = []
@@ -772,14 +772,69 @@ def test_segmentation_is_the_best_of_all_splits():
             at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(name)]
             splits.append([name[a:b] for a, b in zip(at, at[1:]) if a < b])
         assert cost(s.split(name)) == pytest.approx(min(map(cost, splits)))
+    names = spark.createDataFrame([("cheappills",), ("thecheap",), ("xqz",), ("z" * 200,)], "name string")
+    got = {r.name: r.words for r in urls.segment(names, spark.createDataFrame(list(counts.items()), "word string, n long")).collect()}
+    assert got == {n: s.split(n) for n in got} and len(got) == 4
+
+
+def brute_judged(rows):
+    """Verdicts and odds of (url, title) rows by plain counting."""
+    counts = collections.Counter(w for _, t in rows for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if len(w) <= urls.LONGEST)
+    for ws in urls.SEEDS.values():
+        for w in ws:
+            counts[w] = max(counts[w], urls.KNOWN)
+    seg, skip = urls.Segmenter(counts, sum(counts.values())), set(urls.rule_tokens(urls.RULES))
+
+    def tokens(h, p):
+        out = [f"h:{w}" for name in re.findall(r"[^\W\d_]+", h) for w in seg.split(name)]
+        return [t for t in out + ["p:0" if w.isdigit() else f"p:{w}" for w in re.findall(r"[^\W_]+", p.lower())] if t not in skip]
+
+    parsed = []
+    for u, _ in rows:
+        m = re.search(r"://([^/?#]*)([^?#]*)", u or "")
+        parsed.append((m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m[2]) if m else ("", ""))
+    seen = {"allow": collections.Counter(), "block": collections.Counter({f"h:{w}": n for n, ws in urls.SEEDS.items() for w in ws})}
+    for h, p in parsed:
+        if h and (rule := brute_rule(h, p)):
+            seen[rule[0]].update(tokens(h, p))
+    known = set(seen["allow"]) | set(seen["block"])
+    prior = sum(n * len(ws) for n, ws in urls.SEEDS.items())
+    block, allow = sum(seen["block"].values()) + len(known), sum(seen["allow"].values()) + prior + len(known)
+    odds = {t: np.log((seen["block"][t] + 1) / block) - np.log((seen["allow"][t] + 1) / allow) for t in known}
+    for h, p in parsed:
+        rule, x = brute_rule(h, p), sum(odds.get(t, 0.0) for t in tokens(h, p)) if h else 0.0
+        yield x, rule[0] if rule else "block" if x > np.log(urls.ODDS) else "allow"
+
+
+@pytest.mark.parametrize("frequent", [50_000, 20])
+def test_verdicts_by_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(urls, "FREQUENT", frequent)
+    rng = random.Random(12)
+    words = ["green", "stone", "river", "garden", "house", "field", "cheap", "pills", "casino", "win", "spam", "farm", "lotto"]
+    hosts = [rng.choice(words) + rng.choice(words) + rng.choice(["", "-" + rng.choice(words), "7"]) + "." + rng.choice(["example.net", "example.com", "site.org", "x.net", "de"]) for _ in range(60)]
+    rows = [(f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr', 'Shop'])}/{rng.choice(words)}-{rng.randrange(50)}?q", " ".join(rng.choices(words, k=4))) for _ in range(500)]
+    rows += [(None, None), ("nothing", ""), ("http://LOTTO.com", "lotto Lotto"), *rows[:20]]
+    df = spark.createDataFrame([(i, u, None if t is None else f"<title>{t}</title>", "mine", 7) for i, (u, t) in enumerate(rows)], "page_id long, url string, html string, odds string, _id int")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    want = list(brute_judged(rows))
+    assert len(got) == len(rows) and len({v for _, v in want}) == 2
+    for i, (x, verdict) in enumerate(want):
+        assert got[i].odds == pytest.approx(x, abs=1e-6) and got[i].verdict == verdict and got[i]._id == 7, rows[i]
 
 
 def test_spam_hosts_are_blocked(spark):
-    hosts = [f"{a}{b}.example.com" for a in ("green", "stone", "river") for b in ("garden", "house", "field")] * 12 + ["cheappills.example.com", "casino-win.example.org", "spamfarm.example.com"] * 5
+    hosts = [f"{a}{b}.example.com" for a in ("green", "stone", "river") for b in ("garden", "house", "field")] * 12 + ["cheappills.example.com", "casino-win.example.org", "spamfarm.example.com", "winfree.example.com"] * 5 + ["winhouse.example.com"]
     words = "green stone river garden house field the and of"
     df = spark.createDataFrame([(i, f"http://{h}/en/{i}", f"<title>{words}</title>") for i, h in enumerate(hosts)], "page_id long, url string, html string")
     verdicts = {r.host: r.verdict for r in urls.judge(df).collect()}
-    assert {h for h, v in verdicts.items() if v == "block"} == {"cheappills.example.com", "casino-win.example.org", "spamfarm.example.com"}
+    assert {h for h, v in verdicts.items() if v == "block"} == {"cheappills.example.com", "casino-win.example.org", "spamfarm.example.com", "winfree.example.com"}
+
+
+def test_words_of_blocked_sites_count_against_others(spark):
+    hosts = ["lottoking.net"] * 60 + ["greenhouse.site.org"] * 60 + ["kinglotto.example.com", "greenking.example.com"]
+    df = spark.createDataFrame([(i, f"http://{h}/fr/{i}", "<title>lotto king green house</title>") for i, h in enumerate(hosts)], "page_id long, url string, html string")
+    verdicts = {r.host: r.verdict for r in urls.judge(df).collect()}
+    assert verdicts["kinglotto.example.com"] == "block" and verdicts["greenhouse.site.org"] == verdicts["greenking.example.com"] == "allow"
 
 
 def test_no_urls(spark):
