@@ -17,7 +17,9 @@ few thousand weights.
 Defined cases: a null text counts as empty, a null source or language as a value of its own;
 labels of unknown documents and null labels are left out, repeated labels are good only if all
 are; without labels of both classes every document scores 1.0 and is kept; repeated rows score
-alike; an empty table gives an empty result; ``filter_good`` keeps further columns.
+alike; rows with a null id have no label; of rows that share an id one is learned from; an empty
+table gives an empty result; ``score`` keeps further columns (its outputs replace their names),
+``filter_good`` keeps all columns as they are, those named like outputs of ``score`` too.
 """
 
 from __future__ import annotations
@@ -27,15 +29,16 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, release, slices
+from .common import free_name, materialize, read, release, slices
 
 #: The bounded sample: labelled documents of each class, pseudo-labelled ones of each view and label (about), code points of a labelled document at most.
 PER_CLASS, UNLABELLED, LEARN_CHARS = 6000, 4000, 100_000
-#: Words and beginnings kept; least chi-square, documents and odds against the other class of one; letters of a beginning.
+#: The vocabulary, a bound of the model and not of what is scored: words and beginnings kept; least chi-square, documents and odds against the other class of one; letters of a beginning.
 FEATURES, LEAST_CHI2, LEAST_DOCS, LEAST_ODDS, BEGINNINGS = 5000, 11.0, 4, 3.0, (4, 5, 7)
 #: Rounds of co-training; how sure a pseudo-label must be, and what it weighs against a label.
 ROUNDS, SURE, TRUST = 3, 0.97, 0.5
@@ -275,36 +278,47 @@ def _different(own: set[str], n: int) -> float:
     return sum(1 for f in own if f[-1] != "-") / n if n else 1.0
 
 
-def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Append ``p_text``, ``p_meta`` (each view's calibrated probability of being good), ``score`` (both views') and ``kept``."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.withColumnRenamed(doc_id, "doc_id"), labels))
+def _probabilities(docs: DataFrame, labels: DataFrame, doc_id: str) -> Column:
+    """A struct ``p_text``, ``p_meta``, ``score`` for each row of ``docs``."""
+    told = docs.select(F.col(doc_id).alias("doc_id"), "text", "source", "lang")
+    model = docs.sparkSession.sparkContext.broadcast(fit(told, labels))
 
     @F.pandas_udf("struct<p_text:double,p_meta:double,score:double>")
     def probabilities(texts, sources, langs):
-        import pandas as pd
-
-        m = model.value
-        out = np.ones((len(texts), 3))
-        if m:
-            weights, (a, b) = m["weights"], m["scales"]
-            known = weights.keys()
-            odds = np.empty((len(texts), 2))
-            meta = np.empty((len(texts), len(m["meta"].w)))
-            for i, (t, s, g) in enumerate(zip(texts, sources, langs, strict=True)):
-                own, n = text_features(t)
-                odds[i, 0] = sum(weights[f] for f in sorted(known & own)) + m["text"].b
-                meta[i] = metadata(t, s, g, _different(own, n))
-            odds[:, 1] = m["meta"].odds(meta)
-            odds = np.stack([a.odds(odds[:, :1]), b.odds(odds[:, 1:])], 1)
-            out = 1 - _sure(np.concatenate([odds, m["joint"].odds(_joined(odds))[:, None]], 1))
-        return pd.DataFrame(out, columns=["p_text", "p_meta", "score"])
+        return pd.DataFrame(apply(model.value, texts, sources, langs), columns=["p_text", "p_meta", "score"])
+
+    return probabilities(*(F.coalesce(F.col(c), F.lit("")) for c in ("text", "source", "lang")))
+
 
-    rows = docs.drop("p_text", "p_meta", "score", "kept", "_p").withColumn("_p", probabilities(*(F.coalesce(F.col(c), F.lit("")) for c in ("text", "source", "lang"))))
-    return rows.select(*[c for c in rows.columns if c != "_p"], "_p.*").withColumn("kept", F.col("score") >= KEEP)
+def apply(model: dict, texts, sources, langs) -> np.ndarray:
+    """``p_text``, ``p_meta``, ``score`` of each text."""
+    if not model:
+        return np.ones((len(texts), 3))
+    weights, (a, b) = model["weights"], model["scales"]
+    known = weights.keys()
+    odds = np.empty((len(texts), 2))
+    meta = np.empty((len(texts), len(model["meta"].w)))
+    for i, (t, s, g) in enumerate(zip(texts, sources, langs, strict=True)):
+        own, n = text_features(t)
+        odds[i, 0] = sum(weights[f] for f in sorted(known & own)) + model["text"].b
+        meta[i] = metadata(t, s, g, _different(own, n))
+    odds[:, 1] = model["meta"].odds(meta)
+    odds = np.stack([a.odds(odds[:, :1]), b.odds(odds[:, 1:])], 1)
+    return 1 - _sure(np.concatenate([odds, model["joint"].odds(_joined(odds))[:, None]], 1))
+
+
+def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Append ``p_text``, ``p_meta`` (each view's calibrated probability of being good), ``score`` (both views') and ``kept``."""
+    outputs = ("p_text", "p_meta", "score", "kept")
+    found = free_name([*docs.columns, *outputs], "_p")
+    rows = docs.withColumn(found, _probabilities(docs, labels, doc_id)).drop(*outputs)
+    return rows.select(*[c for c in rows.columns if c != found], f"{found}.*").withColumn("kept", F.col("score") >= KEEP)
 
 
-def filter_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, labels).where("kept").select(docs.columns)
+def filter_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Those rows of ``docs`` that score ``KEEP`` or more."""
+    found = free_name(docs.columns, "_p")
+    return docs.withColumn(found, _probabilities(docs, labels, doc_id)).where(F.col(f"{found}.score") >= KEEP).drop(found)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

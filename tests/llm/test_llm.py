@@ -516,6 +516,26 @@ def test_mix_reruns_agree(spark):
     assert a == b
 
 
+def test_mix_of_odd_tables(spark):
+    """Clashing columns, one id in two sources, repeated rows, ties of size."""
+    rows = [(i % 40, " ".join(["w"] * (1 + i % 5)), "en", f"s{i % 3}", 0) for i in range(120)] + [(7, "a b c", "en", "s1", 0)] * 3
+    df = spark.createDataFrame(rows, DOCS)
+    more = df.selectExpr("*", *(f"'{c}' as {c}" for c in ("size", "key", "s", "target", "taken", "copies", "_s", "_whole", "_cut", "_times", "_n", "w", "base")))
+    plain, clash = (collections.Counter(map(tuple, mixing.mix(d).collect())) for d in (df, more))
+    assert plain == clash and sum(plain.values()) == len(rows)
+    got = mixing.repeat(more)
+    assert got.columns == more.columns
+    out = got.collect()
+    assert all(r._s == "_s" and r.copies == "copies" for r in out)
+    given, taken = collections.Counter(), collections.Counter()
+    for i, t, _, s, _ in rows:
+        given[s] += len(t.split())
+    for r in out:
+        taken[r.source] += len(r.text.split())
+    want = brute_targets(given)
+    assert all(abs(taken[s] - want[s]) <= 20 and taken[s] <= 2 * given[s] for s in given)
+
+
 # ---------------------------------------------------------------- 6 packing
 
 
@@ -894,9 +914,124 @@ def test_without_labels_all_are_kept(spark):
     assert quality.score(rows.limit(0), labels).count() == 0
 
 
+def test_quality_keeps_columns(spark):
+    rows, labels, _ = quality_tables(spark, 60)
+    df = rows.selectExpr("*", "-5.0D as score", "'x' as kept", "1 as p_text", "2 as _p", "3 as bad", "4 as h")
+    kept = quality.filter_good(df, labels)
+    assert kept.columns == df.columns and all(r.score == -5.0 and r.kept == "x" and r._p == 2 for r in kept.collect())
+    scored = quality.score(df, labels)
+    assert scored.where("score between 0 and 1 and kept in (true, false)").count() == 60 and "bad" in scored.columns
+
+
+def test_vocabulary_by_brute_force(spark):
+    rows, labels, _ = quality_tables(spark, 300)
+    told = quality.sample(rows, labels)
+    have = told.select("text", "bad").collect()
+    n = collections.Counter(r.bad for r in have)
+    seen = collections.defaultdict(lambda: [0, 0])
+    for r in have:
+        for f in quality.text_features(r.text)[0]:
+            seen[f][r.bad] += 1
+    want = []
+    for f, (g, b) in seen.items():
+        total = n[0] + n[1]
+        chi2 = total * (b * (n[0] - g) - g * (n[1] - b)) ** 2 / ((g + b) * (total - g - b + 0.5) * n[0] * n[1])
+        if g + b >= quality.LEAST_DOCS and (b + 0.5) * n[0] / ((g + 0.5) * n[1]) >= quality.LEAST_ODDS and chi2 >= quality.LEAST_CHI2:
+            want.append(f)
+    assert quality.vocabulary(told) == sorted(want) and {"idiot", "moron", "scum"} <= set(want)
+
+
+def test_scores_are_those_of_the_model(spark, monkeypatch):
+    """Every document's score from the fitted weights, by plain sums; ties and repeated rows score alike."""
+    rows, labels, _ = quality_tables(spark, 200)
+    rows = rows.unionAll(rows.limit(20)).unionAll(docs(spark, [None, "", "idiot"]).selectExpr("doc_id + 5000", "text", "lang", "source", "n_chars"))
+    models = []
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: models.append(real(*a)) or models[-1])
+    got = quality.score(rows, labels).collect()
+    m = models[0]
+    line = lambda x, w: float(np.dot(x, w.w) + w.b)
+    for r in got:
+        own, n = quality.text_features(r.text)
+        text = sum(m["weights"].get(f, 0.0) for f in own) + m["text"].b
+        meta = line(quality.metadata(r.text, r.source or "", r.lang or "", sum(f[-1] != "-" for f in own) / n if n else 1.0), m["meta"])
+        views = [line([text], m["scales"][0]), line([meta], m["scales"][1])]
+        both = [min(8, max(-8, v)) for v in views]
+        joint = line([*both, max(both)], m["joint"])
+        for x, p in zip([*views, joint], (r.p_text, r.p_meta, r.score), strict=True):
+            assert p == pytest.approx(1 - 1 / (1 + np.exp(-min(30, max(-30, x)))), abs=1e-9)
+        assert r.kept == (r.score >= 0.5)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
+def test_stages_by_brute_force(spark):
+    """Each stage on its own input against plain code."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    stages = dict(corpus_pipeline.STAGES)
+    rng = random.Random(21)
+    base = read(spark, SF, "documents").limit(70).collect()
+    given = [tuple(r) for r in base]
+    for r in base[:25]:  # near and exact copies
+        words = (r.text or "").split(" ")
+        if len(words) > 30:
+            words[rng.randrange(len(words))] = "changed"
+            given.append((r.doc_id + 10**6, " ".join(words), r.lang, r.source, len(" ".join(words))))
+        given.append((r.doc_id + 2 * 10**6, r.text, r.lang, r.source, r.n_chars))
+    given += [(None, None, None, None, None), (7_777_777, "mail a@b.co or +49 30 1234567, card 4539 1488 0343 6467", "en", "s", 5)]
+    df = spark.createDataFrame(given, read(spark, SF, "documents").schema)
+
+    sets, links = brute_shingles([r[1] for r in given])
+    comp = components_of(len(given), links)
+    low = {}
+    for k, r in enumerate(given):
+        low[comp[k]] = min([*low.get(comp[k], []), r[0]], key=lambda i: (i is None, i)) if comp[k] not in low else min(low[comp[k]], r[0], key=lambda i: (i is None, i))
+    want = sorted(str(r[0]) for k, r in enumerate(given) if not sets[k] or low[comp[k]] == r[0])
+    kept = stages["ngram_jaccard_join"](spark, df, SF).collect()
+    assert sorted(str(r.doc_id) for r in kept) == want
+
+    masked = {(r.doc_id, r.source): r for r in stages["pii"](spark, df, SF).collect()}
+    for i, t, _, s, _ in given:
+        out, done = [], 0
+        for start, kind, end in sorted({*brute_spans(t), *((a, k, b) for a, k, b, x in pii.scan(t) if k == 4 and x >= 0.5)}):
+            if start >= done:
+                out += [(t or "")[done:start], f"<{pii.KINDS[kind].upper()}>"]
+            done = max(done, end)
+        text = None if t is None else "".join([*out, t[done:]])
+        assert masked[i, s].text == text and masked[i, s].n_chars == (None if text is None else len(text))
+
+    taken = collections.Counter((r.doc_id, r.source) for r in stages["mixing"](spark, df, SF).collect())
+    size, words = collections.Counter(), collections.Counter()
+    for i, t, _, s, _ in given:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        size[s] += n
+        words[s] += n * taken[i, s]
+    longest = max(len((r[1] or "").split()) for r in given)
+    assert all(abs(words[s] - x) <= longest for s, x in brute_targets(size).items()) and max(taken.values()) <= 2
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    check_packing(stages["best_fit_packing"](spark, df, SF).collect(), lambda t: tok.encode(t, add_special_tokens=False).ids, {r[0]: r[1] for r in given})
+
+    good = {r.doc_id for r in quality.score(df, read(spark, SF, "labels")).where("score >= 0.5").collect()}
+    assert {r.doc_id for r in stages["quality_classifier"](spark, df, SF).collect()} == good
+
+
+def test_stages_keep_clashing_columns_and_take_empty_tables(spark):
+    import corpus_pipeline
+
+    names = ("copies", "_id", "_n", "_s", "_row", "score", "row", "k", "pii", "kept", "size", "length", "piece")
+    df = docs(spark, ["one two three four five six", "one two three four five six", None, "", "mail a@b.co"]).selectExpr("*", *(f"'{c}' as {c}" for c in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        if name != "best_fit_packing":
+            assert out.columns == df.columns, name
+            assert all(r[c] == c for r in out.collect() for c in names), name
+        assert stage(spark, df.limit(0), SF).count() == 0, name
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
