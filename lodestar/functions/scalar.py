@@ -38,20 +38,13 @@ def gaussian_falloff(d: Column, sigma: float) -> Column:
     return F.coalesce(F.exp(-(d * d) / F.lit(2.0 * sigma * sigma)), F.lit(0.0))
 
 
-def stream_power_band(flow: Column, slope_degrees: Column, band: tuple[float, float] = (3.0, 6.0)) -> Column:
-    """Membership of ln(flow * tan slope) in ``band`` with ramps of half a unit; null without flow or slope."""
-    lo, hi = band
-    if not lo < hi:
-        raise ValueError(f"band must ascend, got {band}")
-    t = F.tan(F.radians(slope_degrees))
-    s = F.when((flow > 0) & (t > 0), F.ln(flow * t))
-    return (
-        F.when(s.isNull(), F.lit(None).cast("double"))
-        .when((s >= lo - 0.5) & (s < lo), (s - (lo - 0.5)) / 0.5)
-        .when((s >= lo) & (s <= hi), 1.0)
-        .when((s > hi) & (s <= hi + 0.5), ((hi + 0.5) - s) / 0.5)
-        .otherwise(0.0)
-    )
+def stream_power_band(flow: Column, slope_degrees: Column, band: tuple[float, float] = (3.0, 6.0), ramp: float = 0.5) -> Column:
+    """Membership of ln(flow * tan slope) in a trapezoid: 1 over ``band``, falling to 0 over ``ramp`` on either side; null without flow or slope."""
+    power = flow * F.tan(F.radians(slope_degrees))
+    index = F.when((flow > 0) & (power > 0), F.ln(power))
+    rise, fall = (index - (band[0] - ramp)) / ramp, (band[1] + ramp - index) / ramp
+    inner = F.least(rise, fall)
+    return F.when(inner.isNotNull(), F.least(F.greatest(inner, F.lit(0.0)), F.lit(1.0)))
 
 
 def wetness_index(flow: Column, slope_degrees: Column) -> Column:
@@ -77,7 +70,7 @@ def feet_to_metres(value: Column) -> Column:
 
 
 def pre_clean(text: Column) -> Column:
-    """Separators to single spaces, trimmed, lower case."""
+    """Separators (a fixed set of signs) to single spaces, trimmed, lower case."""
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"[\n\r\-/()]+", " "), r"\s+", " ")))
 
 
@@ -144,8 +137,8 @@ def flat_distance_degrees(lon: Column, lat: Column, lon0: float, lat0: float) ->
     return F.sqrt(dx * dx + dy * dy)
 
 
-def wkt_vertices(wkt: Column, head: int = 10) -> Column:
+def wkt_vertices(wkt: Column) -> Column:
     """The vertices of a WKT polygon as strings, without the one that closes it."""
     inner = F.regexp_extract(wkt, r"\(\(([^()]*)\)", 1)
-    points = F.transform(F.split(inner, ","), F.trim)
+    points = F.transform(F.split(inner, ","), lambda p: F.trim(p))
     return F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0)))

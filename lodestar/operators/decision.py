@@ -1,11 +1,7 @@
-"""Sequential decisions under uncertainty: beliefs, particles, policies and simulated episodes."""
+"""Sequential decisions under uncertainty: beliefs, particles, trajectories."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +11,26 @@ from ..functions.scalar import binary_entropy, normal_tail
 CUTOFF = 0.1
 
 
-def vein_priors(spark: SparkSession, n: int = 20) -> DataFrame:
-    """``hypothesis``, ``cell``, ``prior`` of two crossing veins and a halo on an n x n grid."""
+# The fields of the default hypotheses on an n x n grid. Each falls off as a Gaussian from a line (a x + b y
+# + c n = 0) or a point (in n): hypothesis, line or point, floor, height above it, width.
+FIELDS = [("NW vein", (1.0, 1.0, -1.0), 0.02, 0.38, 2.0), ("NE vein", (-1.0, 1.0, 0.0), 0.02, 0.38, 2.0), ("disseminated", (0.5, 0.5), 0.05, 0.20, 4.0)]
+
+
+def _away(shape: tuple[float, ...], n: int) -> Column:
+    """Squared distance of a cell (``x``, ``y``) from a line or a point."""
+    if len(shape) == 2:
+        dx, dy = F.col("x") - shape[0] * n, F.col("y") - shape[1] * n
+        return dx * dx + dy * dy
+    a, b, c = shape
+    off = a * F.col("x") + b * F.col("y") + c * n
+    return off * off / (a * a + b * b)
+
+
+def vein_priors(spark: SparkSession, n: int = 20, fields: list[tuple] = FIELDS) -> DataFrame:
+    """``hypothesis``, ``cell``, ``prior`` of Gaussian fields around lines and points on an n x n grid."""
     cells = spark.range(n * n).select(F.col("id").alias("cell"), (F.col("id") % n).cast("double").alias("x"), F.floor(F.col("id") / n).cast("double").alias("y"))
-    root2 = F.sqrt(F.lit(2.0))
-    d1, d2 = F.abs(F.col("x") + F.col("y") - n) / root2, F.abs(F.col("y") - F.col("x")) / root2
-    d3 = F.sqrt((F.col("x") - n / 2) * (F.col("x") - n / 2) + (F.col("y") - n / 2) * (F.col("y") - n / 2))
-    fields = [("NW vein", 0.02 + 0.38 * F.exp(-(d1 * d1) / 4.0)), ("NE vein", 0.02 + 0.38 * F.exp(-(d2 * d2) / 4.0)), ("disseminated", 0.05 + 0.20 * F.exp(-(d3 * d3) / 16.0))]
-    return cells.select("cell", F.inline(F.array(*[F.struct(F.lit(h).alias("hypothesis"), F.least(F.greatest(p, F.lit(0.001)), F.lit(0.999)).alias("prior")) for h, p in fields])))
+    each = [F.struct(F.lit(name).alias("hypothesis"), (floor + height * F.exp(-_away(shape, n) / (width * width))).alias("prior")) for name, shape, floor, height, width in fields]
+    return cells.select("cell", F.inline(F.array(*each))).withColumn("prior", F.least(F.greatest("prior", F.lit(0.001)), F.lit(0.999)))
 
 
 def bernoulli_update(belief: DataFrame, priors: DataFrame, observations: DataFrame) -> DataFrame:
@@ -52,7 +60,7 @@ def _normalise(rows: DataFrame) -> DataFrame:
 
 def marginal_prior(belief: DataFrame, priors: DataFrame) -> DataFrame:
     """``cell``, ``p``: the prior averaged over the belief."""
-    return priors.join(F.broadcast(belief), "hypothesis").groupBy("cell").agg(F.sum(F.col("p") * F.col("prior")).alias("p"))  # a row per hypothesis
+    return priors.join(belief, "hypothesis").groupBy("cell").agg(F.sum(F.col("p") * F.col("prior")).alias("p"))
 
 
 def falsified(belief: DataFrame) -> DataFrame:
@@ -74,7 +82,7 @@ def candidates(cells: DataFrame, drilled: DataFrame, score: str, k: int) -> Data
 def expected_deposit(belief: DataFrame, means: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``cell``, ``p``: belief-weighted probability that a Gaussian field exceeds the cutoff."""
     tail = normal_tail((F.lit(cutoff) - F.col("mean")) / F.col("std"))
-    return means.join(F.broadcast(belief), "hypothesis").groupBy("cell").agg(F.sum(F.col("p") * tail).alias("p"))
+    return means.join(belief, "hypothesis").groupBy("cell").agg(F.sum(F.col("p") * tail).alias("p"))
 
 
 def discounted(steps: DataFrame, gamma: float) -> DataFrame:
@@ -126,99 +134,12 @@ def resample(particles: DataFrame, key: str, u: float) -> DataFrame:
     return rows.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("w", 1 / n).select(*particles.columns, "copy")
 
 
-def grid_positions(n_cells: int, horizon: int) -> list[int]:
-    """Cells of the grid policy: evenly spread over the cell numbers."""
-    return [int(x) for x in np.linspace(0, n_cells - 1, horizon)]
-
-
 def matern52(d: Column, scale: float, std: float) -> Column:
     """Matern 5/2 covariance by distance."""
     a = F.sqrt(F.lit(5.0)) * d / scale
     return std * std * (1 + a + a * a / 3) * F.exp(-a)
 
 
-def simulate(spark: SparkSession, prior: np.ndarray, policies: list[str], episodes: int, horizon: int, cost: float = 1.0, value: float = 50.0, seed: int = 0, coords: np.ndarray | None = None) -> DataFrame:
-    """``episode``, ``policy``, ``step``, ``cell``, ``obs``, ``reward`` of simulated drilling.
-
-    One truth is drawn per episode (from the seed and the episode's number alone) and shared by
-    all policies. Episodes are rows of a range; each task runs its own ones, so simulation spreads
-    over the cluster. Policies: ``random``, ``greedy``, ``eoi``, ``grid``, ``rollout``.
-    """
-    shared = spark.sparkContext.broadcast(np.asarray(prior, float))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = shared.value
-        for pdf in batches:
-            rows = []
-            for episode, policy in pdf[["id", "policy"]].itertuples(index=False):
-                truth = np.random.default_rng([seed, episode, 0]).random(len(p)) < p
-                rng = np.random.default_rng([seed, episode, 1])
-                rows += _episode(int(episode), policy, p, truth, rng, horizon, cost, value)
-            yield pd.DataFrame(rows, columns=["episode", "policy", "step", "cell", "obs", "reward"])
-
-    grid = spark.range(episodes).withColumn("policy", F.explode(F.array(*map(F.lit, policies))))
-    return grid.mapInPandas(run, "episode long, policy string, step int, cell long, obs int, reward double")
-
-
-def _episode(episode: int, policy: str, p: np.ndarray, truth: np.ndarray, rng: np.random.Generator, horizon: int, cost: float, value: float) -> list[tuple]:
-    post, done, rows = p.copy(), np.zeros(len(p), bool), []
-    fixed = grid_positions(len(p), horizon)
-    for step in range(min(horizon, len(p))):
-        free = np.flatnonzero(~done)
-        if policy == "random":
-            cell = int(rng.choice(free))
-        elif policy == "grid":
-            cell = fixed[step]
-        elif policy == "eoi":
-            q = np.clip(post[free], 1e-12, 1 - 1e-12)
-            cell = int(free[np.argmax(-(q * np.log2(q) + (1 - q) * np.log2(1 - q)))])
-        elif policy == "rollout":
-            best = free[np.argsort(-post[free], kind="stable")[:15]]
-            tails = [np.sort(post[np.setdiff1d(free, [c])])[::-1][: horizon - step - 1].sum() for c in best]
-            cell = int(best[np.argmax(value * (post[best] + 0.95 * np.array(tails)))])
-        else:
-            cell = int(free[np.argmax(post[free])])
-        again = done[cell]
-        obs = int(truth[cell])
-        rows.append((episode, policy, step, cell, obs, -cost + (0.0 if again else value * obs)))
-        done[cell] = True
-        post[cell] = float(obs)
-    return rows
-
-
-def elliptical_slice(mean: np.ndarray, chol: np.ndarray, loglik, state: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """One elliptical slice step for a Gaussian prior (mean, Cholesky factor)."""
-    nu = chol @ rng.standard_normal(len(mean))
-    level = loglik(state) + np.log(rng.random())
-    angle = rng.random() * 2 * np.pi
-    low, high = angle - 2 * np.pi, angle
-    while True:
-        new = (state - mean) * np.cos(angle) + nu * np.sin(angle) + mean
-        if loglik(new) > level:
-            return new
-        low, high = (angle, high) if angle < 0 else (low, angle)
-        angle = low + rng.random() * (high - low)
-
-
-def field_chains(spark: SparkSession, coords: np.ndarray, mean: np.ndarray, scale: float, std: float, cells: list[int], obs: list[float], noise: float, chains: int, steps: int, seed: int = 0) -> DataFrame:
-    """``chain``, ``cell``, ``value``: posterior draws of a Matern field given noisy observations, one elliptical slice chain per row of a range."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = np.sqrt(((coords[:, None] - coords[None]) ** 2).sum(-1)) * np.sqrt(5.0) / scale
-        chol = np.linalg.cholesky(std**2 * (1 + d + d**2 / 3) * np.exp(-d) + 1e-8 * np.eye(len(coords)))
-        at, y = np.array(cells, int), np.array(obs, float)
-        loglik = lambda f: -0.5 * float(((f[at] - y) ** 2).sum()) / noise**2
-        for pdf in batches:
-            for chain in pdf["id"]:
-                rng = np.random.default_rng([seed, int(chain)])
-                state = mean + chol @ rng.standard_normal(len(mean))
-                for _ in range(steps):
-                    state = elliptical_slice(mean, chol, loglik, state, rng)
-                yield pd.DataFrame({"chain": int(chain), "cell": np.arange(len(mean)), "value": state})
-
-    return spark.range(chains).mapInPandas(run, "chain long, cell long, value double")
-
-
 def retrospective(prior: DataFrame, drilled: DataFrame, percent: float) -> DataFrame:
     """``capture``: positives among the best ``percent`` of undrilled cells (half-even rounding, one at least)."""
     from .ranking import capture_at

@@ -27,7 +27,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     """Append ``weight``: classes weigh the same in total."""
     n = df.groupBy(label).count()
     total, classes = df.count(), max(n.count(), 1)
-    return df.join(F.broadcast(n.select(label, (F.lit(float(total)) / (classes * F.col("count"))).alias("weight"))), label)
+    return df.join(n.select(label, (F.lit(float(total)) / (classes * F.col("count"))).alias("weight")), label)
 
 
 def _inputs(names: list[str], scale: bool) -> list:
@@ -114,6 +114,11 @@ def importances(model: PipelineModel, names: list[str]) -> list[tuple[str, float
     return sorted(zip(names, map(float, got), strict=True), key=lambda x: (-x[1], x[0]))
 
 
+def importance_pivot(importances: DataFrame, models: list[str]) -> DataFrame:
+    """``feature`` and a column per model with its mean importance."""
+    return importances.groupBy("feature").pivot("model", models).agg(F.avg("importance"))
+
+
 def min_max(df: DataFrame, names: list[str]) -> DataFrame:
     """Median-filled columns scaled to 0..1 as the vector ``scaled``."""
     filled = [f"_f_{n}" for n in names]

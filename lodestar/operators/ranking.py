@@ -2,7 +2,8 @@
 
 A window without a partition would put all rows into one task. Here the rows are dealt to value
 ranges found by an approximate quantile, each range is ordered in a task of its own, and the
-counts and sums of the ranges before it (a bounded table) are added. Ties are ordered by ``id``.
+counts and sums of the ranges before it (a bounded table) are added. Ties are ordered by ``by``; a
+value that more than one range's share of the rows have is dealt to ranges of its first ``by``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,21 @@ def _ranges(df: DataFrame, value: Column) -> int:
     return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _tie_range(df: DataFrame, v: Column, found: list[float], by: list[str]) -> Column:
+    """The range of the first of ``by`` (a number) among rows of one frequent value, from 1 on; 0 for other rows, which come before it in its range."""
+    heavy = {x: found.count(x) for x in set(found) if found.count(x) > 1}
+    if not heavy or not by or dict(df.dtypes).get(by[0]) not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return F.lit(0)
+    tie = F.col(by[0]).cast("double")
+    most = max(heavy.values())
+    cuts = {r[0]: r[1] for r in df.where(v.isin(*heavy)).groupBy(v.alias("v")).agg(F.percentile_approx(tie, [i / most for i in range(1, most)], 50 * most)).collect()}
+    out = F
+    for x, edges in cuts.items():
+        e = F.array(*map(F.lit, sorted(set(edges or [])))).cast("array<double>")
+        out = out.when(v == F.lit(x), 1 + F.size(F.filter(e, lambda b: b < tie)))
+    return out.otherwise(F.lit(0)) if out is not F else F.lit(0)
+
+
 def ordered(df: DataFrame, value: str, by: list[str], descending: bool = True, sums: dict[str, Column] | None = None, over: list[str] | None = None) -> DataFrame:
     """Append ``rank`` (1 is first; nulls last), ``n`` and, for each of ``sums``, ``<name>_upto`` and ``<name>_total``.
 
@@ -23,27 +39,28 @@ def ordered(df: DataFrame, value: str, by: list[str], descending: bool = True, s
     sums, over = sums or {}, over or []
     n = _ranges(df, F.col(value))
     v = F.col(value).cast("double")
-    bounds = sorted(set(df.agg(F.percentile_approx(v, [i / n for i in range(1, n)], 50 * n)).first()[0] or []))
+    found = sorted(df.agg(F.percentile_approx(v, [i / n for i in range(1, n)], 50 * n)).first()[0] or [])
+    bounds = sorted(set(found))
     edges = F.array(*map(F.lit, bounds)).cast("array<double>") if bounds else F.array().cast("array<double>")
     before = F.size(F.filter(edges, (lambda b: b > v) if descending else (lambda b: b < v)))
-    rows = df.withColumn("_r", F.when(v.isNull(), F.lit(len(bounds) + 1)).otherwise(before))
+    rows = df.withColumn("_r", F.when(v.isNull(), F.lit(len(bounds) + 1)).otherwise(before)).withColumn("_q", _tie_range(df, v, found, by))
     rows = rows.withColumns({f"_s_{k}": F.coalesce(c, F.lit(0)) for k, c in sums.items()})
     first = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    order = Window.partitionBy(*over, "_r").orderBy(first, *by)
+    order = Window.partitionBy(*over, "_r", "_q").orderBy(first, *by)
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     ranked = rows.withColumns({"_rank": F.row_number().over(order), **{f"_u_{k}": F.sum(f"_s_{k}").over(run) for k in sums}})
-    totals = rows.groupBy(*over, "_r").agg(F.count("*").alias("_n"), *[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums])
-    earlier = Window.partitionBy(*over).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*over, "_r", "_q").agg(F.count("*").alias("_n"), *[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums])
+    earlier = Window.partitionBy(*over).orderBy("_r", "_q").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*over)
     offsets = totals.select(
-        *over, "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"), F.sum("_n").over(whole).alias("n"),
+        *over, "_r", "_q", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"), F.sum("_n").over(whole).alias("n"),
         *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in sums], *[F.sum(f"_t_{k}").over(whole).alias(f"{k}_total") for k in sums],
     )
     if not over:
         offsets = F.broadcast(offsets)  # a row per range
-    out = ranked.join(offsets, [*over, "_r"])
+    out = ranked.join(offsets, [*over, "_r", "_q"])
     return out.withColumns({"rank": (F.col("_rank") + F.col("_o")).cast("long"), **{f"{k}_upto": F.col(f"_u_{k}") + F.col(f"_b_{k}") for k in sums}}).drop(
-        "_r", "_rank", "_o", *[f"_{p}_{k}" for p in "sub" for k in sums]
+        "_r", "_q", "_rank", "_o", *[f"_{p}_{k}" for p in "sub" for k in sums]
     )
 
 
@@ -136,6 +153,23 @@ def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
+def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Append ``out``: the lowest ascending rank among equal values as a share of all rows that have one; null for those without."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("c"))
+    low = ordered(counts, "_v", [], descending=False, sums={"c": F.col("c")}).select("_v", ((F.col("c_upto") - F.col("c") + 1) / F.col("c_total")).alias(out))
+    return df.join(low, F.col(value) == F.col("_v"), "left").drop("_v")
+
+
+def fold_capture(df: DataFrame, score: str, positive: str, fold: str, by: list[str], percent: float, least_rows: int = 50, least_positives: int = 3) -> DataFrame:
+    """``fold``, ``n``, ``pos``, ``capture``, ``lift`` of the best ``percent`` of each fold; folds below the least counts are left out."""
+    y = F.col(positive).cast("long")
+    rows = ordered(df, score, by, sums={"pos": y}, over=[fold]).where((F.col("n") >= least_rows) & (F.col("pos_total") >= least_positives))
+    top = F.ceil(F.col("n") * percent / 100.0)
+    found = rows.groupBy(fold, F.col("n").cast("long").alias("n"), F.col("pos_total").cast("long").alias("pos")).agg(F.sum(F.when(F.col("rank") <= top, y).otherwise(0)).alias("hits"))
+    capture = F.col("hits") / F.col("pos")
+    return found.select(fold, "n", "pos", capture.alias("capture"), (capture * F.col("n") / F.ceil(F.col("n") * percent / 100.0)).alias("lift"))
+
+
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``a``, ``b``, ``pearson``, ``spearman`` for each pair of columns."""
     names = sorted({c for p in pairs for c in p})

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import to_ppm
+from ..functions.scalar import gate, to_ppm
 from .ranking import percentiles
 
 
+#: Boxes that every point is compared with at most.
+MOST_REGIONS = 10_000
+
+
 def semi_filter(assays: DataFrame, ids: DataFrame, key: str, species: list[str]) -> DataFrame:
     """Assays of wanted samples and species."""
     return assays.where(F.col("species").isin(species)).join(ids.select(key).distinct(), key, "left_semi")
@@ -71,7 +75,14 @@ def factorize(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     if by is None:
         from pyspark.sql import Window
 
-        codes = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)  # distinct values only
+        from ..plans.storage import materialize
+
+        # distinct values, dealt to ranges; a range is ordered in its own task and the sizes of the ranges before it are added
+        n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = materialize(df.where(F.col(column).isNotNull()).select(column).distinct().repartitionByRange(n, column).withColumn("_p", F.spark_partition_id()))
+        before = dealt.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # a row per range
+        place = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
+        codes = dealt.withColumn("_k", place).join(F.broadcast(before), "_p").select(column, (F.col("_k") + F.col("_o")).cast("int").alias("code"))
     else:
         first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(by).alias("_f"))
         codes = ordered(first, "_f", [column], descending=False).select(column, (F.col("rank") - 1).cast("int").alias("code"))
@@ -90,11 +101,20 @@ def statistics(df: DataFrame, p: str, cutoffs: list[float]) -> DataFrame:
 
 
 def regional_statistics(df: DataFrame, regions: DataFrame, p: str) -> DataFrame:
-    """``region``, ``count``, ``mean``, ``max`` of the points inside each box (boxes may overlap; they are a small table)."""
+    """``region``, ``count``, ``mean``, ``max`` of the points inside each box (boxes may overlap; up to ``MOST_REGIONS`` of them, else an error)."""
+    if regions.count() > MOST_REGIONS:
+        raise ValueError(f"more than {MOST_REGIONS} regions: assign points to regions by a grid instead")
     inside = df.join(F.broadcast(regions), F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax")))
     return inside.groupBy("region").agg(F.count(p).alias("count"), F.avg(p).alias("mean"), F.max(p).alias("max"))
 
 
+def area_gates(df: DataFrame, area: str, listed: list[str], passes: int, marginal: int) -> DataFrame:
+    """``area``, ``n``, ``gate`` of the listed areas, and one row ``outside`` (no gate) for records of other areas or of none."""
+    named = F.when(F.col(area).isin(listed), F.col(area)).otherwise("outside")
+    counts = df.groupBy(named.alias("area")).agg(F.count("*").alias("n"))
+    return counts.withColumn("gate", F.when(F.col("area") != "outside", gate(F.col("n"), passes, marginal)))
+
+
 def bag_quantiles(bags: DataFrame, key: str, p: str = "p") -> DataFrame:
     """Across bags, per cell: ``p05``, ``p50``, ``p95``, ``mean``, ``spread``."""
     out = bags.groupBy(key).agg(F.percentile(p, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("_q"), F.avg(p).alias("mean"))

@@ -121,6 +121,13 @@ def inside(left: DataFrame, right: DataFrame, radius: float, key: str, strict: b
     return left.join(near_any(left, right, radius, key, strict), key, "left_semi")
 
 
+def reclassify(points: DataFrame, pits: DataFrame, radius: float, key: str, on_old_unit: Column, old: str, young: str) -> DataFrame:
+    """Append ``class``: ``old`` for points at most ``radius`` from a pit or on an old unit, else ``young``."""
+    near = near_any(points, pits, radius, key).withColumn("_near", F.lit(True))
+    rows = points.join(near, key, "left")
+    return rows.withColumn("class", F.when(F.coalesce(F.col("_near"), F.lit(False)) | F.coalesce(on_old_unit, F.lit(False)), old).otherwise(young)).drop("_near")
+
+
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, key: str, right_key: str, payload: list[str] | None = None) -> DataFrame:
     """Left join with the nearest right point at most ``radius`` away: ``near_id``, ``near_d`` and ``payload``; ties go to the smallest id."""
     payload = payload or []
@@ -131,13 +138,22 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, key: str, r
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, start: float) -> DataFrame:
-    """``key``, ``near_id``, ``near_d`` for every left point. The search radius doubles for the points that have found nothing yet; no rows for an empty right side."""
-    todo, radius = left.select(key, "x", "y"), start
-    found = todo.select(key).limit(0).withColumns({"near_id": F.lit(None).cast(dict(right.dtypes)[right_key]), "near_d": F.lit(None).cast("double")})
-    if right.isEmpty():
-        return found
+    """``key``, ``near_id``, ``near_d`` for every left point. The search radius doubles for the points that have found nothing yet.
+
+    Points without a whole place (a null or NaN coordinate) are near nothing and come out with nulls; so do all for an empty
+    right side. Each round is written to the shared folder, so that later rounds don't repeat earlier ones.
+    """
+    from ..plans.storage import materialize
+
+    placed = lambda df: df.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double")))
+    points, marks = left.select(key, "x", "y"), placed(right.select("x", "y", right_key))
+    nothing = [F.lit(None).cast(dict(right.dtypes)[right_key]).alias("near_id"), F.lit(None).cast("double").alias("near_d")]
+    if marks.isEmpty():
+        return points.select(key, *nothing)
+    todo, radius = materialize(placed(points)), start
+    found = points.exceptAll(todo).select(key, *nothing)
     while not todo.isEmpty():
-        got = nearest_within(todo, right, radius, key, right_key)
+        got = materialize(nearest_within(todo, marks, radius, key, right_key))
         found = found.unionByName(got.where("near_id is not null").select(key, "near_id", "near_d"))
         todo, radius = got.where("near_id is null").select(key, "x", "y"), radius * 2
     return found
@@ -192,10 +208,16 @@ def tangents(points: DataFrame, lines: DataFrame, key: str, reach: float) -> Dat
 
 
 def shared_vertices(shapes: DataFrame, key: str, vertices: str, flag: str) -> DataFrame:
-    """``key``, ``neighbour``: whether a shape shares a vertex with a flagged one (itself included)."""
-    exploded = shapes.select(key, flag, F.explode(vertices).alias("v"))
-    marked = exploded.where(flag).select("v").distinct()
-    hit = exploded.join(marked, "v", "left_semi").select(key).distinct().withColumn("neighbour", F.lit(True))
+    """``key``, ``neighbour``: whether a shape shares a vertex with a flagged one (itself included).
+
+    Vertices are exploded once, to the shared folder; a vertex that many shapes have is one row of the flagged ones, so
+    the way back is a semi-join, broadcast where they are few.
+    """
+    from ..plans.storage import materialize, small
+
+    exploded = materialize(shapes.select(key, flag, F.explode(vertices).alias("v")))
+    marked = materialize(exploded.where(flag).select("v").distinct())
+    hit = exploded.join(small(marked), "v", "left_semi").select(key).distinct().withColumn("neighbour", F.lit(True))
     return shapes.select(key).join(hit, key, "left").withColumn("neighbour", F.coalesce("neighbour", F.lit(False)))
 
 

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; in local mode a temporary folder where it is unset, on a cluster that is an error."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got
@@ -25,6 +28,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast of a written ``table`` of numbers and short strings that has at most so many rows; beyond that it joins by shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def stage(spark: SparkSession, folder: str, name: str, version: str, build) -> DataFrame:
     """The table of a stage: read where this version was finished before, else built and written. A table without its success mark is built anew."""
     path = f"{folder}/{name}-{version}"

@@ -1,8 +1,7 @@
-"""Beliefs, trajectories and simulated decisions."""
+"""Beliefs and trajectories."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +20,10 @@ def vein_priors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").where("s_suppkey <= 12").select((F.col("s_suppkey") * 33 % 400).alias("cell"), (F.col("s_acctbal") > 3000).cast("int").alias("obs"))
+    return table(spark, d, "supplier").select((F.col("s_suppkey") * 33 % 400).alias("cell"), (F.col("s_acctbal") > 3000).cast("int").alias("obs"))
 
 
-OBS_SQL = "obs AS (SELECT s_suppkey * 33 % 400 AS cell, (s_acctbal > 3000)::INT AS obs FROM supplier WHERE s_suppkey <= 12)"
+OBS_SQL = "obs AS (SELECT s_suppkey * 33 % 400 AS cell, (s_acctbal > 3000)::INT AS obs FROM supplier)"
 POST_SQL = f"{PRIORS_SQL}, {OBS_SQL}, ll AS (SELECT hypothesis, sum(ln(CASE WHEN obs = 1 THEN prior ELSE 1 - prior END)) AS ll FROM priors JOIN obs USING (cell) GROUP BY hypothesis), post AS (SELECT hypothesis, exp(ll - (SELECT max(ll) FROM ll)) / (SELECT sum(exp(ll - (SELECT max(ll) FROM ll))) FROM ll) AS p FROM ll)"
 
 
@@ -124,30 +123,19 @@ def _particles(spark: SparkSession, d: str) -> DataFrame:
     return decision.reweigh(p, F.exp(-F.pow(F.col("value") - 0.1, 2) / 0.02))
 
 
-@query("WITH w AS (SELECT vec_id, exp(-pow(embedding[1]::DOUBLE - 0.1, 2) / 0.02) AS w FROM embeddings) SELECT count(*) AS n FROM w")
+@query("""WITH w AS (SELECT vec_id, exp(-pow(embedding[1]::DOUBLE - 0.1, 2) / 0.02) AS w FROM embeddings), u AS (SELECT vec_id, w, sum(w) OVER (ORDER BY vec_id) AS upto, sum(w) OVER () AS total, count(*) OVER () AS n FROM w),
+k AS (SELECT vec_id, n, CAST(ceil(upto / total * n - 0.5 - 1e-12) - ceil((upto - w) / total * n - 0.5 - 1e-12) AS INT) AS copies FROM u)
+SELECT vec_id, CAST(unnest(range(1, copies + 1)) AS INT) AS copy, 1.0::DOUBLE / n AS w FROM k WHERE copies > 0""")
 def particle_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Systematic resampling keeps the number of particles."""
-    return decision.resample(_particles(spark, d), "vec_id", 0.5).agg(F.count("*").alias("n"))
+    """The particles that systematic resampling keeps, with the number of each copy."""
+    return decision.resample(_particles(spark, d), "vec_id", 0.5).select("vec_id", "copy", "w")
 
 
-@query()
-def expected_deposit(spark: SparkSession, d: str) -> DataFrame:
-    means = decision.vein_priors(spark).select("hypothesis", "cell", F.col("prior").alias("mean"), F.lit(0.1).alias("std"))
-    return decision.expected_deposit(_posterior(spark, d), means)
-
+TAIL_SQL = "exp(-a * a / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))"
 
-@query()
-def episode_sim(spark: SparkSession, d: str) -> DataFrame:
-    """Simulated drilling under five policies, summarised."""
-    prior = np.array([r[0] for r in decision.vein_priors(spark).where("hypothesis = 'disseminated'").orderBy("cell").select("prior").collect()])
-    steps = decision.simulate(spark, prior, ["random", "greedy", "eoi", "grid", "rollout"], 64, 9)
-    e = steps.groupBy("episode", "policy").agg(F.sum("reward").alias("total"), F.bool_or(F.col("obs") == 1).alias("found"))
-    return decision.policy_summary(e)
 
-
-@query()
-def field_posterior(spark: SparkSession, d: str) -> DataFrame:
-    """Probability that a Matern field exceeds the cutoff, from elliptical slice chains."""
-    xy = np.array([(i % 8, i // 8) for i in range(64)], float)
-    draws = decision.field_chains(spark, xy, np.full(64, 0.05), 3.0, 0.1, [9, 27, 45], [0.2, 0.0, 0.15], 0.05, 32, 20)
-    return draws.groupBy("cell").agg(F.avg((F.col("value") > decision.CUTOFF).cast("int")).alias("p"))
+@query(f"""WITH {POST_SQL}, z AS (SELECT hypothesis, cell, (0.1 - prior) / 0.1 AS z FROM priors), q AS (SELECT *, abs(z) AS a, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z)
+SELECT cell, round(sum(p * CASE WHEN z >= 0 THEN {TAIL_SQL} ELSE 1 - {TAIL_SQL} END), 8) AS p FROM q JOIN post USING (hypothesis) GROUP BY cell""")
+def expected_deposit(spark: SparkSession, d: str) -> DataFrame:
+    means = decision.vein_priors(spark).select("hypothesis", "cell", F.col("prior").alias("mean"), F.lit(0.1).alias("std"))
+    return rounded(decision.expected_deposit(_posterior(spark, d), means), 8)

@@ -57,16 +57,16 @@ CELLS_SQL = """cells AS (SELECT p_partkey AS cell_id, p_partkey // 50 AS row, p_
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First line items as sample points with a grade and a price."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    one = li.groupBy(F.col("l_orderkey").alias("sample_id")).agg(
+    """Line items as sample points with a grade and a price."""
+    li = table(spark, sf_dir, "lineitem")
+    one = li.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sample_id")).agg(
         F.max("l_quantity").alias("grade"), F.max(F.when(F.col("l_discount") > 0, F.col("l_extendedprice"))).alias("price"), F.max("l_returnflag").alias("category"),
     )
     return one.withColumns({"x": ((F.col("sample_id") * 7919) % WIDTH).cast("double"), "y": ((F.col("sample_id") * 104729) % HEIGHT).cast("double")})
 
 
-SAMPLES_SQL = """samples AS (SELECT l_orderkey AS sample_id, ((l_orderkey * 7919) % 12500)::DOUBLE AS x, ((l_orderkey * 104729) % 10000)::DOUBLE AS y, max(l_quantity) AS grade,
-  max(CASE WHEN l_discount > 0 THEN l_extendedprice END) AS price, max(l_returnflag) AS category FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey)"""
+SAMPLES_SQL = """samples AS (SELECT l_orderkey * 8 + l_linenumber AS sample_id, (((l_orderkey * 8 + l_linenumber) * 7919) % 12500)::DOUBLE AS x, (((l_orderkey * 8 + l_linenumber) * 104729) % 10000)::DOUBLE AS y,
+  max(l_quantity) AS grade, max(CASE WHEN l_discount > 0 THEN l_extendedprice END) AS price, max(l_returnflag) AS category FROM lineitem GROUP BY l_orderkey * 8 + l_linenumber)"""
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,11 +54,10 @@ def radius_zero_filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {SAMPLES_SQL}, {ANCHORS_SQL} SELECT sample_id, arg_min(anchor_id, (sqrt((s.x - a.x) * (s.x - a.x) + (s.y - a.y) * (s.y - a.y)), anchor_id)) AS near_id,
-  round(min(sqrt((s.x - a.x) * (s.x - a.x) + (s.y - a.y) * (s.y - a.y))), 6) AS near_d FROM samples s, anchors a WHERE s.sample_id % 5 = 1 GROUP BY sample_id""")
+  round(min(sqrt((s.x - a.x) * (s.x - a.x) + (s.y - a.y) * (s.y - a.y))), 6) AS near_d FROM samples s, anchors a GROUP BY sample_id""")
 def nearest_point(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest anchor of a class of samples, however far."""
-    left = samples(spark, d).where("sample_id % 5 = 1")
-    return rounded(spatial.nearest(left, anchors(spark, d), "sample_id", "anchor_id", 500.0).select("sample_id", F.col("near_id"), "near_d"))
+    """The nearest anchor of each sample, however far."""
+    return rounded(spatial.nearest(samples(spark, d), anchors(spark, d), "sample_id", "anchor_id", 500.0).select("sample_id", F.col("near_id"), "near_d"))
 
 
 @query(f"""WITH {SAMPLES_SQL}, {ANCHORS_SQL}, p AS (SELECT sample_id, anchor_id, sqrt((s.x - a.x) * (s.x - a.x) + (s.y - a.y) * (s.y - a.y)) AS d FROM samples s, anchors a WHERE abs(s.x - a.x) <= 800 AND abs(s.y - a.y) <= 800),
@@ -174,11 +173,11 @@ def neighbour_vertices(spark: SparkSession, d: str) -> DataFrame:
     return spatial.shared_vertices(docs, "doc_id", "v", "f")
 
 
-@query(f"""WITH {SAMPLES_SQL}, {ANCHORS_SQL}, kept AS (SELECT sample_id, x, y FROM samples s WHERE sample_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM anchors a WHERE sqrt((s.x - a.x) * (s.x - a.x) + (s.y - a.y) * (s.y - a.y)) <= 300)), {CELLS_SQL}
+@query(f"""WITH {SAMPLES_SQL}, {ANCHORS_SQL}, kept AS (SELECT sample_id, x, y FROM samples s WHERE NOT EXISTS (SELECT 1 FROM anchors a WHERE sqrt((s.x - a.x) * (s.x - a.x) + (s.y - a.y) * (s.y - a.y)) <= 300)), {CELLS_SQL}
 SELECT sample_id, cells.cell_id, elevation FROM kept JOIN cells ON cells.cell_id = floor(kept.y / 250) * 50 + floor(kept.x / 250)""")
 def blind_set(spark: SparkSession, d: str) -> DataFrame:
     """Samples away from all anchors, with the score of their cell."""
-    kept = spatial.outside(samples(spark, d).where("sample_id % 3 = 0"), anchors(spark, d), 300.0, "sample_id")
+    kept = spatial.outside(samples(spark, d), anchors(spark, d), 300.0, "sample_id")
     at = spatial.assign_cells(kept.select("sample_id", "x", "y"), grid(spark, d))
     return at.join(cells(spark, d).select("row", "col", "cell_id", "elevation"), ["row", "col"]).select("sample_id", "cell_id", "elevation")
 
@@ -194,15 +193,15 @@ def upstream_max(spark: SparkSession, d: str) -> DataFrame:
     return rounded(network.distance_downstream(reaches, seeds, 100.0).select("comid", "seed_max", "downstream"))
 
 
-@query("""WITH c AS (SELECT o_orderkey AS comid, o_orderkey AS hydroseq, o_totalprice / 1000 AS arbolate FROM orders WHERE o_orderkey % 20 = 0),
-s AS (SELECT l_orderkey AS hydroseq, l_extendedprice / 500 AS arbolate, l_quantity AS value FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 3),
+@query("""WITH c AS (SELECT o_orderkey AS comid, o_orderkey AS hydroseq, o_totalprice / 1000 AS arbolate FROM orders),
+s AS (SELECT l_orderkey AS hydroseq, l_extendedprice / 500 AS arbolate, l_quantity AS value FROM lineitem),
 w AS (SELECT comid, exp(-greatest(s.arbolate - c.arbolate, 0) / 5) + 0.3 * exp(-greatest(s.arbolate - c.arbolate, 0) / 25) AS w, value FROM c JOIN s ON s.hydroseq >= c.hydroseq)
-SELECT comid, count(*) AS n_samples, round(sum(w * value) / sum(w), 6) AS catchment FROM w GROUP BY comid""")
+SELECT comid, count(*) AS n_samples, round(sum(w * value) / sum(w) * 65536) / 65536 AS catchment FROM w GROUP BY comid""")
 def hawkes(spark: SparkSession, d: str) -> DataFrame:
     """Upstream samples averaged with a near and a far decay."""
-    c = table(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("comid"), F.col("o_orderkey").alias("hydroseq"), (F.col("o_totalprice") / 1000).alias("arbolate"))
-    s = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 10 = 3").select(F.col("l_orderkey").alias("hydroseq"), (F.col("l_extendedprice") / 500).alias("arbolate"), F.col("l_quantity").cast("double").alias("value"))
-    return rounded(network.dual_decay(c, s))
+    c = table(spark, d, "orders").select(F.col("o_orderkey").alias("comid"), F.col("o_orderkey").alias("hydroseq"), (F.col("o_totalprice") / 1000).alias("arbolate"))
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hydroseq"), (F.col("l_extendedprice") / 500).alias("arbolate"), F.col("l_quantity").cast("double").alias("value"))
+    return network.dual_decay(c, s).withColumn("catchment", F.round(F.col("catchment") * 65536) / 65536)  # a binary grid: means of whole numbers are often decimal ties
 
 
 @query(f"""WITH {SAMPLES_SQL}, h AS (SELECT sample_id, (sqrt(3.0) / 3 * x - y / 3) / 500 AS q, 2 * y / 3 / 500 AS r FROM samples), k AS (SELECT *, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs FROM h)

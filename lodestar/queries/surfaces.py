@@ -9,7 +9,7 @@ from ..functions import scalar
 from ..model import FeatureWeight
 from ..operators import raster
 from ..plans import index
-from .registry import ANCHORS_SQL, CELLS_SQL, anchors, cells, query, rounded, table
+from .registry import ANCHORS_SQL, CELLS_SQL, anchors, cells, grid, query, rounded, table
 
 
 def _raster(spark: SparkSession, d: str) -> DataFrame:
@@ -31,16 +31,15 @@ def focal_mean_null(spark: SparkSession, d: str) -> DataFrame:
     return rounded(raster.box(v, 1).select("row", "col", "box"), 5)
 
 
-FULL = "f AS (SELECT row, col, value FROM r WHERE row BETWEEN 1 AND 20)"
+FULL = "f AS (SELECT row, col, value FROM r), z AS (SELECT max(row) AS m FROM r)"
 
 
-@query(f"""{R}, {FULL}, o AS (SELECT unnest(range(-2, 3)) AS k), n AS (SELECT a.row, a.col, a.value, CASE WHEN a.row + i.k < 1 THEN 1 - (a.row + i.k) + 0 ELSE CASE WHEN a.row + i.k > 20 THEN 41 - (a.row + i.k) ELSE a.row + i.k END END AS r2,
-  CASE WHEN a.col + j.k < 0 THEN -1 - (a.col + j.k) ELSE CASE WHEN a.col + j.k > 49 THEN 99 - (a.col + j.k) ELSE a.col + j.k END END AS c2 FROM f a, o i, o j)
+@query(f"""{R}, {FULL}, o AS (SELECT unnest(range(-2, 3)) AS k), n AS (SELECT a.row, a.col, a.value, CASE WHEN a.row + i.k < 0 THEN -1 - (a.row + i.k) WHEN a.row + i.k > m THEN 2 * m + 1 - (a.row + i.k) ELSE a.row + i.k END AS r2,
+  CASE WHEN a.col + j.k < 0 THEN -1 - (a.col + j.k) ELSE CASE WHEN a.col + j.k > 49 THEN 99 - (a.col + j.k) ELSE a.col + j.k END END AS c2 FROM f a, z, o i, o j)
 SELECT n.row, n.col, CASE WHEN round(n.value - avg(b.value), 5) = 0 THEN 0 ELSE round(n.value - avg(b.value), 5) END AS tpi FROM n JOIN f b ON b.row = n.r2 AND b.col = n.c2 GROUP BY n.row, n.col, n.value""")
 def box_mean_tpi(spark: SparkSession, d: str) -> DataFrame:
-    """Value less the box mean with mirrored edges, on rows 1 to 20."""
-    f = _raster(spark, d).where("row between 1 and 20").withColumn("row", F.col("row") - 1)
-    return rounded(raster.tpi(f, 2, 20, 50).select((F.col("row") + 1).alias("row"), "col", "tpi"), 5)
+    """Value less the box mean with mirrored edges."""
+    return rounded(raster.tpi(_raster(spark, d), 2, grid(spark, d).n_rows, 50).select("row", "col", "tpi"), 5)
 
 
 @query(f"""{R}, x AS (SELECT a.row, a.col, a.value, max(b.value) AS d FROM r a JOIN r b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY ALL)
@@ -55,13 +54,13 @@ def local_relief(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{R}, {FULL}, o AS (SELECT * FROM (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) t(dr, dc)),
-t AS (SELECT a.row, a.col, sum(abs(b.value - a.value)) / 8 AS tri FROM f a, o JOIN f b ON b.row = least(greatest(a.row + dr, 1), 20) AND b.col = least(greatest(a.col + dc, 0), 49) GROUP BY a.row, a.col),
+t AS (SELECT a.row, a.col, sum(abs(b.value - a.value)) / 8 AS tri FROM f a CROSS JOIN z CROSS JOIN o JOIN f b ON b.row = least(greatest(a.row + dr, 0), m) AND b.col = least(greatest(a.col + dc, 0), 49) GROUP BY a.row, a.col),
 g AS (SELECT a.row, a.col, CASE WHEN w.value IS NULL THEN (e.value - a.value) / 250 WHEN e.value IS NULL THEN (a.value - w.value) / 250 ELSE (e.value - w.value) / 500 END AS gx,
   CASE WHEN n.value IS NULL THEN (s.value - a.value) / 250 WHEN s.value IS NULL THEN (a.value - n.value) / 250 ELSE (s.value - n.value) / 500 END AS gy
   FROM f a LEFT JOIN f w ON w.row = a.row AND w.col = a.col - 1 LEFT JOIN f e ON e.row = a.row AND e.col = a.col + 1 LEFT JOIN f n ON n.row = a.row - 1 AND n.col = a.col LEFT JOIN f s ON s.row = a.row + 1 AND s.col = a.col)
 SELECT row, col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 5) AS slope, round(tri, 5) AS tri FROM g JOIN t USING (row, col)""")
 def slope_tri(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(raster.slope_tri(_raster(spark, d).where("row between 1 and 20"), 250.0).select("row", "col", "slope", "tri"), 5)
+    return rounded(raster.slope_tri(_raster(spark, d), 250.0).select("row", "col", "slope", "tri"), 5)
 
 
 @query(f"{R} SELECT CAST(floor(row / 4) AS BIGINT) AS row, CAST(floor(col / 4) AS BIGINT) AS col, round(avg(value), 5) AS value, count(value) AS n FROM r GROUP BY 1, 2")
@@ -187,10 +186,10 @@ def terrace_composite(spark: SparkSession, d: str) -> DataFrame:
     return rounded(index.terrace_likelihood(c, "elevation", "slope", "alluvium", cap=30.0).select("cell_id", "terrace"))
 
 
-@query(f"""{R}, m AS (SELECT * FROM r WHERE row BETWEEN 1 AND 20), g AS (SELECT a.row, a.col, CASE WHEN w.value IS NULL THEN (e.value - a.value) WHEN e.value IS NULL THEN (a.value - w.value) ELSE (e.value - w.value) / 2 END AS gx,
+@query(f"""{R}, m AS (SELECT * FROM r), g AS (SELECT a.row, a.col, CASE WHEN w.value IS NULL THEN (e.value - a.value) WHEN e.value IS NULL THEN (a.value - w.value) ELSE (e.value - w.value) / 2 END AS gx,
   CASE WHEN n.value IS NULL THEN (s.value - a.value) WHEN s.value IS NULL THEN (a.value - n.value) ELSE (s.value - n.value) / 2 END AS gy, pow((a.row * 50 + a.col) * 37 % 1000 + 1, 0.45) AS p
   FROM m a LEFT JOIN m w ON w.row = a.row AND w.col = a.col - 1 LEFT JOIN m e ON e.row = a.row AND e.col = a.col + 1 LEFT JOIN m n ON n.row = a.row - 1 AND n.col = a.col LEFT JOIN m s ON s.row = a.row + 1 AND s.col = a.col),
 k AS (SELECT row, col, sqrt(gx * gx + gy * gy) * p AS k FROM g) SELECT row, col, round((k - (SELECT min(k) FROM k)) / ((SELECT max(k) FROM k) - (SELECT min(k) FROM k)), 6) AS ksn FROM k""")
 def channel_steepness(spark: SparkSession, d: str) -> DataFrame:
-    c = cells(spark, d).where("row between 1 and 20").select("row", "col", F.col("elevation").alias("value"), "flow")
+    c = cells(spark, d).select("row", "col", F.col("elevation").alias("value"), "flow")
     return rounded(raster.channel_steepness(raster.slope_tri(c, 1.0)).select("row", "col", "ksn"))

@@ -177,9 +177,62 @@ def test_tiles_equal_the_whole(spark):
     assert all(abs(got[i, j] - whole[i, j]) < 1e-9 for i in range(20) for j in range(20))
 
 
-def test_token_set_ratio():
-    assert token_set_ratio("quartz vein", "vein quartz") == 100.0
-    assert token_set_ratio("", "") == 0.0
+def brute_token_set_ratio(a, b):
+    """By sets of words and the longest common subsequence, plainly."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, left, right = (" ".join(sorted(w)) for w in (x & y, x - y, y - x))
+    if both and (not left or not right):
+        return 100.0
+    table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, c in enumerate(left):
+        for j, e in enumerate(right):
+            table[i + 1][j + 1] = table[i][j] + 1 if c == e else max(table[i][j + 1], table[i + 1][j])
+    ab, ba = (f"{both} {w}".strip() for w in (left, right))
+    ratio = lambda distance, total: 100.0 * (1 - distance / total) if total else 0.0
+    best = ratio(len(left) + len(right) - 2 * table[-1][-1], len(ab) + len(ba))
+    return max([best, *([ratio(len(w) - len(both), len(both) + len(w)) for w in (ab, ba)] if both else [])])
+
+
+def test_token_set_ratio(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["quartz", "vein", "pyrite", "pyritic", "a", "argillite", "argillic", "granite", ""]
+    pairs = [("quartz vein", "vein quartz"), ("", ""), ("", "a"), ("a a", "a"), ("fuzzy was a bear", "fuzzy fuzzy was a bear"), ("abc", "xyz")]
+    pairs += [(" ".join(rng.choices(words, k=rng.randrange(5))), " ".join(rng.choices(words, k=rng.randrange(5)))) for _ in range(60)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a string, b string")
+    for r in df.select("i", token_set_ratio(F.col("a"), F.col("b")).alias("r")).collect():
+        assert r.r == pytest.approx(brute_token_set_ratio(*pairs[r.i])), pairs[r.i]
+
+
+def test_nearest_of_points_without_a_place(spark):
+    nan = float("nan")
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, nan, 1.0), (4, 9e4, 0.0)], "id long, x double, y double")
+    right = spark.createDataFrame([(7, 3.0, 4.0), (8, None, 0.0), (9, 1.0, nan)], "k long, x double, y double")
+    got = {r.id: (r.near_id, r.near_d) for r in spatial.nearest(left, right, "id", "k", 1.0).collect()}
+    assert got[1] == (7, 5.0) and got[2] == got[3] == (None, None) and got[4][0] == 7
+    assert all(r.near_id is None for r in spatial.nearest(left, right.limit(0), "id", "k", 1.0).collect()) and len(got) == 4
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_order_of_a_frequent_value(spark, descending):
+    rows = [(i, 0.0 if i % 10 else float(i % 7), i % 3) for i in range(3000)] + [(5000, None, 1)]
+    df = spark.createDataFrame(rows, "id long, s double, c long")
+    got = {r.id: (r.rank, r.c_upto) for r in ranking.ordered(df, "s", ["id"], descending=descending, sums={"c": F.col("c")}).collect()}
+    upto = 0
+    for k, (i, s, c) in enumerate(sorted(rows, key=lambda r: (r[1] is None, 0 if r[1] is None else -r[1] if descending else r[1], r[0]))):
+        upto += c
+        assert got[i] == (k + 1, upto)
+
+
+def test_codes_of_sorted_text(spark):
+    values = [f"v{i % 37:02}" for i in range(200)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    want = {v: i for i, v in enumerate(sorted({v for v in values if v}))} | {None: -1}
+    assert all(r.code == want[r.v] for r in relational.factorize(df, "v").collect())
+
 
 
 def test_reconcile(spark):
