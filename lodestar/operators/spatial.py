@@ -173,23 +173,75 @@ def snap_to_cell(points: DataFrame, grid: Grid) -> DataFrame:
     return points.withColumns({"row": at("y", grid.y0, grid.n_rows), "col": at("x", grid.x0, grid.n_cols)})
 
 
-def polygon_distance(cells: DataFrame, polygons: DataFrame, grid: Grid, cap: float, boundary: bool = False, buffer: float | None = None) -> DataFrame:
+#: Up to so many cells within the cap on either side, shapes send themselves to the cells around them; beyond that, blocks of cells look for the shapes near them.
+DIRECT = 64
+#: Cells along a side of a block.
+BLOCK = 16
+
+
+def _near_blocks(cells: DataFrame, marks: DataFrame, grid: Grid, cap: float, slack: float) -> DataFrame:
+    """``_br``, ``_bc``, ``shape``: for each block of cells, every shape that can be the nearest to one of its cells, among those in ``cap``.
+
+    ``marks``: points (``x``, ``y``) of shapes (``shape``), such that any point of a shape is at most ``slack`` from one. The nearest mark
+    of a block's centre bounds how far the nearest shape of its cells can be; shapes with a mark within that bound stay. The bounds are
+    rounded up to powers of two, and each power is one join by buckets of that size, so the work follows the blocks and what is near them.
+    """
+    from ..plans.storage import materialize
+
+    side = BLOCK * grid.cell
+    half = side * 2**0.5 / 2
+    centre = lambda c, start: (F.col(c) + 0.5) * side + start
+    blocks = cells.select(F.floor(F.col("row") / BLOCK).alias("_br"), F.floor(F.col("col") / BLOCK).alias("_bc")).distinct()
+    blocks = blocks.select(F.struct("_br", "_bc").alias("block"), centre("_bc", grid.x0).alias("x"), centre("_br", grid.y0).alias("y"))
+    near = nearest(blocks, marks, "block", "shape", side).where(F.col("near_d") <= cap + half + slack).select("block", (F.col("near_d") + 2 * half + slack).alias("reach"))
+    sized = materialize(blocks.join(near, "block").withColumn("power", F.greatest(F.ceil(F.log2(F.col("reach") / side)), F.lit(0)).cast("int")))
+    found = None
+    for (power,) in sorted(sized.select("power").distinct().collect()):  # as many as there are doublings of a block up to the cap
+        own = within_radius(sized.where(F.col("power") == power).select("block", "reach", "x", "y"), marks, side * 2.0**power).where(F.col("d") <= F.col("reach")).select("block", F.col("r_shape").alias("shape"))
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        found = blocks.select("block", F.lit(None).cast(dict(marks.dtypes)["shape"]).alias("shape")).limit(0)
+    return materialize(found.distinct().select("block._br", "block._bc", "shape"))
+
+
+def _with_shapes(cells: DataFrame, shapes: DataFrame, near: DataFrame, grid: Grid) -> DataFrame:
+    """Cells (``row``, ``col``, ``cx``, ``cy``) with each shape that can be their nearest."""
+    at = cells.select("row", "col", F.floor(F.col("row") / BLOCK).alias("_br"), F.floor(F.col("col") / BLOCK).alias("_bc"))
+    at = at.withColumns({"cx": (F.col("col") + 0.5) * grid.cell + grid.x0, "cy": (F.col("row") + 0.5) * grid.cell + grid.y0})
+    return at.join(near.join(shapes, "shape"), ["_br", "_bc"])
+
+
+def polygon_distance(cells: DataFrame, polygons: DataFrame, grid: Grid, cap: float, boundary: bool = False, buffer: float | None = None, direct: int = DIRECT) -> DataFrame:
     """Append ``d``: distance of each cell to the nearest polygon (0 inside) or ``boundary``, capped; with ``buffer``, null where it is closer."""
     boxed = polygons.withColumn("_b", bounds(F.col("ring")))
     b = F.col("_b")
-    near = cells_in_box(boxed, grid, b["xmin"] - cap, b["ymin"] - cap, b["xmax"] + cap, b["ymax"] + cap)
     edge = line_distance(F.col("cx"), F.col("cy"), F.col("ring"))
     d = edge if boundary else F.when(contains(F.col("ring"), F.col("cx"), F.col("cy")), 0.0).otherwise(edge)
-    best = near.groupBy("row", "col").agg(F.min(d).alias("d"))
+    if cap <= direct * grid.cell:
+        near = cells_in_box(boxed, grid, b["xmin"] - cap, b["ymin"] - cap, b["xmax"] + cap, b["ymax"] + cap)
+        best = near.groupBy("row", "col").agg(F.min(d).alias("d"))
+    else:
+        side = BLOCK * grid.cell
+        shapes = polygons.select(F.xxhash64("ring").alias("shape"), "ring").dropDuplicates(["shape"])
+        marks = shapes.select("shape", F.explode(densify(F.col("ring"), side)).alias("p")).select("shape", "p.x", "p.y")
+        best = _with_shapes(cells, shapes, _near_blocks(cells, marks, grid, cap, side / 2), grid).groupBy("row", "col").agg(F.min(edge).alias("d"))
+        if not boundary:  # deep inside of a polygon its edge may be far
+            held = cells_in_box(boxed, grid, b["xmin"], b["ymin"], b["xmax"], b["ymax"]).where(contains(F.col("ring"), F.col("cx"), F.col("cy")))
+            best = best.unionByName(held.select("row", "col", F.lit(0.0).alias("d"))).groupBy("row", "col").agg(F.min("d").alias("d"))
     out = cells.join(best, ["row", "col"], "left").withColumn("d", F.least(F.coalesce("d", F.lit(float(cap))), F.lit(float(cap))))
     return out.withColumn("d", F.when(F.col("d") >= buffer, F.col("d"))) if buffer is not None else out
 
 
-def line_point_distance(cells: DataFrame, lines: DataFrame, grid: Grid, spacing: float, cap: float) -> DataFrame:
+def line_point_distance(cells: DataFrame, lines: DataFrame, grid: Grid, spacing: float, cap: float, direct: int = DIRECT) -> DataFrame:
     """Append ``d``: distance to the nearest point of lines that carry a point each ``spacing``, from 0 to ``cap``."""
     points = lines.select(F.explode(densify(F.col("pts"), spacing)).alias("p")).select("p.x", "p.y")
-    best = cells_within(points, grid, cap).groupBy("row", "col").agg(F.min("d").alias("d"))
-    return cells.join(best, ["row", "col"], "left").withColumn("d", F.coalesce("d", F.lit(float(cap))))
+    if cap <= direct * grid.cell:
+        best = cells_within(points, grid, cap).groupBy("row", "col").agg(F.min("d").alias("d"))
+    else:
+        shapes = points.distinct().select(F.struct("x", "y").alias("shape"), F.col("x").alias("px"), F.col("y").alias("py"))
+        near = _near_blocks(cells, shapes.select("shape", F.col("px").alias("x"), F.col("py").alias("y")), grid, cap, 0.0)
+        best = _with_shapes(cells, shapes, near, grid).groupBy("row", "col").agg(F.min(distance(F.col("cx"), F.col("cy"), F.col("px"), F.col("py"))).alias("d"))
+    return cells.join(best, ["row", "col"], "left").withColumn("d", F.least(F.coalesce("d", F.lit(float(cap))), F.lit(float(cap))))
 
 
 def tangents(points: DataFrame, lines: DataFrame, key: str, reach: float) -> DataFrame:

@@ -235,6 +235,26 @@ def test_codes_of_sorted_text(spark):
 
 
 
+@pytest.mark.parametrize("boundary", [False, True])
+def test_far_polygons_by_blocks(spark, boundary):
+    """Blocks that look for shapes give the distances of shapes that look for cells."""
+    import random
+
+    rng = random.Random(11)
+    g = Grid(0.0, 0.0, 10.0, 60, 90)
+    rows = [(r, c) for r in range(60) for c in range(90) if rng.random() < 0.7]
+    cells = spark.createDataFrame(rows, "row long, col long")
+    rings = []
+    for i, (x, y, w, h) in enumerate([(50, 60, 300, 180), (700, 500, 15, 25), (640, 20, 3, 3), (-900, 300, 50, 50)]):
+        rings.append((i, [(float(a), float(b)) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y))]))
+    polygons = spark.createDataFrame(rings, "poly_id long, ring array<struct<x:double,y:double>>")
+    lines = polygons.withColumnRenamed("ring", "pts")
+    for cap in (120.0, 5000.0):
+        for run in (lambda k: spatial.polygon_distance(cells, polygons, g, cap, boundary, direct=k), lambda k: spatial.line_point_distance(cells, lines, g, 7.0, cap, direct=k)):  # noqa: B023
+            near, far = ({(r.row, r.col): r.d for r in run(k).collect()} for k in (10**6, 0))
+            assert len(near) == len(rows) and far == pytest.approx(near)
+
+
 def test_reconcile(spark):
     a, b = spark.createDataFrame([(1, "x")], "i int, s string"), spark.createDataFrame([(2,)], "i int")
     assert [tuple(r) for r in relational.reconcile(a, b).orderBy("i").collect()] == [(1, "x"), (2, None)]
