@@ -67,25 +67,52 @@ def out_of_bag_mean(scored: DataFrame, key: str, label: str, p: str) -> DataFram
     return scored.where(~F.col("in_bag") | (F.col(label) == 1)).groupBy(key).agg(F.avg(p).alias("p_pu"), F.count("*").alias("n_bags"))
 
 
-def bootstrap_capture(df: DataFrame, score: str, positive: str, key: str, percent: float, replicates: int, seed: int) -> DataFrame:
-    """``capture``, ``lo``, ``hi``: capture of the best ``percent`` and its bootstrap interval.
-
-    Replicates resample positives only; each positive gets a Poisson(1) weight from its hash, so a
-    replicate is a weighted sum and nothing is gathered.
-    """
-    rows = ordered(df, score, [key], sums={"pos": F.col(positive).cast("long")})
-    hits = rows.where(F.col(positive).cast("boolean")).select(key, (F.col("rank") <= F.ceil(F.col("n") * percent / 100.0)).cast("int").alias("hit"))
-    point = hits.agg(F.avg("hit").alias("capture"))
-    drawn = hits.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("u", unit_hash(seed, "rep", key))
+def poisson_weight(u: Column) -> Column:
+    """A Poisson(1) draw from a uniform one (8 at most): how often a replicate holds a row."""
     cuts, total, term = [], 0.0, 0.36787944117144233
     for k in range(1, 9):
         total += term
         term /= k
         cuts.append(total)
-    w = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    reps = drawn.withColumn("w", w).groupBy("rep").agg((F.sum(F.col("w") * F.col("hit")) / F.sum("w")).alias("c"))
+    return sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+
+
+def replicated(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """A row per row and replicate that holds it, with ``rep`` and ``w``: how often. Draws are hashes, so nothing is gathered."""
+    drawn = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return drawn.withColumn("w", poisson_weight(unit_hash(seed, "rep", key))).where("w > 0")
+
+
+def _interval(point: DataFrame, name: str, reps: DataFrame) -> DataFrame:
     ends = reps.agg(F.percentile("c", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return point.join(ends, how="cross").select(F.coalesce("capture", F.lit(0.0)).alias("capture"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))  # one row each
+    return point.join(ends, how="cross").select(name, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))  # one row each
+
+
+def bootstrap_capture(df: DataFrame, score: str, positive: str, key: str, percent: float, replicates: int, seed: int) -> DataFrame:
+    """``capture``, ``lo``, ``hi``: capture of the best ``percent`` and its bootstrap interval; replicates resample positives only."""
+    rows = ordered(df, score, [key], sums={"pos": F.col(positive).cast("long")})
+    hits = rows.where(F.col(positive).cast("boolean")).select(key, (F.col("rank") <= F.ceil(F.col("n") * percent / 100.0)).cast("int").alias("hit"))
+    reps = replicated(hits, key, replicates, seed).groupBy("rep").agg((F.sum(F.col("w") * F.col("hit")) / F.sum("w")).alias("c"))
+    return _interval(hits.agg(F.coalesce(F.avg("hit"), F.lit(0.0)).alias("capture")), "capture", reps)
+
+
+def bootstrap_auc(df: DataFrame, score: str, positive: str, key: str, replicates: int, seed: int) -> DataFrame:
+    """``roc_auc``, ``lo``, ``hi``: the area under the ROC curve and its interval over resampled rows (ties count half)."""
+    y = F.col(positive).cast("long")
+    rows = df.where(F.col(score).isNotNull()).select(key, F.col(score).alias("s"), y.alias("y"))
+    counted = replicated(rows, key, replicates, seed).unionByName(rows.withColumns({"rep": F.lit(-1), "w": F.lit(1)}))
+    by = counted.groupBy("rep", "s").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("q"))
+    run = ordered(by, "s", [], descending=False, sums={"q": F.col("q")}, over=["rep"])
+    auc = F.try_divide(F.sum(F.col("p") * (F.col("q_upto") - F.col("q") / 2.0)), F.sum("p") * F.sum("q")).alias("c")
+    reps = run.groupBy("rep").agg(auc)
+    return _interval(reps.where("rep = -1").select(F.col("c").alias("roc_auc")), "roc_auc", reps.where("rep >= 0"))
+
+
+def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int, seed: int) -> DataFrame:
+    """``mean``, ``lo``, ``hi``: the mean of a metric over folds that have it (not null, not NaN), and its interval over resampled folds."""
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key, F.col(value).alias("v"))
+    reps = replicated(rows, key, replicates, seed).groupBy("rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("c"))
+    return _interval(rows.agg(F.avg("v").alias("mean")), "mean", reps)
 
 
 def keep_positives(df: DataFrame, key: str, label: str, share: float, seed: int) -> DataFrame:

@@ -140,6 +140,33 @@ def flag_rate_lift(spark: SparkSession, d: str) -> DataFrame:
     return rounded(one.select(F.inline(F.array(*[F.struct(F.lit(i + 1).alias("cutoff"), F.col(f"l{i}").alias("lift")) for i in range(4)]))))
 
 
-@query()
+_TOTAL, _TERM, _CUTS = 0.0, 0.36787944117144233, []
+for _k in range(1, 9):
+    _TOTAL += _TERM
+    _TERM /= _k
+    _CUTS.append(_TOTAL)
+#: How often a replicate holds a row, in SQL.
+WEIGHT_SQL = "(" + " + ".join(f"(u >= {c!r})::INT" for c in _CUTS) + ")"
+UNIT_SQL = "CAST(('0x' || substr(md5('{seed}:' || rep::VARCHAR || ':' || {key}::VARCHAR), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u"
+
+
+@query(f"""WITH {SCORED_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, cell_id) <= ceil(count(*) OVER () * 0.1) AS hit FROM scored), h AS (SELECT cell_id, hit::INT AS hit FROM r WHERE positive = 1),
+w AS (SELECT rep, hit, {UNIT_SQL.format(seed=3, key='cell_id')} FROM h, range(0, 200) t(rep)), c AS (SELECT rep, sum({WEIGHT_SQL} * hit) / sum({WEIGHT_SQL})::DOUBLE AS c FROM w GROUP BY rep)
+SELECT round((SELECT avg(hit) FROM h), 8) AS capture, round(quantile_cont(c, 0.025), 8) AS lo, round(quantile_cont(c, 0.975), 8) AS hi FROM c""")
 def bootstrap_capture(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.bootstrap_capture(scored(spark, d), "score", "positive", "cell_id", 10.0, 200, 3)
+    return rounded(sampling.bootstrap_capture(scored(spark, d), "score", "positive", "cell_id", 10.0, 200, 3), 8)
+
+
+@query(f"""WITH {SCORED_SQL}, w AS (SELECT rep, score, positive AS y, {UNIT_SQL.format(seed=5, key='cell_id')} FROM scored, range(0, 20) t(rep)), k AS (SELECT rep, score, y, {WEIGHT_SQL} AS w FROM w UNION ALL SELECT -1, score, positive, 1 FROM scored),
+b AS (SELECT rep, score, sum(w * y) AS p, sum(w * (1 - y)) AS q FROM k WHERE w > 0 GROUP BY rep, score), a AS (SELECT rep, p, q, sum(q) OVER (PARTITION BY rep ORDER BY score) AS upto FROM b),
+c AS (SELECT rep, sum(p * (upto - q / 2.0::DOUBLE)) / (sum(p) * sum(q)) AS c FROM a GROUP BY rep) SELECT round(max(c) FILTER (rep = -1), 8) AS roc_auc, round(quantile_cont(c, 0.025) FILTER (rep >= 0), 8) AS lo, round(quantile_cont(c, 0.975) FILTER (rep >= 0), 8) AS hi FROM c""")
+def bootstrap_auc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sampling.bootstrap_auc(scored(spark, d), "score", "positive", "cell_id", 20, 5), 8)
+
+
+@query(f"""WITH f AS (SELECT o_custkey AS fold, CASE WHEN o_custkey % 9 > 0 THEN avg(o_totalprice) / 1e5 END AS v FROM orders GROUP BY o_custkey), r AS (SELECT * FROM f WHERE v IS NOT NULL), w AS (SELECT rep, v, {UNIT_SQL.format(seed=4, key='fold')} FROM r, range(0, 50) t(rep)),
+c AS (SELECT rep, sum({WEIGHT_SQL} * v) / sum({WEIGHT_SQL}) AS c FROM w GROUP BY rep) SELECT round((SELECT avg(v) FROM r), 8) AS mean, round(quantile_cont(c, 0.025), 8) AS lo, round(quantile_cont(c, 0.975), 8) AS hi FROM c""")
+def bootstrap_fold_mean(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of a fold metric; folds without one are left out."""
+    f = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("fold")).agg((F.avg("o_totalprice") / 1e5).alias("v"))
+    return rounded(sampling.bootstrap_mean(f.withColumn("v", F.when(F.col("fold") % 9 > 0, F.col("v")).otherwise(float("nan"))), "v", "fold", 50, 4), 8)
