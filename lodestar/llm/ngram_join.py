@@ -3,10 +3,10 @@
 The incidence matrix has a row per different set of 5-word shingles (documents with equal sets
 are one row) and a column per shingle. Entries of its product with its transpose are overlap
 counts. The product is computed in blocks: consecutive pairs of rows that may link make a row
-block of bounded size, columns are dealt to ``BLOCKS`` column blocks by their hash, and each
-(row block, column block) is one small task that counts, in numpy, what its pairs share. Partial
-counts are summed over the column blocks, and pairs below the bound that follows from the two
-sizes are discarded. Only entries that can reach the threshold are computed:
+block of bounded size, which one task gets. There columns are dealt to ``BLOCKS`` column blocks by
+their hash; for each block the columns that pairs share are counted in numpy and added up, and
+pairs below the bound that follows from the two sizes are discarded before anything is sent on.
+Only entries that can reach the threshold are computed:
 
 1. columns are ordered from rare to frequent; of each row only the first ``n - ceil(3n/4) + 1``
    columns are dealt out, as two linked rows must meet there (prefix bound);
@@ -39,7 +39,7 @@ sets collide is N^2 / 2^65).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,7 @@ from .common import connected_components, forget, materialize, most_frequent, re
 WORDS, NUM, DEN = 5, 75, 100
 #: Frequent shingles sent to all tasks (8 bytes each); shingles a task counts at a time; tasks a frequent column is spread over.
 FREQUENT, COUNTED, SALTS = 1 << 17, 1 << 20, 16
-#: Column blocks of the product; entries of a row block over all its column blocks (a larger row is a block of its own).
+#: Column blocks of the product; entries of a row block (a larger row is a block of its own).
 BLOCKS, ENTRIES = 4, 1 << 20
 #: Leaders that a row is compared with in the first round; rows of a column that meet in one task of the second round.
 LEADERS, CROWD = 2, 2000
@@ -238,7 +238,7 @@ def _pairs(joined: DataFrame, k: str, meta: str, other: str, other_meta: str) ->
 
 
 def row_blocks(pairs: DataFrame, entries: int) -> DataFrame:
-    """``g``, ``k``, ``lead``: the rows of each row block; a row of a pair names the other one as its ``lead``, the other one has a row with none.
+    """``g``, ``k``, ``n``, ``lead``: the rows of each row block; a row of a pair names the other one as its ``lead``, the other one has a row with none.
 
     Pairs in the order of ``b`` are cut where their rows have ``entries`` entries. A ``b`` with many
     pairs is cut too, and is in several row blocks.
@@ -248,64 +248,75 @@ def row_blocks(pairs: DataFrame, entries: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, lead = TaskContext.get().partitionId() << 32, 0, None
         for batch in batches:
-            g, k, to = [], [], []
+            g, k, n, to = [], [], [], []
             for a, b, na, nb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb")), strict=True):
                 if size and size + na + (b != lead) * nb > entries:
                     block, size, lead = block + 1, 0, None
                 if b != lead:
                     g.append(block)
                     k.append(b)
+                    n.append(nb)
                     to.append(None)
                     lead, size = b, size + nb
                 g.append(block)
                 k.append(a)
+                n.append(na)
                 to.append(b)
                 size += na
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (g, k, to)], ["g", "k", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (g, k, n, to)], ["g", "k", "n", "lead"])
 
-    return pairs.repartitionByRange(parts, "b", "a").sortWithinPartitions("b", "a").mapInArrow(cut, "g long, k long, lead long")
+    return pairs.repartitionByRange(parts, "b", "a").sortWithinPartitions("b", "a").mapInArrow(cut, "g long, k long, n long, lead long")
 
 
-def partial_counts(table: pa.Table) -> pa.Table:
-    """One block of the product: how many of its columns the pairs of a row block share."""
-    k, lead = table.column("k").to_numpy(), table.column("lead")
-    heads = lead.is_null().to_numpy()
-    to = lead.fill_null(0).to_numpy()
-    lists = table.column("columns").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    at = lists.offsets.to_numpy().astype(np.int64)
-    columns = np.unique(lists.values.to_numpy(), return_inverse=True)[1]
+def overlaps(k: np.ndarray, lead: np.ndarray, heads: np.ndarray, at: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a row block: places of their rows and of their leads, and how many columns they share, added up over the column blocks.
+
+    Row ``i`` has the columns ``flat[at[i] : at[i + 1]]`` and, unless it is one of ``heads``, a ``lead``.
+    """
     head = {int(k[i]): i for i in np.flatnonzero(heads)}
     rows = np.flatnonzero(~heads)
-    rows = rows[np.lexsort((k[rows], to[rows]))]
+    rows = rows[np.lexsort((k[rows], lead[rows]))]
     if len(rows):  # rows that were read twice count once
-        rows = rows[np.concatenate(([True], (k[rows][1:] != k[rows][:-1]) | (to[rows][1:] != to[rows][:-1])))]
-    there, a, b, o = np.zeros(int(columns.max(initial=0)) + 1, bool), [], [], []
+        rows = rows[np.concatenate(([True], (k[rows][1:] != k[rows][:-1]) | (lead[rows][1:] != lead[rows][:-1])))]
+    parts = np.split(np.arange(len(rows)), np.flatnonzero(np.diff(lead[rows])) + 1) if len(rows) else []
+    tops = np.array([head[int(lead[rows[p[0]]])] for p in parts], np.int64)
     size = at[rows + 1] - at[rows]
     ends = np.cumsum(size)
-    own = columns[np.repeat(at[rows] - ends + size, size) + np.arange(size.sum())]  # the entries of all rows, one after the other
-    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(to[rows])) + 1) if len(rows) else []:
-        i = head.get(int(to[rows[part[0]]]))
-        if i is None:
-            continue  # it has no entry in this block
-        mark = columns[at[i] : at[i + 1]]
-        there[mark] = True
-        first = ends[part] - size[part]
-        counts = np.add.reduceat(there[own[first[0] : ends[part[-1]]]].astype(np.int64), first - first[0])
-        there[mark] = False
-        some = counts > 0
-        a.append(k[rows[part]][some])
-        b.append(to[rows[part]][some])
-        o.append(counts[some])
-    return pa.table({n: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for n, x in (("a", a), ("b", b), ("o", o))})
-
-
-def product(pairs: DataFrame, incidence: DataFrame, entries: int = ENTRIES) -> DataFrame:
-    """``a``, ``b``, ``na``, ``nb``, ``o`` of those written ``pairs`` that share a column: the product of ``incidence`` (``k``, ``block``, ``columns``) and its transpose, at ``pairs``."""
+    place = np.repeat(at[rows] - ends + size, size) + np.arange(size.sum())  # the entries of all rows, one after the other
+    owner = np.repeat(np.arange(len(rows)), size)
+    block_of, counts = flat.view(np.uint64) % _U(BLOCKS), np.zeros(len(rows), np.int64)
+    for block in range(BLOCKS):
+        here = np.flatnonzero(block_of == block)
+        number = np.zeros(len(flat), np.int32)
+        number[here] = np.unique(flat[here], return_inverse=True)[1]
+        there = np.zeros(int(number.max(initial=0)) + 1, bool)
+        own = block_of[place] == block
+        column, row = number[place[own]], owner[own]
+        cuts = np.searchsorted(row, [*(p[0] for p in parts), len(rows)])
+        for p, top, start, stop in zip(parts, tops.tolist(), cuts, cuts[1:]):
+            mark = np.arange(at[top], at[top + 1])
+            mark = number[mark[block_of[mark] == block]]
+            there[mark] = True
+            counts[p] += np.bincount(row[start:stop] - p[0], there[column[start:stop]], len(p)).astype(np.int64)
+            there[mark] = False
+    return rows, np.repeat(tops, [len(p) for p in parts]), counts
+
+
+def product(pairs: DataFrame, incidence: DataFrame, bound: Callable, entries: int = ENTRIES) -> DataFrame:
+    """``a``, ``b``, ``na``, ``nb`` of the written ``pairs`` for which ``bound(o, na, nb)`` holds, ``o``: their entry of the product of ``incidence`` (``k``, ``columns``) and its transpose."""
+
+    def multiply(table: pa.Table) -> pa.Table:
+        k, n, lead = table.column("k").to_numpy(), table.column("n").to_numpy(), table.column("lead")
+        lists = table.column("columns").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        to = lead.fill_null(0).to_numpy()
+        rows, tops, o = overlaps(k, to, lead.is_null().to_numpy(), lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy())
+        keep = bound(o, n[rows], n[tops])
+        return pa.table({c: pa.array(x[keep]) for c, x in (("a", k[rows]), ("b", k[tops]), ("na", n[rows]), ("nb", n[tops]))})
+
     nodes = materialize(row_blocks(pairs, entries), "row-blocks")
-    met = incidence.join(small(nodes), "k").select("g", "block", "k", "lead", "columns")
-    partial = met.groupBy("g", "block").applyInArrow(partial_counts, "a long, b long, o long")
-    return partial.groupBy("a", "b").agg(F.sum("o").alias("o")).join(small(pairs), ["a", "b"])
+    met = incidence.join(small(nodes), "k").select("g", "k", "n", "lead", "columns")
+    return met.groupBy("g").applyInArrow(multiply, "a long, b long, na long, nb long")
 
 
 def promising(pairs: DataFrame, dealt: DataFrame) -> DataFrame:
@@ -315,11 +326,12 @@ def promising(pairs: DataFrame, dealt: DataFrame) -> DataFrame:
     overlap there only what a row has behind its prefix can be shared. ``dealt`` (``token``, ``k``)
     needs the columns that two rows or more have. A row's dealt columns are at most a quarter of it.
     """
-    rest = lambda n: F.floor((F.col(n) * NUM + DEN - 1) / DEN) - 1  # noqa: E731  entries behind the prefix
-    block = F.pmod("token", F.lit(BLOCKS)).cast("int").alias("block")
-    own = dealt.groupBy("k", block).agg(F.collect_list("token").alias("columns"))
-    most = F.col("o") + F.greatest(rest("na"), rest("nb"))
-    return product(pairs, own, ENTRIES * DEN // (DEN - NUM)).where(most * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b", "na", "nb")
+
+    def bound(o, na, nb):
+        behind = (np.maximum(na, nb) * NUM + DEN - 1) // DEN - 1  # entries behind the longer prefix
+        return (o + behind) * (NUM + DEN) >= (na + nb) * NUM
+
+    return product(pairs, dealt.groupBy("k").agg(F.collect_list("token").alias("columns")), bound, ENTRIES * DEN // (DEN - NUM))
 
 
 def linked(pairs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -327,23 +339,18 @@ def linked(pairs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", TEXT):
-            key, block, held = [], [], []
-            for k, s in zip(batch.column("k").to_pylist(), shingles(batch.column("text").to_pylist()), strict=True):
-                own = s % _U(BLOCKS)
-                for i in range(BLOCKS):
-                    if len(part := s[own == i]):
-                        key.append(k)
-                        block.append(i)
-                        held.append(part.view(np.int64))
+            held = [s.view(np.int64) for s in shingles(batch.column("text").to_pylist())]
             ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
             values = pa.array(np.concatenate(held)) if held else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([_long(key), pa.array(block, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values)], ["k", "block", "columns"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(ends), values)], ["k", "columns"])
+
+    def bound(o, na, nb):
+        return o * DEN >= (na + nb - o) * NUM
 
     nodes = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
     own = materialize(members.groupBy("k").agg(F.min("row").alias("row")).join(nodes, "k", "left_semi"), "rows")
     texts = rows.select("row", "text").join(small(own), "row").select("k", "text")
-    sums = product(pairs, texts.mapInArrow(incidence, "k long, block int, columns array<long>"))
-    return sums.where(F.col("o") * DEN >= (F.col("na") + F.col("nb") - F.col("o")) * NUM).select("a", "b")
+    return product(pairs, texts.mapInArrow(incidence, "k long, columns array<long>"), bound).select("a", "b")
 
 
 def placed_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
