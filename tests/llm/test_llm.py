@@ -1058,6 +1058,27 @@ def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    pages = [(1, "http://a.org/1", "<article><p>one</p></article>")] * 3 + [(None, None, "<p>two</p>"), (2, "http://a.org/1", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as _host", "2 as _templates", "3 as site", "4 as tree", "5 as host")
+    assert sorted((str(r.page_id), r.text) for r in html.extract(df).collect()) == [("1", "one")] * 3 + [("2", ""), ("None", "two")]
+
+    v = [1.0, 2.0, 3.0]
+    rows = [(5, v, 1), (5, v, 1), (None, v, 1), (7, [1.0, 2.0, 3.01], 1), (8, v, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "'x' as h", "'y' as e", "'z' as dim")
+    got = sorted((str(r.vec_id), r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect())
+    assert got == [("5", 3, 5), ("5", 3, 5), ("7", 3, 5), ("8", 0, 8), ("None", 3, 5)]
+
+    texts = [(1, "one two three")] * 3 + [(None, None), (None, "x"), (2, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'a' as piece", "'b' as length", "'c' as salt", "'d' as rank")
+    got = packing.pack(df).collect()
+    assert len(got) == 6 and len({(r.sequence_id, r.offset) for r in got}) == 6 and {r.sequence_id for r in got} == {got[0].sequence_id}
+    assert sorted(r.length for r in got)[:2] == [1, 1] and max(r.offset + r.length for r in got) == sum(r.length for r in got)
+
+    df = spark.createDataFrame([(1, "one two three four five six", "s")] * 2 + [(None, "one two three four five six", "s"), (3, None, "s")], "doc_id long, text string, source string").selectExpr("*", "'a' as n", "'b' as k", "'c' as token", "'d' as row")
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.components(df).collect()) == [("1", 2, 1), ("1", 2, 1), ("3", 0, 3), ("None", 2, 1)]
+
+
 def test_registry_names():
     assert [re.match(r"op(\d+)_", n)[1] for n in QUERIES] == [str(i) for i in range(1, 11)]
 
