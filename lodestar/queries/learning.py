@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import learning
-from .registry import query, table
+from .registry import query, rounded, table
 
 
 def _frame(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,12 @@ def ilr_transform(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", *[F.round(c, 6).alias(f"ilr_{i + 1}") for i, c in enumerate(learning.ilr(["a", "b", "c"]))])
 
 
-@query()
+FRAME_SQL = "f AS (SELECT p_partkey, (p_retailprice - 900) / 100 AS a, coalesce(CASE WHEN p_partkey % 11 > 0 THEN p_size / 50.0::DOUBLE END, 0.5) AS b, (p_partkey * 31 % 97) / 97.0::DOUBLE AS c FROM part)"
+
+
+@query(f"""WITH {FRAME_SQL}, m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, var_samp(a) AS aa, var_samp(b) AS bb, var_samp(c) AS cc, covar_samp(a, b) AS ab, covar_samp(a, c) AS ac, covar_samp(b, c) AS bc FROM f),
+i AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m), d AS (SELECT p_partkey, a - ma AS u, b - mb AS v, c - mc AS w, i.* FROM f, i)
+SELECT p_partkey, round((u * u * (bb * cc - bc * bc) + v * v * (aa * cc - ac * ac) + w * w * (aa * bb - ab * ab) + 2 * u * v * (ac * bc - ab * cc) + 2 * u * w * (ab * bc - ac * bb) + 2 * v * w * (ab * ac - aa * bc)) / det, 6) AS anomaly FROM d""")
 def anomaly(spark: SparkSession, d: str) -> DataFrame:
     """Squared Mahalanobis distance, a Gaussian stand-in for density models."""
-    return learning.mahalanobis(_frame(spark, d).na.fill(0.5), NAMES).select("p_partkey", "anomaly")
+    return rounded(learning.mahalanobis(_frame(spark, d).na.fill(0.5), NAMES).select("p_partkey", "anomaly"))

@@ -211,7 +211,9 @@ def hex_density(spark: SparkSession, d: str) -> DataFrame:
     return spatial.hex_bins(samples(spark, d), 500.0).groupBy("q", "r").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ANCHORS_SQL}, near AS (SELECT a.anchor_id AS a, b.anchor_id AS b FROM anchors a, anchors b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 700), core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 3),
+e AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), r AS (SELECT a, a AS b FROM core UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), l AS (SELECT a, min(b) AS label FROM r GROUP BY a),
+border AS (SELECT near.a, min(label) AS label FROM near JOIN l ON near.b = l.a GROUP BY near.a) SELECT anchor_id, coalesce(l.label, border.label) AS cluster FROM anchors LEFT JOIN l ON l.a = anchor_id LEFT JOIN border ON border.a = anchor_id""")
 def dbscan(spark: SparkSession, d: str) -> DataFrame:
     """Density clusters of anchors."""
     return spatial.dbscan(anchors(spark, d), "anchor_id", 700.0, 3)

@@ -86,9 +86,11 @@ def raster_nearest(spark: SparkSession, d: str) -> DataFrame:
     return raster.nearest_pixel(_raster(spark, d), anchors(spark, d), 0.0, 0.0, 250.0).select("anchor_id", "sampled")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CELLS_SQL}, r AS (SELECT row, col, elevation AS value FROM cells), f AS (SELECT a.row, a.col, b.row AS r2, b.col AS c2, (a.value - b.value) / sqrt(((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col))::DOUBLE) AS fall
+  FROM r a JOIN r b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 WHERE a.value > b.value), rc AS (SELECT row, col, arg_max({{'r': r2, 'c': c2}}, (fall, -r2, -c2)) AS t FROM f GROUP BY row, col),
+p AS (SELECT row, col FROM r UNION ALL SELECT rc.t.r, rc.t.c FROM p JOIN rc ON rc.row = p.row AND rc.col = p.col) SELECT row, col, count(*) AS flow FROM p GROUP BY row, col""")
 def flow_accumulation(spark: SparkSession, d: str) -> DataFrame:
-    """Cells that drain through each cell of a block of the raster."""
+    """Cells that drain through each cell of the raster."""
     return raster.flow_accumulation(_raster(spark, d))
 
 
