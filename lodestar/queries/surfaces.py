@@ -94,16 +94,38 @@ def flow_accumulation(spark: SparkSession, d: str) -> DataFrame:
     return raster.flow_accumulation(_raster(spark, d))
 
 
-@query()
+def _gradient_sql(name: str, of: str, axis: str) -> str:
+    """A table with the gradient ``g`` of column ``g`` of another one: central differences, one-sided at the edges."""
+    other = {"row": "col", "col": "row"}[axis]
+    near = lambda t, k: f"LEFT JOIN {of} {t} ON {t}.{axis} = a.{axis} {k} AND {t}.{other} = a.{other}"
+    return f"{name} AS (SELECT a.row, a.col, CASE WHEN w.g IS NULL THEN (e.g - a.g) / 250 WHEN e.g IS NULL THEN (a.g - w.g) / 250 ELSE (e.g - w.g) / 500 END AS g FROM {of} a {near('w', '- 1')} {near('e', '+ 1')})"
+
+
+CURVATURE_SQL = f"""{R}, k AS (SELECT i, exp(-0.5 * i * i) / (SELECT sum(exp(-0.5 * n * n)) FROM range(-4, 5) t(n)) AS w FROM range(-4, 5) t(i)), e AS (SELECT max(row) AS m FROM r),
+s AS (SELECT r.row, r.col, sum(k.w * b.value) AS g FROM r CROSS JOIN e CROSS JOIN k JOIN r b ON b.col = r.col AND b.row = least(greatest(r.row + i, 0), m) GROUP BY r.row, r.col),
+z AS (SELECT s.row, s.col, sum(k.w * b.g) AS g FROM s CROSS JOIN k JOIN s b ON b.row = s.row AND b.col = least(greatest(s.col + i, 0), 49) GROUP BY s.row, s.col),
+{_gradient_sql('zy', 'z', 'row')}, {_gradient_sql('zx', 'z', 'col')}, {_gradient_sql('zyy', 'zy', 'row')}, {_gradient_sql('zxy', 'zx', 'row')}, {_gradient_sql('zxx', 'zx', 'col')},
+j AS (SELECT row, col, zx.g AS x, zy.g AS y, zxx.g AS xx, zxy.g AS xy, zyy.g AS yy, zx.g * zx.g + zy.g * zy.g AS p FROM zx JOIN zy USING (row, col) JOIN zxx USING (row, col) JOIN zxy USING (row, col) JOIN zyy USING (row, col))"""
+
+
+@query(f"{CURVATURE_SQL} SELECT row, col, round(CASE WHEN p > 1e-12 THEN (xx * y * y - 2 * xy * x * y + yy * x * x) / pow(p, 1.5) ELSE 0 END, 6) + 0.0 AS plan_curvature FROM j")
 def tile_curvature(spark: SparkSession, d: str) -> DataFrame:
     """Plan curvature of the smoothed surface, tile by tile with a halo."""
-    return raster.tiles(_raster(spark, d), 16, 8, raster.curvature("plan", 1.0, 250.0), "plan_curvature").select("row", "col", "plan_curvature")
+    return rounded(raster.tiles(_raster(spark, d), 16, 8, raster.curvature("plan", 1.0, 250.0), "plan_curvature").select("row", "col", "plan_curvature"))
+
+
+@query(f"{CURVATURE_SQL} SELECT row, col, round(CASE WHEN p > 1e-12 THEN (xx * x * x + 2 * xy * x * y + yy * y * y) / (p * pow(1 + p, 1.5)) ELSE 0 END * 1e6, 4) + 0.0 AS profile_curvature FROM j")
+def profile_curvature(spark: SparkSession, d: str) -> DataFrame:
+    """Profile curvature of the smoothed surface, in millionths."""
+    out = raster.tiles(_raster(spark, d), 16, 8, raster.curvature("profile", 1.0, 250.0), "profile_curvature")
+    return rounded(out.select("row", "col", (F.col("profile_curvature") * 1e6).alias("profile_curvature")), 4)
 
 
-@query()
+@query(f"""{R}, q AS (SELECT row, col, CAST(floor(least(greatest((value - 900) / 100 * 16, 0), 15)) AS INT) AS q FROM r), d AS (SELECT a.row, a.col, (b.q - a.q) * (b.q - a.q) AS d FROM q a JOIN q b ON b.row = a.row AND b.col = a.col + 1), e AS (SELECT max(row) AS m FROM q)
+SELECT q.row, q.col, round(avg(d.d), 6) AS contrast FROM q CROSS JOIN e CROSS JOIN range(-2, 3) i(i) CROSS JOIN range(-2, 2) j(j) JOIN d ON d.row = least(greatest(q.row + i, 0), m) AND d.col = least(greatest(q.col + j, 0), 48) GROUP BY q.row, q.col""")
 def texture_contrast(spark: SparkSession, d: str) -> DataFrame:
     v = _raster(spark, d).withColumn("value", (F.col("value") - 900) / 100)
-    return raster.tiles(v, 16, 3, raster.glcm_contrast(), "contrast").select("row", "col", "contrast")
+    return rounded(raster.tiles(v, 16, 3, raster.glcm_contrast(), "contrast").select("row", "col", "contrast"))
 
 
 @query(f"""{R}, g AS (SELECT a.row, a.col, a.value, coalesce(w.value, a.value) AS w, coalesce(e.value, a.value) AS e, coalesce(n.value, a.value) AS n, coalesce(s.value, a.value) AS s
