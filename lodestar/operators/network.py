@@ -43,6 +43,21 @@ def distance_downstream(reaches: DataFrame, seeds: DataFrame, longest: float) ->
     return upstream_max(reaches, seeds).withColumn("downstream", F.when(d.between(0, longest), d))
 
 
+def snapped_downstream(points: DataFrame, reaches: DataFrame, seeds: DataFrame, key: str, radius: float, longest: float) -> DataFrame:
+    """``key``, ``comid``, ``downstream`` for each point: seeds and points go to their nearest reach in ``radius`` (ties: smaller ``comid``), and the running length from the nearest seed upstream is read there.
+
+    ``reaches``: ``comid``, ``hydroseq``, ``arbolate``, ``x``, ``y``. Null without a reach or a seed upstream, and outside 0 to ``longest``.
+    """
+    from .spatial import nearest_within
+
+    guard_lode(seeds)
+    marks = nearest_within(seeds.select("x", "y").distinct().withColumn("seed", F.struct("x", "y")), reaches, radius, "seed", "comid", ["hydroseq", "arbolate"])
+    marks = marks.where("near_id is not null").select("hydroseq", "arbolate").distinct()
+    along = distance_downstream(reaches.select("comid", "hydroseq", "arbolate"), marks.withColumn("dep_type", F.lit("snapped")), longest)
+    at = nearest_within(points.select(key, "x", "y"), reaches, radius, key, "comid").select(key, F.col("near_id").alias("comid"))
+    return at.join(along.select("comid", "downstream"), "comid", "left").select(key, "comid", "downstream")
+
+
 def guard_lode(seeds: DataFrame) -> None:
     """Raise if seeds are placers (they are what is predicted) or can't tell."""
     if "dep_type" not in seeds.columns:

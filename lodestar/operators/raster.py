@@ -93,6 +93,15 @@ def channel_steepness(df: DataFrame, flow: str = "flow", theta: float = 0.45) ->
     return rows.join(F.broadcast(ends), how="cross").withColumn("ksn", k).drop("_k", "_lo", "_hi")  # one row
 
 
+def two_bands(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``row``, ``col``, ``band1``, ``band2`` of two rasters of one shape; another extent of rows or columns is an error."""
+    shape = lambda df: tuple(df.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first())
+    if shape(first) != shape(second):
+        raise ValueError("the rasters differ in shape")
+    a, b = (df.select("row", "col", F.col("value").alias(n)) for df, n in ((first, "band1"), (second, "band2")))
+    return a.join(b, ["row", "col"], "full")
+
+
 def decimate(df: DataFrame, by: int) -> DataFrame:
     """Area mean over blocks of ``by`` cells: ``row``, ``col``, ``value``, ``n``."""
     return df.groupBy(F.floor(F.col("row") / by).alias("row"), F.floor(F.col("col") / by).alias("col")).agg(F.avg("value").alias("value"), F.count("value").alias("n"))

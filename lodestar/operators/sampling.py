@@ -115,6 +115,13 @@ def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int, seed: i
     return _interval(rows.agg(F.avg("v").alias("mean")), "mean", reps)
 
 
+def training_set(features: DataFrame, positives: DataFrame, key: str, stratum: str, per_positive: int, seed: int, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Rows to train on: the positives (``key``) with label 1 and stratified pseudo-negatives with label 0; ``drop``: columns that would give the label away."""
+    rows = features.join(positives.select(key).distinct().withColumn("label", F.lit(1)), key, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    negatives = pseudo_negatives(rows, key, "label", stratum, per_positive, seed)
+    return rows.where("label = 1").unionByName(negatives.select(rows.columns)).drop(*drop)
+
+
 def keep_positives(df: DataFrame, key: str, label: str, share: float, seed: int) -> DataFrame:
     """All positives and a hashed share of the rest."""
     return df.where((F.col(label) == 1) | (unit_hash(seed, key) < share))

@@ -47,6 +47,28 @@ def write_provenance(spark: SparkSession, path: str, **facts: str) -> None:
     spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.source")
 
 
+def write_metrics(df: DataFrame, path: str) -> None:
+    """A metric table (few rows) as one CSV file with a header."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+#: Rows of a metric table that a model card shows at most.
+CARD_ROWS = 200
+
+
+def model_card(title: str, tables: dict[str, DataFrame], notes: str = "") -> str:
+    """A Markdown document of metric tables (up to ``CARD_ROWS`` rows each, else an error)."""
+    parts = [f"# {title}", *([notes] if notes else [])]
+    for name, df in tables.items():
+        rows = df.limit(CARD_ROWS + 1).collect()
+        if len(rows) > CARD_ROWS:
+            raise ValueError(f"{name} is no metric table: over {CARD_ROWS} rows")
+        cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
+        lines = [df.columns, ["-"] * len(df.columns), *[[cell(v) for v in r] for r in rows]]
+        parts.append(f"## {name}\n\n" + "\n".join("| " + " | ".join(x) + " |" for x in lines))
+    return "\n\n".join(parts) + "\n"
+
+
 def coverage(df: DataFrame, p: str = "p", least: float = 0.01) -> DataFrame:
     """``n``, ``covered``, ``pct``: cells with a probability above ``least``."""
     hit = F.count_if(F.col(p) > least)

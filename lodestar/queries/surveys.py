@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import learning, network, ranking, relational, spatial
+from ..operators import learning, network, ranking, raster, relational, sampling, spatial
 from ..sources.adapters import COMMODITY_CODES, LITHOLOGY, get_adapter
-from .registry import ANCHORS_SQL, POLYGONS_SQL, SAMPLES_SQL, SCORED_SQL, anchors, polygons, query, rounded, samples, scored, table
+from .registry import ANCHORS_SQL, CELLS_SQL, POLYGONS_SQL, SAMPLES_SQL, SCORED_SQL, anchors, cells, polygons, query, rounded, samples, scored, table
 
 PLACE = ("cast({k} % 1000 as double) + 0.5 as x", "cast({k} % 777 as double) + 0.25 as y")
 PLACE_SQL = "({k} % 1000)::DOUBLE + 0.5 AS x, ({k} % 777)::DOUBLE + 0.25 AS y"
@@ -272,3 +272,55 @@ def area_gates(spark: SparkSession, d: str) -> DataFrame:
     """Counts by listed area against a gate, and what lies outside the list."""
     c = table(spark, d, "customer").select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("area"))
     return relational.area_gates(c, "area", [f"N{i}" for i in range(20)], 60, 55)
+
+
+NEAR = "sqrt((s.x - a.x) * (s.x - a.x) + (s.y - a.y) * (s.y - a.y))"
+
+
+@query(f"""WITH {SAMPLES_SQL}, {ANCHORS_SQL}, p AS (SELECT sample_id, anchor_id, value, kind, {NEAR} AS d FROM samples s, anchors a WHERE abs(s.x - a.x) <= 700 AND abs(s.y - a.y) <= 700),
+b AS (SELECT sample_id, arg_min({{'i': anchor_id, 'v': value, 'k': kind}}, (d, anchor_id)) AS t, min(d) AS d FROM p WHERE d <= 700 GROUP BY sample_id)
+SELECT s.sample_id, t.i AS near_id, t.v AS value, t.k AS kind, round(d, 6) AS near_d FROM samples s LEFT JOIN b USING (sample_id)""")
+def reach_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes of the nearest reach, and how far it is."""
+    got = spatial.nearest_within(samples(spark, d), anchors(spark, d), 700.0, "sample_id", "anchor_id", ["value", "kind"])
+    return rounded(got.select("sample_id", "near_id", "value", "kind", "near_d"))
+
+
+@query(f"""WITH {SAMPLES_SQL}, {ANCHORS_SQL}, seeds AS (SELECT DISTINCT ((c_custkey * 7919) % 12500)::DOUBLE AS x, ((c_custkey * 104729) % 10000)::DOUBLE AS y FROM customer WHERE c_acctbal > 9500),
+m AS (SELECT s.x, s.y, arg_min({{'h': anchor_id, 'l': value / 100}}, ({NEAR}, anchor_id)) AS t FROM seeds s, anchors a WHERE {NEAR} <= 400 GROUP BY s.x, s.y),
+g AS (SELECT a.anchor_id, a.value / 100 AS l, max(m.t.l) AS best FROM anchors a LEFT JOIN m ON m.t.h >= a.anchor_id GROUP BY ALL),
+n AS (SELECT sample_id, arg_min(anchor_id, ({NEAR}, anchor_id)) AS comid FROM samples s, anchors a WHERE abs(s.x - a.x) <= 400 AND abs(s.y - a.y) <= 400 AND {NEAR} <= 400 GROUP BY sample_id)
+SELECT s.sample_id, n.comid, round(CASE WHEN g.l - best BETWEEN 0 AND 60 THEN g.l - best END, 6) AS downstream FROM samples s LEFT JOIN n USING (sample_id) LEFT JOIN g ON g.anchor_id = n.comid""")
+def distance_downstream(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds and samples snapped to reaches; running length from the nearest seed upstream."""
+    reaches = anchors(spark, d).select(F.col("anchor_id").alias("comid"), F.col("anchor_id").alias("hydroseq"), (F.col("value") / 100).alias("arbolate"), "x", "y")
+    c = table(spark, d, "customer").where("c_acctbal > 9500")
+    seeds = c.select(((F.col("c_custkey") * 7919) % 12500).cast("double").alias("x"), ((F.col("c_custkey") * 104729) % 10000).cast("double").alias("y"), F.lit("vein").alias("dep_type"))
+    return rounded(network.snapped_downstream(samples(spark, d), reaches, seeds, "sample_id", 400.0, 60.0))
+
+
+@query(f"WITH {CELLS_SQL} SELECT row, col, elevation AS band1, CASE WHEN cell_id % 4 > 0 THEN slope END AS band2 FROM cells")
+def two_bands(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d)
+    second = c.select("row", "col", F.when(F.col("cell_id") % 4 > 0, F.col("slope")).alias("value"))
+    return raster.two_bands(c.select("row", "col", F.col("elevation").alias("value")), second)
+
+
+@query("""WITH s AS (SELECT p_partkey, p_type, p_size, p_retailprice, CAST(p_partkey % 29 = 0 AS INT) AS label, CAST(('0x' || substr(md5('9:' || p_partkey::VARCHAR), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS h FROM part),
+q AS (SELECT p_type, greatest(1, count(*) * 2) AS quota FROM s WHERE label = 1 GROUP BY p_type), r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY h, p_partkey) AS r FROM s WHERE label = 0)
+SELECT p_partkey, p_type, p_size, label FROM s WHERE label = 1 UNION ALL SELECT p_partkey, p_type, p_size, label FROM r JOIN q USING (p_type) WHERE r <= quota""")
+def training_set(spark: SparkSession, d: str) -> DataFrame:
+    """Positives and stratified pseudo-negatives, without a column that would give the label away."""
+    p = table(spark, d, "part")
+    return sampling.training_set(p.select("p_partkey", "p_type", "p_size", "p_retailprice"), p.where("p_partkey % 29 = 0"), "p_partkey", "p_type", 2, 9, ("p_retailprice",))
+
+
+@query("""WITH w AS (SELECT l_orderkey, avg(CASE WHEN l_returnflag = 'A' AND l_quantity >= 0 THEN l_quantity * 0.001 END) AS "Au_ppm", avg(CASE WHEN l_returnflag = 'R' AND l_quantity >= 0 THEN l_quantity END) AS "Cu_ppm" FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey)
+SELECT (o_orderkey % 1000)::DOUBLE + 0.5 AS x, o_orderkey::VARCHAR AS sample_id, o_orderstatus AS sample_type, round("Au_ppm", 8) AS "Au_ppm", round("Cu_ppm", 8) AS "Cu_ppm" FROM orders LEFT JOIN w ON l_orderkey = o_orderkey""")
+def ngdb_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with their pivoted assays, as canonical geochemistry."""
+    li = table(spark, d, "lineitem").selectExpr("l_orderkey as lab_id", "case l_returnflag when 'A' then 'Au' when 'R' then 'Cu' else 'Zn' end as species", "case l_returnflag when 'A' then 'ppb' else 'ppm' end as unit", "l_quantity as value")
+    main = _raw(spark, d, "orders", "o_orderkey", "o_orderkey as lab_id", "o_orderstatus as primary_class")
+    wide = relational.pivot_ppm(relational.semi_filter(li, main, "lab_id", ["Au", "Cu"]), "lab_id", ["Au", "Cu"])
+    got = get_adapter("geochem", "ngdb")(main.join(wide, "lab_id", "left"), ["Au", "Cu"])
+    return rounded(got.select("x", "sample_id", "sample_type", "Au_ppm", "Cu_ppm"), 8)

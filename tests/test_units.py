@@ -278,3 +278,22 @@ def test_stage_is_built_once(spark, tmp_path):
     build = lambda: calls.append(1) or spark.range(3)
     assert stage(spark, str(tmp_path), "s", "v1", build).count() == 3
     assert stage(spark, str(tmp_path), "s", "v1", build).count() == 3 and len(calls) == 1
+
+
+def test_metrics_and_model_card(spark, tmp_path):
+    from lodestar.plans import storage
+
+    df = spark.createDataFrame([("lr", 0.91234567, 3), ("rf", None, 4)], "model string, auc double, n long")
+    storage.write_metrics(df, str(tmp_path / "m"))
+    assert sorted(map(tuple, readers.read_csv(spark, str(tmp_path / "m"), df.schema).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    card = storage.model_card("Map", {"Folds": df}, "A note.")
+    assert card.startswith("# Map\n\nA note.\n\n## Folds\n\n| model | auc | n |\n| - | - | - |\n") and "| lr | 0.9123 | 3 |" in card and "| rf |  | 4 |" in card
+    with pytest.raises(ValueError):
+        storage.model_card("Map", {"Rows": spark.range(500).toDF("i")})
+
+
+def test_rasters_of_two_shapes(spark):
+    a, b = (spark.createDataFrame([(0, i, 1.0) for i in range(n)], "row long, col long, value double") for n in (3, 4))
+    assert raster.two_bands(a, a).count() == 3
+    with pytest.raises(ValueError):
+        raster.two_bands(a, b)
