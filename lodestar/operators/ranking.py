@@ -87,6 +87,37 @@ def percentiles(df: DataFrame, value: str, points: list[float]) -> list[float |
         upto.unpersist()
 
 
+def percentiles_of(df: DataFrame, columns: dict[str, Column], points: list[float]) -> dict[str, list[float | None]]:
+    """``percentiles`` of several columns in one pass over (column, value): a list of numbers for each name.
+
+    Values are scaled to the span of their column first, so that all columns spread over the same ranges.
+    """
+    if not columns:
+        return {}
+    ends = df.agg(*[f(c.cast("double")).alias(f"{k}_{n}") for n, c in columns.items() for k, f in (("lo", F.min), ("hi", F.max))]).first().asDict()
+    pairs = [F.struct(F.lit(n).alias("name"), c.cast("double").alias("v"), F.lit(ends[f"lo_{n}"]).cast("double").alias("lo"), F.lit(ends[f"hi_{n}"]).cast("double").alias("hi")) for n, c in columns.items()]
+    rows = df.select(F.explode(F.array(*pairs)).alias("s")).select("s.*").where("v is not null")
+    counts = rows.groupBy("name", "v", "lo", "hi").agg(F.count("*").alias("c")).withColumn("u", F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
+    upto = ordered(counts, "u", ["v"], descending=False, sums={"c": F.col("c")}, over=["name"]).select("name", "v", "c_upto", "c_total").persist()
+    try:
+        totals = {r[0]: r[1] for r in upto.groupBy("name").agg(F.max("c_total")).collect()}
+        places = {n: sorted({k for p in points for k in (int(p * (t - 1)), min(int(p * (t - 1)) + 1, t - 1))}) for n, t in totals.items()}
+        wanted = [F.struct(F.lit(n).alias("name"), F.lit(k).cast("long").alias("k")) for n, ks in places.items() for k in ks]
+        out: dict[str, list[float | None]] = {n: [None] * len(points) for n in columns}
+        if not wanted:
+            return out
+        own = F.filter(F.array(*wanted), lambda x: (x["name"] == F.col("name")) & (F.col("c_upto") > x["k"]))
+        at = {(r[0], r[1]): r[2] for r in upto.select("name", "v", F.explode(own).alias("w")).groupBy("name", "w.k").agg(F.min("v")).collect()}
+        for n, t in totals.items():
+            for i, p in enumerate(points):
+                k = int(p * (t - 1))
+                lo, hi = at[n, k], at[n, min(k + 1, t - 1)]
+                out[n][i] = lo + (hi - lo) * (p * (t - 1) - k)
+        return out
+    finally:
+        upto.unpersist()
+
+
 def capture_at(df: DataFrame, score: str, positive: str, by: list[str], percents: list[float], rule: str = "ceil") -> DataFrame:
     """``k_pct``, ``top_n``, ``hits``, ``capture``, ``lift`` of the best k percent by score.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import gaussian_falloff
 from ..model import FeatureWeight
-from ..operators.ranking import percentiles
+from ..operators.ranking import percentiles, percentiles_of
 
 # The default features of the placer index.
 PLACER = {
@@ -26,8 +26,13 @@ PLACER = {
 PROXY = FeatureWeight(0.0, "inverse", cap=5_000.0)
 
 
-def normalized(df: DataFrame, column: str, spec: FeatureWeight) -> Column:
-    """The expression of one feature on a scale of 0 to 1. Percentiles 1 and 99 of the (capped) values are computed here, as two numbers."""
+def _capped(column: str, spec: FeatureWeight) -> Column:
+    c = F.col(column).cast("double")
+    return F.when(c.isNotNull(), F.least(c, F.lit(float(spec.cap)))) if spec.direction == "inverse" and spec.cap is not None else c
+
+
+def normalized(df: DataFrame, column: str, spec: FeatureWeight, ends: list[float | None] | None = None) -> Column:
+    """The expression of one feature on a scale of 0 to 1. ``ends``: percentiles 1 and 99 of the (capped) values, else computed here, as two numbers."""
     c = F.col(column).cast("double")
     if spec.direction == "boolean":
         return F.when(c.isNotNull(), (c != 0).cast("double"))
@@ -39,9 +44,8 @@ def normalized(df: DataFrame, column: str, spec: FeatureWeight) -> Column:
         return gaussian_falloff(c, spec.sigma)
     if spec.direction not in ("direct", "inverse"):
         raise ValueError(f"unknown direction {spec.direction!r}")
-    if spec.direction == "inverse" and spec.cap is not None:
-        c = F.when(c.isNotNull(), F.least(c, F.lit(float(spec.cap))))
-    lo, hi = percentiles(df.select(c.alias("v")), "v", [0.01, 0.99])
+    c = _capped(column, spec)
+    lo, hi = percentiles(df.select(c.alias("v")), "v", [0.01, 0.99]) if ends is None else ends
     if lo is None:
         return F.lit(None).cast("double")
     scaled = F.when(c.isNotNull(), (F.least(F.greatest(c, F.lit(lo)), F.lit(hi)) - lo) / (hi - lo) if hi > lo else F.lit(0.0))
@@ -51,21 +55,19 @@ def normalized(df: DataFrame, column: str, spec: FeatureWeight) -> Column:
 def weighted_index(df: DataFrame, weights: dict[str, FeatureWeight] = PLACER, proxy: str | None = "hydraulic_pit_proximity_m", out: str = "index") -> DataFrame:
     """Append ``out``: the weighted sum over the present features (a missing value adds nothing), scaled robustly once more.
 
-    A paleochannel feature that is absent is replaced by the inverse of ``proxy``. Features that are absent or all null are left out and the weights renewed.
+    A paleochannel feature that is absent is replaced by the inverse of ``proxy``. Features that are absent or all null are left out and
+    the weights renewed. The percentiles of all features come from one pass.
     """
-    parts, total = [], 0.0
     have = {n for n in weights if n in df.columns}
     counts = df.agg(*[F.count(n).alias(n) for n in have]).first().asDict() if have else {}
-    for name, spec in weights.items():
-        if name in have and counts[name]:
-            parts.append(F.coalesce(normalized(df, name, spec), F.lit(0.0)) * spec.weight)
-        elif name not in df.columns and name == "paleochannel_likelihood" and proxy in df.columns:
-            parts.append(F.coalesce(normalized(df, proxy, PROXY), F.lit(0.0)) * spec.weight)
-        else:
-            continue
-        total += spec.weight
+    used = [(name, name, spec, spec.weight) for name, spec in weights.items() if name in have and counts[name]]
+    if "paleochannel_likelihood" in weights and "paleochannel_likelihood" not in df.columns and proxy in df.columns:
+        used.append(("paleochannel_likelihood", proxy, PROXY, weights["paleochannel_likelihood"].weight))
+    total = sum(w for *_, w in used)
     if total <= 0:
         raise ValueError("no usable feature")
+    ends = percentiles_of(df, {name: _capped(column, spec) for name, column, spec, _ in used if spec.direction in ("direct", "inverse")}, [0.01, 0.99])
+    parts = [F.coalesce(normalized(df, column, spec, ends.get(name)), F.lit(0.0)) * w for name, column, spec, w in used]
     raw = df.withColumn("_raw", sum(parts, F.lit(0.0)) / total)
     return raw.withColumn(out, normalized(raw, "_raw", FeatureWeight(1.0, "direct"))).drop("_raw")
 

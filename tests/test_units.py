@@ -51,6 +51,18 @@ def test_percentiles_match_numpy(spark):
     assert ranking.percentiles(df, "v", [0.0, 0.01, 0.5, 0.777, 1.0]) == pytest.approx(np.percentile(v, [0, 1, 50, 77.7, 100]).tolist())
 
 
+def test_percentiles_of_several_columns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 40, 401).astype(float), rng.normal(1e6, 3, 401)
+    df = spark.createDataFrame([(float(x), float(y) if i % 3 else None, None, 5.0) for i, (x, y) in enumerate(zip(a, b))], "a double, b double, c double, d double")
+    got = ranking.percentiles_of(df, {n: F.col(n) for n in "abcd"}, [0.01, 0.5, 0.99])
+    for n, v in (("a", a), ("b", b[[i for i in range(401) if i % 3]]), ("d", np.full(3, 5.0))):
+        assert got[n] == pytest.approx(np.percentile(v, [1, 50, 99]).tolist())
+    assert got["c"] == [None] * 3 and ranking.percentiles_of(df, {}, [0.5]) == {}
+
+
 def test_empty_percentiles(spark):
     assert ranking.percentiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
 
