@@ -78,9 +78,14 @@ def row_bytes(table: DataFrame) -> int:
     return 16 + sum(each.get(kind, 256) for _, kind in table.dtypes)
 
 
+def fits(table: DataFrame, limit: int = SMALL) -> bool:
+    """Whether ``table`` (already written) takes at most ``limit`` bytes."""
+    return table.count() * row_bytes(table) <= limit
+
+
 def small(table: DataFrame, limit: int = SMALL) -> DataFrame:
     """Hint a broadcast only where ``table`` (already written) takes at most ``limit`` bytes; beyond that it joins by shuffle."""
-    return F.broadcast(table) if table.count() * row_bytes(table) <= limit else table
+    return F.broadcast(table) if fits(table, limit) else table
 
 
 def free_name(columns: list[str], name: str) -> str:

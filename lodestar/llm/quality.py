@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, read, release, slices
+from .common import fits, free_name, materialize, read, release, slices
 
 #: The bounded sample: labelled documents of each class, pseudo-labelled ones of each view and label (about), code points of a labelled document at most.
 PER_CLASS, UNLABELLED, LEARN_CHARS = 6000, 4000, 100_000
@@ -252,8 +252,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
     kind = "doc_id string, bad int, share double, found binary, meta binary"
     got = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(views, kind).orderBy("doc_id").collect()
-    free = docs.join(_told(labels).select("doc_id").distinct(), "doc_id", "left_anti").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("int").alias("bad"), F.lit(None).cast("double").alias("share"), "text", "source", "lang")
-    pool = materialize(free.mapInArrow(views, kind).select(F.xxhash64("doc_id", "found", "meta").alias("h"), "found", "meta"), "pool")
+    ids = materialize(_told(labels).select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "told")
+    every = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("int").alias("bad"), F.lit(None).cast("double").alias("share"), "text", "source", "lang")
+    if fits(ids):
+        free = every.join(F.broadcast(ids), "doc_id", "left_anti").mapInArrow(views, kind)
+    else:  # so many labels that rows are shuffled: features, not texts
+        free = every.mapInArrow(views, kind).join(ids, "doc_id", "left_anti")
+    pool = materialize(free.select(F.xxhash64("doc_id", "found", "meta").alias("h"), "found", "meta"), "pool")
     x, meta = _views([r["found"] for r in got], [r["meta"] for r in got], len(names))
     bad = np.array([r["bad"] for r in got])
     weight = np.array([1 / (r["share"] or 1.0) for r in got])
