@@ -54,8 +54,8 @@ from .common import connected_components, forget, materialize, most_frequent, re
 WORDS, NUM, DEN = 5, 75, 100
 #: Frequent shingles sent to all tasks (8 bytes each); shingles a task counts at a time; tasks a frequent column is spread over.
 FREQUENT, COUNTED, SALTS = 1 << 17, 1 << 20, 16
-#: Column blocks of the product; entries of a row block (a larger row is a block of its own).
-BLOCKS, ENTRIES = 4, 1 << 20
+#: Column blocks of the product; entries and pairs of a row block (a larger row is a block of its own).
+BLOCKS, ENTRIES, PAIRS = 4, 1 << 20, 1 << 17
 #: Leaders that a row is compared with in the first round; rows of a column that meet in one task of the second round.
 LEADERS, CROWD = 2, 2000
 #: Bytes of text whose shingles are made at a time.
@@ -238,85 +238,93 @@ def _pairs(joined: DataFrame, k: str, meta: str, other: str, other_meta: str) ->
 
 
 def row_blocks(pairs: DataFrame, entries: int) -> DataFrame:
-    """``g``, ``k``, ``n``, ``lead``: the rows of each row block; a row of a pair names the other one as its ``lead``, the other one has a row with none.
+    """``g``, ``k``, ``n``, ``leads``: the rows of each row block, once each, with the other rows that each is compared with (``b`` of its pairs).
 
-    Pairs in the order of ``b`` are cut where their rows have ``entries`` entries. A ``b`` with many
-    pairs is cut too, and is in several row blocks.
+    Pairs in the order of ``b`` are cut where their different rows have ``entries`` entries, or where
+    they are ``PAIRS``. A ``b`` with many pairs is cut too, and is in several row blocks.
     """
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, lead = TaskContext.get().partitionId() << 32, 0, None
+        g, size, held, rows, leads = TaskContext.get().partitionId() << 32, 0, 0, {}, {}
+
+        def block() -> pa.RecordBatch:
+            keys = list(rows)
+            own = [leads.get(k, []) for k in keys]
+            return pa.RecordBatch.from_arrays([_long(np.full(len(keys), g)), _long(keys), _long(list(rows.values())), pa.array(own, pa.list_(pa.int64()))], ["g", "k", "n", "leads"])
+
         for batch in batches:
-            g, k, n, to = [], [], [], []
             for a, b, na, nb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb")), strict=True):
-                if size and size + na + (b != lead) * nb > entries:
-                    block, size, lead = block + 1, 0, None
-                if b != lead:
-                    g.append(block)
-                    k.append(b)
-                    n.append(nb)
-                    to.append(None)
-                    lead, size = b, size + nb
-                g.append(block)
-                k.append(a)
-                n.append(na)
-                to.append(b)
-                size += na
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (g, k, n, to)], ["g", "k", "n", "lead"])
-
-    return pairs.repartitionByRange(parts, "b", "a").sortWithinPartitions("b", "a").mapInArrow(cut, "g long, k long, n long, lead long")
-
-
-def overlaps(k: np.ndarray, lead: np.ndarray, heads: np.ndarray, at: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of a row block: places of their rows and of their leads, and how many columns they share, added up over the column blocks.
-
-    Row ``i`` has the columns ``flat[at[i] : at[i + 1]]`` and, unless it is one of ``heads``, a ``lead``.
-    """
-    head = {int(k[i]): i for i in np.flatnonzero(heads)}
-    rows = np.flatnonzero(~heads)
-    rows = rows[np.lexsort((k[rows], lead[rows]))]
-    if len(rows):  # rows that were read twice count once
-        rows = rows[np.concatenate(([True], (k[rows][1:] != k[rows][:-1]) | (lead[rows][1:] != lead[rows][:-1])))]
-    parts = np.split(np.arange(len(rows)), np.flatnonzero(np.diff(lead[rows])) + 1) if len(rows) else []
-    tops = np.array([head[int(lead[rows[p[0]]])] for p in parts], np.int64)
-    size = at[rows + 1] - at[rows]
-    ends = np.cumsum(size)
-    place = np.repeat(at[rows] - ends + size, size) + np.arange(size.sum())  # the entries of all rows, one after the other
-    owner = np.repeat(np.arange(len(rows)), size)
-    block_of, counts = flat.view(np.uint64) % _U(BLOCKS), np.zeros(len(rows), np.int64)
+                more = (a not in rows) * na + (b not in rows) * nb
+                if rows and (size + more > entries or held >= PAIRS):
+                    yield block()
+                    g, size, held, rows, leads = g + 1, 0, 0, {}, {}
+                    more = na + nb
+                rows[a], rows[b] = na, nb
+                leads.setdefault(a, []).append(b)
+                size, held = size + more, held + 1
+        if rows:
+            yield block()
+
+    return pairs.repartitionByRange(parts, "b", "a").sortWithinPartitions("b", "a").mapInArrow(cut, "g long, k long, n long, leads array<long>")
+
+
+def overlaps(at: np.ndarray, flat: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many columns the rows ``left`` share with the rows ``right`` (in ascending order), added up over the column blocks. Row ``i`` has the columns ``flat[at[i] : at[i + 1]]``."""
+    counts = np.zeros(len(left), np.int64)
+    block_of, owner = flat.view(np.uint64) % _U(BLOCKS), np.repeat(np.arange(len(at) - 1), np.diff(at))
+    ends = np.flatnonzero(np.diff(right)) + 1
+    parts = list(zip([0, *ends.tolist()], [*ends.tolist(), len(right)], strict=True)) if len(right) else []
     for block in range(BLOCKS):
-        here = np.flatnonzero(block_of == block)
-        number = np.zeros(len(flat), np.int32)
-        number[here] = np.unique(flat[here], return_inverse=True)[1]
-        there = np.zeros(int(number.max(initial=0)) + 1, bool)
-        own = block_of[place] == block
-        column, row = number[place[own]], owner[own]
-        cuts = np.searchsorted(row, [*(p[0] for p in parts), len(rows)])
-        for p, top, start, stop in zip(parts, tops.tolist(), cuts, cuts[1:]):
-            mark = np.arange(at[top], at[top + 1])
-            mark = number[mark[block_of[mark] == block]]
+        here = block_of == block
+        column = np.unique(flat[here], return_inverse=True)[1]
+        start = np.searchsorted(owner[here], np.arange(len(at)))  # the entries of each row in this block
+        there = np.zeros(int(column.max(initial=0)) + 1, bool)
+        for first, last in parts:
+            mark = column[start[right[first]] : start[right[first] + 1]]
             there[mark] = True
-            counts[p] += np.bincount(row[start:stop] - p[0], there[column[start:stop]], len(p)).astype(np.int64)
+            rows = left[first:last]
+            size = start[rows + 1] - start[rows]
+            stop = np.cumsum(size)
+            own = column[np.repeat(start[rows] - stop + size, size) + np.arange(size.sum())]  # the entries of all rows, one after the other
+            counts[first:last] += np.bincount(np.repeat(np.arange(len(rows)), size), there[own], len(rows)).astype(np.int64)
             there[mark] = False
-    return rows, np.repeat(tops, [len(p) for p in parts]), counts
+    return counts
 
 
 def product(pairs: DataFrame, incidence: DataFrame, bound: Callable, entries: int = ENTRIES) -> DataFrame:
     """``a``, ``b``, ``na``, ``nb`` of the written ``pairs`` for which ``bound(o, na, nb)`` holds, ``o``: their entry of the product of ``incidence`` (``k``, ``columns``) and its transpose."""
 
-    def multiply(table: pa.Table) -> pa.Table:
-        k, n, lead = table.column("k").to_numpy(), table.column("n").to_numpy(), table.column("lead")
-        lists = table.column("columns").combine_chunks()
+    def multiply(entries: pa.Table, rows: pa.Table) -> pa.Table:
+        keys, own = np.unique(entries.column("k").to_numpy(), return_index=True)  # rows that were read twice count once
+        lists = entries.column("columns").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        to = lead.fill_null(0).to_numpy()
-        rows, tops, o = overlaps(k, to, lead.is_null().to_numpy(), lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy())
-        keep = bound(o, n[rows], n[tops])
-        return pa.table({c: pa.array(x[keep]) for c, x in (("a", k[rows]), ("b", k[tops]), ("na", n[rows]), ("nb", n[tops]))})
+        k, leads = rows.column("k").to_numpy(), rows.column("leads").to_pylist()
+
+        def places(wanted: np.ndarray) -> np.ndarray:
+            """Where the entries of rows are; -1 for one without any."""
+            if not len(keys):
+                return np.full(len(wanted), -1)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return np.where(keys[at] == wanted, own[at], -1)
+
+        n = np.zeros(entries.num_rows + 1, np.int64)
+        n[places(k)] = rows.column("n").to_numpy()
+        left = places(np.repeat(k, list(map(len, leads))))
+        right = places(np.array([x for xs in leads for x in xs], np.int64))
+        there = np.flatnonzero((left >= 0) & (right >= 0))
+        there = there[np.argsort(right[there], kind="stable")]
+        left, right = left[there], right[there]
+        if len(left):
+            keep = bound(overlaps(lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(), left, right), n[left], n[right])
+            left, right = left[keep], right[keep]
+        key = entries.column("k").to_numpy()
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in (("a", key[left]), ("b", key[right]), ("na", n[left]), ("nb", n[right]))})
 
     nodes = materialize(row_blocks(pairs, entries), "row-blocks")
-    met = incidence.join(small(nodes), "k").select("g", "k", "n", "lead", "columns")
-    return met.groupBy("g").applyInArrow(multiply, "a long, b long, na long, nb long")
+    own = small(nodes.select("g", "k")).select(F.col("g").alias("block"), F.col("k").alias("k"))
+    met = incidence.join(own, "k").select("block", "k", "columns")
+    return met.groupBy("block").cogroup(nodes.groupBy("g")).applyInArrow(multiply, "a long, b long, na long, nb long")
 
 
 def promising(pairs: DataFrame, dealt: DataFrame) -> DataFrame:
