@@ -145,16 +145,21 @@ def nearest_pixel(raster: DataFrame, points: DataFrame, x0: float, y0: float, ce
     return at.join(raster.select("row", "col", F.col("value").alias("sampled")), ["row", "col"], "left").drop("row", "col")
 
 
+def haloed(df: DataFrame, size: int, halo: int) -> DataFrame:
+    """A row per cell and tile that it is in or at most ``halo`` cells outside of (``halo`` up to ``size``): ``tr``, ``tc`` in front."""
+    r, c = F.floor(F.col("row") / size), F.floor(F.col("col") / size)
+    step = F.sequence(F.lit(-1), F.lit(1))
+    near = df.withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step)).withColumns({"tr": r + F.col("dr"), "tc": c + F.col("dc")})
+    edge = lambda x, t: F.col(x).between(F.col(t) * size - halo, F.col(t) * size + size - 1 + halo)
+    return near.where(edge("row", "tr") & edge("col", "tc")).select("tr", "tc", *df.columns)
+
+
 def tiles(df: DataFrame, size: int, halo: int, kernel: Callable[[np.ndarray], np.ndarray], out: str = "out") -> DataFrame:
     """Append ``kernel`` of the raster, tile by tile: each tile gets ``halo`` cells of its neighbours, so memory is bounded by ``size``.
 
     ``kernel`` maps a 2-D array (missing cells NaN) to one of the same shape.
     """
-    r, c = F.floor(F.col("row") / size), F.floor(F.col("col") / size)
-    step = F.sequence(F.lit(-1), F.lit(1))
-    near = df.select("row", "col", "value").withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step)).withColumns({"tr": r + F.col("dr"), "tc": c + F.col("dc")})
-    edge = lambda x, t: F.col(x).between(F.col(t) * size - halo, F.col(t) * size + size - 1 + halo)
-    near = near.where(edge("row", "tr") & edge("col", "tc")).select("tr", "tc", "row", "col", "value")
+    near = haloed(df.select("row", "col", "value"), size, halo)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tr, tc = int(pdf["tr"].iloc[0]), int(pdf["tc"].iloc[0])
