@@ -100,22 +100,3 @@ def clip_ring(points: Column, xmin: float, ymin: float, xmax: float, ymax: float
         return rings.map(lambda r: None if r is None else cut(r))
 
     return clipped(points)
-
-
-def mercator(lon: Column, lat: Column) -> Column:
-    """Spherical Mercator metres."""
-    r = 6378137.0
-    return F.struct((F.radians(lon) * r).alias("x"), (F.ln(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2)) * r).alias("y"))
-
-
-def albers(lon: Column, lat: Column, lat1: float = 34.0, lat2: float = 40.5, lat0: float = 0.0, lon0: float = -120.0, y0: float = -4_000_000.0) -> Column:
-    """Spherical Albers equal-area metres."""
-    import math
-
-    r, p1, p2, p0 = 6370997.0, math.radians(lat1), math.radians(lat2), math.radians(lat0)
-    n = (math.sin(p1) + math.sin(p2)) / 2
-    c = math.cos(p1) ** 2 + 2 * n * math.sin(p1)
-    rho0 = r * math.sqrt(c - 2 * n * math.sin(p0)) / n
-    rho = r * F.sqrt(c - 2 * n * F.sin(F.radians(lat))) / n
-    theta = n * (F.radians(lon) - math.radians(lon0))
-    return F.struct((rho * F.sin(theta)).alias("x"), (rho0 - rho * F.cos(theta) + y0).alias("y"))

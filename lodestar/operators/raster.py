@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.projection import Crs, reproject
+from ..model import Grid
+
 
 def _along(df: DataFrame, radius: int) -> tuple:
     return (
@@ -255,3 +258,16 @@ def magnetic_derivatives(df: DataFrame, cell: float) -> DataFrame:
     gz = (4 * F.col("value") - F.col("_w") - F.col("_e") - F.col("_n") - F.col("_s")) / (4 * cell)
     hgm = F.sqrt(gx * gx + gy * gy)
     return rows.withColumns({"hgm": hgm, "asa": F.sqrt(gx * gx + gy * gy + gz * gz), "tilt": F.atan2(gz, hgm)}).drop("_w", "_e", "_n", "_s")
+
+
+def warp(df: DataFrame, source: Grid, source_crs: Crs, target: Grid, target_crs: Crs, how: str = "bilinear") -> DataFrame:
+    """``row``, ``col``, ``value`` on another grid in another coordinate system: every target cell looks back at where its centre lies in the source.
+
+    ``how``: ``bilinear`` (missing neighbours left out) or ``nearest``; a cell whose centre falls outside of the source is null. One equi-join of target cells with source cells.
+    """
+    at = reproject(target.cells(df.sparkSession).select(F.col("row").alias("_tr"), F.col("col").alias("_tc"), "x", "y"), target_crs, source_crs)
+    look = bilinear if how == "bilinear" else nearest_pixel
+    inside = F.col("x").between(source.x0, source.x0 + source.n_cols * source.cell) & F.col("y").between(source.y0, source.y0 + source.n_rows * source.cell)
+    got = look(df.select("row", "col", "value"), at.where(inside), source.x0, source.y0, source.cell)
+    cells = at.select("_tr", "_tc").join(got.select("_tr", "_tc", "sampled"), ["_tr", "_tc"], "left")
+    return cells.select(F.col("_tr").alias("row"), F.col("_tc").alias("col"), F.col("sampled").alias("value"))

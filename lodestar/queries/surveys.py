@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import learning, network, ranking, raster, relational, sampling, spatial
 from ..sources.adapters import COMMODITY_CODES, LITHOLOGY, get_adapter
+from .projections import shifted_sql
 from .registry import ANCHORS_SQL, CELLS_SQL, POLYGONS_SQL, SAMPLES_SQL, SCORED_SQL, anchors, cells, polygons, query, rounded, samples, scored, table
 
 PLACE = ("cast({k} % 1000 as double) + 0.5 as x", "cast({k} % 777 as double) + 0.25 as y")
@@ -88,12 +89,28 @@ def adapt_bcgs_rgs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(got.withColumn("sample_date", F.date_format("sample_date", "yyyy-MM-dd")), 9)
 
 
-@query(f"""SELECT {PLACE_SQL.format(k=f'({ROW})')}, ({ROW})::VARCHAR AS sample_id, 'NURE' AS source, CASE WHEN l_quantity >= 10 THEN l_quantity - 10 END AS "Au", l_tax AS "U" FROM lineitem WHERE l_linenumber <> 3""")
+NURE_SQL = f"(SELECT *, -124 + x / 12500 * 8 AS lon0, 34 + y / 10000 * 6 AS lat0 FROM (SELECT *, {PLACE_SQL.format(k=f'({ROW})')} FROM lineitem WHERE l_linenumber <> 3))"
+
+
+@query(f"""SELECT round(lon, 8) AS x, round(lat, 8) AS y, ({ROW})::VARCHAR AS sample_id, 'NURE' AS source, CASE WHEN l_quantity >= 10 THEN l_quantity - 10 END AS "Au_ppm", l_discount * 1000 AS "Au_ppb", l_tax AS "U_ppm", l_tax AS "Fe_pct"
+  FROM {shifted_sql('lon0', 'lat0', NURE_SQL, 'l_orderkey, l_linenumber, l_quantity, l_discount, l_tax')}""")
 def adapt_nure(spark: SparkSession, d: str) -> DataFrame:
-    """Element columns by name, rows without a place left out, negatives null."""
-    raw = _raw(spark, d, "lineitem", f"({ROW})", f"{ROW} as lab_id", "l_quantity - 10 as Au_ppm", "l_tax as U_sq_ppm", "l_discount as other", "l_linenumber").withColumn("x", F.when(F.col("l_linenumber") != 3, F.col("x")))
-    got = get_adapter("geochem", "nure_iicpms")(raw.drop("l_linenumber"))
-    return got.withColumnsRenamed({"Au_ppm": "Au", "U_ppm": "U"})
+    """Element columns by name with their units, rows without a place left out, negatives null, places moved to the world datum."""
+    return rounded(get_adapter("geochem", "nure_iicpms")(_nure(spark, d)), 8)
+
+
+def _nure(spark: SparkSession, d: str) -> DataFrame:
+    raw = _raw(spark, d, "lineitem", f"({ROW})", f"{ROW} as lab_id", "l_quantity - 10 as Au_ppm", "l_discount * 1000 as Au_ppb", "l_tax as U_sq_ppm", "l_tax as Fe_pct", "l_discount as other", "l_linenumber")
+    placed = raw.withColumns({"x": F.when(F.col("l_linenumber") != 3, -124 + F.col("x") / 12500 * 8), "y": 34 + F.col("y") / 10000 * 6})
+    return placed.drop("l_linenumber")
+
+
+@query(f"""SELECT {PLACE_SQL.format(k=f'({ROW})')}, ({ROW})::VARCHAR AS sample_id, round(coalesce(CASE WHEN l_quantity >= 10 THEN l_quantity - 10 END, l_discount * 1000 / 1000), 8) AS au_in_ppm, round(l_tax * 10000, 8) AS fe_in_ppm FROM lineitem WHERE l_linenumber <> 3""")
+def adapt_nure_ppm(spark: SparkSession, d: str) -> DataFrame:
+    """Two elements in ppm, whatever their units, places left as they are."""
+    got = get_adapter("geochem", "nure_iicpms")(_nure(spark, d), ["Au", "Fe"], in_ppm=True, datum=None)
+    back = got.select(F.round((F.col("x") + 124) * 12500 / 8, 6).alias("x"), F.round((F.col("y") - 34) * 10000 / 6, 6).alias("y"), "sample_id", F.col("Au_ppm").alias("au_in_ppm"), F.col("Fe_ppm").alias("fe_in_ppm"))
+    return rounded(back, 8)
 
 
 @query(f"""SELECT {PLACE_SQL.format(k=f'({ROW})')}, ({ROW})::VARCHAR AS sample_id, 'NGDB' AS source, l_returnflag AS sample_type, CAST(l_shipdate AS DATE)::VARCHAR AS sample_date, l_quantity AS "Au_ppm" FROM lineitem""")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centroid
-from ..functions.scalar import first_match, mask_nodata, parse_codes, priority_value, sentinel
+from ..functions.projection import NAD27_SHIFTS, crs, reproject
+from ..functions.scalar import first_match, mask_nodata, parse_codes, priority_value, sentinel, to_ppm
 from ..operators.relational import factorize, join_many, reconcile, recode
 from .readers import resolve, to_date
 
@@ -161,14 +163,31 @@ def ngdb(wide: DataFrame, elements: list[str]) -> DataFrame:
     return wide.select("x", "y", F.col("lab_id").cast("string").alias("sample_id"), F.lit("NGDB").alias("source"), resolve(wide, ["primary_class", "sample_type"]).cast("string").alias("sample_type"), to_date(resolve(wide, ["date_collect"]).cast("string")).alias("sample_date"), *[f"{e}_ppm" for e in have])
 
 
+# Fixed value: the form of element columns: symbol, perhaps a mark of semi-quantitative values, unit.
+ELEMENT = r"^([A-Z][a-z]?)(?:_sq)?_(ppm|ppb|pct)$"
+
+
 @adapter("geochem", "nure_iicpms")
-def nure(raw: DataFrame, elements: list[str] | None = None) -> DataFrame:
-    """Element columns by their names' form; negatives are null."""
+def nure(raw: DataFrame, elements: list[str] | None = None, in_ppm: bool = False, datum: str | None = "conus") -> DataFrame:
+    """Element columns by their names' form, each with its unit, negatives null; with ``in_ppm`` one column in ppm per element (the first of ppm, ppb, pct that isn't null).
+
+    ``datum``: places are on the older North American datum of that area and are moved to the world datum; ``None`` leaves them.
+    """
     import re
 
-    names = [(c, re.match(r"^([A-Z][a-z]?)(?:_sq)?_ppm$", c)) for c in raw.columns]
-    kept = [(c, m[1]) for c, m in names if m and (elements is None or m[1] in elements)]
-    return raw.where("x is not null and y is not null").select("x", "y", resolve(raw, ["sample_id", "lab_id"]).cast("string").alias("sample_id"), F.lit("NURE").alias("source"), *[F.when(F.col(c) >= 0, F.col(c)).alias(f"{e}_ppm") for c, e in kept])
+    found: dict[str, dict[str, Column]] = {}
+    for c in raw.columns:
+        m = re.match(ELEMENT, c)
+        if m and (elements is None or m[1] in elements):
+            found.setdefault(m[1], {}).setdefault(m[2], F.when(F.col(c) >= 0, F.col(c)))
+    if in_ppm:
+        values = [F.coalesce(*(to_ppm(own[u].cast("double"), F.lit(u)) for u in ("ppm", "ppb", "pct") if u in own)).alias(f"{e}_ppm") for e, own in found.items()]
+    else:
+        values = [v.alias(f"{e}_{u}") for e, own in found.items() for u, v in own.items()]
+    placed = raw.where("x is not null and y is not null")
+    if datum:
+        placed = reproject(placed, replace(crs(4267), shift=NAD27_SHIFTS[datum]), crs(4326))
+    return placed.select("x", "y", resolve(raw, ["sample_id", "lab_id"]).cast("string").alias("sample_id"), F.lit("NURE").alias("source"), *values)
 
 
 @adapter("geology", "usgs_sgmc")
