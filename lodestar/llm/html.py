@@ -1,11 +1,14 @@
 """HTML extraction: site template removal.
 
-Every page is parsed into blocks of text and element subtrees. Subtrees (their tags and text) are
-hashed, counted per host in Spark by the number of different pages (pages with one and the same
-main text count once, so copies of an article don't make its parts a template), and those that
-recur across many pages of their host are deleted. How many are many is a number of pages, the
-same for hosts of any size. Elements whose tag, role or class names them as navigation, header,
-footer, sidebar, notice, advert, form or comments go too.
+Every page is parsed into blocks of text and element subtrees. Subtrees (their tags and text) of the whole page are
+hashed and counted in Spark by the number of different pages (pages with one and the
+same main text count once, so copies of an article don't make its parts a template): per host, and, outside of articles,
+per registered domain and over all hosts, where more pages are asked for. Those that
+recur are deleted. How many are many is a number of pages, the same for hosts of any size.
+
+What is left is judged by evidence: blocks whose element, role or class names them as navigation, header,
+footer, sidebar, notice, advert, form or comments go; ``article`` and ``main`` elements are taken as the main text unless there is
+far more running text outside of them (a teaser in a column is no article). Text in links doesn't count for that.
 
 Defined cases: null html gives an empty text; broken markup is read tolerantly (open elements
 end where a parent or a block of their kind ends); a page without ``article`` or ``main`` is
@@ -17,7 +20,7 @@ are kept by ``extract`` (outputs replace their names).
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -34,6 +37,10 @@ from .urls import host
 #: Production parameters: a subtree is template from so many different pages of its host on: outside the
 #: article, and inside it (there ``LEAST`` are enough where they are half of the host's pages).
 LEAST, LEAST_IN = 5, 10
+#: Outside of articles also from so many different pages of its registered domain, and of all hosts, on.
+LEAST_DOMAIN, LEAST_EVERYWHERE = 10, 20
+#: Articles are the main text unless there is more than so many times their running text outside.
+OUTSIDE = 2
 #: Template hashes (8 bytes each) that are sent to all tasks; beyond that they are joined page by page.
 MAX_BROADCAST = 1 << 20
 
@@ -90,9 +97,12 @@ class _Open:
         self.hash = xxhash.xxh64() if tag in _CONTAINER else None
 
 
-def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int, int, bool]]]:
-    """Blocks as (position, text, in the article) and subtrees with text as (start, end, hash, in the article)."""
-    blocks: list[tuple[int, str, bool]] = []
+Block = tuple[int, str, bool, bool, int]
+
+
+def parse(html: str | None) -> tuple[list[Block], list[tuple[int, int, int, bool]]]:
+    """Blocks as (position, text, in the article, named as none, letters in links) and subtrees with text as (start, end, hash, in the article)."""
+    blocks: list[Block] = []
     trees: list[tuple[int, int, int, bool]] = []
     if not html:
         return blocks, trees
@@ -100,16 +110,16 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
     hashes: list = []  # those of the open containers
     is_open: Counter[str] = Counter()
     parts: list[str] = []
-    dropped = article = seen = letters = 0
+    dropped = article = seen = letters = link = linked = 0
     at = began = 0
 
     def flush(now: int) -> None:
-        nonlocal began
+        nonlocal began, linked
         if parts:
             if text := " ".join(unescape("".join(parts)).split()):
-                blocks.append((began, text, article > 0))
+                blocks.append((began, text, article > 0, dropped > 0, linked))
             parts.clear()
-        began = now
+        began, linked = now, 0
 
     def close(k: int, end: int) -> None:
         """Close the open elements from the k-th on."""
@@ -129,12 +139,13 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
     last = html.rfind(">")  # no tag ends behind it
     while True:
         m = _TOKEN.search(html, at) if at <= last or html.find("<!--", at) >= 0 else None
-        if not dropped and (text := html[at : m.start() if m else len(html)]):
+        if text := html[at : m.start() if m else len(html)]:
             if not parts:
                 began = at
             parts.append(text)
             if own := " ".join(text.split()):
                 letters += 1
+                linked += len(own) * link
                 if hashes:
                     hashes[-1].update(own.encode("utf-8", "replace"))
         if not m:
@@ -144,8 +155,10 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
         if not tag:
             continue
         if m[1]:  # an end tag: closes the nearest such element, and what is open in it
-            if tag in _BLOCK:
+            if tag in _BLOCK or is_open[tag]:
                 flush(at)
+            if tag == "a":
+                link = 0
             if is_open[tag]:
                 k = len(stack) - 1
                 while stack[k].tag != tag:
@@ -158,8 +171,10 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
             if tag != "svg":
                 parts.append(" ") if parts else None
             continue
-        if hashes and not dropped:
+        if hashes:
             hashes[-1].update(f"<{tag}>".encode())
+        if tag == "a":
+            link = 1
         if tag in _VOID:
             if tag == "hr":
                 flush(at)
@@ -198,9 +213,8 @@ def parse(html: str | None) -> tuple[list[tuple[int, str, bool]], list[tuple[int
     return blocks, trees
 
 
-def main_text(blocks: list[tuple[int, str, bool]], spans: list[tuple[int, int]] = ()) -> str:
-    """Blocks of the article (of the page, where there is none) outside ``spans``, one a line."""
-    inside = any(b[2] for b in blocks)
+def main_text(blocks: list[Block], spans: list[tuple[int, int]] = ()) -> str:
+    """The blocks of the main text outside ``spans``, one a line."""
     starts, ends = [], []
     for start, end in sorted(spans):
         if not ends or start >= ends[-1]:
@@ -209,7 +223,13 @@ def main_text(blocks: list[tuple[int, str, bool]], spans: list[tuple[int, int]]
         else:
             ends[-1] = max(ends[-1], end)
     gone = lambda at: (i := bisect_right(starts, at)) > 0 and at < ends[i - 1]
-    return "\n".join(text for at, text, own in blocks if own or not inside if not gone(at))
+    left = [b for b in blocks if not b[3] and not gone(b[0])]
+    running = [0, 0]
+    for _, text, own, _, linked in left:
+        running[own] += max(0, len(text) - linked)
+    inside = any(b[2] for b in left) and running[0] <= OUTSIDE * running[1]
+    whole = not any(b[2] for b in left)
+    return "\n".join(text for _, text, own, _, _ in left if whole or own == inside)
 
 
 def _signed(x: int) -> int:
@@ -220,13 +240,36 @@ def site(url_host: str) -> int:
     return _signed(xxhash.xxh64_intdigest(url_host.encode("utf-8", "replace")))
 
 
+def domain(url_host: str) -> str:
+    """The last two labels of a host: about its registered domain."""
+    return ".".join(url_host.split(".")[-2:])
+
+
+def sites(url_host: str) -> tuple[int, int, int]:
+    """The levels that subtrees are counted on: the host, its domain, all hosts."""
+    return site(url_host), site(f"*.{domain(url_host)}"), site("*")
+
+
+def keys(url_host: str, blocks: list[Block], trees: list[tuple[int, int, int, bool]]) -> Iterator[tuple[int, int, int, int, bool]]:
+    """Start, end, level, key, in the article of each subtree: on the host's level, and on the wider ones if it is outside of articles and has less than half of the page's text (a story that many sites carry is no template)."""
+    at = [b[0] for b in blocks]
+    upto = [0]
+    for b in blocks:
+        upto.append(upto[-1] + len(b[1]))
+    levels = sites(url_host)
+    for start, end, tree, inside in trees:
+        held = upto[bisect_left(at, end)] - upto[bisect_left(at, start)]
+        for k, s in enumerate(levels[: 1 if inside or 2 * held >= upto[-1] else 3]):
+            yield start, end, k, key(s, tree), inside
+
+
 def key(site_: int, tree: int) -> int:
     """One 64-bit number for a subtree of a site."""
     return _signed(xxhash.xxh64_intdigest(tree.to_bytes(8, "little"), seed=site_ & ((1 << 64) - 1)))
 
 
 def subtree_counts(pages: DataFrame) -> DataFrame:
-    """``site``, ``tree``, ``inside``, ``n``: the different main texts among the pages of a site that hold a subtree; ``tree`` null: all of the site's."""
+    """``site`` (of a host; 0 on wider levels), ``level``, ``tree``, ``inside``, ``n``: the different main texts among the pages of a host (level 0), a domain (1) and all hosts (2) that hold a subtree; ``tree`` null: all of a host's."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
@@ -234,22 +277,24 @@ def subtree_counts(pages: DataFrame) -> DataFrame:
             for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 blocks, trees = parse(page)
                 s, d = site(h), _signed(xxhash.xxh64_intdigest(main_text(blocks).encode("utf-8", "replace")))
-                out.add((s, None, False, d))
-                out.update((s, key(s, t), inside, d) for _, _, t, inside in trees)
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["site", "tree", "inside", "main"])
+                out.add((s, 0, None, False, d))
+                out.update((s, level, tree, inside, d) if level == 0 else (0, level, tree, inside, d) for _, _, level, tree, inside in keys(h, blocks, trees))
+            columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["site", "level", "tree", "inside", "main"])
 
-    found = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(hashes, "site long, tree long, inside boolean, main long")
+    found = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(hashes, "site long, level int, tree long, inside boolean, main long")
     # most subtrees are on one page: the distinct rows are shuffled by subtree and page, then only counts
-    return found.distinct().groupBy("site", "tree", "inside").agg(F.count("*").alias("n"))
+    return found.distinct().groupBy("site", "level", "tree", "inside").agg(F.count("*").alias("n"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``tree``: keys of the subtrees that recur across many pages of their site."""
+    """``tree``: keys of the subtrees that recur across many pages of their host, domain or of all."""
     counts = materialize(subtree_counts(pages).where(f"tree is null or n >= {LEAST}"), "subtrees")
-    sites = counts.where("tree is null").select("site", F.col("n").alias("pages"))
+    hosts = counts.where("tree is null").select("site", F.col("n").alias("pages"))
+    wide = counts.where((F.col("level") == 1) & (F.col("n") >= LEAST_DOMAIN) | (F.col("level") == 2) & (F.col("n") >= LEAST_EVERYWHERE)).select("tree")
     enough = ~F.col("inside") | (F.col("n") >= LEAST_IN) | (F.col("n") * 2 >= F.col("pages"))
-    found = materialize(counts.where("tree is not null").join(sites, "site").where(enough).select("tree").distinct(), "templates")
+    own = counts.where("level = 0 and tree is not null").join(hosts, "site").where(enough).select("tree")
+    found = materialize(own.unionAll(wide).distinct(), "templates")
     forget(counts)
     return found
 
@@ -268,13 +313,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def one(h: str, page: str | None, own) -> str:
         blocks, trees = parse(page)
-        s = site(h)
         if own is None:
             all_ = sent.value
             held = lambda k: (i := int(np.searchsorted(all_, k))) < len(all_) and all_[i] == k
         else:
             held = set(own).__contains__
-        return main_text(blocks, [(a, b) for a, b, t, _ in trees if held(key(s, t))])
+        return main_text(blocks, [(a, b) for a, b, _, k, _ in keys(h, blocks, trees) if held(k)])
 
     if known is None:
         udf = F.pandas_udf(lambda hosts, html: hosts.combine(html, lambda h, p: one(h, p, None)), "string")
@@ -288,7 +332,7 @@ def _own_templates(rows: DataFrame, table: DataFrame) -> DataFrame:
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            out = {(r, key(site(h), t)) for r, h, p in zip(*(batch.column(c).to_pylist() for c in ("_row", "_host", "html")), strict=True) for _, _, t, _ in parse(p)[1]}
+            out = {(r, k) for r, h, p in zip(*(batch.column(c).to_pylist() for c in ("_row", "_host", "html")), strict=True) for _, _, _, k, _ in keys(h, *parse(p))}
             columns = list(zip(*out, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["_row", "tree"])
 

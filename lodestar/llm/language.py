@@ -4,7 +4,8 @@ States are the languages. A word's score for a state is the sum of learned weigh
 features: character n-grams of two to four letters with word ends marked (the ones at the ends
 are the affixes) and the word itself (the lexicon). Transitions between neighbouring words and
 the start are learned with them, by gradient ascent on the conditional likelihood of a bounded
-sample of labelled documents. Every whole text is then labelled word by word by forward-backward;
+sample of labelled documents. As a labelled document has one language and could only teach never to switch,
+stretches of documents of different languages are spliced to further examples. Every whole text is then labelled word by word by forward-backward;
 a document's language is the one with the largest share of its words, weighed by probability.
 
 Words of many documents are scored together: each different word of a slice once, all chains
@@ -32,10 +33,13 @@ from pyspark.sql import functions as F
 from .common import materialize, read, slices, small
 
 #: The bounded sample to learn from: documents of each language at most, and of all languages together (as many of
-#: each as that gives, one at least: no language is left out); code points of a document at most.
+#: each as that gives, one at least: no language is left out); code points of a document that are learned from at most.
 PER_LANGUAGE, SAMPLE, LEARN_CHARS = 150, 1200, 10_000
-#: Size of the weight table, width in letters that words are cut to pieces of, steps and rate of the ascent, decay.
-TABLE, WIDTH, STEPS, RATE, DECAY = 1 << 18, 32, 15, 0.1, 1e-6
+#: For the transitions: spliced examples per document, and words of a stretch of one language in them.
+SPLICES, STRETCH = 0.5, 25
+#: Size of the weight table, width in letters that words are cut to pieces of, steps of the ascent, its rates for
+#: weights and for the few transitions (which have further to go), decay.
+TABLE, WIDTH, STEPS, RATE, MOVE_RATE, DECAY = 1 << 18, 32, 15, 0.1, 0.4, 1e-6
 
 #: Bytes of text that are labelled at a time.
 TEXT = 1 << 22
@@ -133,40 +137,74 @@ def _positive(scores: np.ndarray) -> np.ndarray:
     return np.exp(np.maximum(scores - scores.max(1, keepdims=True), -30))
 
 
+def spliced(words: list[list[str]], gold: list[int], share: float = SPLICES, stretch: int = STRETCH) -> tuple[list[list[str]], list[np.ndarray]]:
+    """The documents and, for each word, its language; then stretches of documents of different languages, one after the other, as further examples."""
+    states = [np.full(len(w), g) for w, g in zip(words, gold, strict=True)]
+    if len(set(gold)) < 2:
+        return words, states
+    rng = np.random.default_rng(len(words))
+    more, told = [], []
+    for _ in range(int(len(words) * share)):
+        chain, state, last = [], [], -1
+        for _ in range(int(rng.integers(2, 5))):
+            i = int(rng.integers(len(words)))
+            if gold[i] == last:
+                continue
+            last = gold[i]
+            at = int(rng.integers(max(1, len(words[i]) - stretch + 1)))
+            chain += words[i][at : at + stretch]
+            state += [last] * (len(chain) - len(state))
+        more.append(chain)
+        told.append(np.array(state))
+    return words + more, states + told
+
+
+class Told:
+    """Examples to learn from: words with their languages, laid out as chains."""
+
+    def __init__(self, words: list[list[str]], states: list[np.ndarray], k: int):
+        self.k, self.n = k, len(words)
+        number, different = pd.factorize(np.array([x for w in words for x in w], object))
+        self.places = features(np.array(different, str))
+        self.chains = Chains(np.array([len(w) for w in words]))
+        self.laid = np.empty(len(number), np.int64)
+        self.laid[self.chains.place] = _in_order(number, words, self.chains)
+        self.own = np.zeros((len(different), k))
+        np.add.at(self.own, (number, np.concatenate(states)), 1)
+        self.moves, self.begun = np.zeros((k, k)), np.zeros(k)
+        for s in states:
+            np.add.at(self.moves, (s[:-1], s[1:]), 1)
+            self.begun[s[0]] += 1
+
+    def gradient(self, weights: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the conditional log-likelihood: what is there less what is expected."""
+        emit = _positive(_scores(weights, self.places))
+        p, moves = self.chains.marginals(emit[self.laid].astype(np.float64), np.exp(start), np.exp(move))
+        expected = np.stack([np.bincount(self.laid, p[:, j], len(self.own)) for j in range(self.k)], 1)
+        more, flat = self.own - expected, self.places.ravel()
+        gw = np.stack([np.bincount(flat, np.repeat(more[:, j], self.places.shape[1]), TABLE).astype(np.float32) for j in range(self.k)], 1)
+        gw[0] = 0
+        return gw, self.begun - p[: self.chains.active[0]].sum(0), self.moves - moves
+
+
 def fit(texts: list[str], labels: list[str]) -> dict:
-    """Weights, start and transitions learned from documents of one language each."""
+    """Weights, start and transitions learned from documents of one language each and from splices of them."""
     names = sorted(set(labels))
     words = [split(t) for t in texts]
-    gold = np.array([names.index(x) for x in labels])[[i for i, w in enumerate(words) if w]]
+    gold = [names.index(x) for x, w in zip(labels, words, strict=True) if w]
     words = [w for w in words if w]
     if not words:
         return {}
-    number, different = pd.factorize(np.array([x for w in words for x in w], object))
-    places = features(np.array(different, str))
-    chains = Chains(np.array([len(w) for w in words]))
-    laid = np.empty(len(number), np.int64)
-    laid[chains.place] = _in_order(number, words, chains)
-    state = np.empty(len(number), np.int64)
-    state[chains.place] = gold[chains.by][chains.doc]
-    k, n_docs = len(names), len(words)
+    k = len(names)
+    told = Told(*spliced(words, gold), k)
     weights, start, move = np.zeros((TABLE, k), np.float32), np.zeros(k), np.zeros((k, k))
-    told = np.zeros((k, k))
-    np.add.at(told, (gold, gold), [len(w) - 1 for w in words])
-    begun = np.bincount(gold, minlength=k)
     sums = [np.full_like(weights, 1e-12), np.full_like(start, 1e-12), np.full_like(move, 1e-12)]
-    own = np.zeros((len(different), k))
-    np.add.at(own, (laid, state), 1)
     for _ in range(STEPS):
-        emit = _positive(_scores(weights, places))
-        p, moves = chains.marginals(emit[laid].astype(np.float64), np.exp(start), np.exp(move))
-        expected = np.stack([np.bincount(laid, p[:, j], len(different)) for j in range(k)], 1)
-        more, flat = own - expected, places.ravel()
-        gw = np.stack([np.bincount(flat, np.repeat(more[:, j], places.shape[1]), TABLE).astype(np.float32) for j in range(k)], 1)
-        gw[0] = 0
-        steps = (gw / n_docs - DECAY * weights, (begun - p[: chains.active[0]].sum(0)) / n_docs, (told - moves) / n_docs)
-        for x, grad, s in zip((weights, start, move), steps, sums, strict=True):
+        gw, gs, gm = told.gradient(weights, start, move)
+        steps = (gw / told.n - DECAY * weights, gs / told.n, gm / told.n)
+        for x, grad, s, rate in zip((weights, start, move), steps, sums, (RATE, RATE, MOVE_RATE), strict=True):
             s += grad**2
-            x += (RATE * grad / np.sqrt(s)).astype(x.dtype)
+            x += (rate * grad / np.sqrt(s)).astype(x.dtype)
         move -= move.max()
         start -= start.max()
     used = np.flatnonzero(weights.any(1))
@@ -209,8 +247,8 @@ def label(texts: list[str | None], model: dict, weights: np.ndarray, each: bool
 
 def sample(docs: DataFrame) -> DataFrame:
     """The documents to learn from (``text``, ``lang``): the first ones of each language by the hash of id and text."""
-    fit_ = docs.where("lang is not null and not held_out and text is not null").where(F.char_length("text") <= LEARN_CHARS)
-    fit_ = fit_.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    fit_ = docs.where("lang is not null and not held_out and text is not null")
+    fit_ = fit_.select("lang", F.substring("text", 1, LEARN_CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("h"))  # of a long text its beginning teaches
     keys = fit_.select("lang", "h").distinct()
     languages = fit_.select("lang").distinct().count()
     most = max(1, min(PER_LANGUAGE, SAMPLE // max(languages, 1)))

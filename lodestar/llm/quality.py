@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import fits, free_name, materialize, read, release, slices
 
-#: The bounded sample: labelled documents of each class, pseudo-labelled ones of each view and label (about), code points of a labelled document at most.
+#: The bounded sample: labelled documents of each class, pseudo-labelled ones of each view and label (both about), code points of a labelled document that are learned from at most.
 PER_CLASS, UNLABELLED, LEARN_CHARS = 6000, 4000, 100_000
 #: The vocabulary, a bound of the model and not of what is scored: words and beginnings kept; least chi-square, documents and odds against the other class of one; letters of a beginning.
 FEATURES, LEAST_CHI2, LEAST_DOCS, LEAST_ODDS, BEGINNINGS = 5000, 11.0, 4, 3.0, (4, 5, 7)
@@ -90,14 +90,15 @@ def _told(labels: DataFrame) -> DataFrame:
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, ``source``, ``lang``, ``bad``, ``share`` (the part of its class that is in the sample)."""
     told = _told(labels).groupBy("doc_id").agg(F.max(F.expr("cast(coalesce(quality, 1) = 0 or coalesce(toxic, 0) = 1 as int)")).alias("bad"))
-    fit_ = docs.where(F.char_length(F.coalesce("text", F.lit(""))) <= LEARN_CHARS).select("doc_id")
-    known = materialize(fit_.join(told, "doc_id").distinct(), "labelled")
+    known = materialize(docs.select("doc_id").join(told, "doc_id").distinct(), "labelled")
     counts = {r[0]: r[1] for r in known.groupBy("bad").count().collect()}
-    hashed = F.xxhash64("doc_id")
-    chosen = [known.where(F.col("bad") == b).orderBy(hashed, "doc_id").limit(PER_CLASS) for b in (0, 1)]
-    ids = materialize(chosen[0].unionAll(chosen[1]), "chosen")  # at most 2 * PER_CLASS rows
+    most = F.lit(0)
+    for bad, n in counts.items():  # a share of the hashes, so no task sends a list of its own firsts
+        most = F.when(F.col("bad") == bad, min(1 << 30, (PER_CLASS << 30) // n)).otherwise(most)
+    ids = materialize(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < most), "chosen")  # about 2 * PER_CLASS rows
     share = F.when(F.col("bad") == 1, min(1.0, PER_CLASS / max(counts.get(1, 0), 1))).when(F.col("bad") == 0, min(1.0, PER_CLASS / max(counts.get(0, 0), 1)))
-    return materialize(docs.select("doc_id", "text", "source", "lang").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("share", share), "sample")
+    text = F.substring("text", 1, LEARN_CHARS).alias("text")
+    return materialize(docs.select("doc_id", text, "source", "lang").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("share", share), "sample")
 
 
 def vocabulary(told: DataFrame) -> list[str]:

@@ -114,18 +114,28 @@ def test_long_and_broken_pages_are_linear():
     assert took(16_000) < 12 * took(4_000) + 0.5
 
 
+def brute_levels(h, page):
+    """Subtrees of a page as (start, end, (level, name, subtree), in the article): host, and domain and all hosts for small ones outside of articles."""
+    blocks, trees = html.parse(page)
+    every = sum(len(b[1]) for b in blocks)
+    for a, b, t, inside in trees:
+        small = 2 * sum(len(x[1]) for x in blocks if a <= x[0] < b) < every
+        for level, name in enumerate((h, ".".join(h.split(".")[-2:]), "")[: 3 if small and not inside else 1]):
+            yield a, b, (level, name, t), inside
+
+
 def brute_templates(pages):
-    """Keys of (host, subtree) that recur, by a plain count over all pages."""
+    """Keys of (level, host, subtree) that recur, by a plain count over all pages."""
     held, main = collections.defaultdict(set), collections.defaultdict(set)
     for _, u, page in pages:
         h = re.search(r"://([^/?#]*)", u or "")
         h = h[1].lower() if h else ""
-        blocks, trees = html.parse(page)
-        text = html.main_text(blocks)
+        text = html.main_text(html.parse(page)[0])
         main[h].add(text)
-        for a, b, t, inside in trees:
-            held[h, t, inside].add(text)
-    return {(h, t) for (h, t, inside), texts in held.items() if len(texts) >= (10 if inside and 2 * len(texts) < len(main[h]) else 5)}
+        for _, _, k, inside in brute_levels(h, page):
+            held[k, inside].add(text)
+    least = lambda k, inside, n: (10 if inside and 2 * n < len(main[k[1]]) else 5, 10, 20)[k[0]]
+    return {k for (k, inside), texts in held.items() if len(texts) >= least(k, inside, len(texts))}
 
 
 def test_templates_by_brute_force(spark):
@@ -142,9 +152,8 @@ def test_templates_by_brute_force(spark):
     assert len(known) > 10
     got = {r.page_id: r.text for r in html.extract(df).collect()}
     for i, u, page in pages:
-        blocks, trees = html.parse(page)
         h = u.split("/")[2]
-        assert got[i] == html.main_text(blocks, [(a, b) for a, b, t, _ in trees if (h, t) in known])
+        assert got[i] == html.main_text(html.parse(page)[0], [(a, b) for a, b, k, _ in brute_levels(h, page) if k in known])
         assert f"{'body ' + str(i % 480) if i % 4 else 'only ' + str(i)}" in got[i]
     assert any("read more" in page and "read more" not in got[i] for i, _, page in pages if i % 3 and i % 4)
 
@@ -168,6 +177,41 @@ def test_templates_page_by_page(spark, monkeypatch):
     assert {r.page_id: r.text for r in html.extract(df).collect()} == want and want[2] == "text 2"
 
 
+def test_templates_decide_on_pages_without_names(spark, monkeypatch):
+    """Menus and notices in plain ``div`` elements, no ``article``: only what recurs tells them from the story."""
+    menu, note = "<div><a href=/>Home</a> <a href=/b>All our topics</a></div>", "<div><p>We use small files to make this better.</p></div>"
+    story = lambda i: f"<div><h2>Story {i}</h2><p>Something new happened in place {i} and nobody knows why.</p></div>"
+    pages = [(i, f"http://w{i % 3}.org/{i}", f"<html><body>{menu}{story(i)}{note}</body></html>") for i in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {i: f"Story {i}\nSomething new happened in place {i} and nobody knows why." for i in range(30)}
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == want
+    monkeypatch.setattr(html, "LEAST", 10**9)
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all("small files" in got[i] and "topics" in got[i] for i in want)
+
+
+def test_templates_of_small_hosts_come_from_wider_levels(spark):
+    note = "<div><p>Share this page with all of your friends today.</p></div>"
+    story = "<div><p>The same long story that many sites print word for word, as an agency sold it to all of them at once.</p></div>"
+    pages = [(i, f"http://h{i}.com/", f"<body>{note}<div><p>Text number {i}, which is a good deal longer than the note above it is.</p></div></body>") for i in range(25)]
+    pages += [(100 + i, f"http://k{i}.com/", f"<body>{story}<p>by {i}</p></body>") for i in range(25)]
+    pages += [(200 + i, f"http://n{i}.one.com/", f"<body><div><p>One company, many names.</p></div><p>Page {i} of one of its sites, and it says something of its own.</p></body>") for i in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all("friends" not in got[i] and f"Text number {i}," in got[i] for i in range(25))
+    assert all("agency" in got[100 + i] for i in range(25))  # a story is no template, however many sites carry it
+    assert all("company" not in got[200 + i] for i in range(12))
+
+
+def test_a_teaser_is_no_article():
+    story = "".join(f"<div><p>Paragraph {i} of the story that fills the page from top to bottom.</p></div>" for i in range(5))
+    page = f"<body><div><article><h3>teaser</h3></article></div><div>{story}</div></body>"
+    assert html.main_text(html.parse(page)[0]) == "\n".join(f"Paragraph {i} of the story that fills the page from top to bottom." for i in range(5))
+    links = "".join(f"<li><a href=/{i}>Another headline that is as long as any paragraph of the story</a>" for i in range(9))
+    page = f"<body><ul>{links}</ul><article><p>Short news.</p></article></body>"
+    assert html.main_text(html.parse(page)[0]) == "Short news."  # links are no running text
+
+
 def test_no_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -1083,3 +1127,87 @@ def test_registry_names():
     assert [re.match(r"op(\d+)_", n)[1] for n in QUERIES] == [str(i) for i in range(1, 11)]
 
 
+
+
+# ---------------------------------------------------------------- 4 and 10: what is learned from
+
+
+def test_language_of_long_documents_is_learned(spark):
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 8)))
+    rows = [(i, " ".join(word("abcdefg") for _ in range(60)), "aa", None, None) for i in range(60)]
+    rows += [(100 + i, " ".join(word("tuvwxyz") for _ in range(4000)), "xx", None, None) for i in range(30)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert max(len(r[1]) for r in rows) > 2 * language.LEARN_CHARS
+    got = {r.doc_id: r.lang_pred for r in language.identify(df).collect()}
+    assert all(got[r[0]] == r[2] for r in rows)
+
+
+def test_language_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(5)
+    words = [["ab", "ba", "xy"], ["xy", "yx"], ["ab", "xx", "yy", "ba"]]
+    states = [np.array([0, 0, 1]), np.array([1, 1]), np.array([0, 1, 1, 0])]
+    told = language.Told(words, states, 2)
+    used = np.unique(told.places[told.places > 0])
+    weights = np.zeros((language.TABLE, 2), np.float32)
+    weights[used] = rng.normal(size=(len(used), 2))
+    start, move = rng.normal(size=2), rng.normal(size=(2, 2))
+
+    def likelihood(weights, start, move):
+        total = 0.0
+        for own, gold in zip(words, states):
+            emit = weights.astype(float)[language.features(np.array(own, str))].sum(1)
+            path = lambda s: start[s[0]] + sum(emit[i, x] for i, x in enumerate(s)) + sum(move[a, b] for a, b in zip(s, s[1:]))
+            every = [path(s) for s in np.ndindex(*[2] * len(own))]
+            total += path(gold.tolist()) - np.log(np.exp(every).sum())
+        return total
+
+    gw, gs, gm = told.gradient(weights, start, move)
+    step = 1e-3
+    for at in [(int(used[0]), 0), (int(used[3]), 1), (int(used[-1]), 0)]:
+        up, down = weights.astype(float), weights.astype(float)
+        up[at] += step
+        down[at] -= step
+        assert abs((likelihood(up, start, move) - likelihood(down, start, move)) / (2 * step) - gw[at]) < 1e-3
+    for k in range(2):
+        moved = np.eye(2)[k] * step
+        assert abs((likelihood(weights, start + moved, move) - likelihood(weights, start - moved, move)) / (2 * step) - gs[k]) < 1e-4
+        for j in range(2):
+            moved = np.zeros((2, 2))
+            moved[k, j] = step
+            assert abs((likelihood(weights, start, move + moved) - likelihood(weights, start, move - moved)) / (2 * step) - gm[k, j]) < 1e-4
+
+
+def test_spliced_documents_teach_switches():
+    words = [[f"a{i}" for i in range(60)], [f"b{i}" for i in range(10)], [f"c{i}" for i in range(40)]] * 4
+    more, states = language.spliced(words, [0, 1, 2] * 4, 2.0, 25)
+    assert len(more) == 12 + 24 and all(len(w) == len(s) for w, s in zip(more, states))
+    assert all("abc".index(x[0]) == g for w, s in zip(more, states) for x, g in zip(w, s))
+    assert sum(len(set(s.tolist())) > 1 for s in states[12:]) > 12
+    alone, told = language.spliced(words[:1], [0])
+    assert len(alone) == 1 and told[0].tolist() == [0] * 60
+
+
+def test_code_switched_text_is_split_at_the_switch(spark):
+    rows = read(spark, SF, "documents").where("lang is not null and length(text) between 200 and 3000").select("text", "lang").limit(150).collect()
+    model = language.fit([r.text for r in rows], [r.lang for r in rows])
+    weights = language._table(model)
+    by = {}
+    for r in rows:
+        by.setdefault(r.lang, language.split(r.text)[:20])
+    first, second = sorted(by)[:2]
+    mixed = " ".join(by[first] + by[second])
+    _, _, labelled = language.label([mixed], model, weights, True)
+    right = [g == (first if i < len(by[first]) else second) for i, (_, g, _) in enumerate(labelled[0])]
+    assert sum(right) >= len(right) - 4
+    diagonal = np.diag(model["move"]).min()
+    assert model["move"].max() == 1.0 and diagonal > 2 * max(model["move"][i, j] for i in range(len(model["names"])) for j in range(len(model["names"])) if i != j)
+
+
+def test_quality_learns_from_long_documents(spark):
+    bad, good = "scum trash " * 12_000, "fine words here " * 12_000  # all over LEARN_CHARS
+    rows = [(i, (bad if i % 2 else good) + f"x{i}", "en", "s", None) for i in range(24)]
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, DOCS)
+    chosen = quality.sample(df, labels)
+    assert chosen.count() == 24 and chosen.where(f"length(text) > {quality.LEARN_CHARS}").count() == 0
