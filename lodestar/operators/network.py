@@ -66,95 +66,116 @@ def guard_lode(seeds: DataFrame) -> None:
         raise ValueError("placer seeds would leak labels")
 
 
-#: Rows of a range of ``dual_decay``, and ranges at most (the table of ranges and bins has four times their square in rows).
-RANGE_ROWS, RANGES = 20_000, 256
+#: Rows that one task sums exactly, and ranges (of order and of length) that a larger group is dealt to at a time.
+RANGE_ROWS, RANGES = 20_000, 64
 #: Up to so many pairs of reach and sample are simply joined.
 PAIRS = 4_000_000
 
 
-def dual_decay(cells: DataFrame, samples: DataFrame, near: float = 5.0, far: float = 25.0, alpha: float = 0.3, sign: int = 1, ranges: int | None = None) -> DataFrame:
-    """``comid``, ``n_samples``, ``catchment``: the mean of the samples at or above each reach, weighed by a near and a far decay of running length.
+def dual_decay(cells: DataFrame, samples: DataFrame, near: float = 5.0, far: float = 25.0, alpha: float = 0.3, sign: int = 1, ranges: int | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+    """``comid``, ``n_samples``, ``catchment``: the mean of the samples at or above each reach, weighed by a near and a far decay of running length (see ``decay_sums``)."""
+    sums = decay_sums(cells, samples, near, far, alpha, sign, ranges, rows)
+    return sums.select("comid", F.col("n").cast("long").alias("n_samples"), F.when(F.col("w") > 0, F.col("wv") / F.col("w")).alias("catchment"))
+
+
+def decay_sums(cells: DataFrame, samples: DataFrame, near: float = 5.0, far: float = 25.0, alpha: float = 0.3, sign: int = 1, ranges: int | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+    """``comid``, ``n``, ``w``, ``wv`` for each reach with a sample at or above it: samples, the sum of their weights, and of weights times values.
 
-    Both sides are first reduced to reaches (samples with one reach and value count together) and
-    dealt to ranges of ``hydroseq`` and bins of running length. A table of sums for each range and
-    bin, decayed to the bin's edge, tells what other bins of ranges above give; what the own range
-    and the own bin give is summed exactly in a task each, by halves in order of ``hydroseq``. Pairs are
+    Both sides are first reduced to reaches (samples with one reach and value count together). A group
+    of more than ``rows`` rows is dealt to ``ranges`` ranges of ``hydroseq`` and bins of running length. A table of sums for each range and
+    bin, decayed to the bin's edge, tells what other bins of ranges above give; the rows of the own range and those of
+    the own bin are groups of their own, dealt again while they are large: tables and tasks stay of one size, and the
+    levels grow with the logarithm of the rows. Groups of up to ``rows`` are summed exactly in a task each, by halves in order of ``hydroseq``. Pairs are
     formed only where ``PAIRS`` bounds them. ``sign``: 1 if the running length shrinks downstream, -1 if it grows.
-    Distances below 0, and those to or from a null running length, count as 0.
+    Distances below 0, and those to or from a null running length, count as 0. ``ranges`` given: no pairs are formed.
     """
-    keys = ["comid", "p", "len", "m", "n", "v"]
+    from ..plans.storage import materialize, small
+
     at = samples.where("hydroseq is not null").groupBy("hydroseq", "arbolate").agg(F.count("value").cast("double").alias("n"), F.coalesce(F.sum(F.col("value").cast("double")), F.lit(0.0)).alias("v")).withColumn("m", F.lit(1.0))
     reach = cells.select("comid", "hydroseq", "arbolate").where("hydroseq is not null").distinct()
     if ranges is None and reach.count() * at.count() <= PAIRS:
         return _paired(reach, at, near, far, alpha, sign)
+    k = ranges or RANGES
     comid = dict(reach.dtypes)["comid"]
     both = at.select(F.lit(None).cast(comid).alias("comid"), "hydroseq", "arbolate", "m", "n", "v").unionByName(reach.select("*", *(F.lit(0.0).alias(c) for c in "mnv")))
     both = both.withColumn("len", sign * F.col("arbolate").cast("double"))
-    rows, lo, hi = both.agg(F.count("*"), F.min("len"), F.max("len")).first()
+    lo, hi = both.agg(F.min("len"), F.max("len")).first()
     both = both.withColumn("len", F.coalesce("len", F.when(F.col("m") > 0, F.lit(lo or 0.0)).otherwise(F.lit(hi or 0.0))))
-    k = ranges or min(RANGES, rows // RANGE_ROWS + 1)
-
-    def bounds(column: str) -> list:
-        if k < 2 or not rows:
-            return []
-        return sorted(set(both.agg(F.percentile_approx(column, [i / k for i in range(1, k)], 50 * k)).first()[0]))
-
-    def dealt(column: str, edges: list) -> Column:
-        """Even: between two edges; odd: an edge itself, so that no value, however frequent, fills a range that has to be ordered."""
-        if not edges:
-            return F.lit(0)
-        e = F.array(*map(F.lit, edges))
-        return 2 * F.size(F.filter(e, lambda x: x < F.col(column))) + F.array_contains(e, F.col(column)).cast("int")
+    keys = ["comid", "p", "len", "m", "n", "v"]
+    kind = f"comid {comid}, m double, n double, w double, wv double"
+    level = materialize(both.select(F.lit(0).cast("long").alias("g"), "comid", F.col("hydroseq").cast("double").alias("p"), "len", "m", "n", "v"))
 
-    edges = bounds("len")
-    placed = both.withColumns({"r": dealt("hydroseq", bounds("hydroseq")), "b": dealt("len", edges)})
-    lows = [0.0, *(x for e in edges for x in (e, e))]  # of bin b; also the upper edge of bin b - 1
+    def exact(group: pa.Table) -> pa.Table:
+        return _own(group, near, far, alpha)
 
     def shrunk(d: Column, tau: float) -> Column:
         return F.exp(-d / tau) if tau > 0 else F.lit(0.0)
 
-    low = F.element_at(F.array(*map(F.lit, lows)), F.col("b") + 1)
-    flat = (1.0 if near > 0 else 0.0) + (alpha if far > 0 else 0.0)
-    parts = [F.sum("m"), F.sum("n"), *(F.sum(flat * F.col(c)) for c in "nv")] + [F.sum(F.when(F.col("b") > 0, shrunk(F.col("len") - low, tau) * F.col(c)).otherwise(0.0)) for tau in (near, far) for c in "nv"]
-    got = placed.where("m > 0").groupBy("r", "b").agg(*(s.alias(f"s{i}") for i, s in enumerate(parts))).collect()  # (2 * RANGES) ** 2 rows at most
-    table = _above(got, lows, near, far)
-    spark = cells.sparkSession
-    names = ["all_m", "all_n", "flat_n", "flat_v", "near_n", "near_v", "far_n", "far_v"]
-    table = spark.createDataFrame(table, "r int, b int, " + ", ".join(f"{c} double" for c in names))
-    up = F.element_at(F.array(*map(F.lit, [*lows[1:], 0.0])), F.col("b") + 1)
-    gap = F.when(F.col("b") < len(lows) - 1, up - F.col("len")).otherwise(0.0)
-    fn, ff = shrunk(gap, near), alpha * shrunk(gap, far)
-    mass = lambda c: F.col(f"flat_{c}") + fn * F.col(f"near_{c}") + ff * F.col(f"far_{c}")
-    others = placed.where("m = 0").join(F.broadcast(table), ["r", "b"]).select("comid", F.col("all_m").alias("m"), F.col("all_n").alias("n"), mass("n").alias("w"), mass("v").alias("wv"))
-
-    def exact(group: pa.Table) -> pa.Table:
-        return _own(group, near, far, alpha)
+    def dealt(column: str, edges: str) -> Column:
+        """Even: between two edges; odd: an edge itself, so that no value, however frequent, fills a range that has to be ordered."""
+        return 2 * F.size(F.filter(edges, lambda x: x < F.col(column))) + F.array_contains(F.col(edges), F.col(column)).cast("int")
 
-    kind = f"comid {comid}, m double, n double, w double, wv double"
-    # within a range by hydroseq; within a bin by the ranges above (of a range that is one value: also that)
-    ahead = F.when(F.col("m") > 0, F.col("r")).otherwise(F.col("r") + 1 - F.col("r") % 2)
-    own_range = placed.where("r % 2 = 0").withColumn("p", F.col("hydroseq")).select("r", *keys).groupBy("r").applyInArrow(exact, kind)
-    own_bin = placed.where("b % 2 = 0").withColumn("p", ahead).select("b", *keys).groupBy("b").applyInArrow(exact, kind)
-    sums = others.unionByName(own_range).unionByName(own_bin).groupBy("comid").agg(*(F.sum(c).alias(c) for c in ("m", "n", "w", "wv"))).where("m > 0")
-    return sums.select("comid", F.col("n").cast("long").alias("n_samples"), F.when(F.col("w") > 0, F.col("wv") / F.col("w")).alias("catchment"))
+    flat = (1.0 if near > 0 else 0.0) + (alpha if far > 0 else 0.0)
+    masses = ["all_m", "all_n", "flat_n", "flat_v", "near_n", "near_v", "far_n", "far_v"]
+    parts, first = [], True
+    while True:
+        sizes = level.groupBy("g").agg(F.count("*").alias("size"), F.sum("m").alias("given")).where("given > 0 and size > given")  # both sides are there
+        sizes = materialize(sizes.select("g", (F.col("size") > (0 if first and ranges else rows)).alias("large")))
+        first = False
+        parts.append(level.join(small(sizes.where("not large").select("g")), "g", "left_semi").select("g", *keys).groupBy("g").applyInArrow(exact, kind))
+        large = small(sizes.where("large").select("g"))
+        if sizes.where("large").isEmpty():
+            break
+        rows_ = level.join(large, "g", "left_semi")
+        points = [i / k for i in range(1, k)] or [0.5]
+        bounds = rows_.groupBy("g").agg(*(F.array_sort(F.array_distinct(F.percentile_approx(c, points, 50 * k))).alias(f"e{c}") for c in ("p", "len")))
+        bounds = small(materialize(bounds), 1000)
+        placed = rows_.join(bounds, "g").withColumns({"r": dealt("p", "ep"), "b": dealt("len", "elen")})
+        low, gap = F.col("len") - F.get("elen", ((F.col("b") - 1) / 2).cast("int")), F.get("elen", (F.col("b") / 2).cast("int")) - F.col("len")
+        placed = materialize(placed.withColumns({"low": F.when(F.col("b") > 0, low), "gap": gap}).drop("ep", "elen"))
+        sums = [F.sum("m"), F.sum("n"), *(F.sum(flat * F.col(c)) for c in "nv")] + [F.sum(F.when(F.col("b") > 0, shrunk(F.col("low"), tau) * F.col(c)).otherwise(0.0)) for tau in (near, far) for c in "nv"]
+        told = placed.where("m > 0").groupBy("g", "r", "b").agg(*(x.alias(f"s{i}") for i, x in enumerate(sums))).join(bounds.select("g", "elen"), "g")
+
+        def above(group: pa.Table) -> pa.Table:
+            edges = group.column("elen")[0].as_py()
+            got = list(zip(*(group.column(c).to_pylist() for c in ("r", "b", *(f"s{i}" for i in range(8)))), strict=True))
+            out = _above(got, [0.0, *(x for e in edges for x in (e, e))], near, far)
+            columns = list(zip(*out, strict=True)) or [()] * 10
+            types = [pa.int32(), pa.int32(), *[pa.float64()] * 8]
+            return pa.table({"g": pa.array([group.column("g")[0].as_py()] * len(out), pa.int64()), **{n: pa.array(c, t) for n, c, t in zip(["r", "b", *masses], columns, types, strict=True)}})
+
+        table = told.groupBy("g").applyInArrow(above, "g long, r int, b int, " + ", ".join(f"{c} double" for c in masses))
+        fn, ff = (F.when(F.col("gap").isNotNull(), shrunk(F.col("gap"), tau)).otherwise(1.0 if tau > 0 else 0.0) for tau in (near, far))
+        mass = lambda c: F.col(f"flat_{c}") + fn * F.col(f"near_{c}") + alpha * ff * F.col(f"far_{c}")  # noqa: E731, B023 (used at once)
+        others = placed.where("m = 0").join(small(materialize(table)), ["g", "r", "b"])
+        parts.append(others.select("comid", F.col("all_m").alias("m"), F.col("all_n").alias("n"), mass("n").alias("w"), mass("v").alias("wv")))
+        # within a range by hydroseq; within a bin by the ranges above (of a range that is one value: also that)
+        ahead = F.when(F.col("m") > 0, F.col("r")).otherwise(F.col("r") + 1 - F.col("r") % 2).cast("double")
+        child = lambda which, at: ((F.col("g") * 2 + which) * (2 * k + 2) + 1 + F.col(at)).alias("g")  # noqa: E731, B023 (used at once)
+        own_range = placed.where("r % 2 = 0").select(child(0, "r"), *keys)
+        own_bin = placed.where("b % 2 = 0").select(child(1, "b"), "comid", ahead.alias("p"), "len", "m", "n", "v")
+        level = materialize(own_range.unionByName(own_bin))
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    return every.groupBy("comid").agg(*(F.sum(c).alias(c) for c in ("m", "n", "w", "wv"))).where("m > 0").select("comid", "n", "w", "wv")
 
 
 def _paired(reach: DataFrame, at: DataFrame, near: float, far: float, alpha: float, sign: int) -> DataFrame:
     pairs = reach.join(at.select(F.col("hydroseq").alias("s_seq"), F.col("arbolate").alias("s_len"), "n", "v"), F.col("s_seq") >= F.col("hydroseq"))
     d = F.greatest(sign * (F.col("s_len") - F.col("arbolate")), F.lit(0.0))
     w = (F.exp(-d / near) if near > 0 else F.lit(0.0)) + (alpha * F.exp(-d / far) if far > 0 else F.lit(0.0))
-    sums = pairs.groupBy("comid").agg(F.sum("n").cast("long").alias("n_samples"), F.sum(w * F.col("v")).alias("wv"), F.sum(w * F.col("n")).alias("w"))
-    return sums.select("comid", "n_samples", F.when(F.col("w") > 0, F.col("wv") / F.col("w")).alias("catchment"))
+    return pairs.groupBy("comid").agg(F.sum("n").alias("n"), F.sum(w * F.col("n")).alias("w"), F.sum(w * F.col("v")).alias("wv"))
 
 
-def _above(got: list, lows: list[float], near: float, far: float) -> list[tuple]:
+def _above(got: list[tuple], lows: list[float], near: float, far: float) -> list[tuple]:
     """For each range and bin, what samples of the ranges above give: sums of lower bins and, decayed to the bin's upper edge, of higher ones. The own bin counts where it is one value, the own range likewise."""
     if not got:
         return []
-    bins, last = len(lows), max(x["r"] for x in got) + 1  # ranges above the last sample get nothing
+    bins, last = len(lows), max(x[0] for x in got) + 1  # ranges above the last sample get nothing
     s = np.zeros((last + 1, bins, 8))
     for x in got:
-        s[x["r"], x["b"]] = x[2:]
+        s[x[0], x[1]] = x[2:]
     s = s[::-1].cumsum(0)[::-1]  # at or above each range
     out = []
     for r in range(last):

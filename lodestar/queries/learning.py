@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learning
-from .registry import query, rounded, table
+from ..operators import folds, learning
+from .registry import CELLS_SQL, SAMPLES_SQL, grid, query, rounded, samples, table
 
 
 def _frame(spark: SparkSession, d: str) -> DataFrame:
@@ -69,3 +69,45 @@ SELECT p_partkey, round((u * u * (bb * cc - bc * bc) + v * v * (aa * cc - ac * a
 def anomaly(spark: SparkSession, d: str) -> DataFrame:
     """Squared Mahalanobis distance, a Gaussian stand-in for density models."""
     return rounded(learning.mahalanobis(_frame(spark, d).na.fill(0.5), NAMES).select("p_partkey", "anomaly"))
+
+
+FOLDS = [0, 1, 2, 3]
+
+
+@query(f"""WITH {CELLS_SQL}, {SAMPLES_SQL}, k AS (SELECT unnest([0, 1, 2, 3]) AS fold), s AS (SELECT *, floor(x / 3125)::INT AS own FROM samples), p AS (SELECT c.row, c.col, s.own, s.price FROM cells c JOIN s ON abs(c.x - s.x) <= 500 AND abs(c.y - s.y) <= 500 AND (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 250000)
+SELECT row, col, fold, round(avg(price) FILTER (own <> fold), 6) AS price_mean, max(price) FILTER (own <> fold) AS price_max, count(price) FILTER (own <> fold) AS price_count, (count(price) FILTER (own <> fold) > 0)::INT AS price_has_data FROM p CROSS JOIN k GROUP BY row, col, fold""")
+def radius_without_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Samples within 500 m of each cell, for each of four strips without the samples of that strip."""
+    s = samples(spark, d).withColumn("fold", F.floor(F.col("x") / 3125).cast("int"))
+    return rounded(folds.radius_without_fold(s, grid(spark, d), 500.0, ["price"], FOLDS)).select("row", "col", "fold", "price_mean", "price_max", "price_count", "price_has_data")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS comid, o_orderkey AS hydroseq, o_totalprice / 1000 AS arbolate FROM orders),
+s AS (SELECT l_orderkey AS hydroseq, l_extendedprice / 500 AS arbolate, l_quantity AS value, (l_orderkey // 64 % 4)::INT AS own FROM lineitem),
+w AS (SELECT comid, own, count(*) AS n, sum(exp(-greatest(s.arbolate - c.arbolate, 0) / 5) + 0.3 * exp(-greatest(s.arbolate - c.arbolate, 0) / 25)) AS w,
+  sum((exp(-greatest(s.arbolate - c.arbolate, 0) / 5) + 0.3 * exp(-greatest(s.arbolate - c.arbolate, 0) / 25)) * value) AS wv FROM c JOIN s ON s.hydroseq >= c.hydroseq GROUP BY comid, own)
+SELECT comid, fold, coalesce(sum(n) FILTER (own <> fold), 0)::BIGINT AS n_samples, round(sum(wv) FILTER (own <> fold) / sum(w) FILTER (own <> fold) * 65536) / 65536 AS catchment FROM w CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS fold) GROUP BY comid, fold""")
+def hawkes_without_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Upstream samples averaged with both decays, for each of four folds of blocks without the samples of that fold."""
+    c = table(spark, d, "orders").select(F.col("o_orderkey").alias("comid"), F.col("o_orderkey").alias("hydroseq"), (F.col("o_totalprice") / 1000).alias("arbolate"))
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hydroseq"), (F.col("l_extendedprice") / 500).alias("arbolate"), F.col("l_quantity").cast("double").alias("value"), F.expr("cast(l_orderkey div 64 % 4 as int)").alias("fold"))
+    return folds.decay_without_fold(c, s, FOLDS).withColumn("catchment", F.round(F.col("catchment") * 65536) / 65536)
+
+
+@query()
+def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
+    """Each rare positive scored by a model that lacks it (tests hold it against separate fits)."""
+    f = _frame(spark, d).na.fill(0.5).withColumn("label", ((F.col("label") == 1) & (F.col("p_partkey") % 53 == 7)).cast("int"))
+    return folds.leave_one_out(f, NAMES, "p_partkey")
+
+
+@query("""WITH f AS (SELECT p_partkey, (p_partkey // 200 % 3)::INT AS fold, round((p_retailprice - 900) / 100, 1) AS f1, p_partkey * 31 % 97 / 97.0 AS f3,
+  ((p_retailprice - 900) / 100 + coalesce(CASE WHEN p_partkey % 11 > 0 THEN p_size / 50.0 END, 0.5) + p_partkey * 7919 % 101 / 100.0 > 2.0)::INT AS label FROM part),
+s AS (SELECT 'f1' AS model, fold, label, f1 AS s FROM f UNION ALL SELECT 'f3', fold, label, f3 FROM f),
+l AS (SELECT model, fold, s, count(*) AS n, sum(label) AS pos FROM s GROUP BY ALL), r AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen FROM l WINDOW w AS (PARTITION BY model, fold ORDER BY s DESC)),
+a AS (SELECT model, fold, sum(n) AS n, sum(pos) AS p, sum(pos * (seen - tp - (n - pos) / 2)) AS lost, sum(pos * tp / seen) AS gain FROM r GROUP BY ALL)
+SELECT model, fold, n::BIGINT AS n, p::BIGINT AS n_positive, CASE WHEN p > 0 AND p < n THEN round(1 - lost / (p * (n - p)), 6) END AS auc, CASE WHEN p > 0 AND p < n THEN round(gain / p, 6) END AS ap FROM a""")
+def fold_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Area under the curve and average precision of two scores (one with ties) in each fold."""
+    f = _frame(spark, d).withColumn("f1", F.round("f1", 1))
+    return rounded(folds.fold_metrics(f, ["f1", "f3"], [0, 1, 2]))

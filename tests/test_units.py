@@ -114,14 +114,15 @@ def test_dual_decay_without_pairs(spark):
     cells = [(i, draw.choice([50, draw.randrange(100)]), length()) for i in range(150)] + [(900, None, 1.0)]
     samples = [(draw.choice([50, None, draw.randrange(95)]), length(), draw.choice([None, draw.uniform(0, 9)])) for _ in range(200)]
     c, s = spark.createDataFrame(cells, "comid long, hydroseq long, arbolate double"), spark.createDataFrame(samples, "hydroseq long, arbolate double, value double")
-    for sign, near, far, ranges in ((1, 5.0, 0.0, 1), (1, 0.0, 25.0, 3), (-1, 5.0, 25.0, 7), (1, 5.0, 25.0, 7)):
+    # the last two are dealt again and again, until a task has 12 rows at most
+    for sign, near, far, ranges, rows in ((1, 5.0, 0.0, 1, 20_000), (1, 0.0, 25.0, 3, 20_000), (-1, 5.0, 25.0, 7, 20_000), (1, 5.0, 25.0, 7, 20_000), (1, 5.0, 25.0, 2, 12), (-1, 5.0, 25.0, 3, 12)):
         want = {}
         for i, h, x in cells:
             above = [(y, v) for q, y, v in samples if h is not None and q is not None and q >= h]
             w = [((math.exp(-d / near) if near else 0) + (0.3 * math.exp(-d / far) if far else 0), v) for y, v in above if v is not None for d in [0 if x is None or y is None else max(sign * (y - x), 0)]]
             if above:
                 want[i] = (len(w), sum(a * v for a, v in w) / sum(a for a, _ in w) if sum(a for a, _ in w) > 0 else None)
-        out = network.dual_decay(c, s, near=near, far=far, sign=sign, ranges=ranges)
+        out = network.dual_decay(c, s, near=near, far=far, sign=sign, ranges=ranges, rows=rows)
         got = {r.comid: (r.n_samples, r.catchment) for r in out.collect()}
         assert got.keys() == want.keys() and len(want) > 100
         for i, (n, v) in want.items():
