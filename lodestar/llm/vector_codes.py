@@ -59,7 +59,7 @@ class Approximation:
         self.entries, n = entries, 1 << bits
         self.cell = np.empty(entries.shape, np.int64)
         self.low, self.high = np.zeros((entries.shape[1], n)), np.zeros((entries.shape[1], n))
-        for j, x in enumerate(entries.T):
+        for j, x in enumerate(entries.T if len(entries) else ()):
             edges = np.quantile(x, np.arange(1, n) / n)
             self.cell[:, j] = np.searchsorted(edges, x, side="right")
             for c in range(n):
