@@ -45,13 +45,15 @@ def pseudo_negatives(df: DataFrame, key: str, label: str, stratum: str, per_posi
     The quota is applied by rank within the class; ranks come from value ranges, so a class that
     holds most rows is no single task.
     """
+    from ..plans.storage import materialize, small
+
     positives = df.where(F.col(label) == 1)
     shares = positives.groupBy(stratum).agg(F.count("*").alias("_p"))
     total = positives.count()
     quotas = shares.select(F.col(stratum), F.greatest(F.lit(1), F.bround(F.col("_p") * float(per_positive))).cast("long").alias("quota")) if total else shares.select(stratum, F.lit(0).alias("quota"))
     free = df.where(F.col(label) == 0).withColumn("_h", unit_hash(seed, key))
     ranked = ordered(free, "_h", [key], descending=False, over=[stratum])
-    return ranked.join(F.broadcast(quotas), stratum).where(F.col("rank") <= F.col("quota")).drop("_h", "rank", "n", "quota")
+    return ranked.join(small(materialize(quotas)), stratum).where(F.col("rank") <= F.col("quota")).drop("_h", "rank", "n", "quota")
 
 
 def bags(df: DataFrame, key: str, label: str, n_bags: int, seed: int) -> DataFrame:
@@ -96,6 +98,17 @@ def bootstrap_capture(df: DataFrame, score: str, positive: str, key: str, percen
     return _interval(hits.agg(F.coalesce(F.avg("hit"), F.lit(0.0)).alias("capture")), "capture", reps)
 
 
+def bootstrap_area(df: DataFrame, score: str, positive: str, key: str, replicates: int, seed: int) -> DataFrame:
+    """``auc_pa``, ``lo``, ``hi``: the area under the curve of positives by area and its bootstrap interval; replicates resample positives only.
+
+    The area is the mean over the positives of the share of rows behind them (half of their own strip included), so a replicate is a weighted mean.
+    """
+    rows = ordered(df, score, [key])
+    own = rows.where(F.col(positive).cast("boolean")).select(key, ((F.col("n") - F.col("rank") + 0.5) / F.col("n")).alias("v"))
+    reps = replicated(own, key, replicates, seed).groupBy("rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("c"))
+    return _interval(own.agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("auc_pa")), "auc_pa", reps)
+
+
 def bootstrap_auc(df: DataFrame, score: str, positive: str, key: str, replicates: int, seed: int) -> DataFrame:
     """``roc_auc``, ``lo``, ``hi``: the area under the ROC curve and its interval over resampled rows (ties count half)."""
     y = F.col(positive).cast("long")

@@ -116,6 +116,13 @@ def outside(left: DataFrame, right: DataFrame, radius: float, key: str, strict:
     return left.join(near_any(left, right, radius, key, strict), key, "left_anti")
 
 
+def outside_all(left: DataFrame, known: list[tuple[DataFrame, float]], key: str) -> DataFrame:
+    """Left points away from every one of several sets of points, each with its own radius: what is left is a blind set."""
+    for points, radius in known:
+        left = outside(left, points, radius, key)
+    return left
+
+
 def inside(left: DataFrame, right: DataFrame, radius: float, key: str, strict: bool = False) -> DataFrame:
     """Left points with a right point in reach."""
     return left.join(near_any(left, right, radius, key, strict), key, "left_semi")
@@ -151,7 +158,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, start:
     if marks.isEmpty():
         return points.select(key, *nothing)
     todo, radius = materialize(placed(points)), start
-    found = points.exceptAll(todo).select(key, *nothing)
+    whole = lambda c: F.coalesce(~F.isnan(F.col(c).cast("double")), F.lit(False))
+    found = points.where(~(whole("x") & whole("y"))).select(key, *nothing)
     while not todo.isEmpty():
         got = materialize(nearest_within(todo, marks, radius, key, right_key))
         found = found.unionByName(got.where("near_id is not null").select(key, "near_id", "near_d"))

@@ -23,6 +23,31 @@ PLACER = {
     "geomorphon_terrace_mask": FeatureWeight(0.02, "boolean"),
     "slope": FeatureWeight(0.01, "inverse"),
 }
+# Features of the index for older (bench) gravels and of that for modern channels.
+TERTIARY = {
+    "distance_to_lode_m": FeatureWeight(0.22, "gaussian", sigma=12_000.0),
+    "tertiary_terrace_likelihood": FeatureWeight(0.18, "direct"),
+    "paleochannel_likelihood": FeatureWeight(0.16, "direct"),
+    "hydraulic_pit_proximity_m_buffered": FeatureWeight(0.16, "gaussian", sigma=3_000.0),
+    "catchment_au_hawkes": FeatureWeight(0.12, "direct"),
+    "is_quaternary_alluvium": FeatureWeight(0.05, "boolean"),
+    "distance_to_lithological_contact_m": FeatureWeight(0.05, "gaussian", sigma=2_000.0),
+    "twi": FeatureWeight(0.03, "direct"),
+    "slope": FeatureWeight(0.03, "inverse"),
+}
+QUATERNARY = {
+    "distance_downstream_from_lode_m": FeatureWeight(0.20, "gaussian", sigma=20_000.0),
+    "distance_to_lode_m": FeatureWeight(0.12, "gaussian", sigma=12_000.0),
+    "catchment_au_hawkes": FeatureWeight(0.18, "direct"),
+    "spi_band": FeatureWeight(0.12, "bandpass"),
+    "ksn": FeatureWeight(0.08, "direct"),
+    "twi": FeatureWeight(0.06, "direct"),
+    "flow_acc": FeatureWeight(0.05, "direct"),
+    "paleochannel_likelihood": FeatureWeight(0.08, "direct"),
+    "distance_to_lithological_contact_m": FeatureWeight(0.05, "gaussian", sigma=2_000.0),
+    "catchment_as_hawkes": FeatureWeight(0.03, "direct"),
+    "catchment_sb_hawkes": FeatureWeight(0.03, "direct"),
+}
 PROXY = FeatureWeight(0.0, "inverse", cap=5_000.0)
 
 

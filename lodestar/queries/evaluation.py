@@ -170,3 +170,11 @@ def bootstrap_fold_mean(spark: SparkSession, d: str) -> DataFrame:
     """The mean of a fold metric; folds without one are left out."""
     f = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("fold")).agg((F.avg("o_totalprice") / 1e5).alias("v"))
     return rounded(sampling.bootstrap_mean(f.withColumn("v", F.when(F.col("fold") % 9 > 0, F.col("v")).otherwise(float("nan"))), "v", "fold", 50, 4), 8)
+
+
+@query(f"""WITH {SCORED_SQL}, r AS (SELECT cell_id, positive, row_number() OVER (ORDER BY score DESC, cell_id) AS rank, count(*) OVER () AS n FROM scored), v AS (SELECT cell_id, (n - rank + 0.5) / n AS v FROM r WHERE positive = 1),
+w AS (SELECT rep, v, {UNIT_SQL.format(seed=6, key='cell_id')} FROM v, range(0, 40) t(rep)), c AS (SELECT rep, sum({WEIGHT_SQL} * v) / sum({WEIGHT_SQL}) AS c FROM w GROUP BY rep)
+SELECT round((SELECT avg(v) FROM v), 8) AS auc_pa, round(quantile_cont(c, 0.025), 8) AS lo, round(quantile_cont(c, 0.975), 8) AS hi FROM c""")
+def bootstrap_area(spark: SparkSession, d: str) -> DataFrame:
+    """Area under the curve of positives by area, with its interval."""
+    return rounded(sampling.bootstrap_area(scored(spark, d), "score", "positive", "cell_id", 40, 6), 8)

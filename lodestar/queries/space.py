@@ -223,3 +223,20 @@ def dbscan(spark: SparkSession, d: str) -> DataFrame:
 def line_tangents(spark: SparkSession, d: str) -> DataFrame:
     """Directions of the nearest lines."""
     return spatial.tangents(samples(spark, d).select("sample_id", "x", "y"), _lines(spark, d), "sample_id", 400.0)
+
+
+@query(f"""WITH {SAMPLES_SQL}, {ANCHORS_SQL} SELECT sample_id FROM samples s WHERE NOT EXISTS (SELECT 1 FROM anchors a WHERE sqrt((s.x - a.x) * (s.x - a.x) + (s.y - a.y) * (s.y - a.y)) <= CASE kind WHEN 0 THEN 300 WHEN 1 THEN 450 ELSE 120 END)""")
+def blind_points(spark: SparkSession, d: str) -> DataFrame:
+    """Samples away from all of three kinds of known places, each with its own radius."""
+    a = anchors(spark, d)
+    known = [(a.where(f"kind = {k}"), r) for k, r in ((0, 300.0), (1, 450.0), (2, 120.0))]
+    return spatial.outside_all(samples(spark, d).select("sample_id", "x", "y"), known, "sample_id").select("sample_id")
+
+
+@query("""WITH o AS (SELECT (o_orderkey * 7919 % 12500)::DOUBLE AS x, (o_orderkey * 104729 % 10000)::DOUBLE AS y, year(o_orderdate) < 1998 AS early FROM orders), h AS (SELECT early, (sqrt(3.0) / 3 * x - y / 3) / 500 AS q, 2 * y / 3 / 500 AS r FROM o), k AS (SELECT *, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs FROM h)
+SELECT CAST(CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs + q + r) THEN -rr - rs ELSE rq END AS BIGINT) AS q,
+  CAST(CASE WHEN NOT (abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs + q + r)) AND abs(rr - r) > abs(rs + q + r) THEN -rq - rs ELSE rr END AS BIGINT) AS r, count(*) FILTER (early) AS before, count(*) FILTER (NOT early) AS after FROM k GROUP BY ALL""")
+def hex_periods(spark: SparkSession, d: str) -> DataFrame:
+    """Records by hexagon before and from a year on."""
+    o = table(spark, d, "orders").select((F.col("o_orderkey") * 7919 % 12500).cast("double").alias("x"), (F.col("o_orderkey") * 104729 % 10000).cast("double").alias("y"), (F.year("o_orderdate") < 1998).alias("early"))
+    return spatial.hex_bins(o, 500.0).groupBy("q", "r").agg(F.count_if("early").alias("before"), F.count_if(~F.col("early")).alias("after"))

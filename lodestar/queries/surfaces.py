@@ -217,3 +217,40 @@ k AS (SELECT row, col, sqrt(gx * gx + gy * gy) * p AS k FROM g) SELECT row, col,
 def channel_steepness(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d).select("row", "col", F.col("elevation").alias("value"), "flow")
     return rounded(raster.channel_steepness(raster.slope_tri(c, 1.0)).select("row", "col", "ksn"))
+
+
+FEATURES_SQL = {
+    "distance_to_lode_m": "CASE WHEN cell_id % 7 > 0 THEN flow * 20 END", "tertiary_terrace_likelihood": "slope / 50", "paleochannel_likelihood": "(elevation - 900) / 100", "hydraulic_pit_proximity_m_buffered": "flow * 7",
+    "catchment_au_hawkes": "elevation", "is_quaternary_alluvium": "CAST(slope > 25 AS INT)", "distance_to_lithological_contact_m": "slope * 100", "twi": "flow / 100", "slope": "slope",
+    "distance_downstream_from_lode_m": "CASE WHEN cell_id % 5 > 0 THEN flow * 30 END", "spi_band": "slope / 25", "ksn": "flow * 3", "flow_acc": "flow * 2", "catchment_as_hawkes": "elevation / 2", "catchment_sb_hawkes": "slope * 2",
+}
+
+
+def _index_sql(weights: dict[str, FeatureWeight]) -> str:
+    def part(name: str, w: FeatureWeight) -> str:
+        scaled = f"(least(greatest({name}, lo_{name}), hi_{name}) - lo_{name}) / (hi_{name} - lo_{name})"
+        return {
+            "direct": scaled, "inverse": f"(1 - {scaled})", "boolean": f"({name} <> 0)::INT", "bandpass": f"least(greatest({name}, 0), 1)", "gaussian": f"exp(-{name} * {name} / (2 * {w.sigma or 1}::DOUBLE * {w.sigma or 1}))",
+        }[w.direction]
+
+    ends = ", ".join(f"quantile_cont({n}, {q}) AS {p}_{n}" for n in weights for p, q in (("lo", 0.01), ("hi", 0.99)))
+    total = " + ".join(f"coalesce({part(n, w)}, 0) * {w.weight}::DOUBLE" for n, w in weights.items())
+    return f"""WITH {CELLS_SQL}, f AS (SELECT cell_id, {', '.join(f'{FEATURES_SQL[n]} AS {n}' for n in weights)} FROM cells), q AS (SELECT {ends} FROM f), w AS (SELECT cell_id, ({total}) / {sum(w.weight for w in weights.values())}::DOUBLE AS raw FROM f, q),
+z AS (SELECT quantile_cont(raw, 0.01) AS lo, quantile_cont(raw, 0.99) AS hi FROM w) SELECT cell_id, round((least(greatest(raw, lo), hi) - lo) / (hi - lo), 6) AS index FROM w, z"""
+
+
+def _population(spark: SparkSession, d: str, weights: dict[str, FeatureWeight]) -> DataFrame:
+    f = cells(spark, d).selectExpr("cell_id", *(f"{FEATURES_SQL[n]} AS {n}" for n in weights))
+    return rounded(index.weighted_index(f, weights).select("cell_id", "index"))
+
+
+@query(_index_sql(index.TERTIARY))
+def tertiary_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index with the weights for older gravels."""
+    return _population(spark, d, index.TERTIARY)
+
+
+@query(_index_sql(index.QUATERNARY))
+def quaternary_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index with the weights for modern channels."""
+    return _population(spark, d, index.QUATERNARY)

@@ -246,13 +246,14 @@ def flat_distance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(c.select("c_custkey", scalar.flat_distance_degrees(F.col("lon"), F.col("lat"), -120.5, 38.0).alias("d")), 8)
 
 
-@query("""WITH u AS (SELECT l_orderkey, l_linenumber, unnest([('l_discount', l_discount), ('l_quantity', l_quantity), ('l_tax', -l_tax)]) AS s FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY abs(s[2]) DESC, s[1]) AS r FROM u)
-SELECT DISTINCT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM o WHERE r <= 2""")
+@query("""WITH g AS (SELECT l_orderkey, l_linenumber, max(l_discount) AS d, max(l_quantity) / 500 AS q, -max(l_tax) AS t FROM lineitem GROUP BY l_orderkey, l_linenumber),
+u AS (SELECT l_orderkey, l_linenumber, unnest([('discount', d), ('quantity', q), ('tax', t)]) AS s FROM g), o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY abs(s[2]) DESC, s[1]) AS r FROM u)
+SELECT l_orderkey, l_linenumber, string_agg(s[1], ',' ORDER BY r) AS names FROM o WHERE r <= 2 GROUP BY l_orderkey, l_linenumber""")
 def top_features(spark: SparkSession, d: str) -> DataFrame:
-    """How many of the features with the largest magnitude each row names."""
-    li = table(spark, d, "lineitem").withColumn("l_tax", -F.col("l_tax"))
-    own = li.groupBy("l_orderkey", "l_linenumber").agg(F.first("l_discount").alias("l_discount"), F.first("l_quantity").alias("l_quantity"), F.first("l_tax").alias("l_tax"))
-    return own.select("l_orderkey", "l_linenumber", F.size(relational.top_features(own, ["l_discount", "l_quantity", "l_tax"], 2)).cast("bigint").alias("n"))
+    """The two features with the largest magnitude of each row, the largest first."""
+    own = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_discount").alias("discount"), (F.max("l_quantity") / 500).alias("quantity"), (-F.max("l_tax")).alias("tax"))
+    named = F.transform(relational.top_features(own, ["discount", "quantity", "tax"], 2), lambda x: F.split_part(x, F.lit("="), F.lit(1)))
+    return own.select("l_orderkey", "l_linenumber", F.array_join(named, ",").alias("names"))
 
 
 @query(f"WITH {SCORED_SQL} SELECT cell_id, round(rank() OVER (ORDER BY score) / count(*) OVER ()::DOUBLE, 9) AS pct FROM scored")
@@ -341,3 +342,14 @@ def ngdb_joined(spark: SparkSession, d: str) -> DataFrame:
     wide = relational.pivot_ppm(relational.semi_filter(li, main, "lab_id", ["Au", "Cu"]), "lab_id", ["Au", "Cu"])
     got = get_adapter("geochem", "ngdb")(main.join(wide, "lab_id", "left"), ["Au", "Cu"])
     return rounded(got.select("x", "sample_id", "sample_type", "Au_ppm", "Cu_ppm"), 8)
+
+
+ROCK_SQL = "CASE p_size % 6 WHEN 0 THEN ' Slate' WHEN 1 THEN 'slate' WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN 'Granodiorite' ELSE p_brand END"
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS poly_id, CASE WHEN lower(trim(coalesce({ROCK_SQL}, ''))) = '' THEN '(none)' ELSE lower(trim({ROCK_SQL})) END AS m FROM part), f AS (SELECT m, row_number() OVER (ORDER BY min(poly_id)) - 1 AS code FROM r GROUP BY m)
+SELECT poly_id, code::INT AS major1_class, 0 AS major3_class FROM r JOIN f USING (m)""")
+def major_rocks(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of the first major rock name; a table without the third has one code for it."""
+    raw = _raw(spark, d, "part", "p_partkey", "p_partkey as poly_id", "'Water' as generalized_lith", "cast(null as string) as age_min", "cast(null as string) as age_max", "p_brand as unit_link", f"{ROCK_SQL} as major1", "p_type as major2")
+    return get_adapter("geology", "usgs_sgmc")(raw).select("poly_id", "major1_class", "major3_class")

@@ -192,9 +192,18 @@ def nure(raw: DataFrame, elements: list[str] | None = None, in_ppm: bool = False
 
 @adapter("geology", "usgs_sgmc")
 def sgmc(raw: DataFrame) -> DataFrame:
+    """Lithology groups, eras, and codes by first appearance of the unit and of the three major rock names (lower case, blank ones are one name)."""
     rows = recode(raw.withColumn("_g", F.trim("generalized_lith")), "_g", LITHOLOGY, "other", "lith_group")
     era = first_match(F.concat_ws("  ", F.coalesce("age_min", F.lit("")), F.coalesce("age_max", F.lit(""))), ERAS, "unknown")
-    return factorize(rows.withColumns({"age_era": era, "source": F.lit("USGS_SGMC")}).drop("_g"), "unit_link", by="poly_id").withColumnRenamed("code", "lith_class")
+    rows = factorize(rows.withColumns({"age_era": era, "source": F.lit("USGS_SGMC")}).drop("_g"), "unit_link", by="poly_id").withColumnRenamed("code", "lith_class")
+    have = {c.lower() for c in raw.columns}
+    for name in ("major1", "major2", "major3"):
+        if name not in have:
+            rows = rows.withColumn(f"{name}_class", F.lit(0))
+            continue
+        clean = F.lower(F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))))
+        rows = factorize(rows.withColumn("_m", F.when(clean == "", "(none)").otherwise(clean)), "_m", by="poly_id").withColumnRenamed("code", f"{name}_class").drop("_m")
+    return rows
 
 
 @adapter("geology", "bcgs_digital")
