@@ -3,7 +3,7 @@
 A window without a partition would put all rows into one task. Here the rows are dealt to value
 ranges found by an approximate quantile, each range is ordered in a task of its own, and the
 counts and sums of the ranges before it (a bounded table) are added. Ties are ordered by ``by``; a
-value that more than one range's share of the rows have is dealt to ranges of its first ``by``.
+value (or null) that more than one range's share of the rows have is dealt to ranges of its first ``by``.
 """
 
 from __future__ import annotations
@@ -16,18 +16,30 @@ def _ranges(df: DataFrame, value: Column) -> int:
     return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _tie_range(df: DataFrame, v: Column, found: list[float], by: list[str]) -> Column:
-    """The range of the first of ``by`` (a number) among rows of one frequent value, from 1 on; 0 for other rows, which come before it in its range."""
-    heavy = {x: found.count(x) for x in set(found) if found.count(x) > 1}
-    if not heavy or not by or dict(df.dtypes).get(by[0]) not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+def _as_number(df: DataFrame, column: str) -> Column | None:
+    """A number that is ordered like the column: itself, or the first six bytes of a string; ``None`` for other types."""
+    kind = dict(df.dtypes)[column]
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return F.col(column).cast("double")
+    if kind == "string":
+        return F.conv(F.rpad(F.substring(F.hex(F.col(column)), 1, 12), 12, "0"), 16, 10).cast("double")
+    return None
+
+
+def _tie_range(df: DataFrame, v: Column, found: list[float], by: list[str], nulls: int = 0) -> Column:
+    """The range of the first of ``by`` among rows of one frequent value, from 1 on; 0 for other rows, which come before it in its range. Null is a value as others are; ``nulls``: the ranges it would fill."""
+    heavy = {x: found.count(x) for x in set(found) if found.count(x) > 1} | ({None: nulls} if nulls > 1 else {})
+    tie = _as_number(df, by[0]) if by else None
+    if not heavy or tie is None:
         return F.lit(0)
-    tie = F.col(by[0]).cast("double")
     most = max(heavy.values())
-    cuts = {r[0]: r[1] for r in df.where(v.isin(*heavy)).groupBy(v.alias("v")).agg(F.percentile_approx(tie, [i / most for i in range(1, most)], 50 * most)).collect()}
+    of = v.isin(*(x for x in heavy if x is not None)) if set(heavy) - {None} else F.lit(False)
+    rows = df.where(F.coalesce(of, F.lit(None in heavy)))
+    cuts = {r[0]: r[1] for r in rows.groupBy(v.alias("v")).agg(F.percentile_approx(tie, [i / most for i in range(1, most)], 50 * most)).collect()}
     out = F
     for x, edges in cuts.items():
         e = F.array(*map(F.lit, sorted(set(edges or [])))).cast("array<double>")
-        out = out.when(v == F.lit(x), 1 + F.size(F.filter(e, lambda b: b < tie)))
+        out = out.when(v.isNull() if x is None else v == F.lit(x), 1 + F.size(F.filter(e, lambda b: b < tie)))
     return out.otherwise(F.lit(0)) if out is not F else F.lit(0)
 
 
@@ -39,11 +51,12 @@ def ordered(df: DataFrame, value: str, by: list[str], descending: bool = True, s
     sums, over = sums or {}, over or []
     n = _ranges(df, F.col(value))
     v = F.col(value).cast("double")
-    found = sorted(df.agg(F.percentile_approx(v, [i / n for i in range(1, n)], 50 * n)).first()[0] or [])
+    found, nulls, rows_ = df.agg(F.percentile_approx(v, [i / n for i in range(1, n)], 50 * n), F.count_if(v.isNull()), F.count("*")).first()
+    found, nulls = sorted(found or []), -(-nulls * n // max(rows_, 1))
     bounds = sorted(set(found))
     edges = F.array(*map(F.lit, bounds)).cast("array<double>") if bounds else F.array().cast("array<double>")
     before = F.size(F.filter(edges, (lambda b: b > v) if descending else (lambda b: b < v)))
-    rows = df.withColumn("_r", F.when(v.isNull(), F.lit(len(bounds) + 1)).otherwise(before)).withColumn("_q", _tie_range(df, v, found, by))
+    rows = df.withColumn("_r", F.when(v.isNull(), F.lit(len(bounds) + 1)).otherwise(before)).withColumn("_q", _tie_range(df, v, found, by, nulls))
     rows = rows.withColumns({f"_s_{k}": F.coalesce(c, F.lit(0)) for k, c in sums.items()})
     first = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     order = Window.partitionBy(*over, "_r", "_q").orderBy(first, *by)

@@ -107,8 +107,19 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float, strict: bool
 
 
 def near_any(left: DataFrame, right: DataFrame, radius: float, key: str, strict: bool = False) -> DataFrame:
-    """Keys of the left points that have a right point in reach."""
-    return within_radius(left.select(key, "x", "y"), right.select("x", "y"), radius, strict).select(key).distinct()
+    """Keys of the left points that have a right point in reach.
+
+    Different places are compared, however many points they have. In a cell whose diagonal is the radius all places are in
+    reach of each other, so those that share one with a right place are decided without a pair; only the others look around.
+    """
+    side = radius / 2**0.5 * (1 - 1e-12)
+    cell = [F.floor(F.col(c) / side).alias(f"_{c}") for c in ("x", "y")]
+    there = right.select("x", "y").where("x is not null and y is not null").distinct()
+    here = left.select("x", "y").where("x is not null and y is not null").distinct().select("x", "y", *cell)
+    held = there.select(*cell).distinct()
+    far = within_radius(here.join(held, ["_x", "_y"], "left_anti").select("x", "y"), there, radius, strict).select("x", "y").distinct()
+    hit = here.join(held, ["_x", "_y"], "left_semi").select("x", "y").unionAll(far)
+    return left.select(key, "x", "y").join(hit, ["x", "y"], "left_semi").select(key).distinct()
 
 
 def outside(left: DataFrame, right: DataFrame, radius: float, key: str, strict: bool = False) -> DataFrame:

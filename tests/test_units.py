@@ -310,3 +310,40 @@ def test_rasters_of_two_shapes(spark):
     assert raster.two_bands(a, a).count() == 3
     with pytest.raises(ValueError):
         raster.two_bands(a, b)
+
+
+def test_order_of_many_nulls_and_ties_is_dealt_to_ranges(spark):
+    import random
+
+    from lodestar.operators import ranking
+
+    draw = random.Random(9)
+    for kind in ("long", "string"):
+        keys = list(range(4000)) if kind == "long" else [f"k{i:04d}ä" for i in range(4000)]
+        draw.shuffle(keys)
+        rows = [(k, None if i % 3 else draw.choice([1.0, 2.0, 2.0, 2.0])) for i, k in enumerate(keys)]
+        df = spark.createDataFrame(rows, f"k {kind}, s double")
+        out = ranking.ordered(df, "s", ["k"])
+        got = {r.k: r["rank"] for r in out.collect()}
+        want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+        assert [got[k] for k, _ in want] == list(range(1, 4001))
+        value = F.col("s").cast("double")
+        found = sorted(df.agg(F.percentile_approx(value, [i / 8 for i in range(1, 8)], 400)).first()[0])
+        parts = df.withColumn("q", ranking._tie_range(df, value, found, ["k"], 6)).where("s is null").groupBy("q").count().collect()
+        assert len(parts) > 4 and max(r["count"] for r in parts) < 1200
+
+
+def test_near_any_by_cells(spark):
+    import random
+
+    from lodestar.operators import spatial
+
+    draw = random.Random(4)
+    place = lambda: (float(draw.randrange(60)), float(draw.randrange(60))) if draw.random() < 0.9 else (None, 1.0)
+    left, right = [(i, *place()) for i in range(300)], [(i, *place()) for i in range(40)] + [(99, 5.0, 5.0)] * 50
+    a, b = (spark.createDataFrame(x, "id long, x double, y double") for x in (left, right))
+    for strict in (False, True):
+        ok = (lambda d: d < 5) if strict else (lambda d: d <= 5)
+        want = {i for i, x, y in left if x is not None and any(u is not None and ok(math.hypot(x - u, y - v)) for _, u, v in right)}
+        assert {r.id for r in spatial.near_any(a, b, 5.0, "id", strict).collect()} == want and 50 < len(want) < 250
+    assert spatial.near_any(a, b.limit(0), 5.0, "id").count() == 0
