@@ -169,7 +169,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, start:
     if marks.isEmpty():
         return points.select(key, *nothing)
     todo, radius = materialize(placed(points)), start
-    whole = lambda c: F.coalesce(~F.isnan(F.col(c).cast("double")), F.lit(False))
+    whole = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     found = points.where(~(whole("x") & whole("y"))).select(key, *nothing)
     while not todo.isEmpty():
         got = materialize(nearest_within(todo, marks, radius, key, right_key))
