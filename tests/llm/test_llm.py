@@ -1124,7 +1124,7 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
 
 
 def test_registry_names():
-    assert [re.match(r"op(\d+)_", n)[1] for n in QUERIES] == [str(i) for i in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in QUERIES] == [str(i) for i in range(1, 14)]
 
 
 
