@@ -27,7 +27,7 @@ def test_radius_without_fold_equals_recomputation(spark):
                 assert mean is None if not n else mean == pytest.approx(w.v_mean, rel=1e-12)
 
 
-@pytest.mark.parametrize("how", [{}, {"ranges": 2, "rows": 20}])
+@pytest.mark.parametrize("how", [{}, {"ranges": 4, "rows": 60}])
 def test_decay_without_fold_equals_recomputation(spark, how):
     rng = np.random.default_rng(1)
     cells = [(i, int(rng.integers(60)), float(rng.uniform(0, 900))) for i in range(40)]
