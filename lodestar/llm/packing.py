@@ -2,8 +2,8 @@
 
 How pieces can be combined depends on their lengths alone, and there are at most 4096 lengths.
 So the plan is made from the histogram of lengths (one bounded aggregation): single, pair and
-triple sums of the available lengths that fill a gap exactly are looked up and consumed as many
-times as the availability counts allow, then what is left is filled best-fit. The plan is a list
+triple sums of the available lengths are indexed (``SumIndex``); those that fill a gap exactly are
+looked up and consumed as many times as the availability counts allow, then what is left is filled best-fit. The plan is a list
 of patterns with multiplicities; every piece finds its place from its rank within its length.
 Ranks come from windows over (length, salt), so a length that a third of the rows share is
 spread over many tasks.
@@ -162,58 +162,102 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in a sequence) and how often each is used, from the number of pieces of each length."""
-    have = np.zeros(sequence + 1, np.int64)
-    for k, v in counts.items():
-        have[k] = v
-
-    def single(gap: int) -> tuple[int, ...] | None:
-        return (gap,) if have[gap] > 0 else None
-
-    def pair(gap: int) -> tuple[int, ...] | None:
-        # the larger one first: it is the harder one to place later
-        a = np.arange(gap - 1, (gap - 1) // 2, -1)
-        ok = (have[a] > 0) & (have[gap - a] > 0) & ((2 * a != gap) | (have[a] > 1))
-        hit = int(ok.argmax()) if len(ok) else 0
-        return (int(a[hit]), gap - int(a[hit])) if len(ok) and ok[hit] else None
-
-    def triple(gap: int) -> tuple[int, ...] | None:
-        for a in np.flatnonzero(have[: gap - 1])[::-1].tolist():
-            if 3 * a < gap:
-                break  # a is the largest of the three
-            have[a] -= 1
-            rest = pair(gap - a)
-            have[a] += 1
+class SumIndex:
+    """Lengths that are available, indexed by the sums that one, two and three of them make.
+
+    ``have[s]`` pieces of length s are left, ``pairs[s]`` says how many pairs of lengths make s: the
+    convolution of the availability vector with itself, counted down when a length runs out or its last
+    but one piece goes. ``_pair[s]`` and ``_triple[s]`` hold the largest length of the best pair and triple
+    of sum s. Availability only falls, so what is indexed is right until one of its lengths runs out, and
+    then the next best lies below: an entry only ever moves down.
+    """
+
+    def __init__(self, counts: dict[int, int], sequence: int):
+        self.have = np.zeros(sequence + 1, np.int64)
+        for k, v in counts.items():
+            self.have[k] = v
+        there = (self.have > 0).astype(np.int64)
+        every = np.rint(np.fft.irfft(np.fft.rfft(there, 4 * sequence) ** 2, 4 * sequence)).astype(np.int64)[: sequence + 1]
+        twice = np.zeros(sequence + 1, np.int64)
+        twice[::2] = there[: sequence // 2 + 1]
+        alone = np.zeros(sequence + 1, np.int64)
+        alone[::2] = (self.have == 1)[: sequence // 2 + 1]
+        self.pairs = (every + twice) // 2 - alone
+        self._pair = np.arange(sequence + 1) - 1
+        self._triple = np.arange(sequence + 1) - 2
+
+    def take(self, length: int, n: int = 1) -> None:
+        """``n`` pieces of a length are used up."""
+        before = int(self.have[length])
+        self.have[length] = after = before - n
+        room = len(self.have) - length
+        if before > 1 >= after and length < room:
+            self.pairs[2 * length] -= 1
+        if before > 0 >= after:
+            others = (self.have[:room] > 0).astype(np.int64)
+            self.pairs[length:] -= others
+
+    def single(self, gap: int) -> tuple[int, ...] | None:
+        return (gap,) if self.have[gap] > 0 else None
+
+    def pair(self, gap: int, but: int = 0) -> tuple[int, ...] | None:
+        """Two available lengths that make ``gap``, the larger one as large as can be: it is the harder one to place later. ``but``: a length of which one piece is spoken for."""
+        if self.pairs[gap] <= 0:
+            return None
+        a = np.arange(self._pair[gap], (gap - 1) // 2, -1)
+        left, right = self.have[a], self.have[gap - a]
+        ok = (left > 0) & (right > 0) & ((2 * a != gap) | (left > 1))
+        if not but:
+            hit = int(ok.argmax())
+            self._pair[gap] = a[hit]
+        else:
+            need = (a == but).astype(np.int64) + (gap - a == but) + 1
+            ok &= ((a != but) | (left >= need)) & ((gap - a != but) | (right >= need))
+            hit = int(ok.argmax()) if len(ok) else 0
+            if not len(ok) or not ok[hit]:
+                return None
+        return (int(a[hit]), gap - int(a[hit]))
+
+    def triple(self, gap: int) -> tuple[int, ...] | None:
+        """Three available lengths that make ``gap``, the largest one as large as can be: a length and an indexed pair for the rest."""
+        low = (gap + 2) // 3
+        a = np.arange(self._triple[gap], low - 1, -1)
+        for x in a[(self.have[a] > 0) & (self.pairs[gap - a] > 0)].tolist():
+            rest = self.pair(gap - x, but=x)
             if rest:
-                return (a, *rest)
+                self._triple[gap] = x
+                return (x, *rest)
+        self._triple[gap] = min(int(self._triple[gap]), low - 1)
         return None
 
+    def best_fit(self, gap: int) -> tuple[int, ...] | None:
+        fits = np.flatnonzero(self.have[1 : gap + 1])
+        return (int(fits[-1]) + 1,) if len(fits) else None
+
+
+def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths in a sequence) and how often each is used, from the number of pieces of each length."""
+    index = SumIndex(counts, sequence)
     out: list[tuple[tuple[int, ...], int]] = []
     length = sequence
     while length > 0:
-        if have[length] <= 0:
+        if index.have[length] <= 0:
             length -= 1
             continue
-        have[length] -= 1
+        index.take(length)
         chosen, gap = [length], sequence - length
         while gap > 0:
-            exact = single(gap) or pair(gap) or triple(gap)
-            if exact:
-                take, gap = exact, 0
-            else:
-                fits = np.flatnonzero(have[1 : gap + 1])
-                if not len(fits):
-                    break
-                take = (int(fits[-1]) + 1,)
-                gap -= take[0]
+            take = index.single(gap) or index.pair(gap) or index.triple(gap) or index.best_fit(gap)
+            if not take:
+                break
+            gap -= sum(take)
             for x in take:
-                have[x] -= 1
+                index.take(x)
             chosen += take
         used = {x: chosen.count(x) for x in chosen}
-        times = min((int(have[x]) + n) // n for x, n in used.items())
+        times = min((int(index.have[x]) + n) // n for x, n in used.items())
         for x, n in used.items():
-            have[x] -= n * (times - 1)
+            index.take(x, n * (times - 1))
         out.append((tuple(chosen), times))
     return out
 
@@ -241,11 +285,11 @@ def place(rows: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     own = np.searchsorted(table[:, 0], np.arange(sequence + 2))  # first slot of each length
     base = np.append(starts, ends[-1:])[own]  # pieces of smaller lengths
 
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     by = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     run = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = by.select("length", "salt", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(before, ["length", "salt"])
     ranked = ranked.select(*rows.columns, (F.col("rank") + F.col("before")).cast("long").alias("rank"))
 

@@ -637,6 +637,36 @@ def test_plan_uses_every_piece_once():
         assert sum(t for _, t in made) <= 1.25 * sum(k * v for k, v in counts.items()) / 4096 + 2
 
 
+def test_sum_index():
+    """Pairs and triples that the index gives against all combinations, while lengths run out."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        n = rng.choice([9, 24, 60])
+        have = {x: rng.choice([1, 1, 2, 3]) for x in rng.sample(range(1, n + 1), rng.randint(1, n))}
+        index = packing.SumIndex(have, n)
+        while any(have.values()):
+            for gap in range(1, n + 1):
+                pairs = [(a, gap - a) for a in range(gap - 1, (gap - 1) // 2, -1) if have.get(a, 0) and have.get(gap - a, 0) > (2 * a == gap)]
+                assert index.pairs[gap] == len(pairs) and index.pair(gap) == (pairs[0] if pairs else None)
+                triples = [t for a in range(gap, 0, -1) for b in range(min(a, gap - a), 0, -1) if (t := (a, b, gap - a - b)) and 0 < t[2] <= b and all(have.get(x, 0) >= t.count(x) for x in t)]
+                assert index.triple(gap) == (triples[0] if triples else None)
+                assert index.single(gap) == ((gap,) if have.get(gap) else None)
+            x = rng.choice([k for k, v in have.items() if v])
+            k = rng.randint(1, have[x])
+            index.take(x, k)
+            have[x] -= k
+
+
+def test_packing_alike_but_for_the_text(spark):
+    """One id, or none, for different texts of one length: each piece has its own place."""
+    words = ["river", "stone", "cloud", "field"]
+    rows = [(key, " ".join(words[(n >> 2 * k) % 4] for k in range(6)), "en", "a", 9) for key in (None, 7) for n in range(200)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 400 and len({(r.sequence_id, r.offset) for r in got}) == 400
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
