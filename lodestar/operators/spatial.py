@@ -303,32 +303,6 @@ def hex_bins(points: DataFrame, size: float) -> DataFrame:
     })
 
 
-def dbscan(points: DataFrame, key: str, eps: float, least: int) -> DataFrame:
-    """``key``, ``cluster``: density clusters, named by their smallest core key; noise is null.
-
-    Core points that reach each other are joined by label propagation over the edges; every round
-    is written to the checkpoint folder.
-    """
-    from ..plans.storage import materialize
-
-    near = within_radius(points.select(key, "x", "y"), points.select(key, "x", "y"), eps).select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"))
-    near = materialize(near)
-    core = near.groupBy("a").count().where(F.col("count") >= least).select("a")
-    edges = materialize(near.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi"))
-    labels = materialize(core.select("a", F.col("a").alias("label")))
-    while True:
-        seen = edges.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("new"))
-        step = labels.join(seen, "a").select("a", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved"))
-        far = step.select(F.col("a").alias("label"), F.col("label").alias("next"))  # jump to the label of one's label
-        jumped = materialize(step.join(far, "label", "left").select("a", F.least("label", F.coalesce("next", "label")).alias("label"), "moved"))
-        labels = jumped.select("a", "label")
-        if jumped.where("moved").isEmpty():
-            break
-    reach = near.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("border"))
-    out = points.select(F.col(key).alias("a")).join(labels, "a", "left").join(reach, "a", "left")
-    return out.select(F.col("a").alias(key), F.coalesce("label", "border").alias("cluster"))
-
-
 def blocks(points: DataFrame, size: float) -> DataFrame:
     """Append ``bx``, ``by``: absolute block numbers, the same for any frame."""
     return points.withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import network, spatial
+from ..operators import clusters, network, spatial
 from .registry import ANCHORS_SQL, CELLS_SQL, POLYGONS_SQL, SAMPLES_SQL, anchors, cells, grid, polygons, query, rounded, samples, table
 
 GRID_SQL = "g AS (SELECT max(p_partkey) // 50 + 1 AS n FROM part)"
@@ -211,12 +211,28 @@ def hex_density(spark: SparkSession, d: str) -> DataFrame:
     return spatial.hex_bins(samples(spark, d), 500.0).groupBy("q", "r").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH RECURSIVE {ANCHORS_SQL}, near AS (SELECT a.anchor_id AS a, b.anchor_id AS b FROM anchors a, anchors b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 700), core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 3),
+DBSCAN_SQL = f"""WITH RECURSIVE {ANCHORS_SQL}, near AS (SELECT a.anchor_id AS a, b.anchor_id AS b FROM anchors a, anchors b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 700), core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 3),
 e AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), r AS (SELECT a, a AS b FROM core UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), l AS (SELECT a, min(b) AS label FROM r GROUP BY a),
-border AS (SELECT near.a, min(label) AS label FROM near JOIN l ON near.b = l.a GROUP BY near.a) SELECT anchor_id, coalesce(l.label, border.label) AS cluster FROM anchors LEFT JOIN l ON l.a = anchor_id LEFT JOIN border ON border.a = anchor_id""")
+border AS (SELECT near.a, min(label) AS label FROM near JOIN l ON near.b = l.a GROUP BY near.a), clusters AS (SELECT anchor_id, coalesce(l.label, border.label) AS cluster, x, y FROM anchors LEFT JOIN l ON l.a = anchor_id LEFT JOIN border ON border.a = anchor_id)"""
+
+
+@query(f"{DBSCAN_SQL} SELECT anchor_id, cluster FROM clusters")
 def dbscan(spark: SparkSession, d: str) -> DataFrame:
     """Density clusters of anchors."""
-    return spatial.dbscan(anchors(spark, d), "anchor_id", 700.0, 3)
+    return clusters.dbscan(anchors(spark, d), "anchor_id", 700.0, 3)
+
+
+@query(f"""{DBSCAN_SQL}, c AS (SELECT cluster, count(*) AS n, avg(38.013 + y / 20000) AS lat, avg(-120.517 - x / 20000) AS lon FROM clusters WHERE cluster IS NOT NULL GROUP BY cluster),
+p AS (SELECT n_name AS name, 38.0 + n_nationkey % 5 * 0.11 AS lat, -120.6 - n_nationkey // 5 * 0.13 AS lon FROM nation), d AS (SELECT c.cluster, p.name, sqrt((c.lat - p.lat) * (c.lat - p.lat) + pow((c.lon - p.lon) * cos(radians(c.lat)), 2)) AS d FROM c, p),
+b AS (SELECT cluster, min(d) AS d, arg_min(name, (d, name)) AS name FROM d WHERE d <= 0.04 GROUP BY cluster)
+SELECT c.cluster, n, round(lat, 6) AS lat, round(lon, 6) AS lon, coalesce(b.name, replace(replace('cluster_lat' || printf('%.1f', lat) || '_lon' || printf('%.1f', lon), '.', 'p'), '-', 'neg')) AS name, round(b.d, 6) AS d FROM c LEFT JOIN b USING (cluster)""")
+def named_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Centres of the density clusters and the named places near them."""
+    a = anchors(spark, d)
+    members = clusters.dbscan(a, "anchor_id", 700.0, 3).join(a.select("anchor_id", (38.013 + F.col("y") / 20000).alias("lat"), (-120.517 - F.col("x") / 20000).alias("lon")), "anchor_id")
+    key = F.col("n_nationkey")
+    named = table(spark, d, "nation").select(F.col("n_name").alias("name"), (38.0 + key % 5 * 0.11).alias("lat"), (-120.6 - F.floor(key / 5) * 0.13).alias("lon"))
+    return rounded(clusters.cluster_names(members, named, 0.04))
 
 
 @query()

@@ -53,7 +53,7 @@ def test_flow_accumulation_counts_every_cell(spark):
 def test_dbscan_matches_brute_force(spark):
     import numpy as np
 
-    from lodestar.operators.spatial import dbscan
+    from lodestar.operators.clusters import dbscan
 
     xy = np.random.default_rng(1).random((120, 2)) * 10
     df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
