@@ -223,6 +223,34 @@ def glcm_contrast(levels: int = 16, window: int = 5) -> Callable[[np.ndarray], n
     return kernel
 
 
+def texture(df: DataFrame, levels: int = 16, window: int = 5) -> DataFrame:
+    """Append ``contrast``, ``dissimilarity``, ``homogeneity``, ``correlation`` of the co-occurrence of horizontal neighbours around each cell.
+
+    Values are put in ``levels`` steps between their 5th and 95th percentile (nulls in the lowest). The symmetric co-occurrence matrix of a window
+    is never built: its four properties are sums over the window's pairs, so windows along rows and then columns give them. Cells without a whole window
+    get nulls; a window of one level has correlation 1.
+    """
+    from .ranking import percentiles
+
+    lo, hi = percentiles(df, "value", [0.05, 0.95])
+    lo, span = (0.0, 1.0) if lo is None else (lo, max(hi - lo, 1e-9))
+    level = F.when(F.col("value").isNull(), 0.0).otherwise(F.floor(F.greatest(F.least((F.col("value") - lo) / span, F.lit(1.0)), F.lit(0.0)) * (levels - 1)).cast("double"))
+    order, half, pairs = Window.partitionBy("row").orderBy("col"), window // 2, window * (window - 1)
+    i, j = F.col("_q"), F.when(F.lead("col").over(order) == F.col("col") + 1, F.lead("_q").over(order))
+    terms = {"_d2": (i - j) * (i - j), "_d1": F.abs(i - j), "_h": 1 / (1 + (i - j) * (i - j)), "_s": i + j, "_ss": i * i + j * j, "_ij": i * j}
+    rows = df.withColumn("_q", level).withColumns(terms)
+    along = order.rangeBetween(-half, half - 1)
+    rows = rows.withColumns({t: F.sum(t).over(along) for t in terms} | {"_n": F.count("_d1").over(along)})
+    down = Window.partitionBy("col").orderBy("row").rangeBetween(-half, half)
+    rows = rows.withColumns({t: F.sum(t).over(down) / pairs for t in terms} | {"_n": F.sum("_n").over(down)})
+    mean = F.col("_s") / 2
+    spread = F.col("_ss") / 2 - mean * mean
+    whole = lambda c: F.when(F.col("_n") == pairs, c)
+    return rows.withColumns({
+        "contrast": whole(F.col("_d2")), "dissimilarity": whole(F.col("_d1")), "homogeneity": whole(F.col("_h")), "correlation": whole(F.when(spread > 1e-12, (F.col("_ij") - mean * mean) / spread).otherwise(1.0)),
+    }).drop("_q", "_n", *terms)
+
+
 def flow_accumulation(df: DataFrame) -> DataFrame:
     """``row``, ``col``, ``flow``: cells that drain through each cell, itself included, along the steepest of eight descents.
 

@@ -8,11 +8,12 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import centroid
+from ..functions.geometry import bounds, centroid
 from ..functions.projection import NAD27_SHIFTS, crs, reproject
 from ..functions.scalar import first_match, mask_nodata, parse_codes, priority_value, sentinel, to_ppm
+from ..model import Area
 from ..operators.relational import factorize, join_many, reconcile, recode
-from .readers import resolve, to_date
+from .readers import clip, overlaps, resolve, to_date
 
 ADAPTERS: dict[str, dict[str, Callable[..., DataFrame]]] = {}
 
@@ -92,6 +93,9 @@ UNIT_GROUPS = [
 ALLUVIUM = "(?i)^Q(a|al|g|f|l|w|oa|s|ls|p|e|c|pf|d|m|t|ya|oal)?$"
 # Grades that count as an intersection (Cu ppm, Mo ppm, Au ppb, Ag ppm).
 GRADES = {"max_cu_ppm": 2000.0, "max_mo_ppm": 300.0, "max_au_ppb": 500.0, "max_ag_ppm": 10.0}
+# Names of quadrangles by code; boxes of states (west, south, east, north).
+QUADRANGLES = {"TC": "TANACROSS", "NM": "NOME"}
+STATES = {"CA": (-124.5, 32.5, -114.0, 42.0), "AK": (-180.0, 51.0, -130.0, 72.0), "AZ": (-114.8, 31.0, -109.0, 37.0)}
 
 
 def _occurrence(raw: DataFrame, commodity: Column, codes: Column, source: str, record: Column, *more: Column) -> DataFrame:
@@ -124,6 +128,44 @@ def mrds(raw: DataFrame) -> DataFrame:
     return _occurrence(raw, F.col("commodity"), codes.otherwise(none), "MRDS", resolve(raw, ["id"]))
 
 
+@adapter("occurrences", "mrds_states")
+def mrds_states(states: list[DataFrame], area: Area | None = None) -> DataFrame:
+    """Records of several states' files (columns that one lacks are null): three commodities make one, lower-case and joined by commas."""
+    every = states[0]
+    for more in states[1:]:
+        every = every.unionByName(more, allowMissingColumns=True)
+    parts = [F.lower(F.trim(resolve(every, [f"commod{i}"]).cast("string"))) for i in (1, 2, 3)]
+    every = every.withColumn("commodity", F.concat_ws(",", *[F.nullif(p, F.lit("")) for p in parts]))
+    return mrds(clip(every, area) if area else every)
+
+
+def quadrangles(raw: DataFrame, quads: list[str], area: Area | None = None, names: dict[str, str] = QUADRANGLES) -> DataFrame:
+    """Records whose label is one of the quadrangles, by code or name in any case. Labels are editorial, so ``area`` also asks where a record is."""
+    wanted = sorted({n for q in quads for n in (q.upper(), names.get(q.upper(), q.upper()))})
+    rows = raw.where(F.upper(F.trim(resolve(raw, ["quad_250", "quad"]).cast("string"))).isin(*wanted))
+    return clip(rows, area) if area else rows
+
+
+def state_of(area: Area) -> str:
+    """The state whose box holds the centre of an area; the first of ``STATES`` wins, none is an error."""
+    x, y = (area.west + area.east) / 2, (area.south + area.north) / 2
+    for state, (west, south, east, north) in STATES.items():
+        if west <= x <= east and south <= y <= north:
+            return state
+    raise ValueError(f"no state at {x:.3f}, {y:.3f}")
+
+
+def counties(raw: DataFrame, boxes: dict[str, Area]) -> DataFrame:
+    """A row per record and county it is in, with ``place``: the county column holds the name, in any case; a table without such a column goes by the boxes."""
+    column = resolve(raw, ["county", "f_county", "geog_loc"], F.lit(False))
+    known = any(c.lower() in ("county", "f_county", "geog_loc") for c in raw.columns)
+    hits = []
+    for name, box in boxes.items():
+        by_box = F.col("x").between(box.west, box.east) & F.col("y").between(box.south, box.north)
+        hits.append(F.when(F.lower(column.cast("string")).contains(name.lower()) if known else by_box, F.lit(name)))
+    return raw.withColumn("place", F.explode(F.array_compact(F.array(*hits)))) if hits else raw.where("false").withColumn("place", F.lit(""))
+
+
 @adapter("occurrences", "usmin")
 def usmin(raw: DataFrame) -> DataFrame:
     kept = raw.where(resolve(raw, ["ftr_type"]).isin(*PLACER_FEATURES))
@@ -267,6 +309,16 @@ def nhdplus(lines: DataFrame, attributes: DataFrame) -> DataFrame:
     )
 
 
+@adapter("hydrology", "nhdplus_units")
+def nhdplus_units(units: list[tuple[DataFrame, DataFrame]], area: Area, buffer: float = 0.0) -> DataFrame:
+    """Flow lines of several drainage units whose box meets the area widened by ``buffer``, each with its unit's attributes; lines are not cut. A line that two units hold is taken once."""
+    wide = Area(area.west - buffer, area.south - buffer, area.east + buffer, area.north + buffer, area.crs)
+    every = reconcile(*[nhdplus(lines, attributes).withColumn("_u", F.lit(i)) for i, (lines, attributes) in enumerate(units)]).withColumn("_b", bounds(F.col("pts")))
+    met = overlaps(every.withColumns({n: F.col(f"_b.{n}") for n in ("xmin", "ymin", "xmax", "ymax")}), wide).drop("_b", "xmin", "ymin", "xmax", "ymax")
+    least = met.groupBy("comid").agg(F.min("_u").alias("_u"))
+    return met.join(least, ["comid", "_u"], "left_semi").drop("_u")
+
+
 @adapter("geophysics", "usgs")
 def geophysics(raster: DataFrame) -> DataFrame:
     return raster.withColumn("value", mask_nodata(F.col("value")))
