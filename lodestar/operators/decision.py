@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import binary_entropy, normal_tail
@@ -16,7 +16,7 @@ CUTOFF = 0.1
 FIELDS = [("NW vein", (1.0, 1.0, -1.0), 0.02, 0.38, 2.0), ("NE vein", (-1.0, 1.0, 0.0), 0.02, 0.38, 2.0), ("disseminated", (0.5, 0.5), 0.05, 0.20, 4.0)]
 
 
-def _away(shape: tuple[float, ...], n: int) -> Column:
+def _away(shape: tuple[float, ...], n: float) -> Column:
     """Squared distance of a cell (``x``, ``y``) from a line or a point."""
     if len(shape) == 2:
         dx, dy = F.col("x") - shape[0] * n, F.col("y") - shape[1] * n
@@ -26,9 +26,8 @@ def _away(shape: tuple[float, ...], n: int) -> Column:
     return off * off / (a * a + b * b)
 
 
-def vein_priors(spark: SparkSession, n: int = 20, fields: list[tuple] = FIELDS) -> DataFrame:
-    """``hypothesis``, ``cell``, ``prior`` of Gaussian fields around lines and points on an n x n grid."""
-    cells = spark.range(n * n).select(F.col("id").alias("cell"), (F.col("id") % n).cast("double").alias("x"), F.floor(F.col("id") / n).cast("double").alias("y"))
+def vein_priors(cells: DataFrame, n: float, fields: list[tuple] = FIELDS) -> DataFrame:
+    """``hypothesis``, ``cell``, ``prior`` of Gaussian fields around lines and points, for a table of cells (``cell``, ``x``, ``y`` in cells); ``n`` is the side that lines and points are scaled to."""
     each = [F.struct(F.lit(name).alias("hypothesis"), (floor + height * F.exp(-_away(shape, n) / (width * width))).alias("prior")) for name, shape, floor, height, width in fields]
     return cells.select("cell", F.inline(F.array(*each))).withColumn("prior", F.least(F.greatest("prior", F.lit(0.001)), F.lit(0.999)))
 

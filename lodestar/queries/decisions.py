@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import decision
-from .registry import query, rounded, table
+from ..operators import decision, spatial
+from .registry import ANCHORS_SQL, CELLS_SQL, anchors, cells, grid, query, rounded, table
 
-PRIORS_SQL = """c AS (SELECT i AS cell, (i % 20)::DOUBLE AS x, (i // 20)::DOUBLE AS y FROM range(0, 400) t(i)), priors AS (
-  SELECT 'NW vein' AS hypothesis, cell, 0.02 + 0.38 * exp(-pow(abs(x + y - 20) / sqrt(2.0), 2) / 4) AS prior FROM c UNION ALL
+PRIORS_SQL = """c AS (SELECT p_partkey AS cell, (p_partkey % 50)::DOUBLE AS x, (p_partkey // 50)::DOUBLE AS y FROM part), priors AS (
+  SELECT 'NW vein' AS hypothesis, cell, 0.02 + 0.38 * exp(-pow(abs(x + y - 50) / sqrt(2.0), 2) / 4) AS prior FROM c UNION ALL
   SELECT 'NE vein', cell, 0.02 + 0.38 * exp(-pow(abs(y - x) / sqrt(2.0), 2) / 4) FROM c UNION ALL
-  SELECT 'disseminated', cell, 0.05 + 0.20 * exp(-(pow(x - 10, 2) + pow(y - 10, 2)) / 16) FROM c)"""
+  SELECT 'disseminated', cell, 0.05 + 0.20 * exp(-(pow(x - 25, 2) + pow(y - 25, 2)) / 16) FROM c)"""
 
 
 @query(f"WITH {PRIORS_SQL} SELECT hypothesis, cell, round(prior, 8) AS prior FROM priors")
 def vein_priors(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(decision.vein_priors(spark), 8)
+    return rounded(_priors(spark, d), 8)
+
+
+def _priors(spark: SparkSession, d: str) -> DataFrame:
+    """Priors of all parts' cells."""
+    key = F.col("p_partkey")
+    return decision.vein_priors(table(spark, d, "part").select(key.alias("cell"), (key % 50).cast("double").alias("x"), F.floor(key / 50).cast("double").alias("y")), 50)
 
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select((F.col("s_suppkey") * 33 % 400).alias("cell"), (F.col("s_acctbal") > 3000).cast("int").alias("obs"))
+    """Each supplier observes a cell; cells that are no part's have no prior and say nothing."""
+    return table(spark, d, "supplier").select((F.col("s_suppkey") * 19).alias("cell"), (F.col("s_acctbal") > 3000).cast("int").alias("obs"))
 
 
-OBS_SQL = "obs AS (SELECT s_suppkey * 33 % 400 AS cell, (s_acctbal > 3000)::INT AS obs FROM supplier)"
+OBS_SQL = "obs AS (SELECT s_suppkey * 19 AS cell, (s_acctbal > 3000)::INT AS obs FROM supplier)"
 POST_SQL = f"{PRIORS_SQL}, {OBS_SQL}, ll AS (SELECT hypothesis, sum(ln(CASE WHEN obs = 1 THEN prior ELSE 1 - prior END)) AS ll FROM priors JOIN obs USING (cell) GROUP BY hypothesis), post AS (SELECT hypothesis, exp(ll - (SELECT max(ll) FROM ll)) / (SELECT sum(exp(ll - (SELECT max(ll) FROM ll))) FROM ll) AS p FROM ll)"
 
 
@@ -32,7 +39,7 @@ def _uniform(spark: SparkSession) -> DataFrame:
 
 
 def _posterior(spark: SparkSession, d: str) -> DataFrame:
-    return decision.bernoulli_update(_uniform(spark), decision.vein_priors(spark), _observations(spark, d))
+    return decision.bernoulli_update(_uniform(spark), _priors(spark, d), _observations(spark, d))
 
 
 @query(f"WITH {POST_SQL} SELECT hypothesis, round(p, 8) AS p FROM post")
@@ -42,7 +49,7 @@ def bayes_update(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {POST_SQL} SELECT cell, round(sum(p * prior), 8) AS p FROM priors JOIN post USING (hypothesis) GROUP BY cell")
 def marginal_prior(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(decision.marginal_prior(_posterior(spark, d), decision.vein_priors(spark)), 8)
+    return rounded(decision.marginal_prior(_posterior(spark, d), _priors(spark, d)), 8)
 
 
 @query(f"WITH {POST_SQL} SELECT max(p) < 0.5 AS falsified FROM post")
@@ -53,7 +60,7 @@ def falsification(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {PRIORS_SQL}, {OBS_SQL}, ll AS (SELECT hypothesis, sum(-0.5 * ln(2 * pi() * 0.0225) - 0.5 * pow(obs * 0.3 - prior, 2) / 0.0225) AS ll FROM priors JOIN obs USING (cell) GROUP BY hypothesis)
 SELECT hypothesis, round(exp(ll - (SELECT max(ll) FROM ll)) / (SELECT sum(exp(ll - (SELECT max(ll) FROM ll))) FROM ll), 8) AS p FROM ll""")
 def gaussian_update(spark: SparkSession, d: str) -> DataFrame:
-    means = decision.vein_priors(spark).select("hypothesis", "cell", F.col("prior").alias("mean"), F.lit(0.12).alias("std"))
+    means = _priors(spark, d).select("hypothesis", "cell", F.col("prior").alias("mean"), F.lit(0.12).alias("std"))
     obs = _observations(spark, d).select("cell", (F.col("obs") * 0.3).alias("obs"))
     return rounded(decision.gaussian_update(_uniform(spark), means, obs, 0.09), 8)
 
@@ -61,13 +68,13 @@ def gaussian_update(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {POST_SQL}, m AS (SELECT cell, sum(p * prior) AS p FROM priors JOIN post USING (hypothesis) GROUP BY cell) SELECT cell, round(CASE WHEN cell IN (SELECT cell FROM obs) THEN 0 ELSE -(p * log2(p) + (1 - p) * log2(1 - p)) END, 8) AS eoi FROM m")
 def entropy_eoi(spark: SparkSession, d: str) -> DataFrame:
     """Bits that drilling each cell yields under the updated belief."""
-    m = decision.marginal_prior(_posterior(spark, d), decision.vein_priors(spark))
+    m = decision.marginal_prior(_posterior(spark, d), _priors(spark, d))
     return rounded(decision.information(m, _observations(spark, d)).select("cell", "eoi"), 8)
 
 
 @query(f"WITH {PRIORS_SQL}, {OBS_SQL} SELECT cell FROM priors WHERE hypothesis = 'disseminated' AND cell NOT IN (SELECT cell FROM obs) ORDER BY round(prior, 9) DESC, cell LIMIT 25")
 def top_candidates(spark: SparkSession, d: str) -> DataFrame:
-    p = decision.vein_priors(spark).where("hypothesis = 'disseminated'").withColumn("prior", F.round("prior", 9))
+    p = _priors(spark, d).where("hypothesis = 'disseminated'").withColumn("prior", F.round("prior", 9))
     return decision.candidates(p, _observations(spark, d), "prior", 25).select("cell")
 
 
@@ -137,5 +144,22 @@ TAIL_SQL = "exp(-a * a / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563
 @query(f"""WITH {POST_SQL}, z AS (SELECT hypothesis, cell, (0.1 - prior) / 0.1 AS z FROM priors), q AS (SELECT *, abs(z) AS a, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z)
 SELECT cell, round(sum(p * CASE WHEN z >= 0 THEN {TAIL_SQL} ELSE 1 - {TAIL_SQL} END), 8) AS p FROM q JOIN post USING (hypothesis) GROUP BY cell""")
 def expected_deposit(spark: SparkSession, d: str) -> DataFrame:
-    means = decision.vein_priors(spark).select("hypothesis", "cell", F.col("prior").alias("mean"), F.lit(0.1).alias("std"))
+    means = _priors(spark, d).select("hypothesis", "cell", F.col("prior").alias("mean"), F.lit(0.1).alias("std"))
     return rounded(decision.expected_deposit(_posterior(spark, d), means), 8)
+
+
+@query(f"""WITH {PRIORS_SQL}, {OBS_SQL}, r AS (SELECT p.cell, (p_size > 40)::INT AS positive, row_number() OVER (ORDER BY prior DESC, p.cell) AS rank, count(*) OVER () AS n FROM priors p JOIN part ON p_partkey = p.cell WHERE hypothesis = 'disseminated' AND p.cell NOT IN (SELECT cell FROM obs))
+SELECT 10.0::DOUBLE AS percent, round(sum(positive) FILTER (rank <= greatest(round_even(n * 0.1, 0), 1)) / sum(positive)::DOUBLE, 8) AS capture FROM r""")
+def retrospective(spark: SparkSession, d: str) -> DataFrame:
+    """Positives among the best tenth of the cells that were not drilled."""
+    p = _priors(spark, d).where("hypothesis = 'disseminated'").join(table(spark, d, "part").select(F.col("p_partkey").alias("cell"), (F.col("p_size") > 40).cast("int").alias("positive")), "cell")
+    return rounded(decision.retrospective(p, _observations(spark, d), 10.0).select(F.col("k_pct").alias("percent"), "capture"), 8)
+
+
+@query(f"""WITH {CELLS_SQL}, {ANCHORS_SQL}, p AS (SELECT c.cell_id, a.value, sqrt(5) * sqrt((c.x - a.x) * (c.x - a.x) + (c.y - a.y) * (c.y - a.y)) / 400 AS a FROM cells c JOIN anchors a ON sqrt((c.x - a.x) * (c.x - a.x) + (c.y - a.y) * (c.y - a.y)) <= 1000)
+SELECT cell_id, round(sum(value * (1 + a + a * a / 3) * exp(-a)) / 1000, 6) AS field, round(max((1 + a + a * a / 3) * exp(-a)), 6) AS nearest FROM p GROUP BY cell_id""")
+def covariance_field(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences spread over the cells around them by a Matern covariance."""
+    near = spatial.cells_within(anchors(spark, d), grid(spark, d), 1000.0).withColumn("k", decision.matern52(F.col("d"), 400.0, 1.0))
+    out = near.groupBy("row", "col").agg((F.sum(F.col("value") * F.col("k")) / 1000).alias("field"), F.max("k").alias("nearest"))
+    return rounded(cells(spark, d).select("cell_id", "row", "col").join(out, ["row", "col"]).select("cell_id", "field", "nearest"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -43,6 +45,30 @@ def running_belief(observations: DataFrame, key: str, priors: dict[str, float])
     return observations.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, posterior double", "n long, odds double", "update", GroupStateTimeout.NoTimeout)
 
 
+def run_to_end(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream says once everything that is there has been read: all rows (``append``), or the newest row of each of ``keys`` (``update``).
+
+    Each batch is a folder of its own, written anew if the batch is run again, so a restart repeats nothing.
+    """
+    from ..plans.storage import shared_dir
+
+    spark = stream.sparkSession
+    home = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    try:
+        rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, batch long").option("basePath", f"{home}/rows").parquet(f"{home}/rows")
+    except AnalysisException:  # no batch at all
+        return spark.createDataFrame([], stream.schema)
+    if not keys:
+        return rows.drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*").select(*stream.columns)
+
+
 def ingest(spark: SparkSession, source: str, target: str, schema, state: str, columns: list) -> None:
     """Append all new CSV files of a folder to a parquet table, with casts; a rerun goes on where the last one ended."""
     rows = spark.readStream.schema(schema).option("header", True).csv(source).select(*columns)
