@@ -82,31 +82,40 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", derived:
     multiple of the shuffle partitions, so the range table is bounded), the first row of each range
     is copied to the range before it, and a window over each range does the rest: texts are
     shuffled once, and derived columns are made behind that shuffle. Null keys come first; equal
-    keys are ordered by the hash of their text.
+    keys are ordered by the hash of their text, and a key that many rows have (or none at all) is cut
+    into ranges of that hash.
     """
     derived = derived or {}
     spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = [f"next_{c}" for c in (text, *derived)]
     docs = docs.drop(*derived, *out)
-    k, h, b, c, to, r, copy = (free_name([*docs.columns, *derived, *out], x) for x in ("_k", "_h", "_b", "_c", "_to", "_r", "_copy"))
+    k, h, b, c, to, copy = (free_name([*docs.columns, *derived, *out], x) for x in ("_k", "_h", "_b", "_c", "_to", "_copy"))
     rows = docs.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), h: F.xxhash64(text)})
-    bounds = rows.agg(F.percentile_approx(k, [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    bounds = sorted(set(bounds))
+    found = rows.agg(F.percentile_approx(k, [i / n for i in range(1, n)], 100 * n)).first()[0] or []
+    bounds = sorted(set(found))
+    hot = {v: found.count(v) for v in bounds if found.count(v) > 1}  # keys of several ranges' rows: cut by the hash, too
+    starts = [0]
+    for v in bounds:
+        starts.append(starts[-1] + 1 + hot.get(v, 0))
     step = max(1, int(len(bounds) ** 0.5))
     fine, coarse = (F.array(*map(F.lit, x)).cast("array<bigint>") for x in (bounds, bounds[step - 1 :: step]))
     below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col(k)))
     rows = rows.withColumn(c, below(coarse) * F.lit(step)).withColumn(b, F.col(c) + below(F.slice(fine, F.col(c) + 1, F.lit(step)))).drop(c)
-    firsts = rows.groupBy(b).agg(F.min(k).alias(k))
+    if hot:
+        cuts = F.create_map(*[F.lit(x) for v, m in hot.items() for x in (v, m)]).cast("map<bigint,int>")
+        part = F.coalesce(1 + F.least(F.floor((F.col(h) / float(1 << 64) + 0.5) * F.try_element_at(cuts, F.col(k))), F.try_element_at(cuts, F.col(k)) - 1), F.lit(0))
+        rows = rows.withColumn(b, (F.element_at(F.array(*map(F.lit, starts)), F.col(b) + 1) + part).cast("int"))
+    firsts = rows.groupBy(b).agg(F.min(F.struct(k, h)).alias(c)).select(b, f"{c}.{k}", f"{c}.{h}")
     ring = Window.orderBy(b)  # one row per range, bounded
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = firsts.select(k, F.coalesce(F.lag(b).over(ring), F.last(b).over(whole)).alias(to))
-    first_rows = rows.join(F.broadcast(before), k).withColumn(r, F.row_number().over(Window.partitionBy(to).orderBy(h))).where(F.col(r) == 1)
+    before = firsts.select(k, h, F.coalesce(F.lag(b).over(ring), F.last(b).over(whole)).alias(to))
+    first_rows = rows.join(F.broadcast(before), [k, h]).groupBy(to).agg(F.first(F.struct(*docs.columns, k, h)).alias(c)).select(to, f"{c}.*")
     copies = first_rows.select(*docs.columns, k, h, F.col(to).alias(b), F.lit(True).alias(copy))
     every = rows.withColumn(copy, F.lit(False)).unionByName(copies).repartition(b).withColumns(derived)
     order = Window.partitionBy(b).orderBy(copy, k, h)
-    found = every.withColumns({f"next_{x}": F.lead(x).over(order) for x in (text, *derived)})
-    return found.where(~F.col(copy)).drop(k, h, b, copy)
+    out_rows = every.withColumns({f"next_{x}": F.lead(x).over(order) for x in (text, *derived)})
+    return out_rows.where(~F.col(copy)).drop(k, h, b, copy)
 
 
 def edited(text: Column, n: Column, follower: Column) -> Column:

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 from conftest import SF, same_rows
+from pyspark.sql import functions as F
 
 from lodestar.llm import embeddings, fingerprint, html, language, mixing, ngram_join, packing, pii, quality, urls
 from lodestar.llm.common import connected_components, most_frequent, read
@@ -748,6 +749,18 @@ def test_repeated_rows_and_null_ids_get_equal_fingerprints(spark):
     assert len(got) == 5 and len({r.fingerprint for r in got if r.n_chars}) == 1 and len({r.fingerprint for r in got if not r.n_chars}) == 1
 
 
+def test_next_of_hot_keys(spark):
+    """A third of the rows has no id, a third shares one: both are cut by hash, and the order is that of (key, hash)."""
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, f"text {i}" if i % 10 else "same") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    want = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.h, r.text) for r in hashed)
+    follow = sorted((x[0], x[2], want[(i + 1) % len(want)][2]) for i, x in enumerate(want))
+    made = fingerprint.with_next(df)
+    got = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.text, r.next_text) for r in made.collect())
+    assert got == follow
+
+
 # ---------------------------------------------------------------- 8 shingles
 
 
