@@ -95,17 +95,70 @@ def stamp_kernel(points: DataFrame, grid: Grid, along: float, across: float, rea
     return near.groupBy("row", "col").agg(F.max(w).alias("weight"))
 
 
-def within_radius(left: DataFrame, right: DataFrame, radius: float, strict: bool = False) -> DataFrame:
-    """Pairs of points at most (``strict``: less than) ``radius`` apart, with ``d``; the right columns are prefixed ``r_``."""
+def within_radius(left: DataFrame, right: DataFrame, radius: float, strict: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Pairs of points at most (``strict``: less than) ``radius`` apart and equal in ``by``, with ``d``; the right columns but ``by`` are prefixed ``r_``."""
+    by = by or []
     bucket = lambda c: F.floor(F.col(c) / radius)
     step = F.sequence(F.lit(-1), F.lit(1))
-    near = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    near = right.select(*[F.col(c).alias(c if c in by else f"r_{c}") for c in right.columns])
     near = near.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).withColumns({"_bx": F.floor(F.col("r_x") / radius) + F.col("_dx"), "_by": F.floor(F.col("r_y") / radius) + F.col("_dy")})
-    pairs = left.withColumns({"_bx": bucket("x"), "_by": bucket("y")}).join(near, ["_bx", "_by"])
+    pairs = left.withColumns({"_bx": bucket("x"), "_by": bucket("y")}).join(near, ["_bx", "_by", *by])
     d = distance(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y"))
     return pairs.withColumn("d", d).where(F.col("d") < radius if strict else F.col("d") <= radius).drop("_bx", "_by", "_dx", "_dy")
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Rows with a whole place: no null or NaN coordinate."""
+    return df.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double")))
+
+
+#: The densest square of a first round's radius holds at most so many marks.
+CROWD = 64
+
+
+def _first_radius(marks: DataFrame, by: list[str]) -> float:
+    """A radius at which no square of that side holds more than ``CROWD`` marks (of one value of ``by``)."""
+    n, x0, x1, y0, y1 = marks.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    wide, high = float(x1 - x0), float(y1 - y0)
+    side = max((wide * high / n) ** 0.5, max(wide, high) / n)
+    if not 0 < side < float("inf"):
+        return 1.0
+    for _ in range(20):
+        if marks.groupBy(F.floor(F.col("x") / side), F.floor(F.col("y") / side), *by).count().where(F.col("count") > CROWD).isEmpty():
+            break
+        side /= 4
+    return side
+
+
+def _nearest_places(left: DataFrame, right: DataFrame, own: list[str], cap: float | None, start: float | None = None, by: list[str] | None = None) -> DataFrame | None:
+    """``x``, ``y`` (of left points, different ones), ``by``, ``b``: distance ``d`` and columns ``own`` of the nearest right point at most ``cap`` away, ties by ``own``; none where there is none. None for an empty right side.
+
+    Different places are compared, however many points they have; of the right ones at a place the smallest ``own`` stands for all. The radius
+    starts where few marks are in reach (``start``: at most there) and doubles up to ``cap`` for the places that have found nothing yet. Each round is written to the shared folder.
+    """
+    from ..plans.storage import materialize
+
+    by = by or []
+    marks = materialize(_placed(right.select("x", "y", *by, *own)).groupBy("x", "y", *by).agg(F.min(F.struct(*own)).alias("o")))
+    if marks.isEmpty():
+        return None
+    here = _placed(left.select("x", "y")).distinct()
+    if by:
+        here = here.crossJoin(F.broadcast(marks.select(*by).distinct()))  # a row per class
+    todo, found = materialize(here), None
+    radius = min(r for r in (_first_radius(marks, by), cap, start) if r is not None)
+    while True:
+        pairs = within_radius(todo, marks, radius, by=by)
+        got = materialize(pairs.groupBy("x", "y", *by).agg(F.min(F.struct("d", *[F.col(f"r_o.{c}").alias(c) for c in own])).alias("b")))
+        found = got if found is None else found.unionByName(got)
+        if cap is not None and radius >= cap:
+            return found
+        todo = materialize(todo.join(got, ["x", "y", *by], "left_anti"))
+        if todo.isEmpty():
+            return found
+        radius = radius * 2 if cap is None else min(radius * 2, cap)
+
+
 def near_any(left: DataFrame, right: DataFrame, radius: float, key: str, strict: bool = False) -> DataFrame:
     """Keys of the left points that have a right point in reach.
 
@@ -147,42 +200,41 @@ def reclassify(points: DataFrame, pits: DataFrame, radius: float, key: str, on_o
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, key: str, right_key: str, payload: list[str] | None = None) -> DataFrame:
-    """Left join with the nearest right point at most ``radius`` away: ``near_id``, ``near_d`` and ``payload``; ties go to the smallest id."""
-    payload = payload or []
-    pairs = within_radius(left.select(key, "x", "y"), right.select("x", "y", right_key, *payload), radius)
-    best = pairs.groupBy(key).agg(F.min(F.struct("d", f"r_{right_key}", *[f"r_{p}" for p in payload])).alias("b"))
-    best = best.select(key, F.col(f"b.r_{right_key}").alias("near_id"), F.col("b.d").alias("near_d"), *[F.col(f"b.r_{p}").alias(p) for p in payload])
-    return left.join(best, key, "left")
+    """Left join with the nearest right point at most ``radius`` away: ``near_id``, ``near_d`` and ``payload``; ties go to the smallest id. Places are compared, not points (``_nearest_places``)."""
+    return _with_nearest(left, right, right_key, payload or [], radius)
+
+
+def _with_nearest(left: DataFrame, right: DataFrame, right_key: str, payload: list[str], cap: float | None, start: float | None = None) -> DataFrame:
+    from ..plans.storage import materialize, small
+
+    own = [right_key, *payload]
+    best = _nearest_places(left, right, own, cap, start)
+    if best is None:
+        kinds = dict(right.dtypes)
+        return left.select("*", F.lit(None).cast(kinds[right_key]).alias("near_id"), F.lit(None).cast("double").alias("near_d"), *[F.lit(None).cast(kinds[p]).alias(p) for p in payload])
+    best = small(materialize(best.select("x", "y", F.col(f"b.{right_key}").alias("near_id"), F.col("b.d").alias("near_d"), *[F.col(f"b.{p}").alias(p) for p in payload])))
+    return left.join(best, ["x", "y"], "left").select(*[left[c] for c in left.columns], "near_id", "near_d", *payload)
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, start: float) -> DataFrame:
-    """``key``, ``near_id``, ``near_d`` for every left point. The search radius doubles for the points that have found nothing yet.
+    """``key``, ``near_id``, ``near_d`` for every left point, however far. The search radius (at most ``start`` at first) doubles for the places that have found nothing yet.
 
     Points without a whole place (a null or NaN coordinate) are near nothing and come out with nulls; so do all for an empty
     right side. Each round is written to the shared folder, so that later rounds don't repeat earlier ones.
     """
-    from ..plans.storage import materialize
-
-    placed = lambda df: df.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double")))
-    points, marks = left.select(key, "x", "y"), placed(right.select("x", "y", right_key))
-    nothing = [F.lit(None).cast(dict(right.dtypes)[right_key]).alias("near_id"), F.lit(None).cast("double").alias("near_d")]
-    if marks.isEmpty():
-        return points.select(key, *nothing)
-    todo, radius = materialize(placed(points)), start
-    whole = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    found = points.where(~(whole("x") & whole("y"))).select(key, *nothing)
-    while not todo.isEmpty():
-        got = materialize(nearest_within(todo, marks, radius, key, right_key))
-        found = found.unionByName(got.where("near_id is not null").select(key, "near_id", "near_d"))
-        todo, radius = got.where("near_id is null").select(key, "x", "y"), radius * 2
-    return found
+    return _with_nearest(left.select(key, "x", "y"), right, right_key, [], None, start).select(key, "near_id", "near_d")
 
 
 def nearest_by_class(left: DataFrame, right: DataFrame, key: str, category: str, classes: list[str], radius: float) -> DataFrame:
-    """A column per class with the distance to its nearest point, null beyond ``radius``."""
-    pairs = within_radius(left.select(key, "x", "y"), right.select("x", "y", category), radius)
-    near = pairs.groupBy(key).pivot(f"r_{category}", classes).agg(F.min("d"))
-    return left.join(near, key, "left")
+    """A column per class with the distance to its nearest point, null beyond ``radius``. Places are compared, not points (``_nearest_places``)."""
+    from ..plans.storage import materialize, small
+
+    of = right.select("x", "y", F.col(category).alias("_class")).where(F.col("_class").isin(classes))
+    best = _nearest_places(left, of, ["x"], radius, by=["_class"])
+    if best is None:
+        return left.withColumns({c: F.lit(None).cast("double") for c in classes})
+    near = small(materialize(best.groupBy("x", "y").agg(*[F.min(F.when(F.col("_class") == c, F.col("b.d"))).alias(c) for c in classes])))
+    return left.join(near, ["x", "y"], "left").select(*[left[c] for c in left.columns], *classes)
 
 
 def snap_to_cell(points: DataFrame, grid: Grid) -> DataFrame:

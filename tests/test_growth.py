@@ -17,3 +17,31 @@ def test_code_mask_is_that_of_sql(spark, duck):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in rows.select(scalar.code_mask(F.col("t"), ["the", "der", "les"])).collect()]
     assert got == [duck.execute(r"SELECT regexp_matches(?, '(?i)\b(?:the|der|les)\b')", [t]).fetchone()[0] for t in texts]
+
+
+def test_nearest_compares_places(spark, monkeypatch):
+    """Many points at few places form no more pairs than one point each would."""
+    from lodestar.operators import spatial
+
+    formed = []
+    real = spatial.within_radius
+
+    def counted(*args, **kw):
+        pairs = real(*args, **kw)
+        formed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(spatial, "within_radius", counted)
+    left = spark.range(4000).selectExpr("id", "cast(id % 8 as double) x", "cast(id % 5 as double) y")
+    right = spark.range(2000).selectExpr("id k", "cast(id % 10 as double) x", "cast(id % 4 as double) y", "id % 3 c")
+    brute = left.crossJoin(right.toDF("k", "rx", "ry", "c")).withColumn("d", F.expr("sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry))"))
+    want = {r.id: (r.b.k, r.b.d) for r in brute.groupBy("id").agg(F.min(F.struct("d", "k")).alias("b")).collect()}
+    for got in (spatial.nearest_within(left, right, 3.0, "id", "k"), spatial.nearest(left, right, "id", "k", 0.5)):
+        assert {r.id: (r.near_id, r.near_d) for r in got.collect()} == want
+    far = spatial.nearest_within(left.withColumn("x", F.col("x") + 50), right, 3.0, "id", "k", ["c"])
+    assert far.count() == 4000 and far.where("near_id is not null or near_d is not null or c is not null").isEmpty()
+    assert sum(formed) < 10_000
+    by = {(r.id, r.c): r.d for r in brute.where("d <= 2").groupBy("id", "c").agg(F.min("d").alias("d")).collect()}
+    near = spatial.nearest_by_class(left, right.withColumn("c", F.col("c").cast("string")), "id", "c", ["0", "1", "7"], 2.0)
+    for r in near.collect():
+        assert (r["0"], r["1"], r["7"]) == (by.get((r.id, 0)), by.get((r.id, 1)), None)
