@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bounds, centroid, contains, densify, distance, line_distance
+from ..functions.geometry import bounds, centroid, contains, densify, distance, line_distance, segment_distance, segments
 from ..model import Grid
 
 
@@ -244,7 +244,7 @@ def snap_to_cell(points: DataFrame, grid: Grid) -> DataFrame:
     return points.withColumns({"row": at("y", grid.y0, grid.n_rows), "col": at("x", grid.x0, grid.n_cols)})
 
 
-#: Up to so many cells within the cap on either side, shapes send themselves to the cells around them; beyond that, blocks of cells look for the shapes near them.
+#: Up to so many cells within the cap on either side, cells look for legs in a growing radius (points send themselves to the cells around); beyond that, blocks of cells look for the shapes near them.
 DIRECT = 64
 #: Cells along a side of a block.
 BLOCK = 16
@@ -284,21 +284,24 @@ def _with_shapes(cells: DataFrame, shapes: DataFrame, near: DataFrame, grid: Gri
 
 def polygon_distance(cells: DataFrame, polygons: DataFrame, grid: Grid, cap: float, boundary: bool = False, buffer: float | None = None, direct: int = DIRECT) -> DataFrame:
     """Append ``d``: distance of each cell to the nearest polygon (0 inside) or ``boundary``, capped; with ``buffer``, null where it is closer."""
-    boxed = polygons.withColumn("_b", bounds(F.col("ring")))
+    boxed = polygons.select("ring").distinct().withColumn("_b", bounds(F.col("ring")))
     b = F.col("_b")
     edge = line_distance(F.col("cx"), F.col("cy"), F.col("ring"))
-    d = edge if boundary else F.when(contains(F.col("ring"), F.col("cx"), F.col("cy")), 0.0).otherwise(edge)
     if cap <= direct * grid.cell:
-        near = cells_in_box(boxed, grid, b["xmin"] - cap, b["ymin"] - cap, b["xmax"] + cap, b["ymax"] + cap)
-        best = near.groupBy("row", "col").agg(F.min(d).alias("d"))
+        half = grid.cell / 2
+        at = cells.select("row", "col", (F.col("col") * grid.cell + grid.x0 + half).alias("x"), (F.col("row") * grid.cell + grid.y0 + half).alias("y"))
+        legs = polygons.select("ring").distinct().select(F.explode(segments(F.col("ring"))).alias("s")).distinct()
+        near = _nearest_legs(at, legs, [], cap)
+        near = at.join(near.select("x", "y", F.col("b.d").alias("d")), ["x", "y"]).select("row", "col", "d")
+        best = near.groupBy("row", "col").agg(F.min("d").alias("d"))
     else:
         side = BLOCK * grid.cell
         shapes = polygons.select(F.xxhash64("ring").alias("shape"), "ring").dropDuplicates(["shape"])
         marks = shapes.select("shape", F.explode(densify(F.col("ring"), side)).alias("p")).select("shape", "p.x", "p.y")
         best = _with_shapes(cells, shapes, _near_blocks(cells, marks, grid, cap, side / 2), grid).groupBy("row", "col").agg(F.min(edge).alias("d"))
-        if not boundary:  # deep inside of a polygon its edge may be far
-            held = cells_in_box(boxed, grid, b["xmin"], b["ymin"], b["xmax"], b["ymax"]).where(contains(F.col("ring"), F.col("cx"), F.col("cy")))
-            best = best.unionByName(held.select("row", "col", F.lit(0.0).alias("d"))).groupBy("row", "col").agg(F.min("d").alias("d"))
+    if not boundary:  # deep inside of a polygon its edge may be far
+        held = cells_in_box(boxed, grid, b["xmin"], b["ymin"], b["xmax"], b["ymax"]).where(contains(F.col("ring"), F.col("cx"), F.col("cy")))
+        best = best.unionByName(held.select("row", "col", F.lit(0.0).alias("d"))).groupBy("row", "col").agg(F.min("d").alias("d"))
     out = cells.join(best, ["row", "col"], "left").withColumn("d", F.least(F.coalesce("d", F.lit(float(cap))), F.lit(float(cap))))
     return out.withColumn("d", F.when(F.col("d") >= buffer, F.col("d"))) if buffer is not None else out
 
@@ -315,19 +318,59 @@ def line_point_distance(cells: DataFrame, lines: DataFrame, grid: Grid, spacing:
     return cells.join(best, ["row", "col"], "left").withColumn("d", F.least(F.coalesce("d", F.lit(float(cap))), F.lit(float(cap))))
 
 
+def _nearest_legs(points: DataFrame, legs: DataFrame, own: list[str], cap: float) -> DataFrame:
+    """``x``, ``y`` (different ones), ``b``: distance ``d`` and, with ``own``, those and leg ``s`` of the nearest of ``legs`` at most ``cap`` away, ties by ``own``; none where there is none.
+
+    Legs are found by marks along them. The radius starts at the gap between legs (unless that takes far more marks than there are legs and
+    places) and grows fourfold up to ``cap`` for the places that have found nothing yet; only places near a leg look at all.
+    """
+    from ..plans.storage import materialize, small
+
+    legs, places = materialize(legs), _placed(points.select("x", "y")).distinct()
+    length = distance(F.col("s.x1"), F.col("s.y1"), F.col("s.x2"), F.col("s.y2"))
+    ends = [f(g(F.col(f"s.{c}1"), F.col(f"s.{c}2"))) for c in "xy" for f, g in ((F.min, F.least), (F.max, F.greatest))]
+    n, total, x0, x1, y0, y1 = legs.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0.0)), *ends).first()
+
+    def marked(radius: float) -> DataFrame:
+        line = F.array(*(F.struct(F.col(f"s.x{i}").alias("x"), F.col(f"s.y{i}").alias("y")) for i in (1, 2)))
+        spread = legs.repartition(int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a few small files would be a task or two for all pairs
+        return spread.withColumn("p", F.explode(densify(line, radius))).select("s", *own, F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+    square, step = [F.floor(F.col(c) / (1.5 * cap)).alias(f"_{c}") for c in "xy"], F.sequence(F.lit(-1), F.lit(1))
+    held = marked(cap).select(*square).distinct().withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).select((F.col("_x") + F.col("_dx")).alias("_x"), (F.col("_y") + F.col("_dy")).alias("_y")).distinct()
+    todo = materialize(places.select("x", "y", *square).join(held, ["_x", "_y"], "left_semi").select("x", "y"))
+    gap = (x1 - x0) * (y1 - y0) / total if total else cap
+    radius, found = min(cap, max(gap, total / (16 * (n + todo.count()) or 1), cap / 4**5)), None
+    while True:
+        pairs = within_radius(marked(radius), todo, 1.5 * radius).select(F.col("r_x").alias("x"), F.col("r_y").alias("y"), "s", *own)
+        pairs = pairs.withColumn("d", segment_distance(F.col("x"), F.col("y"), F.col("s"))).where(F.col("d") <= radius)
+        got = pairs.groupBy("x", "y").agg(F.min("d").alias("least"))  # hashed: the least struct would sort all pairs
+        if own:
+            tied = pairs.join(small(materialize(got)), ["x", "y"]).where(F.col("d") == F.col("least"))
+            got = tied.groupBy("x", "y").agg(F.min(F.struct("d", *own, "s")).alias("b"))
+        else:
+            got = got.select("x", "y", F.struct(F.col("least").alias("d")).alias("b"))
+        got = materialize(got)
+        found = got if found is None else found.unionByName(got)
+        if radius >= cap:
+            return found
+        todo = materialize(todo.join(got, ["x", "y"], "left_anti"))
+        if todo.isEmpty():
+            return found
+        radius = min(4 * radius, cap)
+
+
 def tangents(points: DataFrame, lines: DataFrame, key: str, reach: float) -> DataFrame:
-    """Append ``ux``, ``uy``: the direction of the nearest leg among lines in ``reach`` (legs are bucketed by their densified points); (1, 0) without one."""
-    from ..functions.geometry import segment_distance, segments
-
-    legs = lines.select("line_id", F.posexplode(segments(F.col("pts"))).alias("leg", "s"))
-    marks = legs.withColumn("p", F.explode(F.array_distinct(densify(F.array(F.struct(F.col("s.x1").alias("x"), F.col("s.y1").alias("y")), F.struct(F.col("s.x2").alias("x"), F.col("s.y2").alias("y"))), reach))))
-    marks = marks.select("line_id", "leg", "s", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    pairs = within_radius(points.select(key, "x", "y"), marks, 1.5 * reach).withColumn("d", segment_distance(F.col("x"), F.col("y"), F.col("r_s"))).where(F.col("d") <= reach)
-    best = pairs.groupBy(key).agg(F.min(F.struct("d", "r_line_id", "r_leg", "r_s")).alias("b"))
-    dx, dy = F.col("b.r_s.x2") - F.col("b.r_s.x1"), F.col("b.r_s.y2") - F.col("b.r_s.y1")
+    """Append ``ux``, ``uy``: the direction of the nearest leg among lines in ``reach``, ties by ``line_id`` and leg; (1, 0) without one. Different places and lines are compared (``_nearest_legs``)."""
+    from ..plans.storage import materialize, small
+
+    legs = lines.groupBy("pts").agg(F.min("line_id").alias("line_id")).select("line_id", F.posexplode(segments(F.col("pts"))).alias("leg", "s"))
+    dx, dy = F.col("b.s.x2") - F.col("b.s.x1"), F.col("b.s.y2") - F.col("b.s.y1")
     size = F.sqrt(dx * dx + dy * dy)
-    best = best.select(key, F.when(size > 0, dx / size).alias("ux"), F.when(size > 0, dy / size).alias("uy"))
-    return points.join(best, key, "left").withColumns({"ux": F.coalesce("ux", F.lit(1.0)), "uy": F.coalesce("uy", F.lit(0.0))})
+    best = _nearest_legs(points, legs, ["line_id", "leg"], reach)
+    best = small(materialize(best.select("x", "y", F.when(size > 0, dx / size).alias("ux"), F.when(size > 0, dy / size).alias("uy"))))
+    out = points.join(best, ["x", "y"], "left").select(*[points[c] for c in points.columns], "ux", "uy")
+    return out.withColumns({"ux": F.coalesce("ux", F.lit(1.0)), "uy": F.coalesce("uy", F.lit(0.0))})
 
 
 def shared_vertices(shapes: DataFrame, key: str, vertices: str, flag: str) -> DataFrame:
