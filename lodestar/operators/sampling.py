@@ -69,9 +69,13 @@ def out_of_bag_mean(scored: DataFrame, key: str, label: str, p: str) -> DataFram
     return scored.where(~F.col("in_bag") | (F.col(label) == 1)).groupBy(key).agg(F.avg(p).alias("p_pu"), F.count("*").alias("n_bags"))
 
 
+#: The share of Poisson(1) draws that are 0.
+NONE = 0.36787944117144233
+
+
 def poisson_weight(u: Column) -> Column:
     """A Poisson(1) draw from a uniform one (8 at most): how often a replicate holds a row."""
-    cuts, total, term = [], 0.0, 0.36787944117144233
+    cuts, total, term = [], 0.0, NONE
     for k in range(1, 9):
         total += term
         term /= k
@@ -80,9 +84,14 @@ def poisson_weight(u: Column) -> Column:
 
 
 def replicated(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """A row per row and replicate that holds it, with ``rep`` and ``w``: how often. Draws are hashes, so nothing is gathered."""
-    drawn = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return drawn.withColumn("w", poisson_weight(unit_hash(seed, "rep", key))).where("w > 0")
+    """A row per row and replicate that holds it, with ``rep`` and ``w``: how often. Draws are hashes, so nothing is gathered.
+
+    Rows are few bytes and many draws, so they are dealt to all tasks first. A draw is hashed once: the generator keeps the optimizer from copying it into the filter and each cut of the weight.
+    """
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    drawn = dealt.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = drawn.select("*", F.inline(F.array(F.struct(unit_hash(seed, "rep", key).alias("_u")))))
+    return drawn.where(F.col("_u") >= NONE).withColumn("w", poisson_weight(F.col("_u"))).drop("_u")
 
 
 def _interval(point: DataFrame, name: str, reps: DataFrame) -> DataFrame:
