@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Grid
-from .network import decay_sums
+from .network import decay_parts
 from .ranking import ordered
 from .spatial import cells_within
 
@@ -56,14 +56,17 @@ def radius_without_fold(points: DataFrame, grid: Grid, radius: float, values: li
 def decay_without_fold(cells: DataFrame, samples: DataFrame, folds: list[int], fold: str = "fold", **how) -> DataFrame:
     """``comid``, ``fold``, ``n_samples``, ``catchment``: the decayed mean of upstream samples (``dual_decay``) over the samples of the other folds.
 
-    Every sample is summed for the reaches once, with those of its fold. Reaches without any sample upstream have no row.
+    Every sample is summed for the reaches once, with those of its fold, all folds in one job. Reaches without any sample upstream have no row.
     """
-    parts = None
-    for f in [*folds, None]:  # few
-        own = samples.where(F.col(fold) == f) if f is not None else samples.where(F.col(fold).isNull() | ~F.col(fold).isin(folds))
-        made = decay_sums(cells, own.drop(fold), **how).withColumn(fold, F.lit(f).cast("int"))
-        parts = made if parts is None else parts.unionByName(made)
-    out = without_own(parts, ["comid"], folds, ["n", "w", "wv"], fold=fold)
+    own = samples.withColumn("f", F.coalesce(*(F.when(F.col(fold) == x, F.lit(i)) for i, x in enumerate(folds)), F.lit(len(folds)))).drop(fold)
+    kinds = [r[0] for r in own.where("hydroseq is not null").select("f").distinct().orderBy("f").collect()]  # one for each fold at most
+    if not kinds:
+        kinds = [0]
+    parts = decay_parts(cells, own, kinds, **how)
+    sums = parts.groupBy("comid").agg(F.sum("m").alias("m"), *(F.coalesce(F.sum(F.when(F.col("f") == k, F.col(c))), F.lit(0.0)).alias(f"{c}_{k}") for c in ("n", "w", "wv") for k in kinds))
+    zero = F.lit(0.0)
+    each = [F.struct(F.lit(x).cast("int").alias(fold), *(sum((F.col(f"{c}_{k}") for k in kinds if k != i), zero).alias(c) for c in ("n", "w", "wv"))) for i, x in enumerate(folds)]
+    out = sums.where("m > 0").select("comid", F.inline(F.array(*each)))
     return out.select("comid", fold, F.col("n").cast("long").alias("n_samples"), F.when(F.col("w") > 0, F.col("wv") / F.col("w")).alias("catchment"))
 
 

@@ -15,3 +15,39 @@ def test_replicates_are_hashed_once_in_all_tasks(spark):
     drawn = df.crossJoin(spark.range(4).select(F.col("id").cast("int").alias("rep"))).withColumn("w", sampling.poisson_weight(sampling.unit_hash(9, "rep", "id")))
     want = sorted((r.id, r.v, r.rep, r.w) for r in drawn.where("w > 0").collect())
     assert sorted((r.id, r.v, r.rep, r.w) for r in got.collect()) == want
+
+
+def test_decayed_sums_of_a_group_do_not_depend_on_the_span():
+    """One factor a row, and doubled sums of neighbours where lengths span too many decays, against pairs."""
+    import pyarrow as pa
+
+    from lodestar.operators import network
+
+    rng = np.random.default_rng(6)
+    for wide in (1.0, 40.0):  # 300 lengths are 60 near decays; 12,000 are 2,400
+        m = (rng.random(300) < 0.6).astype(float)
+        length, p = np.round(rng.random(300) * 300) * wide, rng.integers(0, 40, 300).astype(float)
+        n, v = m * rng.integers(0, 3, 300), m * rng.random(300)
+        group = pa.table({"f": np.full(300, 2, np.int32), "comid": np.arange(300), "p": p, "len": length, "m": m, "n": n, "v": v})
+        got = network._own(group, 5.0, 25.0, 0.3).to_pylist()
+        assert len(got) > 100
+        for r in got:
+            i = r["comid"]
+            above = (m > 0) & (p >= p[i])
+            d = np.maximum(length[above] - length[i], 0)
+            w = np.exp(-d / 5) + 0.3 * np.exp(-d / 25)
+            assert m[i] == 0 and r["f"] == 2 and (r["m"], r["n"]) == (above.sum(), n[above].sum())
+            assert r["w"] == pytest.approx((w * n[above]).sum(), rel=1e-11) and r["wv"] == pytest.approx((w * v[above]).sum(), rel=1e-11)
+
+
+def test_folds_are_summed_in_one_job(spark, monkeypatch):
+    from lodestar.operators import folds
+    from lodestar.plans import storage
+
+    written = []
+    real = storage.materialize
+    monkeypatch.setattr(storage, "materialize", lambda df: written.append(1) or real(df))
+    cells = spark.range(200).selectExpr("id comid", "id hydroseq", "cast(id * 37 % 91 as double) arbolate")
+    samples = spark.range(400).selectExpr("id % 190 hydroseq", "cast(id * 13 % 97 as double) arbolate", "cast(id % 5 as double) value", "cast(id % 4 as int) fold")
+    assert folds.decay_without_fold(cells, samples, [0, 1, 2, 3], ranges=3).count() == 4 * 190
+    assert len(written) <= 6
