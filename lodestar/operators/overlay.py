@@ -103,6 +103,18 @@ def _box(row: int, col: int, size: float) -> list:
     return [(col * size, row * size), ((col + 1) * size, row * size), ((col + 1) * size, (row + 1) * size), (col * size, (row + 1) * size)]
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows spread over all tasks: shapes are few bytes each and much work, so their files or joins make few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: rings as Python objects take many times their bytes, and a cell's rings come with every piece in it."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def cut(shapes: DataFrame, size: float, key: str = "id", rings: str = "rings") -> DataFrame:
     """``key``, ``row``, ``col``, ``full``, ``rings``: a row per shape and cell that it has some area in; ``rings`` is null where the cell is ``full``."""
     kind = dict(shapes.dtypes)[key]
@@ -123,7 +135,8 @@ def cut(shapes: DataFrame, size: float, key: str = "id", rings: str = "rings") -
                 if out:
                     yield _pieces(batch.column("key").slice(i, 1), out)
 
-    done = shapes.select(F.col(key).alias("key"), F.col(rings).alias("rings")).mapInArrow(run, f"key {kind}, row long, col long, full boolean, rings {RINGS}")
+    rows = _dealt(shapes.select(F.col(key).alias("key"), F.col(rings).alias("rings")), "key")
+    done = rows.mapInArrow(run, f"key {kind}, row long, col long, full boolean, rings {RINGS}")
     return done.withColumnRenamed("key", key)
 
 
@@ -137,6 +150,11 @@ def _sweep(shapes: list[list[list]], wanted: Callable[[list[bool]], bool]) -> li
 
     Edges are cut into slabs at every end and crossing, so inside a slab they only lie side by side; trapezoids that go on between the same edges in the next slab are one.
     """
+    if len(shapes) == 1 and len(shapes[0]) == 1 and len(shapes[0][0]) == 4 and wanted([True]) and not wanted([False]):
+        (a, b), (c, d), (e, f), (g, h) = shapes[0][0]
+        if (b == d and c == e and f == h and a == g) or (a == c and d == f and e == g and b == h):  # a rectangle
+            x0, x1, y0, y1 = (float(v) for v in (min(a, e), max(a, e), min(b, f), max(b, f)))
+            return [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]] if x1 > x0 and y1 > y0 else []
     edges = []
     for s, rings in enumerate(shapes):
         for ring in rings:
@@ -183,6 +201,12 @@ def _sweep(shapes: list[list[list]], wanted: Callable[[list[bool]], bool]) -> li
 
 def _crossings(x1: np.ndarray, y1: np.ndarray, y2: np.ndarray, slope: np.ndarray) -> np.ndarray:
     """The heights at which edges cross."""
+    if len(x1) <= 128:  # all pairs at once
+        i, j = np.triu_indices(len(x1), 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            turn = slope[i] - slope[j]
+            y = (x1[j] - slope[j] * y1[j] - x1[i] + slope[i] * y1[i]) / turn
+        return y[(turn != 0) & (y > np.maximum(y1[i], y1[j])) & (y < np.minimum(y2[i], y2[j]))]
     found = []
     for i in range(len(x1) - 1):
         j = slice(i + 1, None)
@@ -218,12 +242,11 @@ def union(pieces: DataFrame, size: float, together: int = TOGETHER, by: tuple[st
     left = materialize(told.where("not full").join(full, cell, "left_anti").select(*cell, "rings"))
     kinds = ", ".join(f"{c} {k}" for c, k in left.dtypes)
 
-    def run(group: pa.Table) -> pa.Table:
-        row, col = group.column("row")[0].as_py(), group.column("col")[0].as_py()
-        shapes = [[_open(r) for r in rings] for rings in group.column("rings").to_pylist()]
-        whole, rings = _swept(shapes, any, row, col, size)
-        own = group.select(cell).slice(0, 1)
-        return own.append_column("rings", pa.array([[_close(_box(row, col, size))] if whole else rings], _RINGS)).append_column("whole", pa.array([whole]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            found = [_swept([[_open(r) for r in rings] for rings in shapes], any, row, col, size) for row, col, shapes in zip(*(part.column(c).to_pylist() for c in ("row", "col", "shapes")), strict=True)]
+            rings = [[_close(_box(row, col, size))] if whole else rings for row, col, (whole, rings) in zip(part.column("row").to_pylist(), part.column("col").to_pylist(), found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cell), pa.array(rings, _RINGS), pa.array([whole for whole, _ in found], pa.bool_())], [*cell, "rings", "whole"])
 
     done = None
     while True:
@@ -232,7 +255,10 @@ def union(pieces: DataFrame, size: float, together: int = TOGETHER, by: tuple[st
         if done is not None and some <= 1:
             break
         parts = left.join(counts, cell).withColumn("part", F.pmod(F.xxhash64("rings"), F.ceil(F.col("n") / together)))
-        done = materialize(parts.select(*cell, "part", "rings").groupBy(*cell, "part").applyInArrow(run, f"{kinds}, whole boolean"))
+        lists = parts.groupBy(*cell, "part").agg(F.collect_list("rings").alias("shapes"))  # about ``together`` at most
+        alone = lists.where(F.size("shapes") == 1).select(*cell, F.get("shapes", F.lit(0)).alias("rings"), F.lit(False).alias("whole"))  # pieces are disjoint as they are
+        several = _dealt(lists.where(F.size("shapes") > 1).select(*cell, "shapes"), *cell).mapInArrow(run, f"{kinds}, whole boolean")
+        done = materialize(alone.unionByName(several))
         left = done.select(*cell, "rings")
     closed = done.select(*cell, F.col("whole").alias("full"), F.when(~F.col("whole"), F.col("rings")).alias("rings"))
     return closed.unionByName(full.select(*cell, F.lit(True).alias("full"), F.lit(None).cast(RINGS).alias("rings")))
@@ -250,7 +276,7 @@ def clip(pieces: DataFrame, mask: DataFrame, size: float, key: str = "id", insid
     kind = dict(pieces.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             row, col, full, own, other = (batch.column(c).to_pylist() for c in ("row", "col", "full", "rings", "_rings"))
             out = []
             for r, c, f, a, b in zip(row, col, full, own, other, strict=True):
@@ -259,7 +285,7 @@ def clip(pieces: DataFrame, mask: DataFrame, size: float, key: str = "id", insid
                 out.append(_swept([a, [_open(x) for x in b]], wanted, r, c, size))
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("row"), batch.column("col"), pa.array([f for f, _ in out], pa.bool_()), pa.array([x for _, x in out], _RINGS)], [key, "row", "col", "full", "rings"])
 
-    cutout = rest.mapInArrow(run, f"{key} {kind}, row long, col long, full boolean, rings {RINGS}")
+    cutout = _dealt(rest, key, "row", "col").mapInArrow(run, f"{key} {kind}, row long, col long, full boolean, rings {RINGS}")
     return kept.unionByName(cutout.where(F.col("full") | (F.size("rings") > 0)))
 
 

@@ -51,3 +51,18 @@ def test_folds_are_summed_in_one_job(spark, monkeypatch):
     samples = spark.range(400).selectExpr("id % 190 hydroseq", "cast(id * 13 % 97 as double) arbolate", "cast(id % 5 as double) value", "cast(id % 4 as int) fold")
     assert folds.decay_without_fold(cells, samples, [0, 1, 2, 3], ranges=3).count() == 4 * 190
     assert len(written) <= 6
+
+
+def test_shapes_are_cut_and_united_in_all_tasks(spark, monkeypatch):
+    """One file of small shapes makes as many tasks as there are; a lone piece isn't swept again, and few rows at a time are Python objects."""
+    from lodestar.operators import overlay
+
+    box = lambda x, y, w: F.array(*(F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0, 0), (w, 0), (w, w), (0, w), (0, 0))))
+    shapes = spark.range(60).coalesce(1).selectExpr("id", "cast(id % 10 * 9 as double) x", "cast(id div 10 * 9 as double) y").select("id", F.array(box(F.col("x"), F.col("y"), 12.0)).alias("rings"))
+    pieces = overlay.cut(shapes, 10.0)
+    assert pieces.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mask = overlay.union(pieces, 10.0, together=2)
+    assert mask.agg(F.sum(overlay.piece_area(10.0))).first()[0] == pytest.approx(93 * 57)
+    rest = overlay.clip(overlay.cut(shapes, 10.0), overlay.union(overlay.cut(shapes.where("id < 10"), 10.0), 10.0), 10.0, inside=False)
+    assert rest.agg(F.sum(overlay.piece_area(10.0))).first()[0] == pytest.approx(sum(144 - 36 * (10 <= i < 20) for i in range(10, 60)))
+    assert [b.num_rows for b in overlay._slices(iter([__import__("pyarrow").record_batch({"a": list(range(150))})]))] == [64, 64, 22]
