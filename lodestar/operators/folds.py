@@ -113,7 +113,8 @@ def leave_one_out(df: DataFrame, names: list[str], key: str, label: str = "label
     """
     from ..plans.storage import materialize
 
-    rows = materialize(df.select(key, F.col(label).cast("int").alias("label"), *(F.col(n).cast("double").alias(n) for n in names)).where("label is not null"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # every pass weighs each row by all models, so a small file is dealt to all tasks
+    rows = materialize(df.select(key, F.col(label).cast("int").alias("label"), *(F.col(n).cast("double").alias(n) for n in names)).where("label is not null").repartition(tasks, key))
     n, positives = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     kind = dict(rows.dtypes)[key]
     out = f"{key} {kind}, score double, higher long, pct double"

@@ -66,3 +66,15 @@ def test_shapes_are_cut_and_united_in_all_tasks(spark, monkeypatch):
     rest = overlay.clip(overlay.cut(shapes, 10.0), overlay.union(overlay.cut(shapes.where("id < 10"), 10.0), 10.0), 10.0, inside=False)
     assert rest.agg(F.sum(overlay.piece_area(10.0))).first()[0] == pytest.approx(sum(144 - 36 * (10 <= i < 20) for i in range(10, 60)))
     assert [b.num_rows for b in overlay._slices(iter([__import__("pyarrow").record_batch({"a": list(range(150))})]))] == [64, 64, 22]
+
+
+def test_leave_one_out_weighs_rows_in_all_tasks(spark, monkeypatch):
+    from lodestar.operators import folds
+    from lodestar.plans import storage
+
+    parts = []
+    real = storage.materialize
+    monkeypatch.setattr(storage, "materialize", lambda df: parts.append(df.rdd.getNumPartitions()) or real(df))
+    df = spark.range(90).coalesce(1).selectExpr("id", "id * 7 % 13 / 13.0 a", "cast(id % 9 = 0 as int) label")
+    assert folds.leave_one_out(df, ["a"], "id").count() == 10
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
