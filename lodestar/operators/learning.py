@@ -6,6 +6,7 @@ the data is. Features are given by name, so that a label can't slip in among the
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, MinMaxScaler, StandardScaler, VectorAssembler
@@ -23,11 +24,43 @@ def feature_columns(df: DataFrame, exclude: tuple[str, ...] = NOT_FEATURES, pref
     return [n for n, t in df.dtypes if t in numeric and n not in exclude and not n.startswith(prefixes)]
 
 
+#: Rows of a task of a fit, about.
+TASK_ROWS = 50_000
+#: Classes that weights are told for.
+MOST_CLASSES = 1000
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows, dealt by their hash to tasks of ``TASK_ROWS`` and put in order there.
+
+    A small file with much work a row would be one task. As the tasks depend on the rows alone, so do the draws that a fit makes in them, and reruns agree.
+    """
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *df.columns).sortWithinPartitions(*df.columns)
+
+
 def balanced(df: DataFrame, label: str) -> DataFrame:
-    """Append ``weight``: classes weigh the same in total."""
-    n = df.groupBy(label).count()
-    total, classes = df.count(), max(n.count(), 1)
-    return df.join(n.select(label, (F.lit(float(total)) / (classes * F.col("count"))).alias("weight")), label)
+    """Append ``weight``: classes (``MOST_CLASSES`` at most, else an error) weigh the same in total. Rows without a label are left out.
+
+    Rows are dealt to tasks (see ``fitted``). The weights are told to the tasks, as a join by class would send each class to one.
+    """
+    counts = df.groupBy(label).count().limit(MOST_CLASSES + 1).collect()
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"{label} has over {MOST_CLASSES} values")
+    total = sum(n for _, n in counts)
+    weight = F.lit(None).cast("double")
+    for value, n in counts:
+        if value is not None:
+            weight = F.when(F.col(label) == F.lit(value), float(total) / (len(counts) * n)).otherwise(weight)
+    return dealt(df.where(F.col(label).isNotNull()), total).withColumn("weight", weight)
+
+
+def fitted(pipelines: list[Pipeline], df: DataFrame, label: str) -> list[PipelineModel]:
+    """The pipelines fitted on balanced rows. Fits pass over them many times, so they are kept (in memory, else on disk) until the last one is done."""
+    train = balanced(df, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return [p.fit(train) for p in pipelines]
+    finally:
+        train.unpersist()
 
 
 def _inputs(names: list[str], scale: bool) -> list:
@@ -59,29 +92,31 @@ def out_of_fold(df: DataFrame, pipelines: dict[str, Pipeline], folds: int, keep:
     """``keep``, ``fold`` and a probability per pipeline, each row scored by models that never saw its fold.
 
     The driver loops over folds, which are few; fits and scores are distributed. Folds without both classes in training are left out.
+    Rows are dealt to tasks and written, and so are the scores, since each is read many times.
     """
-    parts = []
+    from ..plans.storage import materialize
+
+    parts, df = [], materialize(dealt(df, df.count()))
     for f in range(folds):
         train, test = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
         if train.select("label").distinct().count() < 2:
             continue
-        train = balanced(train, "label")
         scored = test
-        for name, pipe in pipelines.items():
-            scored = probability(pipe.fit(train), scored, name)
+        for name, model in zip(pipelines, fitted(list(pipelines.values()), train, "label"), strict=True):
+            scored = probability(model, scored, name)
         parts.append(scored.select(*keep, "fold", *pipelines))
     if not parts:
         raise ValueError("no fold leaves both classes to train on")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return materialize(out)
 
 
 def stack(oof: DataFrame, names: list[str], label: str = "label") -> PipelineModel:
     """A logistic regression over out-of-fold probabilities."""
-    rows = balanced(oof, label)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), LogisticRegression(labelCol=label, weightCol="weight")]).fit(rows)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), LogisticRegression(labelCol=label, weightCol="weight")])
+    return fitted([pipe], oof, label)[0]
 
 
 def calibrate(df: DataFrame, p: str, label: str, out: str, least: int = 30) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Grid
-from .learning import balanced, forest, probability
+from .learning import fitted, forest, probability
 from .ranking import ordered, percentiles_of
 from .sampling import unit_hash
 from .spatial import polygon_cells, snap_to_cell
@@ -71,7 +71,7 @@ def context_fusion(df: DataFrame, scores: list[str], context: list[str], label:
     if positives < least or positives == n:
         raise ValueError(f"{positives} positives among {n} cells: at least {least}, and some others, are needed")
     fit = LogisticRegression(labelCol="_y", weightCol="weight", regParam=1.0 / n, standardization=False, maxIter=2000, tol=1e-10)
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(filled), outputCol="features"), fit]).fit(balanced(train, "_y"))
+    (model,) = fitted([Pipeline(stages=[VectorAssembler(inputCols=list(filled), outputCol="features"), fit])], train, "_y")
     out = probability(model, rows, "p_combined").withColumn("p_combined", F.when(F.col("_covered"), F.col("p_combined"))).select(*df.columns, "p_combined")
     last = model.stages[-1]
     return out, {"weights": dict(zip([*scores, *context], map(float, last.coefficients), strict=True)), "intercept": float(last.intercept), "n": n, "positives": int(positives)}
@@ -88,7 +88,7 @@ def subarea(df: DataFrame, label: str, side: float, centre: tuple[float, float]
 def subarea_prior(df: DataFrame, names: list[str], label: str, side: float, centre: tuple[float, float] | None = None, trees: int = 200, seed: int = 0) -> DataFrame:
     """``x``, ``y``, ``p_prior``, ``label`` of the cells of a subarea; the forest is fitted on the whole map."""
     rows = df.withColumn("label", F.coalesce((F.col(label) > 0).cast("int"), F.lit(0)))
-    model = forest(names, trees=trees, seed=seed).fit(balanced(rows.select(*names, "label"), "label"))
+    (model,) = fitted([forest(names, trees=trees, seed=seed)], rows.select(*names, "label"), "label")
     return probability(model, subarea(rows, "label", side, centre), "p_prior").select("x", "y", "p_prior", "label")
 
 

@@ -44,7 +44,7 @@ def pu_bagging(spark: SparkSession, d: str) -> DataFrame:
 def transfer(spark: SparkSession, d: str) -> DataFrame:
     """Train on one half of the map, score the other."""
     f = _frame(spark, d)
-    model = learning.boosted(NAMES, rounds=10).fit(learning.balanced(f.where("block % 2 = 0"), "label"))
+    (model,) = learning.fitted([learning.boosted(NAMES, rounds=10)], f.where("block % 2 = 0"), "label")
     return learning.probability(model, f.where("block % 2 = 1")).select("p_partkey", "label", "p")
 
 

@@ -78,3 +78,21 @@ def test_leave_one_out_weighs_rows_in_all_tasks(spark, monkeypatch):
     df = spark.range(90).coalesce(1).selectExpr("id", "id * 7 % 13 / 13.0 a", "cast(id % 9 = 0 as int) label")
     assert folds.leave_one_out(df, ["a"], "id").count() == 10
     assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
+def test_fits_are_dealt_to_tasks_by_rows(spark, monkeypatch):
+    """One small file makes as many tasks as its rows ask for; weights need no join by class; the order of the rows is moot."""
+    from lodestar.operators import learning
+
+    monkeypatch.setattr(learning, "TASK_ROWS", 100)
+    df = spark.range(500).coalesce(1).selectExpr("id", "id * 37 % 101 / 101.0 a", "id * 13 % 29 / 29.0 b", "case when id % 50 > 0 then cast(id * 37 % 101 + id * 13 % 29 > 70 as int) end label")
+    got = learning.balanced(df, "label")
+    assert got.rdd.getNumPartitions() == 5 and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    sums = {r.label: (r.n, r.w) for r in got.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    assert set(sums) == {0, 1} and sums[0][0] + sums[1][0] == 490 and sums[0][1] == pytest.approx(sums[1][1])
+    rows = df.where("label is not null")
+    runs = [sorted(map(tuple, learning.pu_bagging(x, ["a", "b"], "id", "label", 2, 5).collect())) for x in (rows, rows.orderBy(F.desc("id")))]
+    assert runs[0] == runs[1] and len(runs[0]) > 300
+    folds = rows.withColumn("fold", (F.col("id") % 2).cast("int"))
+    oof = learning.out_of_fold(folds, {"p": learning.forest(["a", "b"], trees=3)}, 2, ["id", "label"])
+    assert oof.count() == 490 and oof.inputFiles()  # written, so the stack doesn't score again
