@@ -131,14 +131,17 @@ def calibrate(df: DataFrame, p: str, label: str, out: str, least: int = 30) -> D
 
 def pu_bagging(df: DataFrame, names: list[str], key: str, label: str, n_bags: int, seed: int) -> DataFrame:
     """``key``, ``p_pu``: mean out-of-bag probability over forests on the positives and equally many unlabelled rows."""
+    from ..plans.storage import materialize
     from .sampling import bags, out_of_bag_mean
 
-    every = bags(df.withColumnRenamed(label, "label"), key, "label", n_bags, seed)
+    rows = df.select(key, F.col(label).alias("label"), *names)
+    every = materialize(bags(dealt(rows, rows.count()), key, "label", n_bags, seed))  # draws are hashed once
     scored = None
     for b in range(n_bags):
         own = every.where(F.col("bag") == b)
-        model = forest(names, trees=20, seed=seed + b).fit(balanced(own.where("in_bag"), "label"))
-        part = probability(model, own.select(key, "label", "bag", "in_bag", *names)).select(key, "label", "in_bag", "p")
+        (model,) = fitted([forest(names, trees=20, seed=seed + b)], own.where("in_bag"), "label")
+        # only what the mean takes is scored
+        part = probability(model, own.where(~F.col("in_bag") | (F.col("label") == 1))).select(key, "label", "in_bag", "p")
         scored = part if scored is None else scored.unionByName(part)
     return out_of_bag_mean(scored, key, "label", "p")
 

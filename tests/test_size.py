@@ -96,3 +96,17 @@ def test_fits_are_dealt_to_tasks_by_rows(spark, monkeypatch):
     folds = rows.withColumn("fold", (F.col("id") % 2).cast("int"))
     oof = learning.out_of_fold(folds, {"p": learning.forest(["a", "b"], trees=3)}, 2, ["id", "label"])
     assert oof.count() == 490 and oof.inputFiles()  # written, so the stack doesn't score again
+
+
+def test_bags_are_drawn_and_scored_once(spark, monkeypatch):
+    from lodestar.operators import learning
+    from lodestar.plans import storage
+
+    written = []
+    real = storage.materialize
+    monkeypatch.setattr(storage, "materialize", lambda df: written.append(df.columns) or real(df))
+    df = spark.range(200).selectExpr("id", "id * 37 % 101 / 101.0 a", "cast(id % 5 = 0 as int) y", "'long' as text")
+    got = learning.pu_bagging(df, ["a"], "id", "y", 3, 1)
+    assert [sorted(c) for c in written] == [["a", "bag", "id", "in_bag", "label"]]
+    assert "md5(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.where("id % 5 = 0 and n_bags < 3").isEmpty()
