@@ -256,21 +256,22 @@ def flow_accumulation(df: DataFrame) -> DataFrame:
 
     Every cell points at its receiver. Pointers are doubled: after k rounds a cell knows how many
     cells drain to it over fewer than 2^k steps and where its water is after 2^k steps, so the
-    rounds are the logarithm of the longest path. Each round is written to the shared folder.
+    rounds are the logarithm of the longest path. Each round is written to the shared folder. Both sides of a
+    round's joins are cells, so they meet by shuffle: a broadcast a round would send them through the driver.
     """
     from ..plans.storage import materialize
 
     step = F.sequence(F.lit(-1), F.lit(1))
     near = df.select("row", "col", "value").withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step)).where("dr <> 0 or dc <> 0")
     near = near.select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("value").alias("v2"), F.sqrt((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("double")).alias("len"))
-    drop = df.join(near, ["row", "col"]).withColumn("fall", (F.col("value") - F.col("v2")) / F.col("len")).where("fall > 0")
+    drop = df.join(near.hint("merge"), ["row", "col"]).withColumn("fall", (F.col("value") - F.col("v2")) / F.col("len")).where("fall > 0")
     receiver = drop.groupBy("row", "col").agg(F.max(F.struct("fall", -F.col("r2"), -F.col("c2"), F.struct(F.col("r2").alias("row"), F.col("c2").alias("col")).alias("to"))).alias("b")).select("row", "col", F.col("b.to").alias("to"))
-    state = df.select("row", "col").join(receiver, ["row", "col"], "left").select(F.struct("row", "col").alias("cell"), "to", F.lit(1).cast("long").alias("flow"))
+    state = df.select("row", "col").join(receiver.hint("merge"), ["row", "col"], "left").select(F.struct("row", "col").alias("cell"), "to", F.lit(1).cast("long").alias("flow"))
     state = materialize(state)
     while not state.where("to is not null").isEmpty():
         more = state.where("to is not null").groupBy(F.col("to").alias("cell")).agg(F.sum("flow").alias("more"))
         further = state.where("to is not null").select(F.col("cell").alias("to"), F.col("to").alias("next"))
-        state = materialize(state.join(more, "cell", "left").join(further, "to", "left").select("cell", F.col("next").alias("to"), (F.col("flow") + F.coalesce("more", F.lit(0))).alias("flow")))
+        state = materialize(state.join(more.hint("merge"), "cell", "left").join(further.hint("merge"), "to", "left").select("cell", F.col("next").alias("to"), (F.col("flow") + F.coalesce("more", F.lit(0))).alias("flow")))
     return state.select("cell.row", "cell.col", "flow")
 
 

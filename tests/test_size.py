@@ -110,3 +110,15 @@ def test_bags_are_drawn_and_scored_once(spark, monkeypatch):
     assert [sorted(c) for c in written] == [["a", "bag", "id", "in_bag", "label"]]
     assert "md5(" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.where("id % 5 = 0 and n_bags < 3").isEmpty()
+
+
+def test_flow_sends_no_cells_through_the_driver(spark, monkeypatch):
+    from lodestar.operators import raster
+    from lodestar.plans import storage
+
+    plans = []
+    real = storage.materialize
+    monkeypatch.setattr(storage, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    df = spark.range(60).selectExpr("id div 10 as row", "id % 10 as col", "cast(id as double) as value")
+    assert raster.flow_accumulation(df).agg(F.max("flow")).first()[0] > 1
+    assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
