@@ -86,8 +86,10 @@ def subarea(df: DataFrame, label: str, side: float, centre: tuple[float, float]
 
 
 def subarea_prior(df: DataFrame, names: list[str], label: str, side: float, centre: tuple[float, float] | None = None, trees: int = 200, seed: int = 0) -> DataFrame:
-    """``x``, ``y``, ``p_prior``, ``label`` of the cells of a subarea; the forest is fitted on the whole map."""
-    rows = df.withColumn("label", F.coalesce((F.col(label) > 0).cast("int"), F.lit(0)))
+    """``x``, ``y``, ``p_prior``, ``label`` of the cells of a subarea; the forest is fitted on the whole map, which is written first, so that the joins it comes from run once."""
+    from ..plans.storage import materialize
+
+    rows = materialize(df.select("x", "y", *names, F.coalesce((F.col(label) > 0).cast("int"), F.lit(0)).alias("label")))
     (model,) = fitted([forest(names, trees=trees, seed=seed)], rows.select(*names, "label"), "label")
     return probability(model, subarea(rows, "label", side, centre), "p_prior").select("x", "y", "p_prior", "label")
 

@@ -17,7 +17,7 @@ SCORED_SQL = "scored AS (SELECT p_partkey AS cell_id, (p_partkey * 7919 % 997) /
 def _map(spark: SparkSession, d: str) -> DataFrame:
     """Cells with two scores (one with gaps), positives and a context with gaps."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("cell_id"), F.when(F.col("p_size") > 5, F.col("p_retailprice")).alias("gold"), "p_size")
-    m = scored(spark, d).join(p, "cell_id")
+    m = scored(spark, d).join(p.hint("merge"), "cell_id")  # all cells: a broadcast would send them through the driver
     return m.withColumns({"row": F.expr("cell_id div 50"), "col": F.col("cell_id") % 50, "other": F.when(F.col("cell_id") % 13 > 0, F.round(1 - F.col("score") * F.col("score"), 6))})
 
 
@@ -49,7 +49,7 @@ def context_fusion(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def subarea_prior(spark: SparkSession, d: str) -> DataFrame:
     """Prior of the cells around the centre of the positives, from a forest over the whole map."""
-    m = _map(spark, d).join(cells(spark, d).select("cell_id", "x", "y"), "cell_id")
+    m = _map(spark, d).join(cells(spark, d).select("cell_id", "x", "y").hint("merge"), "cell_id")
     return validation.subarea_prior(m, ["score", "p_size", "gold"], "positive", 6000.0, trees=20)
 
 

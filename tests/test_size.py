@@ -122,3 +122,17 @@ def test_flow_sends_no_cells_through_the_driver(spark, monkeypatch):
     df = spark.range(60).selectExpr("id div 10 as row", "id % 10 as col", "cast(id as double) as value")
     assert raster.flow_accumulation(df).agg(F.max("flow")).first()[0] > 1
     assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_subarea_prior_joins_its_map_once_by_shuffle(spark, monkeypatch):
+    from lodestar.operators import validation
+    from lodestar.plans import storage
+    from lodestar.queries import QUERIES
+
+    plans = []
+    real = storage.materialize
+    monkeypatch.setattr(storage, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    got = QUERIES["subarea_prior"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and got.columns == ["x", "y", "p_prior", "label"]
+    assert "Broadcast" not in validation.subarea(spark.createDataFrame([(1.0, 2.0, 1)], "x double, y double, label int"), "label", 1.0)._jdf.queryExecution().executedPlan().toString()
