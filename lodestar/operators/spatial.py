@@ -159,25 +159,31 @@ def _nearest_places(left: DataFrame, right: DataFrame, own: list[str], cap: floa
         radius = radius * 2 if cap is None else min(radius * 2, cap)
 
 
-def near_any(left: DataFrame, right: DataFrame, radius: float, key: str, strict: bool = False) -> DataFrame:
-    """Keys of the left points that have a right point in reach.
+def _places_near(left: DataFrame, right: DataFrame, radius: float, strict: bool) -> DataFrame:
+    """``x``, ``y``: the different places of left points that have a right point in reach, written and hinted by ``small``.
 
     Different places are compared, however many points they have. In a cell whose diagonal is the radius all places are in
     reach of each other, so those that share one with a right place are decided without a pair; only the others look around.
     """
+    from ..plans.storage import materialize, small
+
     side = radius / 2**0.5 * (1 - 1e-12)
     cell = [F.floor(F.col(c) / side).alias(f"_{c}") for c in ("x", "y")]
-    there = right.select("x", "y").where("x is not null and y is not null").distinct()
-    here = left.select("x", "y").where("x is not null and y is not null").distinct().select("x", "y", *cell)
+    there = _placed(right.select("x", "y")).distinct()
+    here = _placed(left.select("x", "y")).distinct().select("x", "y", *cell)
     held = there.select(*cell).distinct()
     far = within_radius(here.join(held, ["_x", "_y"], "left_anti").select("x", "y"), there, radius, strict).select("x", "y").distinct()
-    hit = here.join(held, ["_x", "_y"], "left_semi").select("x", "y").unionAll(far)
-    return left.select(key, "x", "y").join(hit, ["x", "y"], "left_semi").select(key).distinct()
+    return small(materialize(here.join(held, ["_x", "_y"], "left_semi").select("x", "y").unionAll(far)))
+
+
+def near_any(left: DataFrame, right: DataFrame, radius: float, key: str, strict: bool = False) -> DataFrame:
+    """Keys of the left points that have a right point in reach."""
+    return left.select(key, "x", "y").join(_places_near(left, right, radius, strict), ["x", "y"], "left_semi").select(key).distinct()
 
 
 def outside(left: DataFrame, right: DataFrame, radius: float, key: str, strict: bool = False) -> DataFrame:
-    """Left points without a right point in reach."""
-    return left.join(near_any(left, right, radius, key, strict), key, "left_anti")
+    """Left points without a right point in reach (points of one ``key`` share a place). They are told by their place, so keys are neither gathered nor joined."""
+    return left.join(_places_near(left, right, radius, strict), ["x", "y"], "left_anti").select(key, *[c for c in left.columns if c != key])
 
 
 def outside_all(left: DataFrame, known: list[tuple[DataFrame, float]], key: str) -> DataFrame:
@@ -188,8 +194,8 @@ def outside_all(left: DataFrame, known: list[tuple[DataFrame, float]], key: str)
 
 
 def inside(left: DataFrame, right: DataFrame, radius: float, key: str, strict: bool = False) -> DataFrame:
-    """Left points with a right point in reach."""
-    return left.join(near_any(left, right, radius, key, strict), key, "left_semi")
+    """Left points with a right point in reach, told by their place as in ``outside``."""
+    return left.join(_places_near(left, right, radius, strict), ["x", "y"], "left_semi").select(key, *[c for c in left.columns if c != key])
 
 
 def reclassify(points: DataFrame, pits: DataFrame, radius: float, key: str, on_old_unit: Column, old: str, young: str) -> DataFrame:

@@ -56,10 +56,18 @@ CELLS_SQL = """cells AS (SELECT p_partkey AS cell_id, p_partkey // 50 AS row, p_
   p_retailprice AS elevation, p_size::DOUBLE AS slope, p_type AS lithology, (p_partkey * 37 % 1000 + 1)::DOUBLE AS flow FROM part)"""
 
 
+#: Line items that a task groups to samples, about.
+SAMPLE_ROWS = 500_000
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as sample points with a grade and a price."""
+    """Line items as sample points with a grade and a price.
+
+    Ids have few rows each, so a task that read a large part of a file would hold all its ids: rows are dealt by id first, to tasks of a bounded size.
+    """
     li = table(spark, sf_dir, "lineitem")
-    one = li.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sample_id")).agg(
+    tasks = max(spark.sparkContext.defaultParallelism, -(-li.count() // SAMPLE_ROWS))
+    one = li.withColumn("sample_id", F.col("l_orderkey") * 8 + F.col("l_linenumber")).repartition(tasks, "sample_id").groupBy("sample_id").agg(
         F.max("l_quantity").alias("grade"), F.max(F.when(F.col("l_discount") > 0, F.col("l_extendedprice"))).alias("price"), F.max("l_returnflag").alias("category"),
     )
     return one.withColumns({"x": ((F.col("sample_id") * 7919) % WIDTH).cast("double"), "y": ((F.col("sample_id") * 104729) % HEIGHT).cast("double")})

@@ -136,3 +136,28 @@ def test_subarea_prior_joins_its_map_once_by_shuffle(spark, monkeypatch):
     assert len(plans) == 1 and "Broadcast" not in plans[0]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and got.columns == ["x", "y", "p_prior", "label"]
     assert "Broadcast" not in validation.subarea(spark.createDataFrame([(1.0, 2.0, 1)], "x double, y double, label int"), "label", 1.0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_outside_are_told_by_place(spark):
+    """No join or gathering by key; points without a whole place are near nothing."""
+    from lodestar.operators import spatial
+
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 0.0), (3, None, 0.0), (4, float("nan"), 0.0), (5, 0.0, 0.0), (6, 3.0, 4.0)], "id long, x double, y double")
+    right = spark.createDataFrame([(0.0, 0.0), (float("nan"), 0.0), (None, 1.0)], "x double, y double")
+    got = spatial.outside(left, right, 5.0, "id")
+    assert {r.id for r in got.collect()} == {2, 3, 4} and got.columns == left.columns
+    assert {r.id for r in spatial.outside(left, right, 5.0, "id", strict=True).collect()} == {2, 3, 4, 6}
+    assert {r.id for r in spatial.inside(left, right, 5.0, "id").collect()} == {1, 5, 6} == {r.id for r in spatial.near_any(left, right, 5.0, "id").collect()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
+
+
+def test_samples_are_grouped_in_tasks_of_bounded_size(spark, monkeypatch):
+    from lodestar.queries import registry
+
+    monkeypatch.setattr(registry, "SAMPLE_ROWS", 500)
+    d = "/root/testdata/sf0.001"
+    rows = registry.table(spark, d, "lineitem")
+    n, ids = rows.count(), rows.selectExpr("l_orderkey * 8 + l_linenumber").distinct().count()
+    got = registry.samples(spark, d)
+    assert got.rdd.getNumPartitions() == -(-n // 500) > 8 and got.count() == ids
