@@ -119,8 +119,18 @@ def focal(df: DataFrame, radius: int, aggregate: Column, out: str) -> DataFrame:
 
 
 def elevation_percentile(df: DataFrame, radius: int, p: float = 0.1) -> DataFrame:
-    """Append ``low``: a percentile of the cells around."""
-    return focal(df, radius, F.percentile("v", p), "low")
+    """Append ``low``: a percentile of the cells around, between two values in proportion.
+
+    Values are sent along rows and listed, and the lists are sent along columns: 2 (2 r + 1) rows a cell, not (2 r + 1) squared.
+    """
+    step = F.sequence(F.lit(-radius), F.lit(radius))
+    sent = df.where(F.col("value").isNotNull()).select("row", "col", F.col("value").alias("v")).withColumn("d", F.explode(step))
+    lists = sent.groupBy("row", (F.col("col") + F.col("d")).alias("col")).agg(F.collect_list("v").alias("v")).withColumn("d", F.explode(step))
+    near = lists.groupBy((F.col("row") + F.col("d")).alias("row"), "col").agg(F.array_sort(F.flatten(F.collect_list("v"))).alias("v"))
+    at = (F.size("v") - 1) * F.lit(float(p))
+    low, high = F.get("v", F.floor(at).cast("int")), F.get("v", F.ceil(at).cast("int"))
+    value = F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).cast("double")
+    return df.join(near.select("row", "col", value.alias("low")), ["row", "col"], "left")
 
 
 def running_mean(*columns: Column) -> Column:

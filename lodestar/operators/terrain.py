@@ -420,11 +420,12 @@ def paleochannel(dem: DataFrame, flow: DataFrame, sources: Iterable[DataFrame |
     """``row``, ``col``, ``likelihood``: relative elevation, local relief and a geomorphic index, each scaled robustly, weighted, and scaled once more.
 
     The geomorphic index is the mean, over what isn't null, of terraces (landforms within ``radius``), the black top-hat, the height above
-    the low percentile, and ``log1p`` of the flow. Each component is written, so later ones don't repeat it. A cell lacks a likelihood where it lacks one of the three parts.
+    the low percentile, and ``log1p`` of the flow. Rows of cells are dealt to all tasks first (a small file is one, and a cell is sent
+    to 25), and each component is written, so later ones don't repeat it. A cell lacks a likelihood where it lacks one of the three parts.
     """
     from ..plans.storage import materialize
 
-    base = dem.select("row", "col", "value")
+    base = materialize(dem.select("row", "col", "value").repartition(int(dem.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row"))
     rem = materialize(relative_elevation(base, sources).select("row", "col", "rem"))
     parts = materialize(top_hat(local_relief(base, 0, relief), hat).select("row", "col", "value", "lrm", "top_hat"))
     above = materialize(elevation_percentile(base, low).select("row", "col", (F.col("value") - F.col("low")).alias("above")))

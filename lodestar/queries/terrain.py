@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import terrain
+from ..plans.storage import materialize
 from .registry import CELLS_SQL, POLYGONS_SQL, cells, grid, polygons, query, rounded
 
 FACETS_SQL = "facets AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for k, (a, b) in enumerate(terrain.FACETS)) + ") t(k, dr1, dc1, dr2, dc2))"
@@ -57,7 +60,7 @@ n AS (SELECT a.row, a.col, a.value, arg_min(c.v, ((a.row - c.row) * (a.row - c.r
 def drainage_elevation(spark: SparkSession, d: str) -> DataFrame:
     """Relative elevation where there are no mapped channels: the raster's own flow, its top twentieth."""
     dem = _raster(spark, d)
-    flow = rounded(terrain.dinf_accumulation(dem), 5)
+    flow = materialize(rounded(terrain.dinf_accumulation(dem), 5))  # read by every pass for the percentile
     return rounded(terrain.relative_elevation(dem, [None, terrain.flow_channels(flow)]).select("row", "col", "rem"))
 
 
@@ -108,5 +111,10 @@ def smoothed_surface(spark: SparkSession, d: str) -> DataFrame:
 def paleochannel_likelihood(spark: SparkSession, d: str) -> DataFrame:
     """Composite of relative elevation, local relief and the geomorphic index (tests hold it against numpy)."""
     dem = _raster(spark, d)
-    flow = rounded(terrain.dinf_accumulation(dem), 5)
-    return rounded(terrain.paleochannel(dem, flow, [channel_cells(spark, d), terrain.flow_channels(flow)], 250.0))
+    flow = materialize(rounded(terrain.dinf_accumulation(dem), 5))
+
+    def sources() -> Iterator[DataFrame]:
+        yield channel_cells(spark, d)
+        yield terrain.flow_channels(flow)  # asked for only where the first has no cells
+
+    return rounded(terrain.paleochannel(dem, flow, sources(), 250.0))

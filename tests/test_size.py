@@ -161,3 +161,25 @@ def test_samples_are_grouped_in_tasks_of_bounded_size(spark, monkeypatch):
     n, ids = rows.count(), rows.selectExpr("l_orderkey * 8 + l_linenumber").distinct().count()
     got = registry.samples(spark, d)
     assert got.rdd.getNumPartitions() == -(-n // 500) > 8 and got.count() == ids
+
+
+def test_low_percentile_sends_a_cell_along_rows_then_columns(spark):
+    """As the percentile over all pairs of near cells, with cells and values missing."""
+    from lodestar.operators import raster
+
+    df = spark.range(120).where("id % 7 <> 3 and id <> 40").selectExpr("id div 10 as row", "id % 10 as col", "case when id % 5 > 0 and id < 100 then id * 37 % 41 / 3.0 end as value").coalesce(1)
+    got = raster.elevation_percentile(df, 2, 0.1)
+    want = raster.focal(df, 2, F.percentile("v", 0.1), "low")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2 and plan.count("Aggregate") == 2  # one between them
+
+
+def test_channels_are_asked_for_in_turn(spark, monkeypatch):
+    """The flow is written once, and its percentile isn't taken where there are mapped channels."""
+    from lodestar.operators import terrain
+    from lodestar.queries import QUERIES
+
+    monkeypatch.setattr(terrain, "flow_channels", lambda *a: pytest.fail("not needed"))
+    got = QUERIES["paleochannel_likelihood"](spark, "/root/testdata/sf0.001")
+    assert got.where("likelihood is not null").count() > 0
